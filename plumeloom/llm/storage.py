@@ -1,0 +1,35 @@
+"""Tables that cut lineage, in the shared folder that the cluster names."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local run without one gets a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir()
+    if found:
+        return found
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="plumeloom-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back.
+
+    A lost executor costs a reread of these files, not the work that made them. Only columns
+    that a later step uses are read. The files live as long as the checkpoint folder.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
