@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeloom.llm import mixing, neardup, packing, pii, rules
+from plumeloom.llm import chat, merkle, mixing, neardup, packing, pii, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,26 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = merkle.edited(_table(spark, sf_dir, "documents"))
+    return of.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        F.col("tree.root").alias("fingerprint"),
+        F.col("edited_tree.root").alias("edited_fingerprint"),
+        merkle.likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
+        merkle.likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+    )
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.readback(chat.windowed(turns.unionByName(added)))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judged(rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -40,7 +60,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_pii, op3_best_fit_packing, op7_quality_rules, op9_mixing, op10_minhash_near_dedup)
+    named = (op2_pii, op3_best_fit_packing, op5_document_fingerprints, op6_chat_formatting, op7_quality_rules, op9_mixing, op10_minhash_near_dedup)
     return {f.__name__: f for f in named}
 
 
