@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeloom.llm import chat, merkle, mixing, neardup, packing, pii, rules
+from plumeloom.llm import chat, license_scan, merkle, mixing, neardup, packing, passages, pii, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.path_of())
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.found(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["rank"] < len(pii.BASE))
@@ -26,6 +30,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = merkle.edited(_table(spark, sf_dir, "documents"))
     return of.select(
@@ -60,7 +68,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_pii, op3_best_fit_packing, op5_document_fingerprints, op6_chat_formatting, op7_quality_rules, op9_mixing, op10_minhash_near_dedup)
+    named = (op1_license_scans, op2_pii, op3_best_fit_packing, op4_substring_dedup, op5_document_fingerprints, op6_chat_formatting, op7_quality_rules, op9_mixing, op10_minhash_near_dedup)
     return {f.__name__: f for f in named}
 
 
