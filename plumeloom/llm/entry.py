@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeloom.llm import chat, license_scan, merkle, mixing, neardup, packing, passages, pii, rules
+from plumeloom.llm import chat, html_main, license_scan, merkle, mixing, neardup, packing, passages, pii, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decided(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,7 +72,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scans, op2_pii, op3_best_fit_packing, op4_substring_dedup, op5_document_fingerprints, op6_chat_formatting, op7_quality_rules, op9_mixing, op10_minhash_near_dedup)
+    named = (op1_license_scans, op2_pii, op3_best_fit_packing, op4_substring_dedup, op5_document_fingerprints, op6_chat_formatting, op7_quality_rules, op8_html_extraction, op9_mixing, op10_minhash_near_dedup)
     return {f.__name__: f for f in named}
 
 
