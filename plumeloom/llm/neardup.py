@@ -13,10 +13,10 @@ similarity is 0.75 or more.
 4. First links. Each bucket's least class is compared with the others of the bucket, on full
    sets. Copies and near copies become components at a cost linear in their number.
 5. The rest. In buckets that still hold several components, every pair across components is
-   compared. Where that would be many pairs (unrelated texts around one common passage), the
-   bucket's classes go to an exact prefix join instead: with shingles ordered from rare to
-   frequent, two linked sets share one among the first n - ceil(0.75 n) + 1, so what is common
-   to many texts is not a key at all.
+   compared. Where that would be many pairs, the strays first meet a few chance members of their
+   buckets, which ties large families of near copies together. What is still apart goes to an
+   exact prefix join: with shingles ordered from rare to frequent, two linked sets share one
+   among the first n - ceil(0.75 n) + 1, so what is common to many texts is not a key at all.
 6. Components over all links; nothing about all units ever reaches the driver.
 
 Defined cases. Units without words (null, empty) have the empty set, size 0, and are linked with
@@ -35,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeloom.llm.components import components
@@ -45,7 +45,11 @@ SHINGLE = 5
 #: A similarity of PART / WHOLE links.
 PART, WHOLE = 75, 100
 #: Pairs that a bucket may give at step 5 before its classes take the exact prefix join.
-DIRECT_PAIRS = 4096
+DIRECT_PAIRS = 16
+#: Turns in which what is left in larger buckets meets so many chance members of them each.
+CHANCE_TURNS, CHANCE_MEMBERS = 1, 8
+#: Size of the bitmaps of step 5, in words of 64 bits (a power of two).
+BITMAP_WORDS = 16
 
 
 @dataclass(frozen=True)
@@ -150,9 +154,9 @@ def sketched(units: DataFrame, keys: list[str], banding: Banding) -> DataFrame:
     return written(rows.withColumn("rid", F.monotonically_increasing_id()), "sketches")
 
 
-def _alike(a: str, b: str) -> Column:
+def _alike(a: str, b: str) -> str:
     """Sizes that allow a link."""
-    return F.expr(f"{WHOLE} * least({a}, {b}) >= {PART} * greatest({a}, {b})")
+    return f"{WHOLE} * least({a}, {b}) >= {PART} * greatest({a}, {b})"
 
 
 def _buckets(classes: DataFrame, banding: Banding) -> DataFrame:
@@ -206,30 +210,63 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, root)), pa.array(np.full(n, n)), pa.array(s.view(np.int64))], names=["node", "root", "n", "shingle"])
 
 
-def _strays(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b) across components (root) of rows that share a key.
+def _strays(rows: DataFrame, key: str, near: str) -> DataFrame:
+    """Pairs (a, b) across components (root) of rows that share a key; near: a condition on n and
+    c of x and y that every link meets.
 
     One component of a key, that of its least root, stands on one side only: a large component
     is never paired with itself.
     """
     first = rows.groupBy(key).agg(F.min("root").alias("main"), F.max("root").alias("other")).filter("main < other").select(key, "main")
     rows = rows.join(first, key)
-    left = rows.filter("root <> main").select(key, F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    right = rows.select(key, F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), "main")
-    met = left.join(right, key).filter("rx <> ry AND (ry = main OR x < y)").filter(_alike("nx", "ny"))
+    side = lambda i: rows.select(key, F.col("node").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in rows.columns if c not in (key, "node", "main")], *(["main"] if i == "y" else []))
+    left = side("x").join(first.withColumnRenamed("main", "main_x"), key).filter("root_x <> main_x")
+    met = left.join(side("y"), key).filter("root_x <> root_y AND (root_y = main OR x < y)").filter(near)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs across components among nodes (node, root) that share a rare shingle; exact."""
+    """Pairs across components among nodes (node, root) that can be links; exact.
+
+    c counts a set's shingles that occur in any other set here: the others, first in the order,
+    are in common with none. A pair is kept where these bounds of the common shingles allow a
+    link: what c and the place of the first common shingle leave, and c less the bits of one
+    set's bitmap that the other's lacks, each of which stands for a shingle that it lacks.
+    """
     rows = nodes.join(texts, "node").select("node", "root", "da", "db", "text").mapInArrow(_shingle_rows, "node long, root long, n long, shingle long")
     rows = written(rows.distinct(), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    # rows of a unit, from rare to frequent: places before the prefix's end
-    ordered = rows.join(often, "shingle").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
-    keep = F.expr(f"CAST(n - ({PART} * n + {WHOLE - 1}) div {WHOLE} + 1 AS INT)")
-    prefix = ordered.select("node", "root", "n", F.explode(F.slice("all", F.lit(1), keep)).alias("s")).filter("s.df > 1")
-    return _strays(prefix.select("node", "root", "n", F.col("s.shingle").alias("shingle")), "shingle")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    common = rows.join(often, "shingle").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    common = common.withColumn("c", F.size("all").cast("long")).filter(f"{WHOLE} * c >= {PART} * n")
+    word = "aggregate(filter(all, s -> (shiftrightunsigned(s.shingle, 6) & {last}) = {k}), 0L, (a, s) -> a | shiftleft(1L, CAST(s.shingle & 63 AS INT)))"
+    bits = [f"b{k}" for k in range(BITMAP_WORDS)]
+    common = common.withColumns({b: F.expr(word.format(last=BITMAP_WORDS - 1, k=k)) for k, b in enumerate(bits)})
+    keep = F.expr(f"CAST(n - ({PART} * n + {WHOLE - 1}) div {WHOLE} + 1 - (n - c) AS INT)")
+    prefix = common.select("node", "root", "n", "c", *bits, F.posexplode(F.slice("all", F.lit(1), keep)).alias("p", "s"))
+    prefix = prefix.withColumn("shingle", F.col("s.shingle")).drop("s")
+    lacks = lambda x, y: " + ".join(f"bit_count({b}_{x} & ~{b}_{y})" for b in bits)
+    enough = f"{WHOLE + PART} * least({{0}}, {{1}}) >= {PART} * (n_x + n_y)"
+    near = f"{_alike('n_x', 'n_y')} AND {enough.format('c_x - p_x', 'c_y - p_y')} AND {enough.format(f'c_x - ({lacks("x", "y")})', f'c_y - ({lacks("y", "x")})')}"
+    return _strays(prefix, "shingle", near)
+
+
+def _rest(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components (but for pairs already compared): key, node,
+    n, root, main (the bucket's least root) and pairs (at most so many across components)."""
+    rooted = buckets.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.count("*").alias("all")).filter("main < last AND all > 2").drop("last")
+    rooted = rooted.join(several, "key")
+    strays = rooted.groupBy("key").agg((F.count_if(F.col("root") != F.col("main")) * F.max("all")).alias("pairs"))
+    return written(rooted.drop("all").join(strays, "key"), "rest")
+
+
+def _chance_pairs(hot: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each stray with a few chance members of its large buckets."""
+    member = F.min_by(F.struct(F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b")), F.xxhash64("node", F.lit(turn)))
+    met = hot.filter("root <> main").join(hot.groupBy("key").agg(member.alias("m")), "key").filter("m.root_b <> root").filter(_alike("n", "m.n_b"))
+    some = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("m.b", "key").alias("h"), F.col("m.b").alias("b")))), 1, CHANCE_MEMBERS).alias("s"))
+    pairs = some.select(F.col("node").alias("x"), F.explode("s.b").alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS) -> DataFrame:
@@ -253,21 +290,26 @@ def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS) ->
     sizes = classes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"))
     stars = buckets.filter("node <> lead").select("lead", "node", "n").distinct().join(sizes, "lead").filter(_alike("n", "lead_n"))
     links = _links(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")), texts)
-    first = components(links)
-
-    rooted = buckets.join(first, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.count("*").alias("all")).filter("main < last AND all > 2")
-    rooted = rooted.join(several, "key")
-    strays = rooted.groupBy("key").agg(F.count_if(F.col("root") != F.col("main")).alias("strays"), F.max("all").alias("all"))
-    split = written(rooted.drop("all", "main", "last").join(strays.select("key", (F.col("strays") * F.col("all")).alias("pairs")), "key"), "rest")
-    pairs = _strays(split.filter(F.col("pairs") <= DIRECT_PAIRS), "key")
+    roots = components(links)
+    as_links = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    split = _rest(buckets, roots)
+    for turn in range(CHANCE_TURNS):
+        hot = split.filter(F.col("pairs") > DIRECT_PAIRS)
+        if hot.isEmpty():
+            break
+        more = _links(_chance_pairs(hot, turn), texts)
+        roots = components(as_links(roots).unionByName(more))
+        split = _rest(buckets, roots)
+    pairs = _strays(split.filter(F.col("pairs") <= DIRECT_PAIRS).select("key", "node", "n", "root"), "key", _alike("n_x", "n_y"))
     hot = split.filter(F.col("pairs") > DIRECT_PAIRS)
     if not hot.isEmpty():
         pairs = pairs.unionByName(_prefix_pairs(hot.select("node", "root").distinct(), texts)).distinct()
     more = _links(pairs, texts)
-    last = components(links.unionByName(more)) if not more.isEmpty() else first
+    if not more.isEmpty():
+        roots = components(as_links(roots).unionByName(more))
 
-    rooted = classes.select("da", "db", "node").join(last, "node", "left").select("da", "db", "node", F.coalesce("root", "node").alias("root"))
+    rooted = classes.select("da", "db", "node").join(roots, "node", "left").select("da", "db", "node", F.coalesce("root", "node").alias("root"))
     return sketches.select(*keys, "rid", "n", "da", "db").join(rooted, ["da", "db"], "left")
 
 
