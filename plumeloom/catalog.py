@@ -1,15 +1,536 @@
-"""All queries of the engine's own operators, with their SQL."""
+"""All queries of the engine's own operators over the star schema's tables, with their SQL.
+
+Rasters, lookups and spectra are derived by sources.bridge. Sums are of whole numbers with one
+division at the end, so both engines give equal bits; other values are rounded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumeloom import schema
+from plumeloom.config import Settings
+from plumeloom.functions import geo, strings, weights
+from plumeloom.operators import clusters, components, geometry, masks, merging, mosaic, ortho, tiling, vetting
+from plumeloom.plans import pipeline
+from plumeloom.plans.storage import written
+from plumeloom.sources import bands, bridge
+from plumeloom.sources.bridge import HEADS_SQL, RASTER_SQL, SPECTRA_SQL, STRIDE, TILE, raster, spectra, table, tiles_of_pixels_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+K = ["granule_id"]
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _yx(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"gy": "y", "gx": "x"})
+
+
+def _tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.tiled_pixels(raster(spark, sf_dir), TILE, STRIDE)
+
+
+_TP = f"WITH {RASTER_SQL}, {tiles_of_pixels_sql()}"
+_W2 = f"CAST(round_even(greatest(1 - sqrt((y - {TILE / 2}) * (y - {TILE / 2}) + (x - {TILE / 2}) * (x - {TILE / 2})) / {TILE / 2}, 0.001) * 1000000, 0) AS BIGINT)"
+
+
+@query(f"WITH {RASTER_SQL}, d AS (SELECT DISTINCT granule_id, h, w FROM px), a AS (SELECT *, unnest(range(0, h - {TILE} + 1, {STRIDE})) AS h_off FROM d) SELECT granule_id, h_off, unnest(range(0, w - {TILE} + 1, {STRIDE})) AS w_off FROM a")
+def tile_grid(spark, sf_dir):
+    return tiling.tile_grid(raster(spark, sf_dir).select("granule_id", "h", "w").distinct(), TILE, STRIDE)
+
+
+@query(f"{_TP} SELECT granule_id, h_off, w_off, count(*) AS n_valid, row_number() OVER (PARTITION BY granule_id ORDER BY h_off, w_off) - 1 AS chunk_id FROM tp WHERE valid GROUP BY granule_id, h_off, w_off")
+def tile_skip_empty(spark, sf_dir):
+    return tiling.surviving_tiles(_tiled(spark, sf_dir))
+
+
+@query(
+    f"{_TP}, m AS (SELECT *, gy - h_off AS y, gx - w_off AS x FROM tp), s AS (SELECT granule_id, gy, gx, v * (1 + (h_off + w_off) % 3) AS v, CASE WHEN valid THEN {_W2} ELSE 0 END AS wt FROM m)"
+    " SELECT granule_id, gy, gx, coalesce(CAST(sum(v * wt) AS BIGINT)::DOUBLE, 0) / greatest(CAST(sum(wt) AS BIGINT)::DOUBLE, 1e-10) AS enhancement, count(*) FILTER (WHERE wt > 0) AS n_tiles FROM s GROUP BY granule_id, gy, gx"
+)
+def mosaic_enhancement(spark, sf_dir):
+    """Two slots a tile, of which the second is the larger."""
+    slots = _tiled(spark, sf_dir).withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("c", F.col("v") * (F.col("slot") + F.when(F.col("slot") == 1, (F.col("h_off") + F.col("w_off")) % 3).otherwise(0)))
+    weight = F.rint(weights.l2_border(F.col("gy") - F.col("h_off"), F.col("gx") - F.col("w_off"), TILE) * 1000000).cast("long")
+    return mosaic.mosaic(slots, "c", weight)
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda v: abs(v) > 0.35)) = 0 AS ok FROM embeddings")
+def valid_mask(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    holes = F.transform("embedding", lambda v: F.when(F.abs(v) > 0.35, F.lit(float("nan"))).otherwise(v))
+    return e.select("vec_id", masks.is_valid(holes).alias("ok"))
+
+
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda v: CASE WHEN abs(v) > 0.35 THEN 0 ELSE CAST(round_even(v::DOUBLE * 1000, 0) AS BIGINT) END)) AS BIGINT) AS total FROM embeddings")
+def nan_fill(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    holes = F.transform("embedding", lambda v: F.when(F.abs(v) > 0.35, F.lit(float("nan"))).otherwise(v))
+    total = F.aggregate(masks.filled(holes), F.lit(0).cast("long"), lambda a, v: a + F.rint(v.cast("double") * 1000).cast("long"))
+    return e.select("vec_id", total.alias("total"))
+
+
+@query(f"WITH {RASTER_SQL} SELECT granule_id, gy, gx, p FROM px WHERE p > 400 AND valid")
+def threshold_mask(spark, sf_dir):
+    return masks.over_threshold(raster(spark, sf_dir), "p", 400).select("granule_id", "gy", "gx", "p")
+
+
+@query(f"{_TP}, hit AS (SELECT *, (gx + gy) % 2 AS slot_id, h_off * 1000 + w_off AS chunk_id FROM tp WHERE p > 400 AND valid) SELECT granule_id, chunk_id, slot_id, count(*) AS n_pixels FROM hit GROUP BY ALL HAVING count(*) >= 5")
+def slot_min_pixels(spark, sf_dir):
+    hits = masks.over_threshold(_tiled(spark, sf_dir), "p", 400).withColumns({"slot_id": (F.col("gx") + F.col("gy")) % 2, "chunk_id": F.col("h_off") * 1000 + F.col("w_off")})
+    return masks.large_slots(hits, 5)
+
+
+@query(f"WITH {RASTER_SQL} SELECT gy - (h - 9) // 2 AS gy, gx - (w - 9) // 2 AS gx, v, 5000.0 + ((w - 9) // 2) * 60.0 AS x0, 9000.0 - ((h - 9) // 2) * 60.0 AS y0 FROM px WHERE gy - (h - 9) // 2 BETWEEN 0 AND 8 AND gx - (w - 9) // 2 BETWEEN 0 AND 8")
+def center_crop(spark, sf_dir):
+    px = raster(spark, sf_dir).withColumns({"x0": F.lit(5000.0), "y0": F.lit(9000.0), "scale": F.lit(60.0)})
+    return tiling.center_crop(px, 9).select("gy", "gx", "v", "x0", "y0")
+
+
+@query("WITH p AS (SELECT o_orderkey, ((o_orderkey * 37) % 3600)::DOUBLE / 10 - 180 AS lon, ((o_orderkey * 13) % 1600)::DOUBLE / 10 - 80 AS lat FROM orders), e AS (SELECT o_orderkey, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END) + CAST(floor((lon + 180) / 6) AS BIGINT) + 1 AS c FROM p) SELECT o_orderkey, 'EPSG:' || c AS epsg, CASE WHEN c < 32700 THEN (c - 32600) || 'N' ELSE (c - 32700) || 'S' END AS zone FROM e")
+def epsg_zone(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    epsg = geo.epsg_of(F.lit(None).cast("string"), F.expr("(o_orderkey * 37) % 3600") / 10 - 180, F.expr("(o_orderkey * 13) % 1600") / 10 - 80)
+    return o.select("o_orderkey", epsg.alias("epsg")).withColumn("zone", geo.zone_of(F.col("epsg")))
+
+
+@query("SELECT o_orderkey, round_even(o_totalprice / 60, 0) * 60 AS near, floor(o_totalprice / 60) * 60 AS below FROM orders")
+def utm_snap(spark, sf_dir):
+    p = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", geo.snapped(p, 60).alias("near"), geo.snapped(p, 60, down=True).cast("double").alias("below"))
+
+
+@query(f"WITH {RASTER_SQL} SELECT gy, gx, 10.0::DOUBLE + (gx + 0.5::DOUBLE) * 0.25::DOUBLE AS lon, 50.0::DOUBLE + (gy + 0.5::DOUBLE) * (-0.25)::DOUBLE AS lat FROM px")
+def pixel_latlon(spark, sf_dir):
+    px = raster(spark, sf_dir)
+    return px.select("gy", "gx", geo.axis(F.lit(10.0), F.lit(0.25), F.col("gx")).alias("lon"), geo.axis(F.lit(50.0), F.lit(-0.25), F.col("gy")).alias("lat"))
+
+
+@query("SELECT l_orderkey AS gy, l_linenumber AS gx, CASE WHEN l_suppkey % 10 = 0 OR l_partkey % 10 = 0 THEN -9999 ELSE coalesce(p_size, -9999) END AS v, CASE WHEN l_suppkey % 10 = 0 OR l_partkey % 10 = 0 THEN NULL ELSE p_retailprice END AS price FROM lineitem LEFT JOIN part ON p_partkey = l_partkey - 1")
+def glt_ortho(spark, sf_dir):
+    at = lambda c: F.when(F.col(c) % 10 == 0, 0).otherwise(F.col(c))
+    glt = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("granule_id"), F.col("l_orderkey").alias("gy"), F.col("l_linenumber").alias("gx"), F.when(at("l_suppkey") == 0, 0).otherwise(1).alias("glt_x"), at("l_partkey").alias("glt_y"))
+    raw = table(spark, sf_dir, "part").select(F.lit(0).alias("granule_id"), F.col("p_partkey").alias("downtrack"), F.lit(0).alias("crosstrack"), F.col("p_size").alias("v"), F.col("p_retailprice").alias("price"))
+    return ortho.orthorectified(glt, raw, ["v", "price"], {"v": -9999}).select("gy", "gx", "v", "price")
+
+
+_BOX = "b AS (SELECT o_orderkey AS box_id, 0::BIGINT AS granule_id, (o_orderkey * 31) % 110 - 6 AS x0, (o_orderkey * 17) % 60 - 6 AS y0 FROM orders WHERE o_orderstatus = 'F')"
+
+
+def _boxes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    b = o.select(F.col("o_orderkey").alias("box_id"), F.lit(0).cast("long").alias("granule_id"), F.expr("(o_orderkey * 31) % 110 - 6").alias("x0"), F.expr("(o_orderkey * 17) % 60 - 6").alias("y0"))
+    return b.withColumns({"x1": F.col("x0") + 5, "y1": F.col("y0") + 4})
+
+
+@query(f"WITH {RASTER_SQL}, {_BOX}, g AS (SELECT *, unnest(range(0, 4)) AS y FROM b), c AS (SELECT *, unnest(range(0, 5)) AS x FROM g) SELECT box_id, c.y, c.x, coalesce(v, 0) AS v FROM c LEFT JOIN px ON gy = y0 + c.y AND gx = x0 + c.x")
+def crop_pad(spark, sf_dir):
+    return tiling.crop_padded(raster(spark, sf_dir), _boxes(spark, sf_dir), ["v"]).select("box_id", "y", "x", "v")
+
+
+@query(f"WITH {_BOX} SELECT a.box_id AS a_id, c.box_id AS b_id, greatest(a.x0, c.x0) AS x0, greatest(a.y0, c.y0) AS y0, least(a.x0, c.x0) + 5 AS x1, least(a.y0, c.y0) + 4 AS y1 FROM b a JOIN b c ON abs(a.x0 - c.x0) < 5 AND abs(a.y0 - c.y0) < 4")
+def box_intersect(spark, sf_dir):
+    b = _boxes(spark, sf_dir).withColumnRenamed("box_id", "id")
+    return tiling.overlapping(b, b, 16).select("a_id", "b_id", "x0", "y0", "x1", "y1")
+
+
+def _windows(spark, sf_dir):
+    return bridge.heads(spark, sf_dir).filter("id % 10 = 0").select(F.col("id").alias("plume_id"), "granule_id", F.col("x").alias("head_x"), F.col("y").alias("head_y"))
+
+
+_EXCLUDED = f"{RASTER_SQL}, {HEADS_SQL}, q AS (SELECT * FROM heads WHERE id % 10 = 0), ex AS (SELECT id AS plume_id, gy - q.y + 10 AS y, gx - q.x + 10 AS x FROM q JOIN px ON gy >= q.y - 10 AND gy < q.y + 10 AND gx >= q.x - 10 AND gx < q.x + 10 WHERE p > 400 AND valid)"
+
+
+@query(f"WITH {_EXCLUDED} SELECT * FROM ex")
+def exclusion_mask(spark, sf_dir):
+    hits = masks.over_threshold(raster(spark, sf_dir), "p", 400)
+    return masks.excluded(hits, _windows(spark, sf_dir), 10)
+
+
+@query(f"WITH {_EXCLUDED}, pt AS (SELECT id AS plume_id, gy - q.y + 10 AS y, gx - q.x + 10 AS x, valid FROM q JOIN px ON gy >= q.y - 10 AND gy < q.y + 10 AND gx >= q.x - 10 AND gx < q.x + 10) SELECT plume_id, y, x FROM pt WHERE valid AND (plume_id, y, x) NOT IN (SELECT plume_id, y, x FROM ex)")
+def background_mask(spark, sf_dir):
+    px, windows = raster(spark, sf_dir), _windows(spark, sf_dir)
+    hits = masks.over_threshold(px, "p", 400)
+    patch = masks.excluded(px.filter("valid"), windows, 10).withColumn("valid", F.lit(True))
+    return masks.background(patch, masks.excluded(hits, windows, 10)).select("plume_id", "y", "x")
+
+
+_HIT = "hit AS (SELECT granule_id, gy AS y, gx AS x, gy * 100 + gx AS pos, p, o FROM px WHERE p > 400 AND valid)"
+_CC = f"""WITH RECURSIVE {RASTER_SQL}, {_HIT}, reach(a, b) AS (SELECT pos, pos FROM hit UNION SELECT r.a, n.pos FROM reach r JOIN hit m ON m.pos = r.b JOIN hit n ON (n.y = m.y AND abs(n.x - m.x) = 1) OR (n.x = m.x AND abs(n.y - m.y) = 1)),
+  rt AS (SELECT a AS pos, min(b) AS root FROM reach GROUP BY a), cc AS (SELECT hit.*, root, dense_rank() OVER (ORDER BY root) AS label, count(*) OVER (PARTITION BY root) AS size FROM hit JOIN rt USING (pos))"""
+
+
+def _labels(spark, sf_dir):
+    return components.labelled(_yx(masks.over_threshold(raster(spark, sf_dir), "p", 400)).select(*K, "y", "x", "p", "o"), K)
+
+
+@query(f"{_CC} SELECT y, x, label FROM cc")
+def cc_label(spark, sf_dir):
+    return _labels(spark, sf_dir).select("y", "x", "label")
+
+
+@query(f"{_CC} SELECT y, x, label FROM cc WHERE size >= 4")
+def cc_filter_small(spark, sf_dir):
+    return components.without_small(_labels(spark, sf_dir), K, 4).select("y", "x", "label")
+
+
+@query(f"{_CC} SELECT y, x, label FROM cc WHERE size >= 4 OR label = (SELECT min(label) FROM cc)")
+def cc_keep_origin(spark, sf_dir):
+    labels = _labels(spark, sf_dir)
+    head = labels.groupBy(*K).agg(F.min(F.struct("y", "x")).alias("s")).select(*K, F.col("s.x").alias("head_x"), F.col("s.y").alias("head_y"))
+    return components.without_small(labels, K, 4, head).select("y", "x", "label")
+
+
+_STRIPS = f"WITH RECURSIVE {RASTER_SQL}, hit AS (SELECT gy // 10 AS strip, gy AS y, gx AS x, gy * 100 + gx AS pos, o FROM px WHERE o > 500 AND valid), reach(a, b) AS (SELECT pos, pos FROM hit UNION SELECT r.a, n.pos FROM reach r JOIN hit m ON m.pos = r.b JOIN hit n ON n.strip = m.strip AND ((n.y = m.y AND abs(n.x - m.x) = 1) OR (n.x = m.x AND abs(n.y - m.y) = 1))), rt AS (SELECT a AS pos, min(b) AS root FROM reach GROUP BY a), cc AS (SELECT hit.*, root, count(*) OVER (PARTITION BY root) AS size FROM hit JOIN rt USING (pos)), best AS (SELECT strip, root, row_number() OVER (PARTITION BY strip ORDER BY size DESC, root) AS k FROM (SELECT DISTINCT strip, root, size FROM cc))"
+
+
+@query(f"{_STRIPS} SELECT strip, CAST(sum(o * x) AS BIGINT)::DOUBLE / CAST(sum(o) AS BIGINT)::DOUBLE AS head_x, CAST(sum(o * y) AS BIGINT)::DOUBLE / CAST(sum(o) AS BIGINT)::DOUBLE AS head_y FROM cc JOIN best USING (strip, root) WHERE k = 1 GROUP BY strip")
+def head_point(spark, sf_dir):
+    px = _yx(raster(spark, sf_dir).filter("valid")).withColumn("strip", F.expr("y div 10"))
+    return components.head_points(px.select("strip", "y", "x", "o"), ["strip"], "o", 500)
+
+
+@query(f"WITH {RASTER_SQL} SELECT gy // 10 AS strip, CAST(sum(v * gx) AS BIGINT)::DOUBLE / CAST(sum(v) AS BIGINT)::DOUBLE AS com_x, CAST(sum(v * gy) AS BIGINT)::DOUBLE / CAST(sum(v) AS BIGINT)::DOUBLE AS com_y FROM px GROUP BY 1 HAVING sum(v) <> 0")
+def center_of_mass(spark, sf_dir):
+    px = _yx(raster(spark, sf_dir)).withColumn("strip", F.expr("y div 10"))
+    return components.center_of_mass(px, ["strip"], "v")
+
+
+@query(f"WITH {RASTER_SQL} SELECT strip, gy - (strip * 10 + 5) + 3 AS sy, gx - 50 + 3 AS sx, v FROM (SELECT *, gy // 10 AS strip FROM px) WHERE abs(gy - (strip * 10 + 5)) <= 3 AND abs(gx - 50) <= 3")
+def head_squares(spark, sf_dir):
+    px = _yx(raster(spark, sf_dir)).withColumn("strip", F.expr("y div 10")).select("strip", "y", "x", "v")
+    at = px.select("strip").distinct().select("strip", F.lit(50.2).alias("head_x"), (F.col("strip") * 10 + 4.9).alias("head_y"))
+    return masks.head_squares(px, at, 7, ["strip"]).select("strip", "sy", "sx", "v")
+
+
+_NEAR = f"{HEADS_SQL}, nb AS (SELECT a.granule_id, a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM heads a JOIN heads b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25)"
+
+
+@query(f"WITH {_NEAR} SELECT granule_id, a, b FROM nb")
+def neighbors_dist(spark, sf_dir):
+    return clusters.neighbours(bridge.heads(spark, sf_dir), 5)
+
+
+def _patches(spark, sf_dir):
+    at = bridge.heads(spark, sf_dir).withColumnsRenamed({"x": "head_x", "y": "head_y"})
+    px = _yx(raster(spark, sf_dir).filter("valid")).select(*K, "y", "x", F.col("v").alias("value"))
+    # the scene's pixels are met by place: each head asks for its own square
+    steps = F.sequence(F.lit(-4), F.lit(4))
+    grid = at.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).select(*K, "id", (F.col("head_y") + F.col("_dy")).alias("y"), (F.col("head_x") + F.col("_dx")).alias("x"))
+    return grid.join(px, [*K, "y", "x"]).select(*K, "id", F.col("y").alias("gy"), F.col("x").alias("gx"), "value")
+
+
+_CORR = f"""{RASTER_SQL}, {_NEAR}, pc AS (SELECT id, gy, gx, v AS value FROM heads JOIN px ON abs(gy - y) <= 4 AND abs(gx - x) <= 4 WHERE valid),
+  sm AS (SELECT a, b, count(*)::DOUBLE AS n, sum(u.value)::DOUBLE AS su, sum(t.value)::DOUBLE AS sv, sum(u.value * u.value)::DOUBLE AS suu, sum(t.value * t.value)::DOUBLE AS svv, sum(u.value * t.value)::DOUBLE AS suv FROM nb JOIN pc u ON u.id = a JOIN pc t ON t.id = b AND t.gy = u.gy AND t.gx = u.gx WHERE a <= b GROUP BY a, b),
+  cr AS (SELECT a, b, CASE WHEN n * suu - su * su > 0 AND n * svv - sv * sv > 0 THEN (n * suv - su * sv) / (sqrt(n * suu - su * su) * sqrt(n * svv - sv * sv)) ELSE 0.0 END AS corr FROM sm),
+  fc AS (SELECT nb.a, nb.b, coalesce(corr, 0.0) AS corr FROM nb LEFT JOIN cr ON cr.a = least(nb.a, nb.b) AND cr.b = greatest(nb.a, nb.b))"""
+
+
+@query(f"WITH {_CORR} SELECT a, b, round(corr, 9) + 0.0 AS corr FROM fc")
+def pair_corr(spark, sf_dir):
+    near = clusters.neighbours(bridge.heads(spark, sf_dir), 5)
+    return clusters.correlated(near, _patches(spark, sf_dir)).select("a", "b", (F.round("corr", 9) + F.lit(0.0)).alias("corr"))
+
+
+def _dbscan_sql(relation: str, least: int) -> str:
+    return f"""core AS (SELECT a AS id FROM {relation} GROUP BY a HAVING count(*) >= {least}), ce AS (SELECT a, b FROM {relation} WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+  reach(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, ce.b FROM reach r JOIN ce ON ce.a = r.b), rt AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a), cl AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM rt),
+  bd AS (SELECT b AS id, min(cluster) AS cluster FROM {relation} JOIN cl ON cl.id = a GROUP BY b) SELECT heads.id, coalesce(cl.cluster, bd.cluster, -1) AS cluster FROM heads LEFT JOIN cl USING (id) LEFT JOIN bd USING (id)"""
+
+
+@query(f"WITH RECURSIVE {_NEAR}, {_dbscan_sql('nb', 4)}")
+def dbscan(spark, sf_dir):
+    return clusters.clustered(bridge.heads(spark, sf_dir), "DBSCAN", eps=5, min_samples=4).select("id", "cluster")
+
+
+@query(f"WITH RECURSIVE {_CORR}, close AS (SELECT a, b FROM fc WHERE corr > 0.5), {_dbscan_sql('close', 2)}")
+def dbscan_corr(spark, sf_dir):
+    return clusters.clustered(bridge.heads(spark, sf_dir), "DBSCANCorr", _patches(spark, sf_dir), eps_dist=5, eps_corr=0.5, min_samples=2).select("id", "cluster")
+
+
+@query()
+def meanshift(spark, sf_dir):
+    at = bridge.heads(spark, sf_dir).withColumn("granule_id", F.expr("y div 40"))
+    return clusters.clustered(at, "MeanShift", bandwidth=15.0)
+
+
+def _candidates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    c = o.select(F.lit(0).cast("long").alias("granule_id"), F.expr("o_custkey % 40 - 1").alias("cluster"), F.col("o_orderkey").alias("chunk_id"), F.lit(0).alias("slot_id"), F.expr("CAST(round(o_totalprice) AS BIGINT) % 50").alias("n_pixels"), F.expr("(o_orderkey * 31) % 100").alias("x0"), F.expr("(o_orderkey * 17) % 60").alias("y0"))
+    return merging.grouped(c.withColumns({"x1": F.col("x0") + 8, "y1": F.col("y0") + 8}))
+
+
+_CAND = "c AS (SELECT 0::BIGINT AS granule_id, o_custkey % 40 - 1 AS cluster, o_orderkey AS chunk_id, CAST(round(o_totalprice) AS BIGINT) % 50 AS n_pixels, (o_orderkey * 31) % 100 AS x0, (o_orderkey * 17) % 60 AS y0 FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n_pixels DESC, chunk_id) AS place FROM c WHERE cluster <> -1)"
+
+
+@query(f"WITH {_CAND} SELECT cluster, chunk_id, place, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM k WHERE place <= 16")
+def cluster_cap(spark, sf_dir):
+    return merging.capped(_candidates(spark, sf_dir), 16).select("cluster", "chunk_id", "place", "cluster_size")
+
+
+@query(f"WITH {_CAND} SELECT cluster, min(x0) AS x0, min(y0) AS y0, max(x0) + 8 AS x1, max(y0) + 8 AS y1 FROM k GROUP BY cluster")
+def cluster_bbox(spark, sf_dir):
+    return merging.bounds(_candidates(spark, sf_dir), ["cluster"])
+
+
+_HANN = f"CAST(round_even((0.5 - 0.5 * cos(2 * pi() * (gy - h_off) / {TILE - 1})) * (0.5 - 0.5 * cos(2 * pi() * (gx - w_off) / {TILE - 1})) * 1000000, 0) AS BIGINT)"
+_TUKEY = f"CAST(round_even(CASE WHEN gy - h_off IN (0, {TILE - 1}) OR gx - w_off IN (0, {TILE - 1}) THEN 0 ELSE 1 END * 1000000, 0) AS BIGINT)"
+
+
+def _merge_sql(weight: str) -> str:
+    return f"{_TP}, s AS (SELECT *, (h_off // 8) * 100 + w_off // 8 AS grp, CASE WHEN valid THEN {weight} ELSE 0 END AS wt FROM tp), mg AS (SELECT grp, gy, gx, CAST(sum(p * wt) AS BIGINT)::DOUBLE / CAST(10000 + sum(wt) AS BIGINT)::DOUBLE AS p, CAST(sum(o * wt) AS BIGINT)::DOUBLE / CAST(10000 + sum(wt) AS BIGINT)::DOUBLE AS o, count(*) FILTER (WHERE valid) AS n_support FROM s GROUP BY grp, gy, gx)"
+
+
+def _merged(spark, sf_dir, window):
+    px = _tiled(spark, sf_dir).withColumn("grp", F.expr("(h_off div 8) * 100 + w_off div 8"))
+    weight = F.rint(weights.outer(window, F.col("gy") - F.col("h_off"), F.col("gx") - F.col("w_off"), TILE) * 1000000).cast("long")
+    return merging.merged(px, ["grp"], ["p", "o"], weight, 10000)
+
+
+@query(f"{_merge_sql(_HANN)} SELECT * FROM mg")
+def weighted_merge_hann(spark, sf_dir):
+    return _merged(spark, sf_dir, weights.hann)
+
+
+@query(f"{_merge_sql(_TUKEY)} SELECT * FROM mg")
+def weighted_merge_tukey(spark, sf_dir):
+    return _merged(spark, sf_dir, weights.tukey)
+
+
+@query(f"{_merge_sql(_HANN)} SELECT grp, gy, gx FROM mg WHERE p > 400")
+def merge_threshold(spark, sf_dir):
+    return masks.over_threshold(_merged(spark, sf_dir, weights.hann).withColumn("ok", F.lit(True)), "p", 400, "ok").select("grp", "gy", "gx")
+
+
+@query(f"{_merge_sql(_HANN)}, b AS (SELECT grp, min(gx) AS l, min(gy) AS t, max(gx) AS r, max(gy) AS m, min(gx) FILTER (WHERE p > 400) AS a, min(gy) FILTER (WHERE p > 400) AS b, max(gx) FILTER (WHERE p > 400) AS c, max(gy) FILTER (WHERE p > 400) AS d FROM mg GROUP BY grp) SELECT grp, gy AS y, gx AS x FROM mg JOIN b USING (grp) WHERE gx BETWEEN greatest(a - 1, l) AND least(c + 1, r) AND gy BETWEEN greatest(b.b - 1, t) AND least(d + 1, m)")
+def crop_border(spark, sf_dir):
+    px = _yx(_merged(spark, sf_dir, weights.hann)).withColumn("hit", F.col("p") > 400)
+    return components.cropped(px, ["grp"], 1).select("grp", "y", "x")
+
+
+_BANDS = "bands AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {c}::DOUBLE)" for k, c in enumerate(bands.centres())) + ") AS t(band, centre))"
+
+
+@query(f"WITH {_BANDS} SELECT band, centre, centre BETWEEN 2100 AND 2440 AS strong FROM bands WHERE centre BETWEEN 2100 AND 2440 OR NOT centre BETWEEN 1640 AND 1690")
+def band_select_ch4(spark, sf_dir):
+    b = bands.catalogue(spark)
+    strong = bands.strongly_absorbing(F.col("centre"), "methane")
+    return b.filter(bands.outside_gas(F.col("centre"), "methane") | strong).select("band", "centre", strong.alias("strong"))
+
+
+@query(f"WITH {_BANDS} SELECT band, centre, centre BETWEEN 1930 AND 2130 AS strong FROM bands WHERE centre BETWEEN 1930 AND 2130 OR NOT (centre BETWEEN 1400 AND 1470 OR centre BETWEEN 1550 AND 1650 OR centre BETWEEN 1900 AND 2150)")
+def band_select_co2(spark, sf_dir):
+    b = bands.catalogue(spark)
+    strong = bands.strongly_absorbing(F.col("centre"), "co2")
+    return b.filter(bands.outside_gas(F.col("centre"), "co2") | strong).select("band", "centre", strong.alias("strong"))
+
+
+_P99 = f"{SPECTRA_SQL}, lim AS (SELECT plume_id, quantile_cont(enhancement, 0.99) AS q FROM sp WHERE plume GROUP BY plume_id), un AS (SELECT sp.* FROM sp JOIN lim USING (plume_id) WHERE plume AND enhancement <= q)"
+_TARGETS = f"{_P99}, seed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plume_id ORDER BY enhancement DESC, y DESC, x DESC) AS k FROM un) WHERE k <= 30), tg AS (SELECT * FROM un WHERE EXISTS (SELECT 1 FROM seed s WHERE s.plume_id = un.plume_id AND abs(s.y - un.y) <= 1 AND abs(s.x - un.x) <= 1)), bg AS (SELECT * FROM sp WHERE NOT plume AND enhancement <= 30 AND (plume_id, y, x) NOT IN (SELECT plume_id, y, x FROM tg))"
+
+
+def _plume(spark, sf_dir):
+    return spectra(spark, sf_dir).filter("plume")
+
+
+@query(f"WITH {_P99} SELECT plume_id, y, x, enhancement FROM un")
+def p99_filter(spark, sf_dir):
+    return vetting.under_quantile(_plume(spark, sf_dir)).select("plume_id", "y", "x", "enhancement")
+
+
+@query(f"WITH {_TARGETS} SELECT plume_id, y, x FROM tg")
+def top30_dilate(spark, sf_dir):
+    return vetting.targets(vetting.under_quantile(_plume(spark, sf_dir))).select("plume_id", "y", "x")
+
+
+@query(f"WITH {SPECTRA_SQL} SELECT plume_id, round(avg(1 / cos(radians(y * 2)) + 1 / cos(radians(x))), 9) AS path FROM sp GROUP BY plume_id")
+def path_factor(spark, sf_dir):
+    patch = spectra(spark, sf_dir).withColumns({"sun_zenith": F.col("y") * 2, "sensor_zenith": F.col("x")})
+    return vetting.path_factor(patch).select("plume_id", F.round("path", 9).alias("path"))
+
+
+def _matched(spark, sf_dir):
+    sp = spectra(spark, sf_dir)
+    chosen = vetting.targets(vetting.under_quantile(sp.filter("plume")))
+    return chosen, vetting.background_pool(sp.withColumn("background", ~F.col("plume")), chosen, "methane")
+
+
+_COSTS = f"{_TARGETS}, co AS (SELECT t.plume_id, t.y AS ty, t.x AS tx, b.y AS \"by\", b.x AS bx, sqrt(CAST(list_sum(list_transform(list_zip(t.spectrum, b.spectrum), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS DOUBLE)) AS cost, t.spectrum AS ts, b.spectrum AS bs FROM tg t JOIN bg b ON t.plume_id = b.plume_id)"
+
+
+@query(f"WITH {_COSTS} SELECT plume_id, ty, tx, \"by\", bx, cost FROM co")
+def pair_costs(spark, sf_dir):
+    return vetting.pair_costs(*_matched(spark, sf_dir))
+
+
+@query(f"WITH {_COSTS}, r AS (SELECT *, row_number() OVER (PARTITION BY plume_id ORDER BY cost, ty, tx, \"by\", bx) AS k, count(*) OVER (PARTITION BY plume_id) AS n FROM co), b AS (SELECT plume_id, unnest(range(0, len(ts))) AS band, ts, bs FROM r WHERE k <= n // 2) SELECT plume_id, band, avg(ts[band + 1]) / (avg(bs[band + 1]) + 1e-20) AS ratio FROM b GROUP BY plume_id, band")
+def mean_ratio(spark, sf_dir):
+    chosen, pool = _matched(spark, sf_dir)
+    pairs = vetting.best_matches(vetting.pair_costs(chosen, pool))
+    rad = lambda df: df.withColumnRenamed("spectrum", "radiance")
+    return vetting.mean_ratio(pairs, rad(chosen), rad(pool))
+
+
+@query()
+def assign_hungarian(spark, sf_dir):
+    return vetting.assignment(*_matched(spark, sf_dir))
+
+
+@query("WITH s AS (SELECT p_size AS band, (p_partkey % 7 + 1)::DOUBLE AS r, 0.5 + (p_partkey % 11)::DOUBLE / 30 AS t, 0.4 + (p_partkey % 5)::DOUBLE / 30 AS g FROM part) SELECT band, round(sum(r * pow(t, 2.1) * pow(g / (t + 1e-12), 2.1 * 1.5)) / (sum(r * pow(t, 2.1)) + 1e-20), 9) AS ratio FROM s GROUP BY band")
+def ref_transmittance(spark, sf_dir):
+    s = table(spark, sf_dir, "part").select(F.col("p_size").alias("band"), F.expr("CAST(p_partkey % 7 + 1 AS DOUBLE)").alias("response"), (0.5 + F.expr("p_partkey % 11") / 30).alias("standard"), (0.4 + F.expr("p_partkey % 5") / 30).alias("gas"))
+    return vetting.reference_ratio(s, 1.5, 2.1).select("band", F.round("ratio", 9).alias("ratio"))
+
+
+@query("WITH s AS (SELECT vec_id AS plume_id, CAST(round_even(unnest(embedding)::DOUBLE * 1000, 0) AS BIGINT) + 2000 AS e, CAST(round_even(unnest(list_reverse(embedding))::DOUBLE * 1000, 0) AS BIGINT) + 2000 AS g FROM embeddings), m AS (SELECT *, avg(e) OVER (PARTITION BY plume_id) AS m FROM s) SELECT plume_id, round(avg(abs(e - g)) / avg(abs(e - m)), 9) AS d_norm, round(1 - power(corr(e, g), 2), 9) AS d_cor FROM m GROUP BY plume_id")
+def vet_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    both = e.select(F.col("vec_id").alias("plume_id"), F.posexplode(F.arrays_zip("embedding", F.reverse("embedding").alias("r"))).alias("band", "v"))
+    whole = lambda c: (F.rint(F.col(c).cast("double") * 1000) + 2000).alias
+    s = both.select("plume_id", "band", whole("v.embedding")("observed"), whole("v.r")("gas"), F.lit(1.0).alias("baseline"))
+    return vetting.spectral_scores(s).select("plume_id", F.round("d_norm", 9).alias("d_norm"), F.round("d_cor", 9).alias("d_cor"))
+
+
+def _samples() -> list[tuple]:
+    """A mock gas: one dip inside the strong bands."""
+    strong = [(k, c) for k, c in enumerate(bands.centres()) if 2100 <= c <= 2440]
+    return [(k, c, [1.0, 0.5], [0.9, 0.95], [0.9 - 0.1 * (k % 3), 0.95 - 0.2 * (k % 2)]) for k, c in strong]
+
+
+@query()
+def fit_conc(spark, sf_dir):
+    """A planted concentration of o_custkey % 5 / 2 is found again."""
+    samples = _samples()
+    o = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("plume_id"), (F.expr("o_custkey % 5") / 2).alias("conc"))
+    rows = spark.createDataFrame([(s[0], r, t, g) for s in samples for r, t, g in zip(*s[2:], strict=True)], "band int, r double, t double, g double")
+    base = F.col("r") * F.pow("t", F.lit(2.0))
+    more = F.pow(F.col("g") / (F.col("t") + F.lit(1e-12)), 2.0 * F.col("conc"))
+    seen = o.join(F.broadcast(rows)).groupBy("plume_id", "band").agg((F.sum(base * more) / F.sum(base)).alias("ratio")).withColumn("path", F.lit(2.0))
+    return vetting.fits(seen, samples, 100.0).select("plume_id", F.round("fitted_conc", 3).alias("fitted_conc"))
+
+
+@query(f"WITH {RASTER_SQL}, {_HIT}, s AS (SELECT *, unnest(['N', 'E', 'S', 'W']) AS side, unnest([-1, 0, 1, 0]) AS dy, unnest([0, 1, 0, -1]) AS dx FROM hit) SELECT y, x, side FROM s WHERE NOT EXISTS (SELECT 1 FROM hit n WHERE n.y = s.y + s.dy AND n.x = s.x + s.dx)")
+def mask_edges(spark, sf_dir):
+    return geometry.edges(_yx(masks.over_threshold(raster(spark, sf_dir), "p", 400)).select(*K, "y", "x"), K).drop(*K)
+
+
+@query(f"{_CC} SELECT label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM cc GROUP BY label")
+def mask_bounds_area(spark, sf_dir):
+    return geometry.area_and_bounds(_labels(spark, sf_dir), ["label"])
+
+
+@query()
+def mask_wkt(spark, sf_dir):
+    return geometry.mask_wkt(_labels(spark, sf_dir), ["label"], keep_holes=True)
+
+
+@query()
+def utm_corners(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    x, y = 300000 + F.expr("o_orderkey % 4000") * 60.0, 4000000 + F.expr("o_custkey % 9000") * 60.0
+    corners = geo.box_corners(x, y, F.lit(256), F.lit(256), 60.0)
+    out = [c for k, (cx, cy) in enumerate(corners) for c in (F.round(geo.to_latlon(cx, cy, F.lit(31), F.lit(True))[0], 6).alias(f"lat{k}"), F.round(geo.to_latlon(cx, cy, F.lit(31), F.lit(True))[1], 6).alias(f"lon{k}"))]
+    return o.select("o_orderkey", *out)
+
+
+_FMT = "o_orderkey AS chunk_id, 0::BIGINT AS slot_id, [(o_orderkey * 31) % 100, (o_orderkey * 17) % 60, (o_orderkey * 31) % 100 + 8, (o_orderkey * 17) % 60 + 8] AS plume_bbox_px, 'scene' AS ee_asset_id, 'POLYGON EMPTY' AS geometry_px, 'POLYGON EMPTY' AS geometry, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE printf('POINT (%.16f %.16f)', o_orderkey::DOUBLE / 4, o_custkey::DOUBLE / 8) END AS head_point_px, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE printf('POINT (%.16f %.16f)', o_custkey::DOUBLE / 16, o_orderkey::DOUBLE / 2) END AS head_point"
+
+
+def _rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    head = lambda c: F.when(F.col("o_orderkey") % 3 != 0, c)
+    o = o.withColumns({"granule_id": F.lit("scene"), "chunk_id": F.col("o_orderkey"), "slot_id": F.lit(0), "x0": F.expr("(o_orderkey * 31) % 100"), "y0": F.expr("(o_orderkey * 17) % 60"), "geometry": F.lit("POLYGON EMPTY"), "geometry_px": F.lit("POLYGON EMPTY")})
+    o = o.withColumns({"x1": F.col("x0") + 8, "y1": F.col("y0") + 8, "cluster_size": F.col("o_custkey") % 9, "hrrr_u": F.col("o_orderkey") / 2})
+    return o.withColumns({"head_x": head(F.col("o_orderkey") / 4), "head_y": head(F.col("o_custkey") / 8), "head_lon": head(F.col("o_custkey") / 16), "head_lat": head(F.col("o_orderkey") / 2)})
+
+
+@query(f"SELECT chunk_id, slot_id, array_to_string(plume_bbox_px, ',') AS plume_bbox_px, ee_asset_id, geometry_px, geometry, head_point_px, head_point FROM (SELECT {_FMT} FROM orders)")
+def fmt_candidates(spark, sf_dir):
+    return schema.candidates(_rows(spark, sf_dir)).withColumn("plume_bbox_px", F.array_join(F.col("plume_bbox_px").cast("array<string>"), ","))
+
+
+@query(f"SELECT ee_asset_id, head_point_px, head_point, cluster_size, CAST(o_orderkey / 2 AS FLOAT) AS hrrr_u_10m, CAST(NULL AS FLOAT) AS d_norm FROM (SELECT {_FMT}, o_custkey % 9 AS cluster_size, o_orderkey FROM orders)")
+def fmt_predicted(spark, sf_dir):
+    return schema.predicted(_rows(spark, sf_dir)).select("ee_asset_id", "head_point_px", "head_point", "cluster_size", "hrrr_u_10m", "d_norm")
+
+
+@query("SELECT o_orderkey, 'int' AS eps_kind, (o_orderkey % 30)::VARCHAR AS eps, 'float' AS corr_kind, CASE WHEN o_orderkey % 2 = 0 THEN 'bool' ELSE 'none' END AS flag_kind, 'str' AS name_kind FROM orders")
+def parse_params(spark, sf_dir):
+    text = F.concat(F.lit("eps="), F.expr("o_orderkey % 30"), F.lit(":corr=0.5:flag="), F.when(F.col("o_orderkey") % 2 == 0, "True").otherwise("None"), F.lit(":name=x"))
+    p = table(spark, sf_dir, "orders").select("o_orderkey", strings.parse_params(text).alias("p"))
+    return p.select("o_orderkey", F.col("p.eps.kind").alias("eps_kind"), F.col("p.eps.value").alias("eps"), F.col("p.corr.kind").alias("corr_kind"), F.col("p.flag.kind").alias("flag_kind"), F.col("p.name.kind").alias("name_kind"))
+
+
+@query("SELECT event_id, printf('%02d:%02d', CAST(floor(value * 20 / 60) AS BIGINT), CAST(floor(value * 20) AS BIGINT) % 60) AS mmss FROM events")
+def to_mmss(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", strings.to_mmss(F.col("value") * 20).alias("mmss"))
+
+
+@query("SELECT o_orderkey, upper(substr(sha256('scene:' || o_orderkey), 1, 6)) AS color FROM orders")
+def plume_color(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.plume_color(F.lit("scene"), F.col("o_orderkey").cast("string")).alias("color"))
+
+
+@query("SELECT o_orderkey, 'EMIT_L1B_RAD_' || o_orderkey AS granule, '/d/EMIT_L1B_OBS_' || o_orderkey || '.nc' AS obs FROM orders")
+def granule_names(spark, sf_dir):
+    path = F.concat(F.lit("/d/EMIT_L1B_RAD_"), "o_orderkey", F.lit(".nc"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.granule_of(path).alias("granule"), strings.obs_path(path).alias("obs"))
+
+
+#: Small tiles, and clusters by distance, for scenes of this size.
+SMALL = Settings(tile_size=TILE, stride=STRIDE, plume_threshold=0.4, origin_threshold=0.5, min_slot_pixels=3, clustering="DBSCAN", clustering_kw={"eps": 1.5, "min_samples": 1}, cc_min_size=2, simplify=0.0, vetting_patch=16)
+
+
+def scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """slots, pixels and granules of a small scene, with a mock model's output."""
+    px = raster(spark, sf_dir).filter("gy < 60")
+    px = px.withColumn("h", F.least("h", F.lit(60)))
+    granules = px.select("granule_id", "h", "w").distinct().withColumns({"x0": F.lit(300000.0), "y0": F.lit(4000000.0), "zone": F.lit("31N")})
+    radiance = F.transform(F.sequence(F.lit(0), F.lit(bands.N_BANDS - 1)), lambda k: F.lit(1.0) + ((F.col("v") + k * 7) % 97) / 100)
+    pixels = px.select("granule_id", "gy", "gx", "valid", radiance.alias("radiance"), F.lit(30.0).alias("sun_zenith"), F.lit(5.0).alias("sensor_zenith"))
+    tiled = tiling.tiled_pixels(px, TILE, STRIDE)
+    slots = tiled.select("granule_id", "h_off", "w_off", F.lit(0).alias("slot_id"), (F.col("gy") - F.col("h_off")).alias("y"), (F.col("gx") - F.col("w_off")).alias("x"), (F.col("v") % 1000 / 10).alias("conc"), (F.col("p") / 1000).alias("p_plume"), (F.col("o") / 1000).alias("p_origin"))
+    return slots, pixels, granules
+
+
+@query()
+def extract_candidates(spark, sf_dir):
+    slots, pixels, granules = scene(spark, sf_dir)
+    return schema.candidates(pipeline.extract_candidates(pipeline.with_place(slots, pixels), granules, SMALL))
+
+
+@query()
+def dedupe_plumes(spark, sf_dir):
+    slots, pixels, granules = scene(spark, sf_dir)
+    placed = written(pipeline.with_place(slots, pixels), "placed")
+    grouped = written(pipeline.cluster_plumes(pipeline.extract_candidates(placed, granules, SMALL), placed, SMALL), "clustered")
+    return pipeline.dedupe(grouped, placed, granules, pixels, SMALL).plumes
+
+
+@query()
+def pipeline_e2e(spark, sf_dir):
+    slots, pixels, granules = scene(spark, sf_dir)
+    outside = [k for k, c in enumerate(bands.centres()) if not (1640 <= c <= 1690 or 2100 <= c <= 2440)]
+    return schema.predicted(pipeline.run(slots, pixels, granules, SMALL, _samples(), outside, 100.0)[1])
