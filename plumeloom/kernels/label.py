@@ -8,6 +8,8 @@ import numpy as np
 def labelled(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Labels from 1 in raster order. Runs of neighbouring rows are merged as they are met, so
     the work grows with the runs, not with the box around the pixels."""
+    if not len(y):
+        return np.empty(0, np.int64)
     order = np.lexsort((x, y))
     ys, xs = y[order], x[order]
     opens = np.ones(len(ys), bool)

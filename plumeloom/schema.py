@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from plumeloom.functions.strings import point_wkt
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "float": T.FloatType(), "array<long>": T.ArrayType(T.LongType()), "array<float>": T.ArrayType(T.FloatType()), "array<boolean>": T.ArrayType(T.BooleanType())}
+
+
+def _fields(text: str) -> T.StructType:
+    """A schema from "name kind, ...", without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in text.split(", "))])
+
+
 _GEOMETRY = ("ee_asset_id", "geometry_px", "geometry", "head_point_px", "head_point")
-CANDIDATE = T._parse_datatype_string("chunk_id long, slot_id long, plume_bbox_px array<long>, " + ", ".join(f"{c} string" for c in _GEOMETRY))
-CANDIDATE_RASTERS = T._parse_datatype_string("concentration array<float>, binary_mask array<boolean>, origin_mask array<boolean>, mask array<boolean>")
-PREDICTED = T._parse_datatype_string(
+CANDIDATE = _fields("chunk_id long, slot_id long, plume_bbox_px array<long>, " + ", ".join(f"{c} string" for c in _GEOMETRY))
+CANDIDATE_RASTERS = _fields("concentration array<float>, binary_mask array<boolean>, origin_mask array<boolean>, mask array<boolean>")
+PREDICTED = _fields(
     ", ".join(f"{c} string" for c in _GEOMETRY)
     + ", ime_emission_rate float, cluster_size long, d_norm float, d_cor float, fitted_conc float"
     + ", baseline_transmittance array<float>, observed_transmittance_sel array<float>, modeled_transmittance array<float>, wavelengths_sel array<float>"
