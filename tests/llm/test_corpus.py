@@ -1,0 +1,426 @@
+import collections
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from plumeloom.llm import chat, entry, html_main, license_scan, merkle, mixing, neardup, packing, passages, pii, rules
+
+SF = "/root/testdata/sf0.001"
+HARD = [
+    None, "", " \n\t ", "one", "a b c d", "a b c d e", "A B C D E", "x " * 3000, "y" * 200_000, "7" * 50_000, ".a" * 500 + "x@" + ".a" * 20_000,
+    "a@b.com_x@y.de +1 (415) 555-0100 1.2.3.4.5.6.7.8 é😀 10.0.0.256 4111 1111 1111 1111", "+49 30 1234567-89.. x@y x@y.z.w. 4111-1111-1111-1111-",
+    "a@b.c" * 70 + " 1.1.1.1 " * 200, "DE89 3704 0044 0532 0130 00 iban, my ssn 123-45-6789", "000.001.0255.9 1.2.3.04", "dup line here\n" * 40, "a b c d", "the end.\nthe end.\n\nthe end.",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The smallest documents, the hard cases, repeated rows, a null id, and clashing extra columns."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(10_000 + k, t, "en", "src1" if k % 3 else None, 0) for k, t in enumerate(HARD)] + [(20_000, "a repeated row of some words", "en", "src2", 0)] * 2
+    return table.unionByName(spark.createDataFrame(rows, table.schema)).withColumns({"n_words": F.lit(-1), "root": F.lit("x"), "key": F.lit(0)}).cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_rules(docs, texts, empty):
+    ledger = rules.ledger(docs).cache()
+    got = by_id(rules.judged(ledger))
+    for i, t in texts.items():
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.measures(t), i
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (r.fail_bits == 0)
+    for r in rules.ablations(ledger).collect():
+        bit = rules.BITS[r["rule"]]
+        assert r.n_failed == sum(bool(g.fail_bits & bit) for g in got.values()) + (20_000 in got and bool(got[20_000].fail_bits & bit))
+        assert r.n_only == sum(g.fail_bits == bit for g in got.values()) + (got[20_000].fail_bits == bit)
+    assert rules.judged(rules.ledger(empty)).count() == 0
+    assert by_id(rules.judged(ledger, "base-1"))[0].kept is not None
+
+
+def test_pii(docs, texts, empty):
+    got = by_id(pii.found(docs))
+    for i, t in texts.items():
+        assert [(s.start, s["rank"], s.end, s.kind) for s in got[i].pii_spans if s["rank"] < 4] == brute.spans(t), i
+    extra = {s.kind for s in got[10_014].pii_spans}
+    assert extra == {"iban", "ssn"}
+    clean = by_id(pii.redacted(docs))
+    for i, t in texts.items():
+        assert not brute.spans(clean[i].text)
+        assert got[i].pii_spans or clean[i].text == t
+    assert pii.found(empty).count() == 0 and pii.redacted(empty).count() == 0
+
+
+def test_ssn_needs_context(spark):
+    df = spark.createDataFrame([(1, "ref 123-45-6789"), (2, "social security 123-45-6789"), (3, "GB82 WEST 1234 5698 7654 33")], "doc_id long, text string")
+    assert {i: len(r.pii_spans) for i, r in by_id(pii.found(df)).items()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_mixing(docs, texts, empty):
+    rows = docs.select("doc_id", "source").distinct().collect()
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(brute.words(r.text))
+    want = brute.targets(dict(sizes))
+    got = by_id(mixing.decided(docs))
+    assert got == by_id(mixing.decided(docs))
+    taken = collections.Counter()
+    largest = collections.Counter()
+    for r in rows:
+        g = got[r.doc_id]
+        assert g["size"] == len(brute.words(texts[r.doc_id])) and g.source_size == sizes[r.source]
+        assert abs(g.target - want[r.source]) < 1e-6 * max(1, want[r.source]) and g.taken <= 2 * g["size"]
+        taken[r.source] += g.taken * (2 if r.doc_id == 20_000 else 1)
+        largest[r.source] = max(largest[r.source], g["size"])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= largest[s], s
+    emitted = collections.Counter(r.doc_id for r in mixing.mixed(docs).select("doc_id").collect())
+    for i, g in got.items():
+        assert emitted.get(i, 0) * g["size"] == g.taken * (2 if i == 20_000 else 1)
+    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.decided(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_mixing_of_a_hot_source_is_near_its_target(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id * 7919 % 97 AS INT)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source")
+    r = mixing.decided(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w")).collect()
+    assert all(abs(x.t - x.w) <= 97 for x in r)
+
+
+def test_packing(docs, texts, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.packed(docs).collect()
+    pieces, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    for i, t in texts.items():
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        own = sorted(pieces[i], key=lambda r: r.piece)[:: 2 if i == 20_000 else 1]
+        assert [r.piece for r in own] == list(range(len(own)))
+        assert all(r.length == 2048 for r in own[1:]) and (len(own) == 1) == (len(ids) <= 2048)
+        assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+        assert sum(r.length for r in own) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+    for row in bins.values():
+        at = 0
+        for offset, length in sorted(row):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r.length for r in rows)
+    assert len(bins) <= -(-total // 2048) * 1.05 + 1
+    assert packing.packed(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plans_place_every_piece_once(seed):
+    rnd = random.Random(seed)
+    capacity = rnd.choice([10, 64, 2048])
+    counts = collections.Counter(rnd.randint(1, capacity) for _ in range(rnd.randint(0, 400)))
+    plan = packing.planned(dict(counts), capacity)
+    bins, seen = collections.defaultdict(list), collections.Counter()
+    for size, first, n, sequence, each, offset in plan.ranges:
+        assert first == seen[size]
+        seen[size] += n
+        for k in range(n):
+            bins[sequence + k // each].append((offset + k % each * size, size))
+    assert seen == counts and len(bins) == plan.sequences
+    for row in bins.values():
+        at = 0
+        for offset, size in sorted(row):
+            assert offset == at
+            at += size
+        assert at <= capacity
+
+
+def test_reduction_is_optimal_on_small_cases():
+    def best(items, capacity):
+        bins = [len(items)]
+
+        def go(k, rooms):
+            if len(rooms) >= bins[0]:
+                return
+            if k == len(items):
+                bins[0] = len(rooms)
+                return
+            for j, room in enumerate(rooms):
+                if room >= items[k]:
+                    go(k + 1, [*rooms[:j], room - items[k], *rooms[j + 1 :]])
+            go(k + 1, [*rooms, capacity - items[k]])
+
+        go(0, [])
+        return bins[0]
+
+    rnd = random.Random(4)
+    for _ in range(60):
+        items = sorted((rnd.randint(1, 20) for _ in range(8)), reverse=True)
+        plan = packing.Plan(dict(collections.Counter(items)), 20)
+        plan.reduce()
+        left = [s for s, n in plan.left.items() for _ in range(n)]
+        assert plan.sequences + best(left, 20) == best(items, 20)
+
+
+def test_the_two_tokenizers_agree_on_every_code_point():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4000):
+        tries = [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)}2  {chr(c)}x" for c in points[k : k + 4000]]
+        for text, ids in zip(tries, slow.encode_batch(tries, add_special_tokens=False), strict=True):
+            assert ids.ids == fast(text).tolist(), text
+    for text in ("a<|endoftext|>b", "  \r\n\t x  ", "it's we'll"):
+        assert slow.encode(text, add_special_tokens=False).ids == fast(text).tolist()
+
+
+def test_near_duplicates(docs, texts, empty):
+    rows = neardup.near_duplicates(docs).collect()
+    assert len(rows) == docs.count()
+    sets = {i: brute.shingles(t) for i, t in texts.items()}
+    want = brute.components(sets)
+    for r in rows:
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id), r.doc_id
+    kept = {r.doc_id for r in neardup.deduplicated(docs).collect()}
+    assert kept == {i for i in want if want[i] == i}
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def families(rnd, many, common):
+    """Families of edited copies, and unrelated texts around one common passage."""
+    passage = " ".join(f"p{k}" for k in range(common))
+    out = []
+    for f in range(6):
+        base = [f"w{f}_{rnd.randrange(10**6)}" for _ in range(60)]
+        for _ in range(many):
+            copy = list(base)
+            for _ in range(rnd.randrange(4)):
+                copy[rnd.randrange(60)] = f"e{rnd.randrange(10**6)}"
+            out.append(" ".join(copy))
+    out += [" ".join(f"u{rnd.randrange(10**6)}" for _ in range(rnd.randrange(20, 60))) + " " + passage for _ in range(many * 2)]
+    return out
+
+
+@pytest.mark.parametrize("direct", [16, 0])
+def test_every_link_counts(spark, monkeypatch, direct):
+    """Both ways of step 5 give exactly the brute force's components."""
+    monkeypatch.setattr(neardup, "DIRECT_PAIRS", direct)
+    rnd = random.Random(direct)
+    rows = dict(enumerate(families(rnd, 25, 40)))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert got == brute.components({i: brute.shingles(t) for i, t in rows.items()})
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f g"), (5, "a b c d e f g"), (None, "q r s t u v"), (7, None)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert got[:2] == [(False, 5, 3, 5, True), (False, 7, 0, 7, True)]
+    assert sorted((r[2], r[3]) for r in got[2:]) == [(2, None), (3, 5)]
+
+
+def test_passages(spark, docs, empty):
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    planted = [word() for _ in range(60)]
+    edited = list(planted)
+    edited[30] = "other"
+    rows = [(k, "\n".join([" ".join(word() for _ in range(40)), " ".join(planted if k % 2 else edited) if k < 10 else "short line", " ".join(word() for _ in range(30))])) for k in range(30)]
+    df = spark.createDataFrame([*rows, (None, " ".join(planted)), (99, None)], "doc_id long, text string")
+    got = passages.repeated(df).collect()
+    assert {r.doc_id for r in got} == {*range(10), None}
+    assert all(r.n_copies == 11 and r.kept_doc_id == 0 and r.removed == (r.doc_id != 0) for r in got)
+    text = dict(rows)
+    assert all(text[r.doc_id][r.start : r.start + r.length] == text[r.doc_id].split("\n")[r.para] for r in got if r.doc_id is not None)
+    clean = by_id(passages.removed(df))
+    assert clean[1].text.count("\n") == 1 and clean[20].text == text[20] and clean[99].text is None
+    assert passages.repeated(empty).count() == 0
+    assert 0.25 ** passages.tuned().collections <= passages.TOLERATED
+    sets = {}
+    for r in docs.select("doc_id", "text").distinct().collect():
+        for k, line in enumerate((r.text or "").split("\n")):
+            if len(brute.words(line)) >= passages.MIN_WORDS:
+                sets[r.doc_id, k] = brute.shingles(line)
+    roots = brute.components(sets)
+    size = collections.Counter(roots.values())
+    found = {(r.doc_id, r.para): (r.kept_doc_id, r.kept_para) for r in passages.repeated(docs.select("doc_id", "text").distinct()).collect()}
+    assert found == {i: root for i, root in roots.items() if size[root] > 1}
+
+
+def test_merkle(spark, docs, texts, empty):
+    got = by_id(merkle.edited(docs.filter("doc_id <> 20000")))
+    ids = sorted(i for i in texts if i != 20_000)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    root = {}
+    for i in ids:
+        t, n = texts[i] or "", texts[after[i]] or ""
+        half = len(t) // 2
+        assert brute.sha(got[i].edited_text) == brute.sha(t[: len(t) - half] + n[:half]), i
+        root.setdefault(got[i].tree.root, set()).add(t)
+    assert all(len(same) == 1 for same in root.values()) and len(root) == len({texts[i] or "" for i in ids})
+    assert merkle.edited(empty).count() == 0
+    one = merkle.edited(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
+    assert one.edited_text == "abcabc"
+    odd = merkle.edited(spark.createDataFrame([(None, "abcd"), (3, "x y"), (3, "x y"), (9**15, "longer text")], "doc_id long, text string"))
+    assert sorted(r.edited_text for r in odd.collect()) == sorted(["abx ", "x x", "x l", "longerabcd"])
+
+
+def test_merkle_likeness_and_differences(spark):
+    lines = [f"this is line {k}, about {k * 7} things of some note." for k in range(40)]
+    other = list(lines)
+    other[17] = "something else stands here."
+    df = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
+    df = merkle.with_tree(merkle.with_tree(df, "a", "ta"), "b", "tb")
+    a, b = F.col("ta"), F.col("tb")
+    r = df.select(merkle.likeness(a, b).alias("near"), merkle.likeness(a, a).alias("same"), merkle.differing(a, b).alias("d"), merkle.differing(a, a).alias("none")).first()
+    assert 0.8 < r.near < 1 and r.same == 1.0 and r.d.paragraphs == [17] and len(r.d.sections) <= 2 and r.none is None  # the paragraph may itself have ended a section
+
+
+def conversations(spark):
+    t = spark.read.parquet(f"{SF}/conversations.parquet")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    rows = [(-1, 0, "user", hard), (-1, 1, "assistant", hard), (-2, None, None, None), (-2, 3, "assistant", "&lt; &amp;#10; <"), (-2, 3, "we\nird<|", "x<|y|>"), (None, 1, "assistant", "é😀")]
+    rows += [(-3, k, "user" if k % 2 else "assistant", f"wörd{k} " * (k % 17 * 10)) if k else (-3, 0, "system", "be brief") for k in range(300)]
+    rows += [(-4, 0, "assistant", "same" * 100)] * 40
+    return t.unionByName(spark.createDataFrame(rows, t.schema))
+
+
+def test_chat_round_trip(spark):
+    turns = conversations(spark)
+    got = {r.conv_id: r for r in chat.readback(chat.windowed(turns)).collect()}
+    by = collections.defaultdict(list)
+    for r in turns.collect():
+        by[r.conv_id].append(r)
+    assert got.keys() == by.keys()
+    for c, rows in by.items():
+        rows.sort(key=lambda r: (r.turn is not None, r.turn or 0, r.role or "", r.text or ""))
+        everything = "".join(f"{r.role or ''}\n{r.text or ''}\n" for r in rows)
+        loss = "".join(r.text or "" for r in rows if r.role == "assistant")
+        g = got[c]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(rows), brute.sha(everything), len(loss), brute.sha(loss)), c
+    assert chat.readback(chat.windowed(turns.limit(0))).count() == 0
+
+
+def test_chat_windows(spark):
+    rows = chat.formatted(conversations(spark)).filter("conv_id = -3").orderBy("block", "number").collect()
+    assert len(rows) > 10
+    for k, r in enumerate(rows):
+        assert r.text.startswith("<|im_start|>system\nbe brief<|im_end|>\n")
+        cost = sum(-(-len(p.split("\n", 1)[1].encode()) // 4) + chat.OVERHEAD for p in r.text.split("<|im_end|>\n")[:-1])
+        assert cost <= chat.BUDGET, k
+        if k:
+            repeated = r.text[len("<|im_start|>system\nbe brief<|im_end|>\n") : r.fresh_at]
+            assert rows[k - 1].text.endswith(repeated)
+        assert all(s.start >= r.fresh_at for s in r.loss)
+    whole = chat.formatted(conversations(spark)).agg(F.sum(F.length("text"))).first()[0]
+    assert whole == chat.readback(chat.windowed(conversations(spark))).agg(F.sum("formatted_chars")).first()[0]
+
+
+def test_html(spark):
+    model = html_main.trained()
+    good = pages = nodes = 0
+    for seed in range(5000, 5150):
+        source, labels = html_main.labelled_page(seed)
+        page = html_main.parsed(source)
+        assert len(page.tags) == len(labels)
+        prob = model.marginals(page)[0]
+        right = [(p > 0.5) == bool(y) for p, y, c in zip(prob, labels, page.chars, strict=True) if c]
+        good, nodes, pages = good + sum(right), nodes + len(right), pages + 1
+    assert good / nodes > 0.97
+    page = '<body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now!</div><article><h1>A &amp; B</h1><p><b>First  block<br>goes on.<p>Second\nblock.</article><div class="comments"><p>Nice one.</p></div><footer>&copy; x</footer></body>'
+    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (1, "u", page), (None, "v", "<div>" * 3000)], "page_id long, url string, html string")
+    rows = html_main.extracted(df.withColumn("text", F.lit(0))).collect()
+    assert sorted(r.n_chars for r in rows)[:3] == [0, 0, 0]
+    assert [r.text for r in rows if r.page_id == 1] == ["A & B\n\nFirst block goes on.\n\nSecond block."] * 2
+    assert html_main.extracted(df.limit(0)).count() == 0
+
+
+def test_message_passing_is_exact():
+    """Marginals equal sums over all labellings of a small tree."""
+    import itertools
+    import math
+
+    model = html_main.trained()
+    page = html_main.parsed("<body><div class=post><p>Some words here.</p><p>More.</p></div><footer>End</footer></body>")
+    prob = model.marginals(page)[0]
+    n, total, on = len(page.tags), 0.0, [0.0] * len(page.tags)
+    for y in itertools.product((0, 1), repeat=n):
+        s = sum(model.unary.get(f, 0.0) for i in range(n) if y[i] for f in html_main.features(page, i))
+        s += sum(model.pair.get((html_main.kind_of(page.tags[i]), y[page.parents[i]], y[i]), 0.0) for i in range(1, n))
+        w = math.exp(s)
+        total += w
+        for i in range(n):
+            on[i] += w * y[i]
+    assert all(abs(p - o / total) < 1e-9 for p, o in zip(prob, on, strict=True))
+
+
+def test_licenses(spark, docs, empty):
+    rows = [
+        (1, "/a/LICENSE", "This project is\nLicensed under the Apache License, Version 2.0.\nand more words that say nothing of it at all in this long file"),
+        (2, "/a/b/c/x", "plain words of a file"), (3, "/a/b/y", "Some text of quite a few more words.\nReleased under the MIT License."), (4, "/z/y", "nothing"), (5, "/a/b/COPYING", "text\n" * 30 + "This work is licensed under the GNU General Public License, version 3."),
+        (6, "/a/b/c/d/e", None), (7, None, ""), (8, "/q", "All rights reserved."), (8, "/q", "All rights reserved."), (9, "/w/v", "the license of the sea is a long tale and none of us has it"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = collections.defaultdict(list)
+    for r in license_scan.scan(df, F.col("path")).collect():
+        got[r.doc_id].append((r.license, r.found, r.license_dir))
+    assert got[1] == [("Apache-2.0", "file", None)] and got[2] == [("GPL-3.0", "inherited", "/a/b")] and got[6] == got[2]
+    assert got[3][0][:2] == ("MIT", "own") and got[4] == [("All-Rights-Reserved", "inherited", "")]
+    assert got[8] == [("All-Rights-Reserved", "file", None)] * 2 and got[9] == [("All-Rights-Reserved", "inherited", "")]
+    assert license_scan.scan(empty, license_scan.path_of()).count() == 0
+    assert license_scan.scan(docs, license_scan.path_of()).count() == docs.count()
+
+
+def test_queries_equal_their_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in entry.oracle_sql().items():
+        got = entry.queries()[name](spark, SF)
+        names = sorted(got.columns)
+        key = lambda row: [(v is None, str(v)) for v in row]
+        assert sorted(map(tuple, got.select(*names).collect()), key=key) == sorted(con.sql(sql).select(*names).fetchall(), key=key), name
+
+
+def test_pipeline(spark):
+    """run() against the plain versions, stage by stage."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "personal_data", "source_mix", "best_fit_packing"]
+    verdict = by_id(rules.judged(rules.ledger(table)))
+    kept = {r.doc_id: r for r in table.collect() if verdict[r.doc_id].kept}
+    roots = brute.components({i: brute.shingles(r.text) for i, r in kept.items()})
+    kept = {i: r for i, r in kept.items() if roots[i] == i}
+    clean = by_id(pii.redacted(table.filter(F.col("doc_id").isin(list(kept)))))
+    assert all(not brute.spans(r.text) for r in clean.values())
+    mixed = by_id(mixing.decided(spark.createDataFrame(list(clean.values()), table.schema)))
+    copies = {i: g.taken // g["size"] for i, g in mixed.items()}
+    packed = corpus_pipeline.run(spark, SF).collect()
+    first = collections.Counter(r.doc_id for r in packed if r.piece == 0)
+    assert first == collections.Counter({i: n for i, n in copies.items() if n})
+    encode = packing.encoder()
+    for i, n in first.items():
+        assert sum(r.length for r in packed if r.doc_id == i) == n * (len(encode(clean[i].text)) + 1)
