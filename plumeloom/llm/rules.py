@@ -37,7 +37,7 @@ RULES = (
     Rule("short", "n_words < 50"),
     Rule("repetitive", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     Rule("exclaiming", "2 * n_exclaims > n_words"),
 )
