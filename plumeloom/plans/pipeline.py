@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeloom.config import Settings
@@ -80,11 +80,9 @@ def extract_candidates(placed: DataFrame, granules: DataFrame, s: Settings) -> D
 
 
 def cluster_plumes(candidates: DataFrame, placed: DataFrame, s: Settings) -> DataFrame:
-    """Candidates with cluster; ids are numbered over all scenes."""
-    by_place = Window.partitionBy("granule_id").orderBy("chunk_id", "slot_id")
-    width = F.lit(1 << 32)
-    ids = candidates.withColumn("id", F.pmod(F.xxhash64("granule_id"), F.lit(1 << 30)) * width + F.row_number().over(by_place))
-    ids = written(ids, "candidates")
+    """Candidates with cluster and id; ids differ over all scenes and rise with tile and slot."""
+    ordered = candidates.repartition("granule_id").sortWithinPartitions("granule_id", "chunk_id", "slot_id")
+    ids = written(ordered.withColumn("id", F.monotonically_increasing_id()), "candidates")
     points = ids.select("granule_id", "id", F.col("head_x").alias("x"), F.col("head_y").alias("y"))
     kw = dict(s.clustering_kw)
     patch = kw.pop("patch_size", None)
