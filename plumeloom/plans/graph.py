@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeloom.plans.storage import written
+from plumeloom.plans.storage import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,4 +30,5 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         other = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(least.withColumnRenamed("m", "v").unionByName(other).distinct(), "small-star")
+        before, edges = edges, written(least.withColumnRenamed("m", "v").unionByName(other).distinct(), "small-star")
+        dropped(before, large)
