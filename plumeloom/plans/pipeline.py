@@ -16,6 +16,7 @@ from plumeloom.config import Settings
 from plumeloom.functions import geo, weights
 from plumeloom.functions.strings import plume_color
 from plumeloom.operators import clusters, components, geometry, masks, merging, mosaic, tiling, vetting
+from plumeloom.plans.metrics import Counters
 from plumeloom.plans.storage import written
 
 
@@ -155,21 +156,24 @@ def enhancement(placed: DataFrame, s: Settings) -> DataFrame:
     return mosaic.mosaic(placed, "conc", weights.l2_border(F.col("gy") - F.col("h_off"), F.col("gx") - F.col("w_off"), s.tile_size))
 
 
-def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, samples: list[tuple] | None = None, match_bands: list[int] | None = None, added_ppm_m: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, samples: list[tuple] | None = None, match_bands: list[int] | None = None, added_ppm_m: float = 1.0, counters: Counters | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """candidates, plumes (with vetting scores where samples are given) and the enhancement image.
 
-    Scores never filter plumes.
+    Scores never filter plumes. counters: told of candidates, and of plumes after merging.
     """
     placed = written(with_place(slots, pixels), "placed")
     found = extract_candidates(placed, granules, s)
+    found = counters.on(found, "candidates") if counters else found
     grouped = written(cluster_plumes(found, placed, s), "clustered")
     plumes = dedupe(grouped, placed, granules, pixels, s)
     image = enhancement(placed, s)
-    out = plumes.plumes
+    out = counters.on(plumes.plumes, "plumes") if counters else plumes.plumes
     if samples:
         hits = masks.over_threshold(placed, "p_plume", s.plume_threshold).join(grouped.select(*SLOT), SLOT, "left_semi")
         patch = vetting_patches(plumes, hits.select("granule_id", "gy", "gx").distinct(), image, pixels, s)
         scores = vetting.vetted(patch, samples, added_ppm_m, s.gas, match_bands or [])
+        arrays = [f.name for f in scores.schema.fields if f.dataType.typeName() == "array"]
+        scores = scores.withColumns({c: masks.whole_or_null(F.col(c)) for c in arrays})
         out = out.withColumn("plume_id", F.concat_ws(":", *GROUP)).join(scores, "plume_id", "left").drop("plume_id")
     return grouped, out, image
 
