@@ -324,7 +324,7 @@ def merge_threshold(spark, sf_dir):
     return masks.over_threshold(_merged(spark, sf_dir, weights.hann).withColumn("ok", F.lit(True)), "p", 400, "ok").select("grp", "gy", "gx")
 
 
-@query(f"{_merge_sql(_HANN)}, b AS (SELECT grp, min(gx) AS l, min(gy) AS t, max(gx) AS r, max(gy) AS m, min(gx) FILTER (WHERE p > 400) AS a, min(gy) FILTER (WHERE p > 400) AS b, max(gx) FILTER (WHERE p > 400) AS c, max(gy) FILTER (WHERE p > 400) AS d FROM mg GROUP BY grp) SELECT grp, gy AS y, gx AS x FROM mg JOIN b USING (grp) WHERE gx BETWEEN greatest(a - 1, l) AND least(c + 1, r) AND gy BETWEEN greatest(b.b - 1, t) AND least(d + 1, m)")
+@query(f"{_merge_sql(_HANN)}, b AS (SELECT grp, min(gx) AS l, min(gy) AS t, max(gx) AS r, max(gy) AS m, min(gx) FILTER (WHERE p > 400) AS a, min(gy) FILTER (WHERE p > 400) AS b, max(gx) FILTER (WHERE p > 400) AS c, max(gy) FILTER (WHERE p > 400) AS d FROM mg GROUP BY grp) SELECT grp, gy AS y, gx AS x FROM mg JOIN b USING (grp) WHERE a IS NOT NULL AND gx BETWEEN greatest(a - 1, l) AND least(c + 1, r) AND gy BETWEEN greatest(b.b - 1, t) AND least(d + 1, m)")
 def crop_border(spark, sf_dir):
     px = _yx(_merged(spark, sf_dir, weights.hann)).withColumn("hit", F.col("p") > 400)
     return components.cropped(px, ["grp"], 1).select("grp", "y", "x")
