@@ -28,6 +28,7 @@ members' are null. Empty tables give empty results. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeloom.plans.graph import components
-from plumeloom.plans.storage import written
+from plumeloom.plans.storage import dropped, written
 
 SHINGLE = 5
 #: A similarity of PART / WHOLE links.
@@ -109,48 +110,77 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
+_DIGEST = _constants(2, "digest")
+
+
 def digest_of(s: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(s.tobytes())
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    return signed(d >> 64), signed(d & _MASK)
+    """128 bits of a set: two sums of its shingles, each mixed in its own way."""
+    return tuple(int(_mix(s ^ salt).sum(dtype=np.uint64).view(np.int64)) for salt in _DIGEST)
 
 
 class Sketcher:
+    """Set sizes, digests and collections of many texts at once."""
+
     def __init__(self, banding: Banding) -> None:
         n = banding.collections * banding.hashes
         self.shape = (banding.collections, banding.hashes)
         self.times, self.plus = _constants(n, "times"), _constants(n, "plus")
         self.fold, self.salt = _constants(banding.hashes, "fold"), _constants(banding.collections, "salt")
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        """One 64-bit word for each collection."""
-        least = np.full(len(self.times), _MASK, np.uint64)
-        for at in range(0, len(s), 8192):
-            part = s[at : at + 8192, None] * self.times + self.plus
-            least = np.minimum(least, part.min(axis=0))
-        return _mix((_mix(least).reshape(self.shape) * self.fold).sum(axis=1, dtype=np.uint64) + self.salt).view(np.int64)
-
-
-def _sketches(batches: Iterator[pa.RecordBatch], banding: Banding) -> Iterator[pa.RecordBatch]:
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """n, two digest words and (texts, collections) words of each text; 0 for empty sets."""
+        words = [words_of(t or "") for t in texts]
+        counts = np.array([len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), counts)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(words)), np.uint64, int(counts.sum()))
+        long_enough = max(0, len(h) - SHINGLE + 1)
+        shingles = sum((h[k : k + long_enough] * _PLACE[k] for k in range(SHINGLE)), np.zeros(long_enough, np.uint64))
+        inside = owner[:long_enough] == owner[SHINGLE - 1 :] if long_enough else np.zeros(0, bool)
+        shingles, owner = _mix(shingles[inside]), owner[:long_enough][inside]
+        few = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+        shingles = np.concatenate([shingles, *[shingle_set(texts[k]) for k in few]])
+        owner = np.concatenate([owner, few])
+        order = np.lexsort((shingles, owner))
+        shingles, owner = shingles[order], owner[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (shingles[1:] != shingles[:-1])
+        shingles, owner = shingles[new], owner[new]
+        n, digest, cols = np.bincount(owner, minlength=len(texts)), np.zeros((2, len(texts)), np.uint64), np.zeros((len(texts), self.shape[0]), np.uint64)
+        if len(owner):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            at = owner[first]
+            for k, salt in enumerate(_DIGEST):
+                digest[k, at] = np.add.reduceat(_mix(shingles ^ salt), first)
+            least = np.stack([np.minimum.reduceat(shingles * t + p, first) for t, p in zip(self.times, self.plus, strict=True)], 1)
+            cols[at] = _mix((_mix(least).reshape(-1, *self.shape) * self.fold).sum(axis=2, dtype=np.uint64) + self.salt)
+        return n.astype(np.int64), digest[0].view(np.int64), digest[1].view(np.int64), cols.view(np.int64)
+
+
+#: Characters of text that are sketched at once, in whole texts.
+CHARS_AT_ONCE = 2_000_000
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], banding: Banding, carried: int) -> Iterator[pa.RecordBatch]:
     sketch = Sketcher(banding)
     for batch in batches:
-        sizes, high, low, cols = [], [], [], []
-        for text in batch.column(batch.num_columns - 1):
-            s = shingle_set(text.as_py())
-            d = digest_of(s)
-            sizes.append(len(s))
-            high.append(d[0])
-            low.append(d[1])
-            cols.append(sketch(s) if len(s) else None)
-        keys = [batch.column(i) for i in range(batch.num_columns - 1)]
-        names = [*batch.schema.names[:-1], "n", "da", "db", "cols"]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(cols, pa.list_(pa.int64()))], names=names)
-
-
-def sketched(units: DataFrame, keys: list[str], banding: Banding) -> DataFrame:
-    """units (keys, text) -> keys, n, da, db, cols and rid, a row's own number."""
-    given = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in keys)
-    rows = units.select(*keys, "text").mapInArrow(lambda b: _sketches(b, banding), f"{given}, n long, da long, db long, cols array<long>")
+        texts, begin = batch.column(carried), 0
+        while begin < len(texts):
+            end, chars, part = begin, 0, []
+            while end < len(texts) and chars < CHARS_AT_ONCE:
+                part.append(texts[end].as_py())
+                chars += len(part[-1] or "")
+                end += 1
+            n, high, low, cols = sketch(part)
+            size = cols.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * size, pa.int32()), pa.array(cols.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(begin, len(part)) for k in range(carried)], *map(pa.array, (n, high, low)), lists], names=[*batch.schema.names[:carried], "n", "da", "db", "cols"])
+            begin = end
+
+
+def sketched(units: DataFrame, names: list[str], banding: Banding) -> DataFrame:
+    """units (names, text) -> names, n, da, db, cols and rid, a row's own number."""
+    given = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in names)
+    rows = units.select(*names, "text").mapInArrow(lambda b: _sketches(b, banding, len(names)), f"{given}, n long, da long, db long, cols array<long>")
     return written(rows.withColumn("rid", F.monotonically_increasing_id()), "sketches")
 
 
@@ -169,7 +199,10 @@ def _buckets(classes: DataFrame, banding: Banding) -> DataFrame:
         by_node = written(by_node, "collections")  # at most `collections` words a class
         pairs = F.flatten(F.transform("cols", lambda x, i: F.transform(F.slice("cols", i + 2, F.size("cols")), lambda y: F.xxhash64(x, y))))
         rows = by_node.select("node", "n", F.explode(pairs).alias("key"))
-    return written(rows.join(several(rows).select("key", "lead"), "key"), "buckets")
+    out = written(rows.join(several(rows).select("key", "lead"), "key"), "buckets")
+    if banding.tensored:
+        dropped(by_node)
+    return out
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +280,9 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     lacks = lambda x, y: " + ".join(f"bit_count({b}_{x} & ~{b}_{y})" for b in bits)
     enough = f"{WHOLE + PART} * least({{0}}, {{1}}) >= {PART} * (n_x + n_y)"
     near = f"{_alike('n_x', 'n_y')} AND {enough.format('c_x - p_x', 'c_y - p_y')} AND {enough.format(f'c_x - ({lacks("x", "y")})', f'c_y - ({lacks("y", "x")})')}"
-    return _strays(prefix, "shingle", near)
+    pairs = written(_strays(prefix, "shingle", near), "prefix-pairs")
+    dropped(rows)
+    return pairs
 
 
 def _rest(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -269,13 +304,10 @@ def _chance_pairs(hot: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS) -> DataFrame:
-    """units (keys, text) -> keys, rid, n, da, db, node (its class) and root (its component).
-
-    node and root are row numbers; root is the least class of the component. Both are null where
-    the set is empty.
-    """
-    sketches = sketched(units, keys, banding)
+def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """units (keys, carried, text) -> keys, carried, n and root, the row number of the least class of
+    a row's component; null where the set is empty."""
+    sketches = sketched(units, [*keys, *carried], banding)
     some = sketches.filter("n > 0")
     classes = some.groupBy("da", "db").agg(F.min_by(F.struct("n", "cols", *keys), "rid").alias("h"), F.min("rid").alias("node"))
     classes = written(classes.select("da", "db", "node", "h.*"), "classes")
@@ -300,6 +332,7 @@ def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS) ->
             break
         more = _links(_chance_pairs(hot, turn), texts)
         roots = components(as_links(roots).unionByName(more))
+        dropped(split, more)
         split = _rest(buckets, roots)
     pairs = _strays(split.filter(F.col("pairs") <= DIRECT_PAIRS).select("key", "node", "n", "root"), "key", _alike("n_x", "n_y"))
     hot = split.filter(F.col("pairs") > DIRECT_PAIRS)
@@ -309,8 +342,10 @@ def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS) ->
     if not more.isEmpty():
         roots = components(as_links(roots).unionByName(more))
 
-    rooted = classes.select("da", "db", "node").join(roots, "node", "left").select("da", "db", "node", F.coalesce("root", "node").alias("root"))
-    return sketches.select(*keys, "rid", "n", "da", "db").join(rooted, ["da", "db"], "left")
+    rooted = classes.select("da", "db", "node").join(roots, "node", "left").select("da", "db", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "roots")
+    dropped(classes, buckets, texts, split, links, more)
+    return sketches.select(*keys, *carried, "n", "da", "db").join(rooted, ["da", "db"], "left").drop("da", "db")
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = DOCUMENTS) -> DataFrame:

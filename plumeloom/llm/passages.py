@@ -60,12 +60,12 @@ def paragraphs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 def repeated(docs: DataFrame, least: int = MIN_WORDS, banding: Banding | None = None) -> DataFrame:
     """Each paragraph that has a near copy: doc_id, para, start, length (code points), n_copies,
     kept_doc_id, kept_para (the one that stays) and removed."""
-    keys = ["doc_id", "para", "start", "length"]
-    rows = written(grouped(paragraphs(docs, least), keys, banding or tuned()).select(*keys, "root").filter("root IS NOT NULL"), "paragraphs")
+    keys, place = ["doc_id", "para"], ("start", "length")
+    rows = written(grouped(paragraphs(docs, least), keys, banding or tuned(), place).select(*keys, *place, "root").filter("root IS NOT NULL"), "paragraphs")
     clusters = rows.groupBy("root").agg(F.count("*").alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "para")).alias("k")).filter("n_copies > 1")
     out = rows.join(clusters, "root")
     stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("para") == F.col("k.para"))
-    return out.select(*keys, "n_copies", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.para").alias("kept_para"), (~stays).alias("removed"))
+    return out.select(*keys, *place, "n_copies", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.para").alias("kept_para"), (~stays).alias("removed"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
