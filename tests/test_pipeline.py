@@ -73,3 +73,23 @@ def test_fit_query_finds_what_was_planted(spark):
     want = {r.o_orderkey: r.o_custkey % 5 * 50.0 for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
     for r in catalog.queries()["fit_conc"](spark, SF).collect():
         assert abs(r.fitted_conc - want[r.plume_id]) < 0.05
+
+
+def test_command_line(spark, scene, tmp_path):
+    from plumeloom.__main__ import keywords, main
+    from plumeloom.plans.outputs import save_npy
+
+    assert keywords("eps=1.5:min_samples=1:a=x:b=None:c=true") == {"eps": 1.5, "min_samples": 1, "a": "x", "b": None, "c": True}
+    with pytest.raises(ValueError):
+        keywords("a")
+    for name, df in zip(("slots", "pixels", "granules"), scene, strict=True):
+        df.write.parquet(str(tmp_path / name))
+    paths = [x for n in ("slots", "pixels", "granules", "out") for x in (f"--{n}", str(tmp_path / n))]
+    main([*paths, "--tile-size", "4", "--stride", "2", "--scale", "1", "--cc-min-size", "1", "--clustering", "DBSCAN", "--clustering-kw", "eps=1.5:min_samples=1"], spark)
+    assert spark.read.parquet(str(tmp_path / "out/predicted")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out/candidates")).count() > 4
+    image = spark.read.parquet(str(tmp_path / "out/enhancement"))
+    save_npy(image, 0, str(tmp_path / "image.npy"))
+    import numpy as np
+
+    assert (np.load(tmp_path / "image.npy") > 0).sum() == 5
