@@ -71,27 +71,31 @@ def differing(a: Column, b: Column) -> Column:
     return F.when(a["root"] != b["root"], F.struct(numbers.alias("sections"), lines.alias("paragraphs")))
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """Add bucket, a number that does not fall as doc_id rises; null ids are in bucket -1.
+def _buckets(docs: DataFrame):
+    """A column of doc_id: a number that does not fall as doc_id rises; -1 for a null id.
 
-    Quantiles of all ids (a fixed number of them) bound cells of about equal size and each cell
-    is cut evenly, so that ids need be neither dense nor even.
+    Quantiles of all ids (a fixed number of them, taken once) bound cells of about equal size and
+    each cell is cut evenly, so that ids need be neither dense nor even.
     """
     cells = 1 << LEVELS
     shares = [i / cells for i in range(1, cells)]
     n, low, high, bounds = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", shares, 10 * cells)).first()
+    none = F.lit(-1).cast("long")
     if not n:
-        return docs.withColumn("bucket", F.lit(-1).cast("long"))
+        return lambda df: df.withColumn("bucket", none)
     parts = max(1, min(MOST_BUCKETS // cells, n // (cells * ROWS_IN_BUCKET)))
-    edges = F.array(*[F.lit(x).cast("long") for x in [low, *bounds, high]])
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(LEVELS))])
-    # binary search: the number of bounds that are at most the id
-    cell = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(edges, at + s) <= F.col("doc_id"), at + s).otherwise(at))
-    docs = docs.withColumn("_cell", cell)
-    lo, hi = F.get(edges, F.col("_cell")).cast("double"), F.get(edges, F.col("_cell") + 1).cast("double")
-    part = F.floor((F.col("doc_id").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * parts).cast("long")
-    bucket = F.col("_cell").cast("long") * parts + F.least(F.greatest(part, F.lit(0).cast("long")), F.lit(parts - 1).cast("long"))
-    return docs.withColumn("bucket", F.coalesce(bucket, F.lit(-1).cast("long"))).drop("_cell")
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        edges = F.array(*[F.lit(x).cast("long") for x in [low, *bounds, high]])
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(LEVELS))])
+        # binary search: the number of bounds that are at most the id
+        df = df.withColumn("_cell", F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(edges, at + s) <= F.col("doc_id"), at + s).otherwise(at)))
+        lo, hi = F.get(edges, F.col("_cell")).cast("double"), F.get(edges, F.col("_cell") + 1).cast("double")
+        part = F.floor((F.col("doc_id").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * parts).cast("long")
+        bucket = F.col("_cell").cast("long") * parts + F.least(F.greatest(part, F.lit(0).cast("long")), F.lit(parts - 1).cast("long"))
+        return df.withColumn("bucket", F.coalesce(bucket, none)).drop("_cell")
+
+    return bucketed
 
 
 def with_next(docs: DataFrame, derive=lambda df: df, lead: tuple[str, ...] = ()) -> DataFrame:
@@ -101,8 +105,9 @@ def with_next(docs: DataFrame, derive=lambda df: df, lead: tuple[str, ...] = ())
     row beside its text. The first rows of each bucket also travel to the bucket before, where
     they end the window; which they are comes from a pass over the ids alone.
     """
-    rows = _bucketed(docs.select("doc_id", whole(F.col("text")).alias("text")))
-    heads = _bucketed(docs.select("doc_id")).groupBy("bucket").agg(F.min("doc_id").alias("head"))
+    bucketed = _buckets(docs)
+    rows = bucketed(docs.select("doc_id", whole(F.col("text")).alias("text")))
+    heads = bucketed(docs.select("doc_id")).groupBy("bucket").agg(F.min("doc_id").alias("head"))
     order = Window.orderBy("bucket")  # at most MOST_BUCKETS + 1 rows
     back = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy()))
     heads = heads.select("head", back.alias("back"))
