@@ -499,14 +499,13 @@ def granule_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", strings.granule_of(path).alias("granule"), strings.obs_path(path).alias("obs"))
 
 
-#: Small tiles, and clusters by distance, for scenes of this size.
+#: Small tiles, and clusters by distance, for scenes of this width.
 SMALL = Settings(tile_size=TILE, stride=STRIDE, plume_threshold=0.4, origin_threshold=0.5, min_slot_pixels=3, clustering="DBSCAN", clustering_kw={"eps": 1.5, "min_samples": 1}, cc_min_size=2, simplify=0.0, vetting_patch=16)
 
 
 def scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """slots, pixels and granules of a small scene, with a mock model's output."""
-    px = raster(spark, sf_dir).filter("gy < 60")
-    px = px.withColumn("h", F.least("h", F.lit(60)))
+    """slots, pixels and granules of the whole raster, with a mock model's output."""
+    px = raster(spark, sf_dir)
     granules = px.select("granule_id", "h", "w").distinct().withColumns({"x0": F.lit(300000.0), "y0": F.lit(4000000.0), "zone": F.lit("31N")})
     radiance = F.transform(F.sequence(F.lit(0), F.lit(bands.N_BANDS - 1)), lambda k: F.lit(1.0) + ((F.col("v") + k * 7) % 97) / 100)
     pixels = px.select("granule_id", "gy", "gx", "valid", radiance.alias("radiance"), F.lit(30.0).alias("sun_zenith"), F.lit(5.0).alias("sensor_zenith"))

@@ -69,6 +69,21 @@ def test_queries_without_sql_give_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def test_scene_queries_take_every_row_of_the_raster(spark, tmp_path):
+    """A raster of 120 rows: each of the queries reaches its end, and the slots are those of a plain count."""
+    width, size, stride = 100, catalog.TILE, catalog.STRIDE
+    rows = spark.range(120 * width).select(F.col("id").alias("event_id"), (F.col("id") % 97).alias("user_id"), ((F.col("id") * 37) % 1000 / 100.0).alias("value"), F.when(F.col("id") % 11 == 0, "error").otherwise("click").alias("event_type"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    hit = {(r.gy, r.gx) for r in catalog.raster(spark, str(tmp_path)).filter("p > 400 AND valid").collect()}
+    want = {(y, x) for y in range(0, 120 - size + 1, stride) for x in range(0, width - size + 1, stride) if sum((y + j, x + k) in hit for j in range(size) for k in range(size)) >= 3}
+    assert max(want)[0] > 60
+    found = catalog.queries()["extract_candidates"](spark, str(tmp_path)).select("plume_bbox_px").collect()
+    assert {(r[0][1], r[0][0]) for r in found} == want and len(found) == len(want)
+    plumes = catalog.queries()["dedupe_plumes"](spark, str(tmp_path)).collect()
+    assert max(r.y1 for r in plumes) > 100
+    assert catalog.queries()["pipeline_e2e"](spark, str(tmp_path)).count() == len(plumes)
+
+
 def test_fit_query_finds_what_was_planted(spark):
     want = {r.o_orderkey: r.o_custkey % 5 * 50.0 for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
     for r in catalog.queries()["fit_conc"](spark, SF).collect():
