@@ -423,7 +423,7 @@ def _samples() -> list[tuple]:
 def fit_conc(spark, sf_dir):
     """A planted concentration of o_custkey % 5 / 2 is found again."""
     samples = _samples()
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("plume_id"), (F.expr("o_custkey % 5") / 2).alias("conc"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plume_id"), (F.expr("o_custkey % 5") / 2).alias("conc"))
     rows = spark.createDataFrame([(s[0], r, t, g) for s in samples for r, t, g in zip(*s[2:], strict=True)], "band int, r double, t double, g double")
     base = F.col("r") * F.pow("t", F.lit(2.0))
     more = F.pow(F.col("g") / (F.col("t") + F.lit(1e-12)), 2.0 * F.col("conc"))

@@ -16,6 +16,8 @@ from plumeloom.operators.masks import dilated
 from plumeloom.sources.bands import BACKGROUND
 
 TOP, QUANTILE, KEPT_SHARE = 30, 0.99, 0.5
+#: Fits that a task remembers.
+FITS_KEPT = 1024
 
 
 def under_quantile(pixels: DataFrame, key: str = "plume_id", q: float = QUANTILE) -> DataFrame:
@@ -121,19 +123,28 @@ def fits(observed: DataFrame, samples: list[tuple], added_ppm_m: float, key: str
     response, standard = [np.asarray(s[2], float) for s in table], [np.asarray(s[3], float) for s in table]
     extra = [np.asarray(s[4], float) / (np.asarray(s[3], float) + 1e-12) for s in table]
     names = [f.split(" ")[0] for f in RESULT.split(", ")]
+    done: dict[tuple, tuple] = {}  # of the task: plumes with equal spectra and paths are fitted once
 
-    def one(k: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        ratio = dict(zip(df["band"], df["ratio"], strict=True))
-        seen = np.array([ratio.get(s[0], np.nan) for s in table], float)
-        path = float(df["path"].iloc[0])
+    def fit(seen: np.ndarray, path: float) -> tuple:
         gas = lambda c: gas_transmittance(c, path, response, standard, extra)
         best = fitted(centre, seen, gas)
         if best is None:
-            return pd.DataFrame([(k[0], *[None] * len(names))], columns=[key, *names])
+            return (None,) * len(names)
         x = (centre - centre.mean()) / (centre.std() or 1.0)
         base = np.vander(x, len(best[1]), increasing=True) @ best[1]
         d_norm, d_cor = scores(seen, base, gas(best[0]))
-        return pd.DataFrame([(k[0], d_norm, d_cor, float(best[0]) * added_ppm_m, base, seen, base * gas(best[0]), centre)], columns=[key, *names])
+        return d_norm, d_cor, float(best[0]) * added_ppm_m, base, seen, base * gas(best[0]), centre
+
+    def one(k: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        ratio = dict(zip(df["band"], df["ratio"], strict=True))
+        seen = np.array([ratio.get(s[0], np.nan) for s in table], float)
+        path = float(df["path"].iloc[0])
+        at = (seen.tobytes(), path)
+        if at not in done:
+            if len(done) >= FITS_KEPT:
+                done.clear()
+            done[at] = fit(seen, path)
+        return pd.DataFrame([(k[0], *done[at])], columns=[key, *names])
 
     return observed.select(key, "band", "ratio", "path").groupBy(key).applyInPandas(one, f"{key} {kind}, {RESULT}")
 

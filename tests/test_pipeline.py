@@ -90,6 +90,12 @@ def test_fit_query_finds_what_was_planted(spark):
         assert abs(r.fitted_conc - want[r.plume_id]) < 0.05
 
 
+def test_fit_query_fits_every_order(spark):
+    ids = {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}
+    got = [r.plume_id for r in catalog.queries()["fit_conc"](spark, SF).collect()]
+    assert len(got) == len(ids) and set(got) == ids
+
+
 def test_command_line(spark, scene, tmp_path):
     from plumeloom.__main__ import keywords, main
     from plumeloom.plans.outputs import save_npy
