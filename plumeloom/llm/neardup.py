@@ -211,7 +211,9 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def set_of(node, text, da, db):
         if node not in sets:
             s = shingle_set(text.as_py())
-            sets[node] = s if digest_of(s) == (da, db) else None  # another text under the same key
+            if digest_of(s) != (da, db):
+                return None  # another text under the same key: not kept, the right one is still to come
+            sets[node] = s
             if len(sets) > 32:
                 sets.popitem(last=False)
         return sets[node]
@@ -307,17 +309,21 @@ def _chance_pairs(hot: DataFrame, turn: int) -> DataFrame:
 def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS, carried: tuple[str, ...] = ()) -> DataFrame:
     """units (keys, carried, text) -> keys, carried, n and root, the row number of the least class of
     a row's component; null where the set is empty."""
-    sketches = sketched(units, [*keys, *carried], banding)
+    units = units.withColumn("_hash", F.xxhash64("text"))
+    sketches = sketched(units, [*keys, *carried, "_hash"], banding)
     some = sketches.filter("n > 0")
-    classes = some.groupBy("da", "db").agg(F.min_by(F.struct("n", "cols", *keys), "rid").alias("h"), F.min("rid").alias("node"))
+    classes = some.groupBy("da", "db").agg(F.min_by(F.struct("n", "cols", *keys, "_hash"), "rid").alias("h"), F.min("rid").alias("node"))
     classes = written(classes.select("da", "db", "node", "h.*"), "classes")
     buckets = _buckets(classes, banding)
-    wanted = buckets.select("node").distinct().join(classes.select("node", "da", "db", *keys), "node")
-    of = wanted.select("node", "da", "db", *[F.col(k).alias(f"_{k}") for k in keys])
-    same = F.lit(True)
+    wanted = buckets.select("node").distinct().join(classes.select("node", "da", "db", *keys, "_hash"), "node")
+    of = wanted.select("node", "da", "db", F.col("_hash").alias("_of"), *[F.col(k).alias(f"_{k}") for k in keys])
+    same = units["_hash"] == of["_of"]  # null or repeated ids meet their own text only
     for k in keys:
         same = same & units[k].eqNullSafe(of[f"_{k}"])
     texts = written(units.join(of, same).select("node", "da", "db", "text"), "candidate-texts")
+    if not texts.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat a key and a text
+        repeated, texts = texts, written(texts.dropDuplicates(["node", "text"]), "candidate-texts")
+        dropped(repeated)
 
     sizes = classes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"))
     stars = buckets.filter("node <> lead").select("lead", "node", "n").distinct().join(sizes, "lead").filter(_alike("n", "lead_n"))

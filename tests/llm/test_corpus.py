@@ -241,6 +241,22 @@ def test_null_ids(spark):
     assert sorted((r[2], r[3]) for r in got[2:]) == [(2, None), (3, 5)]
 
 
+def test_null_ids_of_many_texts(spark):
+    """A near copy without an id links, whatever other texts without an id stand before it."""
+    rnd = random.Random(5)
+    prose = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for k in range(12):
+        base = prose()
+        rows += [(k, " ".join(base)), (None, " ".join([*base[:-1], "other"]))]
+    twin = " ".join(prose())
+    rows += [(None, twin)] * 3 + [(50, twin + " more")]
+    rnd.shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.component_id for r in got if r.doc_id is None) == [*range(12), 50, 50, 50]
+    assert all(r.component_id == r.doc_id for r in got if r.doc_id is not None)
+
+
 def test_passages(spark, docs, empty):
     rnd = random.Random(3)
     word = lambda: f"w{rnd.randrange(10**6)}"
