@@ -39,12 +39,28 @@ class Kind:
     added: bool = False
 
 
+#: Lengths of IBANs by country, those of countries outside the registry included.
+_LENGTHS = """15 NO|16 BE|18 DK FI FO FK GL NL SD|19 MK SI|20 AT BA EE KZ LT LU MN XK|21 CH HR LI LV|22 BG BH CR DE GB GE IE ME RS VA
+23 AE GI IL IQ OM SO TL|24 AD CZ ES MD PK RO SA SE SK TN VG|25 AO CV GW LY MZ PT ST|26 DZ IR IS TR|27 BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD
+28 AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG|29 BR EG PS QA UA|30 JO KW MU|31 MT SC|32 LC|33 RU"""
+_COUNTRIES = {codes[0]: codes[1:] for codes in (part.split() for part in _LENGTHS.replace("\n", "|").split("|"))}
+_KNOWN = "(?:" + "|".join(c for codes in _COUNTRIES.values() for c in codes) + ")"
+
+
+def _iban() -> str:
+    """A known country's number has that country's length, so the next word is none of it. Other codes
+    take the longest run, up to a known country's number."""
+    known = "|".join(f"(?:{'|'.join(codes)})[0-9]{{2}}(?:\\x20?+[A-Z0-9]){{{int(n) - 4}}}" for n, codes in _COUNTRIES.items())
+    other = rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_KNOWN}[0-9]{{2}})\x20?+[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?:{known}|{other})(?![A-Za-z0-9])"
+
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, r"mail|contact|write|address"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address|client"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "", 0.7, r"card|visa|credit|debit|payment|number"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"phone|tel|call|mobile|fax|number"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.6, r"iban|bank|account|konto|compte|cuenta", True),
+    Kind("iban", _iban(), "", 0.6, r"iban|bank|account|konto|compte|cuenta", True),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", 0.3, r"ssn|social|security|tax", True),
 )
 BASE = tuple(k.name for k in KINDS if not k.added)

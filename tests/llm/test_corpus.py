@@ -74,6 +74,16 @@ def test_ssn_needs_context(spark):
     assert {i: len(r.pii_spans) for i, r in by_id(pii.found(df)).items()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_ibans_before_other_words(spark):
+    """A number ends at its country's length: the next word, or the next number, is none of it."""
+    de, gb, be, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "BE71 0961 2345 6769", "NO93 8601 1117 947"
+    rows = [(1, f"IBAN {de} BIC COBADEFFXXX."), (2, f"IBAN {gb} Please"), (3, f"iban {be} {de} 7 {no} AB12 {gb}"), (4, f"iban {de}, BIC"), (5, f"iban {gb}7"), (6, "iban DE88 3704 0044 0532 0130 00 BIC")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.pii_spans if s.kind == "iban"] for r in pii.found(df).collect()}
+    assert got == {1: [de], 2: [gb], 3: [be, de, no, gb], 4: [de], 5: [], 6: []}
+    assert by_id(pii.redacted(df))[1].text == "IBAN [IBAN] BIC COBADEFFXXX."
+
+
 def test_mixing(docs, texts, empty):
     rows = docs.select("doc_id", "source").distinct().collect()
     sizes = collections.Counter()
