@@ -8,9 +8,11 @@ probability over one half is the main text. Weights are trained by gradient on t
 conditional likelihood (observed less expected features) over TRAINING_PAGES labelled pages,
 which labelled_page() writes in many layouts with the labels known; the bound is a parameter.
 
-Blocks. Inline elements do not cut a block and br is white space in it. Start tags of blocks end
-an open p, items end items of the same list, and an end tag without a start is ignored. Raw text
-elements, comments and declarations have no text. Everything is iterative: depth does not matter.
+Blocks. Inline elements, formulas among them, do not cut a block and br is white space in it. Start
+tags of blocks end an open p, items end items of the same list, and an end tag without a start is
+ignored. Raw text elements, comments and declarations have no text. A raw text element ends at its
+end tag; without one it ends with the page if it is script or style, else only its tag is left out.
+A self-closed svg is empty. Everything is iterative: depth does not matter.
 
 Defined cases. Null and empty html give an empty text. Text without any tag is one block of the
 root. Repeated rows give repeated results, a null page_id or url is carried through, and an empty
@@ -34,7 +36,10 @@ from pyspark.sql import functions as F
 
 TRAINING_PAGES, EPOCHS, SEED = 160, 14, 11
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template textarea title select svg math iframe object head".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mlabeledtr maction semantics annotation annotation-xml".split())
+#: Elements of MATH that begin with white space.
+APART = frozenset("br mtr mtd mlabeledtr annotation annotation-xml".split())
+RAW = frozenset("script style noscript template textarea title select svg iframe object head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element of the first kind ends one of the second, up to the container named.
 ENDS = {
@@ -49,6 +54,8 @@ ENDS = {
 CONTAINERS = frozenset("html body div section article main aside header footer nav form table tbody thead ul ol dl center fieldset details".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A value without quotes to which the last slash of a tag belongs.
+UNQUOTED = re.compile(r"=\s*[^\s\"']+/\Z")
 SENTENCE = re.compile(r"[.!?。]")
 
 
@@ -79,6 +86,7 @@ def parsed(source: str) -> Page:
     stack = [page.add("html", -1, "")]
     pending: list[tuple[str, bool]] = []
     links, at, lower = 0, 0, None
+    unclosed: set[str] = set()  # raw elements that have no end tag any more
 
     def flush() -> None:
         if pending:
@@ -112,14 +120,20 @@ def parsed(source: str) -> Page:
         tag, end = m[2].lower(), m[1] == "/"
         if tag in RAW and not end:
             lower = lower or source.lower()
-            if tag != "head":
-                found = lower.find(f"</{tag}", at)
-                at = len(source) if found < 0 else (source.find(">", found) + 1 or len(source))
+            if tag == "head" or tag in unclosed or (tag == "svg" and m[3].endswith("/") and not UNQUOTED.search(m[3])):
+                continue
+            found = lower.find(f"</{tag}", at)
+            if found >= 0:
+                at = source.find(">", found) + 1 or len(source)
+            elif tag in ("script", "style"):
+                at = len(source)
+            else:
+                unclosed.add(tag)
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in MATH:
             if tag == "a":
                 links = max(0, links + (-1 if end else 1))
-            if tag == "br":
+            if tag in APART:
                 pending.append((" ", False))
             continue
         if tag in ("html", "head"):

@@ -383,6 +383,17 @@ def test_html(spark):
     assert html_main.extracted(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_follows_open_elements(spark):
+    article = "<article><h1>A head</h1><p>First block of the text, which goes on. And on.</p><p>Second block of it, for some {}.</p></article>"
+    want = "A head\n\nFirst block of the text, which goes on. And on.\n\nSecond block of it, for some {}."
+    before = ['<svg class="icon"/>', '<svg data-u="?a=b"/>', "<select>", "<noscript>", "<object data=x>", "<template>", "<math/>", "<svg><path d=''/></svg>", "<select>" * 3]
+    rows = [(k, "u", f"<body>{tag}{article.format('words')}") for k, tag in enumerate(before)]
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow></math>"
+    rows += [(100, "u", f"<body>{article.format(formula)}"), (101, "u", f"<body>{article.format('words')}<script>var a = '<p>no text of it.</p>'")]
+    got = {r.page_id: r.text for r in html_main.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: want.format("words") for k in range(len(before))}, 100: want.format("x=12"), 101: want.format("words")}
+
+
 def test_message_passing_is_exact():
     """Marginals equal sums over all labellings of a small tree."""
     import itertools
