@@ -23,7 +23,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii_spans", lambda s: s["rank"] < len(pii.BASE))
     kinds = F.transform("pii_spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii_spans")).alias("spans"))
+    spans = F.col("pii_spans")
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"), pii.scored(spans).alias("scores"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ end tag; without one it ends with the page if it is script or style, else only i
 A self-closed svg is empty. Everything is iterative: depth does not matter.
 
 Defined cases. Null and empty html give an empty text. Text without any tag is one block of the
-root. Repeated rows give repeated results, a null page_id or url is carried through, and an empty
+root. A stray quote in a tag is a character of it; a value's quote that is never closed ends with the
+tag. Repeated rows give repeated results, a null page_id or url is carried through, and an empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -52,7 +53,9 @@ ENDS = {
     "option": (("option",), ("select", "datalist")),
 }
 CONTAINERS = frozenset("html body div section article main aside header footer nav form table tbody thead ul ol dl center fieldset details".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: A quote opens a value only right after "="; one that is never closed is a plain character.
+VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|{VALUE})*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: A value without quotes to which the last slash of a tag belongs.
 UNQUOTED = re.compile(r"=\s*[^\s\"']+/\Z")

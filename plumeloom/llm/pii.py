@@ -2,15 +2,20 @@
 
 Each kind is one pattern, searched leftmost and without overlap. The text between the matches
 (split) and the matches (extract) give every span's place by prefix sums of their lengths, so
-places are code points and no text leaves its row. Luhn confirms cards, mod-97 confirms IBANs;
-words near a span raise or lower its score. The four base kinds are reported by their checks
-alone; the added kinds (iban, ssn) also need a score of MIN_SCORE.
+places are code points and no text leaves its row. Luhn confirms cards, mod-97 confirms IBANs, an
+assigned secret needs a digit and a letter in its value. A span's score begins with its kind's; words
+of the kind's context within NEAR code points raise it, words that speak against it (of the kind, or
+of made-up data) lower it. The four base kinds are reported by their checks alone, with their score;
+an added kind also needs a score of MIN_SCORE.
+
+redacted() puts kinds in place of the very spans that found() reports, in one pass.
 
 Defined cases. A null or empty text has no spans and redacts to itself. Rows are handled one by
 one, so repeated rows give repeated results and a null doc_id is kept. Spans of two kinds may
-overlap; both are reported. Overlapping text is redacted once, by the first kind in KINDS that
-covers it. Very long texts: patterns are possessive and anchored, so a run of a million equal
-characters costs one pass. Input columns named like a result column are replaced.
+overlap; both are reported. Spans that overlap are redacted together, by the kind that begins first
+(of those that begin together, the first in KINDS). Very long texts: patterns are possessive and
+anchored, so a run of a million equal characters costs one pass. An input column pii_spans is
+replaced; no other name can clash.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeloom.llm.text import fenced, total, whole
+from plumeloom.llm.text import bound, fenced, nested, total, unnested, whole
 
 
 @dataclass(frozen=True)
@@ -36,6 +41,7 @@ class Kind:
     must_have: str
     score: float
     context: str
+    against: str = ""
     added: bool = False
 
 
@@ -52,22 +58,44 @@ def _iban() -> str:
     take the longest run, up to a known country's number."""
     known = "|".join(f"(?:{'|'.join(codes)})[0-9]{{2}}(?:\\x20?+[A-Z0-9]){{{int(n) - 4}}}" for n, codes in _COUNTRIES.items())
     other = rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_KNOWN}[0-9]{{2}})\x20?+[A-Z0-9]){{11,30}}+"
-    return rf"(?<![A-Za-z0-9])(?:{known}|{other})(?![A-Za-z0-9])"
-
-
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{other})(?![A-Za-z0-9])"
+
+
+#: The forms that providers give their keys.
+_ISSUED = "|".join(
+    (
+        r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+        r"gh[oprsu]_[A-Za-z0-9]{36,}+",
+        r"github_pat_[A-Za-z0-9_]{22,}+",
+        r"glpat-[A-Za-z0-9_-]{20,}+",
+        r"xox[abeoprs]-[A-Za-z0-9-]{10,}+",
+        r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+",
+        r"AIza[A-Za-z0-9_-]{35}",
+        r"npm_[A-Za-z0-9]{36}",
+        r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+    )
+)
+_NAMED = r"(?:api|access|auth|client|private|secret)[_-]?key|(?:[A-Za-z]{1,16}[_-])?(?:token|secret)|password|passwd|pwd"
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, r"mail|contact|write|address"),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address|client"),
-    Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "", 0.7, r"card|visa|credit|debit|payment|number"),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address|client", r"version|release|build"),
+    Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "", 0.7, r"card|visa|credit|debit|payment|number", r"isbn|order|serial|tracking"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"phone|tel|call|mobile|fax|number"),
-    Kind("iban", _iban(), "", 0.6, r"iban|bank|account|konto|compte|cuenta", True),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", 0.3, r"ssn|social|security|tax", True),
+    Kind("iban", _iban(), "", 0.6, r"iban|bank|account|konto|compte|cuenta", r"serial|article", True),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", 0.3, r"ssn|social|security|tax", r"serial|order|part|isbn|invoice", True),
+    Kind("tel", r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", "", 0.3, r"phone|tel\b|call|mobile|fax", r"order|serial", True),
+    Kind("ip6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])", ":", 0.6, r"\bip|host|server|address|client", "", True),
+    Kind("secret", rf"(?i)(?<![A-Za-z0-9])(?:{_NAMED})[\"']?[\x20\t]?[:=][\x20\t]?[\"']?[A-Za-z0-9+/_.~=-]{{8,}}+[\"']?", "", 0.6, r"config|deploy|login|env|auth", "", True),
+    Kind("token", rf"(?<![A-Za-z0-9_-])(?:{_ISSUED})(?![A-Za-z0-9_-])", "", 0.8, r"key|token|secret|auth", "", True),
+    Kind("key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?", "PRIVATE KEY-----", 0.9, r"ssh|rsa|pem", "", True),
 )
+#: Words by which a text says that what stands beside them is made up.
+MADE_UP = r"(?<![@.\w])(?:example|sample|dummy|placeholder|fake|specimen)(?![.@\w])"
 BASE = tuple(k.name for k in KINDS if not k.added)
 MIN_SCORE = 0.5
 #: Code points on either side of a span that count as its context.
 NEAR = 40
-CONTEXT_BONUS = 0.3
+RAISE, LOWER = 0.3, 0.3
 BLOCK = 64
 
 
@@ -104,12 +132,11 @@ def octets(match: Column) -> Column:
 
 
 CHECKS = {
-    "email": lambda m: F.lit(True),
     "ip": octets,
     "card": lambda m: F.length(digits_of(m)).between(14, 19) & luhn(digits_of(m)),
     "phone": lambda m: F.length(digits_of(m)).between(10, 15),
     "iban": mod97,
-    "ssn": lambda m: F.lit(True),
+    "secret": lambda m: bound(F.regexp_replace(m, "^[^:=]*", ""), lambda v: F.regexp_like(v, F.lit("[0-9]")) & F.regexp_like(v, F.lit("[A-Za-z]"))),
 }
 
 
@@ -130,12 +157,17 @@ def _spans(df: DataFrame, kind: Kind, order: int) -> DataFrame:
     first = F.array(F.lit(0).cast("long"))
     df = df.withColumn(offs, F.aggregate(sums, first, lambda a, s: F.array_append(a, F.element_at(a, -1) + s)))
 
+    def score(around: Column) -> Column:
+        said = lambda words, change: F.when(F.regexp_like(around, F.lit(words)), change).otherwise(0.0)
+        moved = F.lit(kind.score) + said(kind.context, RAISE) - said(MADE_UP, LOWER)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(moved - said(kind.against, LOWER) if kind.against else moved, 2)))
+
     def span(match: Column, k: Column) -> Column:
         block = F.floor(k / BLOCK).cast("int")
         start = F.get(offs, block) + total(F.slice(lens, block * BLOCK + 1, k - block * BLOCK)) + F.length(F.get(p, k))
         around = F.lower(F.concat(F.right(F.get(p, k), F.lit(NEAR)), F.lit(" "), F.left(F.get(p, k + 1), F.lit(NEAR))))
-        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(F.regexp_like(around, F.lit(kind.context)), CONTEXT_BONUS).otherwise(0.0))
-        return F.struct(start.alias("start"), F.lit(order).alias("rank"), (start + F.length(match)).alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"), CHECKS[kind.name](match).alias("ok"))
+        ok = CHECKS[kind.name](match) if kind.name in CHECKS else F.lit(True)
+        return F.struct(start.alias("start"), F.lit(order).alias("rank"), (start + F.length(match)).alias("end"), F.lit(kind.name).alias("kind"), bound(around, score).alias("score"), ok.alias("ok"))
 
     good = F.filter(F.transform(m, span), lambda s: s["ok"] & (s["score"] >= MIN_SCORE) if kind.added else s["ok"])
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double,ok:boolean>>")
@@ -144,12 +176,12 @@ def _spans(df: DataFrame, kind: Kind, order: int) -> DataFrame:
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add pii_spans: array of (start, rank, end, kind, score), by start and then kind."""
-    out = docs.withColumn("_text", whole(F.col(text)))
+    out = nested(docs, whole(F.col(text)).alias("_text"))
     for order, kind in enumerate(KINDS):
         out = _spans(out, kind, order)
     names = [f"_s_{k.name}" for k in KINDS]
     plain = F.transform(F.sort_array(F.concat(*names)), lambda s: s.dropFields("ok"))
-    return fenced(out.withColumn("pii_spans", plain).drop("_text", *names), "pii_spans")
+    return unnested(fenced(out.withColumn("pii_spans", plain).drop("_text", *names), "pii_spans"), docs.columns, "pii_spans")
 
 
 def listed(spans: Column) -> Column:
@@ -157,20 +189,52 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every confirmed span of a text by its kind in brackets; other texts stay as they are.
+def scored(spans: Column) -> Column:
+    """Spans as kind:start:end:score, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"], s["score"])), ",")
 
-    Kinds are replaced one after the other, on what the kinds before them have left.
-    """
-    out = found(docs, text).withColumn("_left", whole(F.col(text)))
-    for order, kind in enumerate(KINDS):
-        name = f"_s_{kind.name}"
-        out = _spans(out.withColumn("_text", F.when(F.size("pii_spans") > 0, F.col("_left")).otherwise(F.lit(""))), kind, order)
-        marks = F.transform(name, lambda s: s["start"])
-        out = out.withColumn("_cut", F.when(F.size(name) > 0, F.concat(F.array(F.lit(0).cast("long")), F.transform(name, lambda s: s["end"]))))
-        ends = F.concat(marks, F.array(F.length("_left").cast("long")))
-        out = out.withColumn("_ends", ends)
-        label = f"[{kind.name.upper()}]"
-        kept = F.transform("_cut", lambda a, k: F.substring(F.col("_left"), (a + 1).cast("int"), (F.get("_ends", k) - a).cast("int")))
-        out = out.withColumn("_left", F.when(F.size(name) > 0, F.array_join(kept, label)).otherwise(F.col("_left"))).drop("_text", "_cut", "_ends", name)
-    return out.withColumn(text, F.when(F.size("pii_spans") > 0, F.col("_left")).otherwise(F.col(text))).drop("_left", "pii_spans")
+
+def _merged(spans: Column) -> Column:
+    """Spans in order -> (start, end, kind) of what they cover, spans that overlap as one."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda b: F.array_max(F.transform(F.slice(spans, b * BLOCK + 1, F.lit(BLOCK)), lambda s: s["end"])))
+    so_far = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.greatest(F.element_at(a, -1), x)))
+
+    def merge(most: Column) -> Column:
+        def before(k: Column) -> Column:
+            """Where the spans before the k-th end: by the blocks before its own, and in its own."""
+            block = F.floor(k / BLOCK).cast("int")
+            near = F.transform(F.slice(spans, block * BLOCK + 1, k - block * BLOCK), lambda s: s["end"])
+            return F.greatest(F.get(most, block), F.coalesce(F.array_max(near), F.lit(0).cast("long")))
+
+        first = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: F.get(spans, k)["start"] >= before(k))
+        one = lambda heads: F.transform(heads, lambda k, j: F.struct(F.get(spans, k)["start"].alias("start"), before(F.coalesce(F.get(heads, j + 1), F.size(spans))).alias("end"), F.get(spans, k)["kind"].alias("kind")))
+        return bound(first, one)
+
+    return bound(so_far, merge)
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with its spans' kinds; it is cut once for every BLOCK places, and each cut in them."""
+
+    def pieces(places: Column) -> Column:
+        end_before = lambda j: F.when(j > 0, F.get(places, j - 1)["end"]).otherwise(F.lit(0).cast("long"))
+        cut = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+        def block(b: Column) -> Column:
+            first = b * BLOCK
+            begin, end = end_before(first), end_before(F.least(first + BLOCK, F.size(places)))
+            mark = lambda part: lambda s, i: F.concat(cut(part, end_before(first + i) - begin, s["start"] - begin), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return bound(cut(text, begin, end), lambda part: F.array_join(F.transform(F.slice(places, first + 1, F.lit(BLOCK)), mark(part)), ""))
+
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(places) - 1) / BLOCK).cast("int")), block)
+        return F.concat(F.array_join(blocks, ""), F.substr(text, (F.element_at(places, -1)["end"] + 1).cast("int")))
+
+    return bound(_merged(spans), pieces)
+
+
+def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Replace every span that found() reports by its kind in brackets; other texts stay as they are."""
+    columns = docs.columns
+    out = found(nested(docs, F.col(text).alias("_text")), "_text")
+    out = out.withColumn("_text", F.when(F.size("pii_spans") > 0, _replaced(F.col("_text"), F.col("pii_spans"))).otherwise(F.col("_text")))
+    return out.select(*[F.col("_text").alias(c) if c == text else F.col("_doc")[c].alias(c) for c in columns])

@@ -47,3 +47,20 @@ def fenced(df: DataFrame, *names: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in names]
     return df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_fenced")).select(*rest, "_fenced.*")
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once: the optimizer does not look into an array's element,
+    while a column of a name would be put in place of that name, also where it stands in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def nested(df: DataFrame, *more: Column) -> DataFrame:
+    """df's columns as one struct _doc beside others, so that no name of theirs can clash."""
+    every = F.struct(*[df[f"`{c}`"] for c in df.columns]) if df.columns else F.struct(F.lit(1))
+    return df.select(every.alias("_doc"), *more)
+
+
+def unnested(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns that nested() put away, but for those that `more` names again, and those."""
+    return df.select(*[F.col("_doc")[c].alias(c) for c in columns if c not in more], *more)
