@@ -1,32 +1,38 @@
 """Chat formatting in budgeted windows.
 
-A conversation is cut into blocks of BLOCK turn numbers, the unit of work, so that one very long
+A conversation is cut into blocks of BLOCK turns, the unit of work, so that one very long
 conversation spreads over many tasks. Inside a block, prefix sums of turn tokens choose windows
 of whole turns within the budget. Each window begins with the conversation's system turn, where
 it does not hold it itself, and with the last turns before it, as far as the history budget and
 HISTORY_TURNS go, also across blocks. Loss spans cover the assistant texts that are new in a
 window; repeated ones are masked.
 
+A turn's block follows from its place in the conversation, not from its number. Conversations of
+one block need no places. The turns of longer ones are sorted over all tasks by range and written;
+a turn's place is its place in its part of the sorted rows and the conversation's turns in the
+parts before, so no conversation is ever in one task, nor all turns of one number.
+
 The template is <|im_start|>role, a line break, the text, <|im_end|> and a line break. Inside
 texts "&" becomes "&amp;" and "<|" becomes "&lt;|", so no text can hold a control string, and
 readback() undoes both. Tokens are estimated as a quarter of the UTF-8 bytes, rounded up, and
 OVERHEAD for the marks. A single turn beyond the budget has a window of its own, whole.
 
-Defined cases. Null texts and roles are empty. Turns are ordered by turn (null first), role and
-text; repeated rows are turns of their own. Rows of a null conv_id are one conversation. The
-system turn is the first turn whose role is "system". An empty table gives no rows. Other columns
+Defined cases. Null texts and roles are empty. Turns are ordered by turn (null first), role, the
+text's first HEAD characters and its hash; repeated rows are turns of their own. Numbers may have
+gaps and repeat. Rows of a null conv_id are one conversation. The system turn is the first turn whose role is "system". An empty table gives no rows. Other columns
 are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeloom.llm.text import total, whole
+from plumeloom.plans.storage import written
 
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
-BLOCK = 64
+BLOCK, HEAD = 64, 64
 BUDGET, HISTORY_BUDGET, HISTORY_TURNS, OVERHEAD = 2048, 256, 4, 4
 
 
@@ -52,29 +58,48 @@ def _running(array: Column) -> Column:
     return F.aggregate(array, F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
 
 
-def _blocks(turns: DataFrame) -> DataFrame:
-    """One row per block that has turns: conv_id, block, fresh, prior, system, several.
+#: The order of a conversation's turns.
+ORDER = ("turn", "role", "head", "hash")
+#: monotonically_increasing_id() has the part in its upper bits.
+PART_BITS = 33
 
-    several: whether the conversation has other blocks. The turns' texts are shuffled once;
-    what a block must know of the others is joined from narrow tables.
-    """
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of long conversations with place, from 0, and n, the conversation's turns."""
+    keys = ["conv_id", *ORDER, "_n"]  # equal rows, too, may fall into several parts
+    rows = rows.withColumn("_n", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    rows = written(rows.drop("_n"), "chat-turns").withColumn("part", F.shiftright("at", PART_BITS))
+    runs = rows.groupBy("conv_id", "part").agg(F.min("at").alias("first"), F.count("*").alias("here"))
+    of = Window.partitionBy("conv_id")  # a row for each part that the conversation is in
+    before = F.sum("here").over(of.orderBy("part")) - F.col("here")
+    runs = runs.select(F.col("conv_id").alias("_id"), F.col("part").alias("_part"), (before - F.col("first")).alias("shift"), F.sum("here").over(of).alias("n"))
+    met = rows.join(runs, rows["conv_id"].eqNullSafe(runs["_id"]) & (F.col("part") == F.col("_part")))
+    return met.withColumn("place", F.col("at") + F.col("shift")).drop("at", "part", "_id", "_part", "shift")
+
+
+def _blocks(turns: DataFrame) -> DataFrame:
+    """One row per block: conv_id, block, fresh, prior, system, several (whether the conversation
+    has other blocks). Conversations of one block are gathered as they are."""
     rows = turns.select("conv_id", "turn", whole(F.col("role")).alias("role"), whole(F.col("text")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.expr(f"turn div {BLOCK}"), F.lit(-(1 << 60))))
-    ids = rows.groupBy("conv_id", "block").agg(F.lit(1).alias("one")).drop("one")
-    several = ids.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("conv_id").alias("_id"))
-    first = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("s")).select(F.col("conv_id").alias("_sys"), "s.text")
-    frames = ids.join(several, ids["conv_id"].eqNullSafe(several["_id"])).drop("_id")
-    frames = frames.join(first, frames["conv_id"].eqNullSafe(first["_sys"]), "left").drop("_sys")
-    turn = F.struct("turn", "role", "text")
+    rows = rows.withColumns({"head": F.left("text", F.lit(HEAD)), "hash": F.xxhash64("text")})
+    counts = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
+    long = counts.filter(F.col("n") > BLOCK).select(F.col("conv_id").alias("_long"))
+    in_long = rows["conv_id"].eqNullSafe(long["_long"])
+    turn = F.struct(*ORDER, "text").alias("turn")
+    short = rows.join(long, in_long, "left_anti").select("conv_id", F.lit(0).cast("long").alias("block"), F.lit(1).alias("fresh"), turn, F.lit(None).cast("string").alias("system"), F.lit(False).alias("several"))
+
+    placed = _placed(rows.join(long, in_long, "left_semi")).withColumn("block", F.expr(f"place div {BLOCK}"))
     own, later = F.struct("block", F.lit(1).alias("fresh")), F.struct((F.col("block") + 1).alias("block"), F.lit(0).alias("fresh"))
-    near_end = F.coalesce(F.pmod(F.col("turn"), F.lit(BLOCK)) >= BLOCK - HISTORY_TURNS, F.lit(False))
-    spread = rows.withColumn("to", F.explode(F.when(near_end, F.array(own, later)).otherwise(F.array(own))))
-    spread = spread.select("conv_id", F.col("to.block").alias("block"), F.col("to.fresh").alias("fresh"), turn.alias("turn"), F.lit(None).cast("string").alias("system"), F.lit(False).alias("several"))
-    frames = frames.select("conv_id", "block", F.lit(None).cast("int").alias("fresh"), F.lit(None).cast(spread.schema["turn"].dataType).alias("turn"), F.col("text").alias("system"), F.lit(True).alias("several"))
-    both = spread.unionByName(frames)
+    travels = (F.expr(f"place % {BLOCK}") >= BLOCK - HISTORY_TURNS) & ((F.col("block") + 1) * BLOCK < F.col("n"))
+    spread = placed.withColumn("to", F.explode(F.when(travels, F.array(own, later)).otherwise(F.array(own))))
+    spread = spread.select("conv_id", "to.block", "to.fresh", turn, F.lit(None).cast("string").alias("system"), F.lit(True).alias("several"))
+    first = placed.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("place", "text")).alias("s"), F.max("n").alias("n"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}")))
+    frames = first.select("conv_id", every.alias("block"), F.lit(None).cast("int").alias("fresh"), F.lit(None).cast(spread.schema["turn"].dataType).alias("turn"), F.col("s.text").alias("system"), F.lit(True).alias("several"))
+
     gather = lambda fresh: F.sort_array(F.collect_list(F.when(F.col("fresh") == fresh, F.col("turn"))))
-    out = both.groupBy("conv_id", "block").agg(gather(1).alias("fresh"), gather(0).alias("prior"), F.max("system").alias("system"), F.max("several").alias("several"))
-    out = out.filter(F.size("fresh") > 0)
+    out = short.unionByName(spread).unionByName(frames).groupBy("conv_id", "block").agg(gather(1).alias("fresh"), gather(0).alias("prior"), F.max("system").alias("system"), F.max("several").alias("several"))
     inside = F.get(F.filter("fresh", lambda t: t["role"] == "system"), F.lit(0))["text"]
     return out.withColumn("system", F.when(F.col("several"), F.col("system")).otherwise(inside))
 
