@@ -1,12 +1,16 @@
 """Mixing sources to target weights by repetition rates.
 
 Tokens (words) are summed per source, weights become targets by water filling, and a source's
-rate is its target over its size. A document is emitted floor(rate) times, plus once more if its
-hash, a number drawn from its id and the seed, lies under the source's cut. The cut is the
-Bernoulli probability (the fraction of the rate) moved to the nearest hash at which the words
-really taken meet the target: with documents of very unequal length the plain probability meets
-it only on average. The cut is found by a histogram of hashes per source, then inside the one
-bin where the target is crossed, so no source is ever sorted in one task.
+rate is its target over its size. A document is emitted floor(rate) times, plus once more by a
+Bernoulli draw: if its hash, a number from 0 to 1 drawn from its id and the seed, lies under the
+fraction of the rate.
+
+A second step corrects sources that the draw leaves off their target. The draw meets it only on
+average; a source of a few long documents may miss it by several per cent. Where the words drawn
+are further than TOLERATED from the target, the bound moves from the fraction to the nearest hash
+at which they meet it, so that just the documents with hashes between the two are decided anew.
+The bound is found by a histogram of hashes per source, then inside the one bin where the target
+is crossed, so no source is ever sorted in one task.
 
 Decisions need only a document's own row and its source's row: texts are not shuffled. The table
 of sources is small; Spark broadcasts it if its measured size allows, else joins it by key.
@@ -14,7 +18,7 @@ of sources is small; Spark broadcasts it if its measured size allows, else joins
 Defined cases. A null or empty text has size 0 and takes 0 words. A null source is a source of
 its own, the last in order. A null doc_id draws the hash of the id -1; rows that repeat an id
 share its hash and are taken or left together. Sources of size 0 have target 0. An empty table
-gives no rows. Input columns named like a result column are replaced.
+gives no rows. mixed() returns the input's columns whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeloom.plans.storage import written
-from plumeloom.llm.text import n_words
+from plumeloom.llm.text import n_words, nested
+from plumeloom.plans.storage import dropped, written
 
 WEIGHTS = (3, 1, 2)
 BUDGET = Fraction(3, 2)
 MOST_REPEATS = 2
 SEED = "mix-1"
+#: Of a source's target: what the draw may be off before it is corrected.
+TOLERATED = 0.01
 #: Hashes are whole numbers below 2**60; their upper 12 bits are the histogram's bin.
 HASH_HEX, BIN_BITS = 15, 12
 
@@ -45,7 +51,8 @@ def bin_of(u: Column) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, size -> with target, base (whole repeats) and need (words of the further copies).
+    """source, source_size -> with target, base (whole repeats), fraction (of the rate) and need
+    (words of the further copies).
 
     Water filling in closed form: sources saturate in the order of cap over weight. With the
     first k saturated the level is what is left over the weights that are left; the right k is
@@ -65,7 +72,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     out = out.withColumn("target", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap"))))
     base = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     out = out.withColumn("base", base).withColumn("need", F.col("target") - F.col("base") * F.col("source_size"))
-    return out.select("source", "source_size", "target", "base", "need")
+    out = out.withColumn("fraction", F.coalesce(F.try_divide("need", F.col("source_size").cast("double")), F.lit(0.0)))
+    return out.select("source", "source_size", "target", "base", "fraction", "need")
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -73,11 +81,19 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_of(F.col("doc_id"), seed).alias("u"))
 
 
+def drawn() -> Column:
+    """The Bernoulli draw: a hash, as a number from 0 to 1, under the fraction."""
+    return F.col("u").cast("double") < F.col("fraction") * float(1 << 4 * HASH_HEX)
+
+
 def rates(narrow: DataFrame) -> DataFrame:
-    """Per source: source_size, target, base and cut (a further copy where u < cut)."""
+    """Per source: source_size, target, base, fraction and moved (null, or the bound that the
+    second step puts in the fraction's place: a further copy where u < moved)."""
     bins = narrow.groupBy("source", bin_of(F.col("u")).alias("bin")).agg(F.sum("size").alias("words"))
     wanted = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    at = wanted.select(F.col("source").alias("of"), "fraction")
+    met = narrow.join(at, F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(F.sum(F.when(drawn(), F.col("size")).otherwise(0)).alias("drawn"))
     upto = Window.partitionBy("source").orderBy("bin")
     bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words"))
     crossed = bins.join(wanted, same(bins, wanted)).select(bins["source"], "bin", (F.col("need") - F.col("before")).alias("rest"), "words")
@@ -90,28 +106,32 @@ def rates(narrow: DataFrame) -> DataFrame:
     cuts = inside.groupBy("source", "bin").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("u") + 1)).alias("last"))
     start = F.shiftleft(F.col("bin"), 4 * HASH_HEX - BIN_BITS)
     cuts = cuts.select("source", F.coalesce("last", start).alias("cut"))
-    joined = wanted.join(cuts, same(wanted, cuts), "left")
-    return joined.select(wanted["source"], "source_size", "target", "base", F.coalesce("cut", F.lit(0).cast("long")).alias("cut"))
+    joined = wanted.join(met, wanted["source"].eqNullSafe(met["of"]), "left").join(cuts, same(wanted, cuts), "left")
+    off = F.abs(F.coalesce("drawn", F.lit(0)) - F.col("need")) > F.col("target") * TOLERATED
+    moved = F.when(off, F.coalesce("cut", F.lit(0).cast("long")))
+    return joined.select(wanted["source"], "source_size", "target", "base", "fraction", moved.alias("moved"))
 
 
 def copies() -> Column:
-    return F.col("base") + F.when(F.col("u") < F.col("cut"), 1).otherwise(0)
+    further = F.when(F.col("moved").isNull(), drawn()).otherwise(F.col("u") < F.col("moved"))
+    return F.col("base") + F.when(further, 1).otherwise(0)
 
 
 def decided(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (size times copies) per document."""
+    """doc_id, size, source_size, target, copies, taken (size times copies), fraction and moved
+    (whether the second step moved the source's bound) per document."""
     narrow = written(sized(docs, seed), "mixing-sizes")
     rate = written(rates(narrow), "mixing-rates")
     joined = narrow.join(rate, narrow["source"].eqNullSafe(rate["source"]), "left")
-    out = joined.select("doc_id", "size", "source_size", "target", copies().alias("copies"))
+    out = joined.select("doc_id", "size", "source_size", "target", copies().alias("copies"), "fraction", F.col("moved").isNotNull().alias("moved"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents, each as many times as the mix repeats it."""
     narrow = written(sized(docs, seed), "mixing-sizes")
-    rate = written(rates(narrow), "mixing-rates").withColumnRenamed("source", "_source").select("_source", "base", "cut")
-    docs = docs.drop("_source", "base", "cut", "u", "_copy")
-    joined = docs.withColumn("u", hash_of(F.col("doc_id"), seed)).join(rate, F.col("source").eqNullSafe(F.col("_source")))
-    repeated = joined.withColumn("_n", copies()).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return repeated.select(*docs.columns)
+    rate = written(rates(narrow), "mixing-rates")
+    dropped(narrow)
+    rows = nested(docs, docs["source"].alias("of"), hash_of(docs["doc_id"], seed).alias("u"))
+    joined = rows.join(rate, rows["of"].eqNullSafe(rate["source"])).withColumn("n", copies()).filter("n > 0")
+    return joined.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("_doc.*")
