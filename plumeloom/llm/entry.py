@@ -45,13 +45,14 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("edited_tree.root").alias("edited_fingerprint"),
         merkle.likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
         merkle.likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+        merkle.first_edit(F.col("tree"), F.col("edited_tree")).alias("first_edit"),
     )
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
-    added = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     return chat.readback(chat.windowed(turns.unionByName(added)))
 
 
@@ -65,7 +66,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.decided(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.decided(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "fraction", "moved")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,20 +5,27 @@ from plumeloom.llm import merkle, mixing, rules
 _BLANK = r"[\x20\x09-\x0D]"
 _WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda w: w <> '')"
 
+_LEAF = merkle.LEAF.replace("{", "{{").replace("}", "}}")
 _TREE = rf"""
 {{n}}_l AS (SELECT doc_id, unnest(string_split({{t}}, chr(10))) AS line, generate_subscripts(string_split({{t}}, chr(10)), 1) AS i FROM {{of}}),
-{{n}}_h AS (SELECT doc_id, i, sha256(line) AS h, (right(sha256(line), 1) IN ('0', '8') OR line = '')::INT AS ends FROM {{n}}_l),
-{{n}}_s AS (SELECT doc_id, i, h, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {{n}}_h),
+{{n}}_f AS (SELECT doc_id, i, list_transform(string_split(regexp_replace(line, '{_LEAF}', '\1' || chr(1), 'g'), chr(1)), lambda x: sha256(x)) AS f FROM {{n}}_l),
+{{n}}_h AS (SELECT doc_id, i, f, sha256(array_to_string(f, '')) AS h FROM {{n}}_f),
+{{n}}_e AS (SELECT doc_id, i, h, (right(h, 1) IN ('0', '8') OR h = '{merkle.EMPTY}')::INT AS ends FROM {{n}}_h),
+{{n}}_s AS (SELECT doc_id, i, h, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {{n}}_e),
 {{n}}_r AS (SELECT doc_id, sha256(string_agg(hs, '' ORDER BY s)) AS root FROM (SELECT doc_id, s, sha256(string_agg(h, '' ORDER BY i)) AS hs FROM {{n}}_s GROUP BY doc_id, s) GROUP BY doc_id),
-{{n}} AS (SELECT o.*, root, list_distinct(string_split(regexp_replace({{t}}, '{merkle.PHRASE_END}', '\1' || chr(1), 'g'), chr(1))) AS ph FROM {{of}} o JOIN {{n}}_r USING (doc_id))"""
-_LIKE = "CASE WHEN {a}.root = {b}.root THEN 1.0::DOUBLE ELSE least(len(list_intersect({a}.ph, {b}.ph))::DOUBLE * 2.0::DOUBLE / (len({a}.ph) + len({b}.ph))::DOUBLE, 1.0::DOUBLE - 1.0::DOUBLE / (len({a}.ph) + len({b}.ph) + 1)::DOUBLE) END"
+{{n}}_c AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(f) AS x FROM {{n}}_h) GROUP BY doc_id, x),
+{{n}} AS (SELECT o.*, root, n FROM {{of}} o JOIN {{n}}_r USING (doc_id) JOIN (SELECT doc_id, sum(c)::BIGINT AS n FROM {{n}}_c GROUP BY doc_id) USING (doc_id))"""
+_LIKE = "CASE WHEN {a}.root = {b}.root THEN 1.0::DOUBLE ELSE least(coalesce({k}.m, 0)::DOUBLE * 2.0::DOUBLE / ({a}.n + {b}.n)::DOUBLE, 1.0::DOUBLE - 1.0::DOUBLE / ({a}.n + {b}.n + 1)::DOUBLE) END"
 
 OP5 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(doc_id) OVER (ORDER BY doc_id), min(doc_id) OVER ()) AS nid FROM d),
 e AS (SELECT n.doc_id, n.t, nid, left(n.t, length(n.t) - length(n.t) // 2) || left(x.t, length(n.t) // 2) AS et FROM n JOIN d x ON x.doc_id = nid),
-{_TREE.format(n="own", t="t", of="e")}, {_TREE.format(n="edited", t="et", of="e")}
-SELECT a.doc_id, length(a.t)::BIGINT AS n_chars, sha256(a.et) AS edited_sha256, a.root AS fingerprint, b.root AS edited_fingerprint, {_LIKE.format(a="a", b="b")} AS near_edited, {_LIKE.format(a="a", b="c")} AS near_next
-FROM own a JOIN edited b USING (doc_id) JOIN own c ON c.doc_id = a.nid"""
+{_TREE.format(n="own", t="t", of="e")}, {_TREE.format(n="edited", t="et", of="e")},
+ke AS (SELECT a.doc_id, sum(least(a.c, b.c))::BIGINT AS m FROM own_c a JOIN edited_c b ON b.doc_id = a.doc_id AND b.x = a.x GROUP BY a.doc_id),
+kn AS (SELECT a.doc_id, sum(least(a.c, b.c))::BIGINT AS m FROM own_c a JOIN e ON e.doc_id = a.doc_id JOIN own_c b ON b.doc_id = e.nid AND b.x = a.x GROUP BY a.doc_id),
+fe AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, min(coalesce(a.i, b.i)) - 1 AS at FROM own_h a FULL JOIN edited_h b ON a.doc_id = b.doc_id AND a.i = b.i WHERE a.h IS DISTINCT FROM b.h GROUP BY 1)
+SELECT a.doc_id, length(a.t)::BIGINT AS n_chars, sha256(a.et) AS edited_sha256, a.root AS fingerprint, b.root AS edited_fingerprint, {_LIKE.format(a="a", b="b", k="ke")} AS near_edited, {_LIKE.format(a="a", b="c", k="kn")} AS near_next, fe.at::BIGINT AS first_edit
+FROM own a JOIN edited b USING (doc_id) JOIN own c ON c.doc_id = a.nid LEFT JOIN ke ON ke.doc_id = a.doc_id LEFT JOIN kn ON kn.doc_id = a.doc_id LEFT JOIN fe ON fe.doc_id = a.doc_id"""
 
 _BITS = " | ".join(f"(CASE WHEN {r.fails} THEN {rules.BITS[r.name]} ELSE 0 END)" for r in rules.RULES)
 OP7 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
@@ -39,9 +46,10 @@ r AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER ())::DOUBLE * {flo
 f AS (SELECT arg_min(rest / weights, ratio) AS level FROM r WHERE rest / weights <= ratio),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM r, f),
 q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END::BIGINT AS base FROM t),
-n AS (SELECT *, target - base * source_size AS need FROM q),
-c AS (SELECT d.doc_id, d.size, d.u, n.source_size, n.target, n.base, n.need, sum(d.size) OVER (PARTITION BY n.source ORDER BY d.u) - d.size / 2.0::DOUBLE AS middle FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
-SELECT doc_id, size, source_size, target, size * (base + (need > 0 AND middle <= need)::INT) AS taken FROM c"""
+n AS (SELECT *, target - base * source_size AS need, CASE WHEN source_size = 0 THEN 0.0 ELSE (target - base * source_size) / source_size::DOUBLE END::DOUBLE AS fraction FROM q),
+c AS (SELECT d.doc_id, d.size, d.u, n.*, d.u::DOUBLE < n.fraction * {float(1 << 4 * mixing.HASH_HEX)}::DOUBLE AS drawn, sum(d.size) OVER (PARTITION BY n.source ORDER BY d.u) - d.size / 2.0::DOUBLE AS middle FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+o AS (SELECT *, abs((sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source))::DOUBLE - need) > target * {mixing.TOLERATED}::DOUBLE AS moved FROM c)
+SELECT doc_id, size, source_size, target, size * (base + (CASE WHEN moved THEN need > 0 AND middle <= need ELSE drawn END)::INT) AS taken, fraction, moved FROM o"""
 
 OP10 = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}+'), lambda w: w <> '') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),

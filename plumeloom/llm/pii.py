@@ -8,7 +8,7 @@ of the kind's context within NEAR code points raise it, words that speak against
 of made-up data) lower it. The four base kinds are reported by their checks alone, with their score;
 an added kind also needs a score of MIN_SCORE.
 
-redacted() puts kinds in place of the very spans that found() reports, in one pass.
+redacted() puts kinds in place of the very spans that found() reports.
 
 Defined cases. A null or empty text has no spans and redacts to itself. Rows are handled one by
 one, so repeated rows give repeated results and a null doc_id is kept. Spans of two kinds may
@@ -83,8 +83,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"phone|tel|call|mobile|fax|number"),
     Kind("iban", _iban(), "", 0.6, r"iban|bank|account|konto|compte|cuenta", r"serial|article", True),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", 0.3, r"ssn|social|security|tax", r"serial|order|part|isbn|invoice", True),
-    Kind("tel", r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", "", 0.3, r"phone|tel\b|call|mobile|fax", r"order|serial", True),
-    Kind("ip6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])", ":", 0.6, r"\bip|host|server|address|client", "", True),
+    Kind("tel", r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])", "", 0.3, r"phone|tel\b|call|mobile|fax", r"order|serial", True),
+    Kind("ip6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]|\.[0-9])", ":", 0.6, r"\bip|host|server|address|client", "", True),
     Kind("secret", rf"(?i)(?<![A-Za-z0-9])(?:{_NAMED})[\"']?[\x20\t]?[:=][\x20\t]?[\"']?[A-Za-z0-9+/_.~=-]{{8,}}+[\"']?", "", 0.6, r"config|deploy|login|env|auth", "", True),
     Kind("token", rf"(?<![A-Za-z0-9_-])(?:{_ISSUED})(?![A-Za-z0-9_-])", "", 0.8, r"key|token|secret|auth", "", True),
     Kind("key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?", "PRIVATE KEY-----", 0.9, r"ssh|rsa|pem", "", True),
@@ -233,8 +233,14 @@ def _replaced(text: Column, spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every span that found() reports by its kind in brackets; other texts stay as they are."""
-    columns = docs.columns
+    """Replace every span that found() reports by its kind in brackets; other texts stay as they are.
+
+    Texts with spans are searched a second time: a phone number, say, that ran into an address with
+    digits and had too many can be told from it once the address is gone.
+    """
+    spans, left = F.col("pii_spans"), F.col("_text")
     out = found(nested(docs, F.col(text).alias("_text")), "_text")
-    out = out.withColumn("_text", F.when(F.size("pii_spans") > 0, _replaced(F.col("_text"), F.col("pii_spans"))).otherwise(F.col("_text")))
-    return out.select(*[F.col("_text").alias(c) if c == text else F.col("_doc")[c].alias(c) for c in columns])
+    out = out.withColumn("_text", F.when(F.size(spans) > 0, _replaced(left, spans)).otherwise(left))
+    again = out.select("_doc", left, F.when(F.size(spans) > 0, left).otherwise(F.lit("")).alias("_again"))
+    out = found(again, "_again").withColumn("_text", F.when(F.size(spans) > 0, _replaced(left, spans)).otherwise(left))
+    return out.select(*[left.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])
