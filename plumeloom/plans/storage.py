@@ -44,3 +44,12 @@ def dropped(*tables: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.written_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let the cluster delete the shuffle files of queries that are done.
+
+    Executors keep them until the driver's JVM has collected the query that they belong to, which in
+    a job of many queries may be at its end. What is lost is nothing: finished queries were written.
+    """
+    spark._jvm.System.gc()
