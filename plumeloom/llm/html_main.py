@@ -238,6 +238,8 @@ NOTICES = "cookie consent notice alert gdpr popup modal newsletter subscribe war
 REPLIES = "comments comment replies reply discussion responses respond disqus thread".split()
 FORMS = "form search login signup contact".split()
 BODIES = "article content post entry main story text body page".split()
+#: Words that say nothing.
+PLAIN = "x x1 row col inner wrapper wrap container box block item clearfix left center section c1 module component".split()
 
 
 def labelled_page(seed: int) -> tuple[str, list[int]]:
@@ -245,6 +247,7 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     rnd = random.Random(seed)
     labels = [0]
     pick, chance = rnd.choice, lambda p: rnd.random() < p
+    plain = chance(0.4)  # pages whose elements have classes that say nothing
 
     def word() -> str:
         return "".join(pick(("an", "er", "th", "on", "in", "le", "ou", "sch", "re", "ció", "to", "vi")) for _ in range(rnd.randint(1, 4)))
@@ -263,6 +266,8 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
         """inner: strings, and functions that write child nodes (called in page order)."""
         labels.append(label)
         attribute = f' {pick(("class", "id"))}="{pick(named)}{pick(("", "", "-box", " x1"))}"' if named and chance(p) else ""
+        if not attribute and plain and chance(0.6):
+            attribute = f' class="{pick(PLAIN)}{pick(("", f"-{word()}", f" {pick(PLAIN)}"))}"'
         body = "".join(x() if callable(x) else x for x in inner)
         return f"<{tag}{attribute}>{body}" + (f"</{tag}>" if closed else "")
 
