@@ -5,12 +5,12 @@ rate is its target over its size. A document is emitted floor(rate) times, plus
 Bernoulli draw: if its hash, a number from 0 to 1 drawn from its id and the seed, lies under the
 fraction of the rate.
 
-A second step corrects sources that the draw leaves off their target. The draw meets it only on
-average; a source of a few long documents may miss it by several per cent. Where the words drawn
-are further than TOLERATED from the target, the bound moves from the fraction to the nearest hash
-at which they meet it, so that just the documents with hashes between the two are decided anew.
-The bound is found by a histogram of hashes per source, then inside the one bin where the target
-is crossed, so no source is ever sorted in one task.
+A second step corrects what the draw leaves off the target: it meets it only on average, and a
+source of a few long documents may miss it by several per cent. The bound on the hashes moves from
+the fraction to the nearest hash at which the words taken meet the target, so that just the
+documents with hashes between the two are decided anew; decided() tells both decisions. The bound is
+found by a histogram of hashes per source, then inside the one bin where the target is crossed, so
+no source is ever sorted in one task.
 
 Decisions need only a document's own row and its source's row: texts are not shuffled. The table
 of sources is small; Spark broadcasts it if its measured size allows, else joins it by key.
@@ -35,8 +35,6 @@ WEIGHTS = (3, 1, 2)
 BUDGET = Fraction(3, 2)
 MOST_REPEATS = 2
 SEED = "mix-1"
-#: Of a source's target: what the draw may be off before it is corrected.
-TOLERATED = 0.01
 #: Hashes are whole numbers below 2**60; their upper 12 bits are the histogram's bin.
 HASH_HEX, BIN_BITS = 15, 12
 
@@ -82,18 +80,20 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def drawn() -> Column:
-    """The Bernoulli draw: a hash, as a number from 0 to 1, under the fraction."""
-    return F.col("u").cast("double") < F.col("fraction") * float(1 << 4 * HASH_HEX)
+    """Copies by the Bernoulli draw: a hash, as a number from 0 to 1, under the fraction."""
+    return F.col("base") + F.when(F.col("u").cast("double") < F.col("fraction") * float(1 << 4 * HASH_HEX), 1).otherwise(0)
+
+
+def copies() -> Column:
+    """Copies after the second step."""
+    return F.col("base") + F.when(F.col("u") < F.col("cut"), 1).otherwise(0)
 
 
 def rates(narrow: DataFrame) -> DataFrame:
-    """Per source: source_size, target, base, fraction and moved (null, or the bound that the
-    second step puts in the fraction's place: a further copy where u < moved)."""
+    """Per source: source_size, target, base, fraction and cut (a further copy where u < cut)."""
     bins = narrow.groupBy("source", bin_of(F.col("u")).alias("bin")).agg(F.sum("size").alias("words"))
     wanted = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    at = wanted.select(F.col("source").alias("of"), "fraction")
-    met = narrow.join(at, F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(F.sum(F.when(drawn(), F.col("size")).otherwise(0)).alias("drawn"))
     upto = Window.partitionBy("source").orderBy("bin")
     bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words"))
     crossed = bins.join(wanted, same(bins, wanted)).select(bins["source"], "bin", (F.col("need") - F.col("before")).alias("rest"), "words")
@@ -106,24 +106,17 @@ def rates(narrow: DataFrame) -> DataFrame:
     cuts = inside.groupBy("source", "bin").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("u") + 1)).alias("last"))
     start = F.shiftleft(F.col("bin"), 4 * HASH_HEX - BIN_BITS)
     cuts = cuts.select("source", F.coalesce("last", start).alias("cut"))
-    joined = wanted.join(met, wanted["source"].eqNullSafe(met["of"]), "left").join(cuts, same(wanted, cuts), "left")
-    off = F.abs(F.coalesce("drawn", F.lit(0)) - F.col("need")) > F.col("target") * TOLERATED
-    moved = F.when(off, F.coalesce("cut", F.lit(0).cast("long")))
-    return joined.select(wanted["source"], "source_size", "target", "base", "fraction", moved.alias("moved"))
-
-
-def copies() -> Column:
-    further = F.when(F.col("moved").isNull(), drawn()).otherwise(F.col("u") < F.col("moved"))
-    return F.col("base") + F.when(further, 1).otherwise(0)
+    joined = wanted.join(cuts, same(wanted, cuts), "left")
+    return joined.select(wanted["source"], "source_size", "target", "base", "fraction", F.coalesce("cut", F.lit(0).cast("long")).alias("cut"))
 
 
 def decided(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken (size times copies), fraction and moved
-    (whether the second step moved the source's bound) per document."""
+    """doc_id, size, source_size, target, fraction, drawn (copies by the draw), copies (after the
+    second step) and taken (size times copies) per document."""
     narrow = written(sized(docs, seed), "mixing-sizes")
     rate = written(rates(narrow), "mixing-rates")
     joined = narrow.join(rate, narrow["source"].eqNullSafe(rate["source"]), "left")
-    out = joined.select("doc_id", "size", "source_size", "target", copies().alias("copies"), "fraction", F.col("moved").isNotNull().alias("moved"))
+    out = joined.select("doc_id", "size", "source_size", "target", "fraction", drawn().alias("drawn"), copies().alias("copies"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
