@@ -66,7 +66,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.decided(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "fraction", "moved")
+    return mixing.decided(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "fraction", "drawn")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

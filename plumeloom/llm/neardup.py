@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import itertools
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeloom.plans.graph import components
-from plumeloom.plans.storage import dropped, written
+from plumeloom.plans.storage import dropped, released, written
 
 SHINGLE = 5
 #: A similarity of PART / WHOLE links.
@@ -87,19 +87,25 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def hashes_of(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+
+
+def shingles_of(h: np.ndarray) -> np.ndarray:
+    """A 64-bit word of each run of SHINGLE words, from the words' hashes."""
+    n = max(0, len(h) - SHINGLE + 1)
+    return _mix(sum((h[k : k + n] * _PLACE[k] for k in range(SHINGLE)), np.zeros(n, np.uint64)))
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """The distinct shingles as sorted 64-bit words."""
     words = words_of(text or "")
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = hashes_of(words, len(words))
     if len(words) < SHINGLE:
         return _mix((h * _PLACE[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-    n = len(h) - SHINGLE + 1
-    total = h[:n] * _PLACE[0]
-    for k in range(1, SHINGLE):
-        total = total + h[k : k + n] * _PLACE[k]
-    return np.unique(_mix(total))
+    return np.unique(shingles_of(h))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -130,22 +136,27 @@ class Sketcher:
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """n, two digest words and (texts, collections) words of each text; 0 for empty sets."""
         words = [words_of(t or "") for t in texts]
-        counts = np.array([len(w) for w in words])
-        owner = np.repeat(np.arange(len(words)), counts)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(words)), np.uint64, int(counts.sum()))
+        counts = np.array([len(w) for w in words], np.int64)
+        return self.of_words(hashes_of(itertools.chain.from_iterable(words), int(counts.sum())), np.repeat(np.arange(len(words)), counts), len(words))
+
+    def of_words(self, h: np.ndarray, owner: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same from the words' hashes, in order, and the unit (not falling) of each."""
+        counts = np.bincount(owner, minlength=units)
+        few = counts[owner] < SHINGLE
+        place = np.arange(len(h)) - (np.cumsum(counts) - counts)[owner]
+        short = np.flatnonzero(few & (place == 0))
+        parts = h[few] * _PLACE[place[few]]
+        sums = np.add.reduceat(parts, np.flatnonzero(place[few] == 0)) if len(short) else parts
         long_enough = max(0, len(h) - SHINGLE + 1)
-        shingles = sum((h[k : k + long_enough] * _PLACE[k] for k in range(SHINGLE)), np.zeros(long_enough, np.uint64))
         inside = owner[:long_enough] == owner[SHINGLE - 1 :] if long_enough else np.zeros(0, bool)
-        shingles, owner = _mix(shingles[inside]), owner[:long_enough][inside]
-        few = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-        shingles = np.concatenate([shingles, *[shingle_set(texts[k]) for k in few]])
-        owner = np.concatenate([owner, few])
+        shingles = np.concatenate([shingles_of(h)[inside], _mix(sums + counts[owner[short]].astype(np.uint64))])
+        owner = np.concatenate([owner[:long_enough][inside], owner[short]])
         order = np.lexsort((shingles, owner))
         shingles, owner = shingles[order], owner[order]
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (shingles[1:] != shingles[:-1])
         shingles, owner = shingles[new], owner[new]
-        n, digest, cols = np.bincount(owner, minlength=len(texts)), np.zeros((2, len(texts)), np.uint64), np.zeros((len(texts), self.shape[0]), np.uint64)
+        n, digest, cols = np.bincount(owner, minlength=units), np.zeros((2, units), np.uint64), np.zeros((units, self.shape[0]), np.uint64)
         if len(owner):
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             at = owner[first]
@@ -160,21 +171,28 @@ class Sketcher:
 CHARS_AT_ONCE = 2_000_000
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Whole texts (null as empty) in lists of about CHARS_AT_ONCE characters, each with its first's place."""
+    begin = 0
+    while begin < len(texts):
+        chars, part = 0, []
+        while begin + len(part) < len(texts) and chars < CHARS_AT_ONCE:
+            part.append(texts[begin + len(part)].as_py() or "")
+            chars += len(part[-1])
+        yield begin, part
+        begin += len(part)
+
+
+def lists_of(cols: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(cols) + 1) * cols.shape[1], pa.int32()), pa.array(cols.ravel()))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], banding: Banding, carried: int) -> Iterator[pa.RecordBatch]:
     sketch = Sketcher(banding)
     for batch in batches:
-        texts, begin = batch.column(carried), 0
-        while begin < len(texts):
-            end, chars, part = begin, 0, []
-            while end < len(texts) and chars < CHARS_AT_ONCE:
-                part.append(texts[end].as_py())
-                chars += len(part[-1] or "")
-                end += 1
+        for begin, part in portions(batch.column(carried)):
             n, high, low, cols = sketch(part)
-            size = cols.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * size, pa.int32()), pa.array(cols.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(begin, len(part)) for k in range(carried)], *map(pa.array, (n, high, low)), lists], names=[*batch.schema.names[:carried], "n", "da", "db", "cols"])
-            begin = end
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(begin, len(part)) for k in range(carried)], *map(pa.array, (n, high, low)), lists_of(cols)], names=[*batch.schema.names[:carried], "n", "da", "db", "cols"])
 
 
 def sketched(units: DataFrame, names: list[str], banding: Banding) -> DataFrame:
@@ -306,24 +324,22 @@ def _chance_pairs(hot: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS, carried: tuple[str, ...] = ()) -> DataFrame:
-    """units (keys, carried, text) -> keys, carried, n and root, the row number of the least class of
-    a row's component; null where the set is empty."""
-    units = units.withColumn("_hash", F.xxhash64("text"))
-    sketches = sketched(units, [*keys, *carried, "_hash"], banding)
+def grouped(sketches: DataFrame, keys: list[str], banding: Banding, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """da, db and root, the row number of the least class of its component, for each class.
+
+    sketches: keys, n, da, db, cols, rid. texts_of gives node, da, db and text for rows node, da, db
+    and keys, which are the row that speaks for a class; it may give a row more than once.
+    """
     some = sketches.filter("n > 0")
-    classes = some.groupBy("da", "db").agg(F.min_by(F.struct("n", "cols", *keys, "_hash"), "rid").alias("h"), F.min("rid").alias("node"))
+    classes = some.groupBy("da", "db").agg(F.min_by(F.struct("n", "cols", *keys), "rid").alias("h"), F.min("rid").alias("node"))
     classes = written(classes.select("da", "db", "node", "h.*"), "classes")
     buckets = _buckets(classes, banding)
-    wanted = buckets.select("node").distinct().join(classes.select("node", "da", "db", *keys, "_hash"), "node")
-    of = wanted.select("node", "da", "db", F.col("_hash").alias("_of"), *[F.col(k).alias(f"_{k}") for k in keys])
-    same = units["_hash"] == of["_of"]  # null or repeated ids meet their own text only
-    for k in keys:
-        same = same & units[k].eqNullSafe(of[f"_{k}"])
-    texts = written(units.join(of, same).select("node", "da", "db", "text"), "candidate-texts")
+    wanted = buckets.select("node").distinct().join(classes.select("node", "da", "db", *keys), "node")
+    texts = written(texts_of(wanted), "candidate-texts")
     if not texts.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat a key and a text
-        repeated, texts = texts, written(texts.dropDuplicates(["node", "text"]), "candidate-texts")
+        repeated, texts = texts, written(texts.dropDuplicates(["node"]), "candidate-texts")
         dropped(repeated)
+    released(sketches.sparkSession)
 
     sizes = classes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"))
     stars = buckets.filter("node <> lead").select("lead", "node", "n").distinct().join(sizes, "lead").filter(_alike("n", "lead_n"))
@@ -340,10 +356,12 @@ def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS, car
         roots = components(as_links(roots).unionByName(more))
         dropped(split, more)
         split = _rest(buckets, roots)
+    released(sketches.sparkSession)
     pairs = _strays(split.filter(F.col("pairs") <= DIRECT_PAIRS).select("key", "node", "n", "root"), "key", _alike("n_x", "n_y"))
     hot = split.filter(F.col("pairs") > DIRECT_PAIRS)
     if not hot.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(hot.select("node", "root").distinct(), texts)).distinct()
+        prefix = _prefix_pairs(hot.select("node", "root").distinct(), texts)
+        pairs = pairs.unionByName(prefix).distinct()
     more = _links(pairs, texts)
     if not more.isEmpty():
         roots = components(as_links(roots).unionByName(more))
@@ -351,13 +369,28 @@ def grouped(units: DataFrame, keys: list[str], banding: Banding = DOCUMENTS, car
     rooted = classes.select("da", "db", "node").join(roots, "node", "left").select("da", "db", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "roots")
     dropped(classes, buckets, texts, split, links, more)
-    return sketches.select(*keys, *carried, "n", "da", "db").join(rooted, ["da", "db"], "left").drop("da", "db")
+    released(sketches.sparkSession)
+    return rooted
+
+
+def _document_texts(units: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        of = wanted.select("node", "da", "db", F.col("_hash").alias("_of"), *[F.col(k).alias(f"_{k}") for k in keys])
+        same = units["_hash"] == of["_of"]  # null or repeated ids meet their own text only
+        for k in keys:
+            same = same & units[k].eqNullSafe(of[f"_{k}"])
+        return units.join(of, same).select("node", "da", "db", "text")
+
+    return texts_of
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = DOCUMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of docs."""
-    units = docs.select("doc_id", "text")
-    all_rows = written(grouped(units, ["doc_id"], banding), "grouped")
+    units = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    sketches = sketched(units, ["doc_id", "_hash"], banding)
+    rooted = grouped(sketches, ["doc_id", "_hash"], banding, _document_texts(units, ["doc_id"]))
+    all_rows = written(sketches.select("doc_id", "n", "da", "db").join(rooted, ["da", "db"], "left").drop("da", "db"), "grouped")
+    dropped(sketches, rooted)
     least = all_rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = all_rows.join(least, "root", "left")
     out = out.withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -366,5 +399,5 @@ def near_duplicates(docs: DataFrame, banding: Banding = DOCUMENTS) -> DataFrame:
 
 def deduplicated(docs: DataFrame, banding: Banding = DOCUMENTS) -> DataFrame:
     """The documents that near_duplicates() keeps. Rows that repeat a kept id all stay."""
-    kept = near_duplicates(docs, banding).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs, banding).filter("kept").select("doc_id").distinct()
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")

@@ -47,9 +47,8 @@ f AS (SELECT arg_min(rest / weights, ratio) AS level FROM r WHERE rest / weights
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM r, f),
 q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END::BIGINT AS base FROM t),
 n AS (SELECT *, target - base * source_size AS need, CASE WHEN source_size = 0 THEN 0.0 ELSE (target - base * source_size) / source_size::DOUBLE END::DOUBLE AS fraction FROM q),
-c AS (SELECT d.doc_id, d.size, d.u, n.*, d.u::DOUBLE < n.fraction * {float(1 << 4 * mixing.HASH_HEX)}::DOUBLE AS drawn, sum(d.size) OVER (PARTITION BY n.source ORDER BY d.u) - d.size / 2.0::DOUBLE AS middle FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
-o AS (SELECT *, abs((sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source))::DOUBLE - need) > target * {mixing.TOLERATED}::DOUBLE AS moved FROM c)
-SELECT doc_id, size, source_size, target, size * (base + (CASE WHEN moved THEN need > 0 AND middle <= need ELSE drawn END)::INT) AS taken, fraction, moved FROM o"""
+c AS (SELECT d.doc_id, d.size, d.u, n.*, sum(d.size) OVER (PARTITION BY n.source ORDER BY d.u) - d.size / 2.0::DOUBLE AS middle FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size, source_size, target, size * (base + (need > 0 AND middle <= need)::INT) AS taken, fraction, base + (u::DOUBLE < fraction * {float(1 << 4 * mixing.HASH_HEX)}::DOUBLE)::INT AS drawn FROM c"""
 
 OP10 = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}+'), lambda w: w <> '') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),

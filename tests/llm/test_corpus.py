@@ -1,6 +1,8 @@
 import collections
+import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import duckdb
@@ -123,6 +125,9 @@ def test_mixing(docs, texts, empty):
         g = got[r.doc_id]
         assert g["size"] == len(brute.words(texts[r.doc_id])) and g.source_size == sizes[r.source]
         assert abs(g.target - want[r.source]) < 1e-6 * max(1, want[r.source]) and g.taken <= 2 * g["size"]
+        rate = want[r.source] / sizes[r.source] if sizes[r.source] else 0
+        u = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:15], 16) / 2**60
+        assert g.drawn == int(rate) + (u < rate % 1) and abs(g.fraction - rate % 1) < 1e-9 and abs(g.copies - rate) < 1
         taken[r.source] += g.taken * (2 if r.doc_id == 20_000 else 1)
         largest[r.source] = max(largest[r.source], g["size"])
     for s in sizes:
@@ -130,7 +135,7 @@ def test_mixing(docs, texts, empty):
     emitted = collections.Counter(r.doc_id for r in mixing.mixed(docs).select("doc_id").collect())
     for i, g in got.items():
         assert emitted.get(i, 0) * g["size"] == g.taken * (2 if i == 20_000 else 1)
-    clashing = docs.withColumns({c: F.lit(k) for k, c in enumerate(("u", "base", "cut", "of", "n", "_doc", "_source", "_copy", "fraction", "moved"))})
+    clashing = docs.withColumns({c: F.lit(k) for k, c in enumerate(("u", "base", "cut", "of", "n", "_doc", "_source", "_copy", "fraction", "drawn"))})
     assert mixing.mixed(clashing).columns == clashing.columns and mixing.mixed(clashing).select("_doc", "u").distinct().collect() == [(5, 0)]
     assert mixing.decided(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
@@ -239,7 +244,9 @@ def test_near_duplicates(docs, texts, empty):
     want = brute.components(sets)
     for r in rows:
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id), r.doc_id
-    kept = {r.doc_id for r in neardup.deduplicated(docs).collect()}
+    clashing = docs.withColumns({c: F.lit(k) for k, c in enumerate(("_id", "kept", "n", "da", "rid", "_hash"))})
+    assert neardup.deduplicated(clashing).columns == clashing.columns
+    kept = {r.doc_id for r in neardup.deduplicated(clashing).collect()}
     assert kept == {i for i in want if want[i] == i}
     assert neardup.near_duplicates(empty).count() == 0
 
@@ -293,6 +300,15 @@ def test_null_ids_of_many_texts(spark):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id is not None)
 
 
+def test_many_null_ids_of_near_copies(spark):
+    """Rows without an id, of which all are near copies, meet only themselves: no text is doubled."""
+    base = [f"b{k}" for k in range(60)]
+    rows = [(None if k else 3, " ".join(base[: k % 50] + [f"e{k}"] + base[k % 50 + 1 :])) for k in range(5000)]
+    rows += [(1, " ".join(f"q{k}{j}" for j in range(40))) for k in range(3)] * 2 + [(2, " ".join(f"q1{j}" for j in range(39)) + " z")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert collections.Counter(r.component_id for r in got) == {3: 5000, 1: 7}
+
+
 def test_passages(spark, docs, empty):
     rnd = random.Random(3)
     word = lambda: f"w{rnd.randrange(10**6)}"
@@ -301,24 +317,78 @@ def test_passages(spark, docs, empty):
     edited[30] = "other"
     rows = [(k, "\n".join([" ".join(word() for _ in range(40)), " ".join(planted if k % 2 else edited) if k < 10 else "short line", " ".join(word() for _ in range(30))])) for k in range(30)]
     df = spark.createDataFrame([*rows, (None, " ".join(planted)), (99, None)], "doc_id long, text string")
-    got = passages.repeated(df).collect()
-    assert {r.doc_id for r in got} == {*range(10), None}
+    found = passages.repeated(df).collect()
+    got = [r for r in found if r.para is not None]
+    assert {r.doc_id for r in got} == {r.doc_id for r in found} == {*range(10), None}
     assert all(r.n_copies == 11 and r.kept_doc_id == 0 and r.removed == (r.doc_id != 0) for r in got)
     text = dict(rows)
     assert all(text[r.doc_id][r.start : r.start + r.length] == text[r.doc_id].split("\n")[r.para] for r in got if r.doc_id is not None)
-    clean = by_id(passages.removed(df))
-    assert clean[1].text.count("\n") == 1 and clean[20].text == text[20] and clean[99].text is None
-    assert passages.repeated(empty).count() == 0
-    assert 0.25 ** passages.tuned().collections <= passages.TOLERATED
-    sets = {}
-    for r in docs.select("doc_id", "text").distinct().collect():
-        for k, line in enumerate((r.text or "").split("\n")):
-            if len(brute.words(line)) >= passages.MIN_WORDS:
-                sets[r.doc_id, k] = brute.shingles(line)
-    roots = brute.components(sets)
-    size = collections.Counter(roots.values())
-    found = {(r.doc_id, r.para): (r.kept_doc_id, r.kept_para) for r in passages.repeated(docs.select("doc_id", "text").distinct()).collect()}
-    assert found == {i: root for i, root in roots.items() if size[root] > 1}
+    assert all(set(text[r.doc_id][r.start : r.start + r.length].split()) <= {*planted, "other"} for r in found if r.doc_id is not None)
+    clean = by_id(passages.removed(df.withColumns({"row": F.lit("r"), "spans": F.lit(1), "of": F.lit(2), "_id": F.lit(3), "start": F.lit(4)})))
+    assert clean[1].text.count("\n") == 1 and clean[20].text == text[20] and clean[99].text is None and clean[0].text == text[0]
+    assert (clean[1].row, clean[1].spans, clean[1]["of"], clean[1]["_id"], clean[1].start) == ("r", 1, 2, 3, 4)
+    assert passages.repeated(empty).count() == 0 and passages.removed(empty).columns == empty.columns
+    miss = 1 - 0.75 ** passages.tuned().hashes
+    assert miss ** passages.tuned().collections <= passages.TOLERATED
+    once = docs.select("doc_id", "text").distinct()
+    for least in (passages.MIN_WORDS, 1):
+        sets = {}
+        for r in once.collect():
+            for k, line in enumerate((r.text or "").split("\n")):
+                if len(brute.words(line)) >= least:
+                    sets[r.doc_id, k] = brute.shingles(line)
+        roots = brute.components(sets)
+        size = collections.Counter(roots.values())
+        got = {(r.doc_id, r.para): (r.kept_doc_id, r.n_copies) for r in passages.repeated(once, least).collect() if r.para is not None}
+        assert got == {i: (root[0], size[root]) for i, root in roots.items() if size[root] > 1}
+
+
+def test_passages_inside_and_over_lines(spark):
+    """A run of REACH words is found wherever its words stand, and what is cut of it has a copy that stays."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    words = lambda n: [word() for _ in range(n)]
+    runs = [words(n) for n in (50, 51, 60, 90, 200)]
+    rows, short = [], words(10)
+    for k, run in enumerate(runs):
+        rows.append((10 * k, " ".join(words(35) + run + words(61))))
+        rows.append((10 * k + 1, "\n".join([" ".join(words(12)), *[" ".join(run[i : i + 7]) for i in range(0, len(run), 7)], " ".join(words(19))])))
+        rows.append((10 * k + 2, " ".join(words(90) + [w.upper() for w in run]) + "\n" + " ".join(words(5))))
+    rows += [(900, " ".join(words(40) + short + words(40))), (901, " ".join(words(30) + short + words(50))), (902, "again " * 300), (903, "tiny")]
+    rows += [(None, " ".join(words(30) + runs[2])), (None, " ".join(words(10) + runs[3])), (904, " ".join(runs[4][:25]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = passages.repeated(df).collect()
+    text = {i: t for i, t in rows if i is not None}
+    for k, run in enumerate(runs):
+        for i in range(10 * k, 10 * k + 3):
+            held = [text[i][r.start : r.start + r.length].lower().split() for r in found if r.doc_id == i]
+            assert len(held) == 1 and len(held[0]) > max(23, len(run) - 2 * passages.SLIDING) and " ".join(held[0]) in " ".join(run), i
+            assert all(r.removed == (i % 10 > 0) and r.kept_doc_id == 10 * k for r in found if r.doc_id == i)
+    assert {r.doc_id for r in found} - {None, 902} == {10 * k + j for k in range(5) for j in range(3)}
+    assert sum(r.doc_id is None for r in found) == 2
+    clean = {r.doc_id: r.text for r in passages.removed(df).collect() if r.doc_id is not None}
+    assert all((clean[i] == t) == (i % 10 == 0 or i >= 900 and i != 902) for i, t in text.items())
+
+
+def test_every_shared_run_is_found(spark):
+    """Brute force: all places of 50 words that another document or place shares word for word."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    places, spans = collections.defaultdict(list), {}
+    for r in table.collect():
+        spans[r.doc_id] = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", r.text or "")]
+        w = [(r.text[a:b]).lower() for a, b in spans[r.doc_id]]
+        for k in range(len(w) - 49):
+            places[hash(tuple(w[k : k + 50]))].append((r.doc_id, k))
+    held = collections.defaultdict(list)
+    for r in passages.repeated(table).collect():
+        held[r.doc_id].append((r.start, r.start + r.length))
+    runs = missed = 0
+    for same in places.values():
+        for i, k in same if len(same) > 1 else ():
+            a, b = spans[i][k][0], spans[i][k + 49][1]
+            runs += 1
+            missed += not any(min(b, y) > max(a, x) for x, y in held[i])
+    assert runs > 10_000 and missed == 0
 
 
 def test_merkle(spark, docs, texts, empty):
