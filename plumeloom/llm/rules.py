@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumeloom.llm.text import BLANKS, fenced, total, trimmed, whole, without, words_of_trimmed
+from plumeloom.llm.text import BLANKS, fenced, nested, total, trimmed, unnested, whole, without, words_of_trimmed
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims")
@@ -64,7 +64,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     places give the number of words that they cover.
     """
     none = F.array().cast("array<bigint>")
-    out = docs.withColumn("_text", whole(F.col(text))).withColumn("_trim", trimmed(F.col(text)))
+    out = nested(docs, whole(F.col(text)).alias("_text"), trimmed(F.col(text)).alias("_trim"))
     out = out.withColumn("_words", words_of_trimmed(F.col("_trim")))
     out = out.withColumn("n_words", F.size("_words").cast("long"))
     windows = F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))
@@ -88,7 +88,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_exclaims": (F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("!"), F.lit("")))).cast("long"),
         }
     ).drop("_text", "_trim", "_words", "_hashes", "_placed", "_at", "_lines")
-    return fenced(out, *MEASURES)
+    return unnested(fenced(out, *MEASURES), docs.columns, *MEASURES)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
