@@ -1,6 +1,8 @@
 import collections
+import functools
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -12,7 +14,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import brute
-from plumeloom.llm import chat, entry, html_main, license_scan, merkle, mixing, neardup, packing, passages, pii, rules
+from plumeloom.llm import chat, entry, html_main, license_scan, license_texts, merkle, mixing, neardup, packing, passages, pii, rules
+
+from plumeloom.plans.storage import written
 
 SF = "/root/testdata/sf0.001"
 HARD = [
@@ -523,8 +527,6 @@ def test_html_keeps_what_follows_open_elements(spark):
 
 def test_message_passing_is_exact():
     """Marginals equal sums over all labellings of a small tree."""
-    import math
-
     model = html_main.trained()
     page = html_main.parsed("<body><div class=post><p>Some words here.</p><p>More.</p></div><footer>End</footer></body>")
     prob = model.marginals(page)[0]
@@ -556,6 +558,71 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan(docs, license_scan.path_of()).count() == docs.count()
 
 
+def test_license_files_and_headers(spark):
+    t = dict(license_texts._LINES)
+    wrap = lambda text, mark="": "\n".join(mark + " ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9))
+    prose = " ".join(f"word{k % 40} and of the {k}" for k in range(200))
+    mit = "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + "\n\n".join(map(wrap, license_texts._MIT.split("\n")))
+    rows = [
+        (1, "/a/LICENSE", mit, "MIT", "file"), (2, "/b/LICENSE", wrap(license_texts._GNU_TITLE.format(name="", version="3", date="29 June 2007", year="2007")) + "\n\n" + prose, "GPL-3.0", "file"),
+        (3, "/c/LICENSE.txt", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n" + prose, "Apache-2.0", "file"), (4, "/d/LICENSE", "SPDX-License-Identifier: MIT", "MIT", "file"),
+        (5, "/e/x.py", wrap(license_texts._APACHE, "# ") + "\n\n" + prose, "Apache-2.0", "own"), (6, "/e/y.py", f"{prose}. Copyright (c) 2021 Jane Doe. All rights reserved. {prose}", "All-Rights-Reserved", "own"),
+        (7, "/f/COPYING", license_texts._BSD_HEAD + "\n" + license_texts._BSD_3 + "\n" + license_texts._BSD_END, "BSD-3-Clause", "file"), (8, "/f/g/h/z", prose, "BSD-3-Clause", "inherited"), (9, "/e/w", "/* SPDX-License-Identifier: GPL-3.0 */\n" + prose, "GPL-3.0", "own"),
+        (10, "/e/v", prose, None, "none"), (11, "/e/u", t["MPL-2.0"] + "\n\n" + prose, "MPL-2.0", "own"),
+    ]
+    many = [(100 + k, f"/many/{k}", f"{prose} {k}", None, "none") for k in range(300)]
+    for table in (rows, rows + many):  # a corpus that grows changes no verdict
+        df = spark.createDataFrame([r[:3] for r in table], "doc_id long, path string, text string").withColumns({"license": F.lit("x"), "of": F.lit(1), "n": F.lit(2)})
+        got = {r.doc_id: (r.license, r.found) for r in license_scan.scan(df, F.col("path")).collect()}
+        assert got == {r[0]: r[3:] for r in table}
+
+
+def test_licenses_equal_a_plain_version(spark, docs):
+    """Every unit against every template, without anchors, and every directory above a document."""
+    rows = [(r.doc_id, r.text or "", license_path(r)) for r in docs.collect()]
+    words = lambda text: re.findall(license_scan.WORD, text.lower())
+    df = collections.Counter(w for _, t, _ in rows for w in set(words(t)))
+    weight = lambda w: 1 - math.log(max(df[w] / len(rows), license_scan.RAREST))
+    vector = lambda text: {w: (1 + math.log(k)) * weight(w) for w, k in collections.Counter(words(text)).items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, vector(text)) for name, text in license_texts.TEMPLATES]
+
+    @functools.cache
+    def best(unit):
+        v = vector(unit)
+        return min(((-round(sum(x * t.get(w, 0) for w, x in v.items()) / length(v) / length(t), 9), name) for name, t in templates), default=None) if v else None
+
+    own, files = {}, {}
+    for i, text, path in rows:
+        lines = text.split("\n")
+        kinds = [[s for line in lines for s in re.split(r"(?<=[.!?;])[ \t]+", line)], lines, re.split(r"\n(?:[ \t\r]*\n)+", text)]
+        hits = [[(u, best(u)) for u in k if words(u) and -best(u)[0] >= license_scan.COSINE] for k in kinds]
+        if any(hits):
+            cosine, name = min(b for k in hits for _, b in k)
+            is_file = 2 * max(sum(round(len(words(u)) * b[0] ** 2, 6) for u, b in k) for k in hits) >= len(words(text))
+            own[i] = (name, -cosine, is_file)
+            if is_file:
+                at = path.rpartition("/")[0]
+                files[at] = min(files.get(at, (0, "")), (cosine, name))
+    for r in license_scan.scan(docs, license_scan.path_of()).collect():
+        path = license_path(r, r.path)
+        above = [path.rpartition("/")[0]]
+        while above[-1]:
+            above.append(above[-1].rpartition("/")[0])
+        if r.doc_id in own:
+            name, cosine, is_file = own[r.doc_id]
+            want = (name, cosine, "file" if is_file else "own", None)
+        else:
+            at = next((d for d in above if d in files), None)
+            want = (None, None, "none", None) if at is None else (files[at][1], -files[at][0], "inherited", at)
+        assert (r.license, r.found, r.license_dir) == (want[0], want[2], want[3]) and (r.cosine is None) == (want[1] is None) and abs((r.cosine or 0) - (want[1] or 0)) < 1e-6, r.doc_id
+
+
+def license_path(r, path=None):
+    part = lambda x: "_" if x is None else x.replace("/", "_")
+    return path or f"/{part(r.source)}/{part(r.lang)}/{r.doc_id}"
+
+
 def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages", "conversations"):
@@ -567,6 +634,28 @@ def test_queries_equal_their_sql(spark):
         assert sorted(map(tuple, got.select(*names).collect()), key=key) == sorted(con.sql(sql).select(*names).fetchall(), key=key), name
 
 
+def test_pipeline_stages_take_any_rows(spark, docs, empty):
+    """Null ids, sources and texts, repeated rows, long texts, clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    names = ["_doc", "_text", "_again", "_trim", "_words", "_left", "_id", "kept", "fail_bits", "n_words", "n_lines", "pii_spans", "u", "base", "cut", "of", "n", "row", "piece", "length"]
+    odd = docs.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    nameless = odd.filter("doc_id < 20").withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")})
+    odd = written(odd.unionByName(nameless), "odd-rows")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns or name == "best_fit_packing"
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        left[name] = got.count()
+        if name != "best_fit_packing":
+            assert got.select(*names).distinct().collect() == [tuple(range(len(names)))]
+            plain = stage(spark, odd.drop(*names), SF)
+            of = lambda df: sorted(map(str, df.select("doc_id", "text", "source", "n_chars").collect()))
+            assert of(got) == of(plain)
+    assert left["personal_data"] == odd.count() > left["quality_rules"] > 0
+
+
 def test_pipeline(spark):
     """run() against the plain versions, stage by stage."""
     import corpus_pipeline
