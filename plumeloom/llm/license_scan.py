@@ -31,7 +31,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeloom.llm.joins import looked_up
@@ -90,6 +90,12 @@ class Templates:
         return [(w, k, name, x) for k, (name, vector) in enumerate(self.vectors) for w, x in vector.items()]
 
 
+def _fixed(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A fixed table, from expressions alone."""
+    every = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names, strict=True)]) for row in rows])
+    return F.broadcast(spark.range(1).select(F.inline(every)))
+
+
 def shares(docs: DataFrame) -> DataFrame:
     """word and share (of all documents that hold it), but for words rarer than RAREST."""
     n = max(1, docs.count())
@@ -112,7 +118,7 @@ def units(docs: DataFrame, anchors: list[str]) -> DataFrame:
 
 def scored(texts: DataFrame, share: DataFrame, templates: Templates) -> DataFrame:
     """texts (key, words, one row a key) -> key, license and cosine of those at COSINE or more."""
-    known = F.broadcast(texts.sparkSession.createDataFrame(templates.rows(), "word string, number int, license string, y double"))  # a fixed table
+    known = _fixed(texts.sparkSession, templates.rows(), ["word", "number", "license", "y"])
     vocabulary = F.array(*map(F.lit, Templates.vocabulary()))
     shared = texts.select("key", F.explode(F.array_intersect("words", vocabulary)).alias("word")).join(known, "word")
     enough = shared.groupBy("key", "number").agg(F.sum(F.col("y") * F.col("y")).alias("part")).filter(F.col("part") >= COSINE**2 - 1e-9)
@@ -130,8 +136,8 @@ def scored(texts: DataFrame, share: DataFrame, templates: Templates) -> DataFram
 def _own(docs: DataFrame) -> DataFrame:
     """doc_id, path, of, license, cosine and is_file of the documents with a license of their own."""
     share = shares(docs)
-    vocabulary = docs.sparkSession.createDataFrame([(w,) for w in Templates.vocabulary()], "word string")
-    templates = Templates({r["word"]: r["share"] for r in share.join(F.broadcast(vocabulary), "word").collect()})  # at most the vocabulary
+    vocabulary = _fixed(docs.sparkSession, [(w,) for w in Templates.vocabulary()], ["word"])
+    templates = Templates({r["word"]: r["share"] for r in share.join(vocabulary, "word").collect()})  # at most the vocabulary
     found = written(units(docs, sorted(templates.anchors)), "license-units")
     texts = found.groupBy("key").agg(F.first("words").alias("words"), F.count("*").alias("n"))
     counts = texts.select("key", "n")
