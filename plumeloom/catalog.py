@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from plumeloom import schema
 from plumeloom.config import Settings
 from plumeloom.functions import geo, strings, weights
 from plumeloom.operators import clusters, components, geometry, masks, merging, mosaic, ortho, tiling, vetting
-from plumeloom.plans import pipeline
+from plumeloom.plans import inference, pipeline
 from plumeloom.plans.storage import written
 from plumeloom.sources import bands, bridge
 from plumeloom.sources.bridge import HEADS_SQL, RASTER_SQL, SPECTRA_SQL, STRIDE, TILE, raster, spectra, table, tiles_of_pixels_sql
@@ -136,12 +137,13 @@ def glt_ortho(spark, sf_dir):
     return ortho.orthorectified(glt, raw, ["v", "price"], {"v": -9999}).select("gy", "gx", "v", "price")
 
 
-_BOX = "b AS (SELECT o_orderkey AS box_id, 0::BIGINT AS granule_id, (o_orderkey * 31) % 110 - 6 AS x0, (o_orderkey * 17) % 60 - 6 AS y0 FROM orders WHERE o_orderstatus = 'F')"
+_BOX = "b AS (SELECT o_orderkey AS box_id, 0::BIGINT AS granule_id, (o_orderkey * 31) % 110 - 6 AS x0, (o_orderkey * 17) % (SELECT max(event_id) // 100 + 11 FROM events) - 6 AS y0 FROM orders)"
 
 
 def _boxes(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    b = o.select(F.col("o_orderkey").alias("box_id"), F.lit(0).cast("long").alias("granule_id"), F.expr("(o_orderkey * 31) % 110 - 6").alias("x0"), F.expr("(o_orderkey * 17) % 60 - 6").alias("y0"))
+    """Boxes on and about the raster, which grows as they do."""
+    o, rows = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events").agg(F.expr("max(event_id) div 100 + 11")).first()[0]
+    b = o.select(F.col("o_orderkey").alias("box_id"), F.lit(0).cast("long").alias("granule_id"), F.expr("(o_orderkey * 31) % 110 - 6").alias("x0"), F.expr(f"(o_orderkey * 17) % {rows} - 6").alias("y0"))
     return b.withColumns({"x1": F.col("x0") + 5, "y1": F.col("y0") + 4})
 
 
@@ -157,10 +159,10 @@ def box_intersect(spark, sf_dir):
 
 
 def _windows(spark, sf_dir):
-    return bridge.heads(spark, sf_dir).filter("id % 10 = 0").select(F.col("id").alias("plume_id"), "granule_id", F.col("x").alias("head_x"), F.col("y").alias("head_y"))
+    return bridge.heads(spark, sf_dir).select(F.col("id").alias("plume_id"), "granule_id", F.col("x").alias("head_x"), F.col("y").alias("head_y"))
 
 
-_EXCLUDED = f"{RASTER_SQL}, {HEADS_SQL}, q AS (SELECT * FROM heads WHERE id % 10 = 0), ex AS (SELECT id AS plume_id, gy - q.y + 10 AS y, gx - q.x + 10 AS x FROM q JOIN px ON gy >= q.y - 10 AND gy < q.y + 10 AND gx >= q.x - 10 AND gx < q.x + 10 WHERE p > 400 AND valid)"
+_EXCLUDED = f"{RASTER_SQL}, {HEADS_SQL}, q AS (SELECT * FROM heads), ex AS (SELECT id AS plume_id, gy - q.y + 10 AS y, gx - q.x + 10 AS x FROM q JOIN px ON gy >= q.y - 10 AND gy < q.y + 10 AND gx >= q.x - 10 AND gx < q.x + 10 WHERE p > 400 AND valid)"
 
 
 @query(f"WITH {_EXCLUDED} SELECT * FROM ex")
@@ -330,7 +332,7 @@ def crop_border(spark, sf_dir):
     return components.cropped(px, ["grp"], 1).select("grp", "y", "x")
 
 
-_BANDS = "bands AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {c}::DOUBLE)" for k, c in enumerate(bands.centres())) + ") AS t(band, centre))"
+_BANDS = "bands AS (SELECT k::INT AS band, (38100 + 744 * k)::DOUBLE / 100::DOUBLE AS centre FROM range(285) AS t(k))"
 
 
 @query(f"WITH {_BANDS} SELECT band, centre, centre BETWEEN 2100 AND 2440 AS strong FROM bands WHERE centre BETWEEN 2100 AND 2440 OR NOT centre BETWEEN 1640 AND 1690")
@@ -419,16 +421,16 @@ def _samples() -> list[tuple]:
     return [(k, c, [1.0, 0.5], [0.9, 0.95], [0.9 - 0.1 * (k % 3), 0.95 - 0.2 * (k % 2)]) for k, c in strong]
 
 
-@query()
+@query("SELECT o_orderkey AS plume_id, (o_custkey % 5 * 50)::DOUBLE AS fitted_conc FROM orders")
 def fit_conc(spark, sf_dir):
-    """A planted concentration of o_custkey % 5 / 2 is found again."""
+    """A planted concentration of o_custkey % 5 / 2, of 100 ppm m each, is found again, to the ppm m."""
     samples = _samples()
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plume_id"), (F.expr("o_custkey % 5") / 2).alias("conc"))
     rows = spark.createDataFrame([(s[0], r, t, g) for s in samples for r, t, g in zip(*s[2:], strict=True)], "band int, r double, t double, g double")
     base = F.col("r") * F.pow("t", F.lit(2.0))
     more = F.pow(F.col("g") / (F.col("t") + F.lit(1e-12)), 2.0 * F.col("conc"))
     seen = o.join(F.broadcast(rows)).groupBy("plume_id", "band").agg((F.sum(base * more) / F.sum(base)).alias("ratio")).withColumn("path", F.lit(2.0))
-    return vetting.fits(seen, samples, 100.0).select("plume_id", F.round("fitted_conc", 3).alias("fitted_conc"))
+    return vetting.fits(seen, samples, 100.0).select("plume_id", (F.round("fitted_conc", 0) + F.lit(0.0)).alias("fitted_conc"))
 
 
 @query(f"WITH {RASTER_SQL}, {_HIT}, s AS (SELECT *, unnest(['N', 'E', 'S', 'W']) AS side, unnest([-1, 0, 1, 0]) AS dy, unnest([0, 1, 0, -1]) AS dx FROM hit) SELECT y, x, side FROM s WHERE NOT EXISTS (SELECT 1 FROM hit n WHERE n.y = s.y + s.dy AND n.x = s.x + s.dx)")
@@ -446,7 +448,41 @@ def mask_wkt(spark, sf_dir):
     return geometry.mask_wkt(_labels(spark, sf_dir), ["label"], keep_holes=True)
 
 
-@query()
+@query(f"{_CC} SELECT label, count(*)::DOUBLE AS area, min(x)::DOUBLE AS x0, min(y)::DOUBLE AS y0, max(x)::DOUBLE + 1 AS x1, max(y)::DOUBLE + 1 AS y1 FROM cc GROUP BY label")
+def mask_wkt_area(spark, sf_dir):
+    """Area (of outer rings less holes, by the shoelace formula) and bounds, read from the outlines' text."""
+    outlines = geometry.mask_wkt(_labels(spark, sf_dir), ["label"], keep_holes=True)
+    rings = outlines.select("label", F.posexplode(F.regexp_extract_all("geometry", F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("ring", "t"))
+    point = lambda p: F.transform(F.split(F.trim(p), " +"), lambda v: v.cast("double"))
+    rings = rings.select("label", "ring", F.transform(F.split("t", ","), point).alias("p"))
+    cross = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i - 1)[0] * F.get("p", i)[1] - F.get("p", i)[0] * F.get("p", i - 1)[1])
+    side = lambda f, k: f(F.transform("p", lambda q: q[k]))
+    parts = rings.select("label", (F.aggregate(cross, F.lit(0.0), lambda a, v: a + v) / 2).alias("signed"), side(F.array_min, 0).alias("x0"), side(F.array_min, 1).alias("y0"), side(F.array_max, 0).alias("x1"), side(F.array_max, 1).alias("y1"), "ring")
+    return parts.groupBy("label").agg(F.abs(F.sum("signed")).alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def _latlon_sql(x: str, y: str) -> tuple[str, str]:
+    """Latitude and longitude of a place in zone 31N, in SQL."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    xi, eta = f"(({y}) / {0.9996 * a!r}::DOUBLE)", f"((({x}) - 500000) / {0.9996 * a!r}::DOUBLE)"
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi1 = xi + "".join(f" - {b!r}::DOUBLE * sin({2 * k} * {xi}) * cosh({2 * k} * {eta})" for k, b in enumerate(beta, 1))
+    eta1 = eta + "".join(f" - {b!r}::DOUBLE * cos({2 * k} * {xi}) * sinh({2 * k} * {eta})" for k, b in enumerate(beta, 1))
+    chi = f"asin(sin({xi1}) / cosh({eta1}))"
+    lat = chi + "".join(f" + {d!r}::DOUBLE * sin({2 * k} * {chi})" for k, d in enumerate(delta, 1))
+    return f"round(degrees({lat}), 6)", f"round(3 + degrees(atan2(sinh({eta1}), cos({xi1}))), 6)"
+
+
+def _corners_sql() -> str:
+    places = [("x", "y"), ("x + 15360", "y"), ("x + 15360", "y + 15360"), ("x", "y + 15360")]
+    columns = [f"{c} AS {name}{k}" for k, (x, y) in enumerate(places) for c, name in zip(_latlon_sql(x, y), ("lat", "lon"), strict=True)]
+    return f"WITH p AS (SELECT o_orderkey, 300000::DOUBLE + (o_orderkey % 4000) * 60 AS x, 4000000::DOUBLE + (o_custkey % 9000) * 60 AS y FROM orders) SELECT o_orderkey, {', '.join(columns)} FROM p"
+
+
+@query(_corners_sql())
 def utm_corners(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     x, y = 300000 + F.expr("o_orderkey % 4000") * 60.0, 4000000 + F.expr("o_custkey % 9000") * 60.0
@@ -455,6 +491,16 @@ def utm_corners(spark, sf_dir):
     return o.select("o_orderkey", *out)
 
 
+@query("WITH p AS (SELECT o_orderkey, ((o_orderkey * 37) % 3600)::DOUBLE / 10 - 180 AS lon, ((o_orderkey * 13) % 1100)::DOUBLE / 10 - 55 AS lat FROM orders) SELECT o_orderkey, (floor((lon + 180) / 6)::INT + 1) || substr('CDEFGHJKLMNPQRSTUVWXX', floor((lat + 80) / 8)::INT + 1, 1) AS zone, 'EPSG:32' || CASE WHEN lat >= 0 THEN '6' ELSE '7' END || lpad((floor((lon + 180) / 6)::INT + 1)::VARCHAR, 2, '0') AS epsg, true AS about, true AS on_cells FROM p")
+def grid_about(spark, sf_dir):
+    """Grids about places: their middle is the place to half a cell, and their corners lie on cells."""
+    lon, lat = F.expr("(o_orderkey * 37) % 3600") / 10 - 180, F.expr("(o_orderkey * 13) % 1100") / 10 - 55
+    g = geo.grid_about(lat, lon, 60.0, 20, 30)
+    back = geo.to_utm(lat, lon, geo.zone_at(lat, lon))
+    near = (F.abs(g["x_mid"] - back[0]) <= 30.000001) & (F.abs(g["y_mid"] - back[1]) <= 30.000001)
+    return table(spark, sf_dir, "orders").select("o_orderkey", g["zone"].alias("zone"), g["epsg"].alias("epsg"), near.alias("about"), ((g["x0"] % 60 == 0) & (g["y0"] % 60 == 0)).alias("on_cells"))
+
+
 _FMT = "o_orderkey AS chunk_id, 0::BIGINT AS slot_id, [(o_orderkey * 31) % 100, (o_orderkey * 17) % 60, (o_orderkey * 31) % 100 + 8, (o_orderkey * 17) % 60 + 8] AS plume_bbox_px, 'scene' AS ee_asset_id, 'POLYGON EMPTY' AS geometry_px, 'POLYGON EMPTY' AS geometry, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE printf('POINT (%.16f %.16f)', o_orderkey::DOUBLE / 4, o_custkey::DOUBLE / 8) END AS head_point_px, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE printf('POINT (%.16f %.16f)', o_custkey::DOUBLE / 16, o_orderkey::DOUBLE / 2) END AS head_point"
 
 
@@ -503,15 +549,36 @@ def granule_names(spark, sf_dir):
 SMALL = Settings(tile_size=TILE, stride=STRIDE, plume_threshold=0.4, origin_threshold=0.5, min_slot_pixels=3, clustering="DBSCAN", clustering_kw={"eps": 1.5, "min_samples": 1}, cc_min_size=2, simplify=0.0, vetting_patch=16)
 
 
+def mock_model(path: str):
+    """A model of two slots (path "with-the-tile"), of which the second adds the tile's largest value, or of one."""
+    two = path == "with-the-tile"
+
+    def model(arrays: dict) -> dict:
+        v, p, o = (arrays[c].astype(float) for c in ("v", "p", "o"))
+        if two:
+            v = np.concatenate([v, v + v.max()], axis=-1)
+        return {"concentration": v if two else v % 1000 / 10, "binary_masks": p / 1000, "origin_masks": o / 1000}
+
+    return model
+
+
+def inferred(px: DataFrame, model: str) -> DataFrame:
+    """The mock model's slots of a raster; three tiles a side share a task."""
+    return inference.tiled_inference(px.select("granule_id", "gy", "gx", "valid", "v", "p", "o"), px.select("granule_id", "h", "w").distinct(), mock_model, model, TILE, STRIDE, {c: c for c in ("v", "p", "o")}, side=3)
+
+
+@query(f"{_TP}, k AS (SELECT *, max(v) OVER t AS top, bool_or(valid) OVER t AS alive FROM tp WINDOW t AS (PARTITION BY granule_id, h_off, w_off)), s AS (SELECT *, unnest([0, 1]) AS slot_id FROM k WHERE alive) SELECT granule_id, h_off, w_off, slot_id, (gy - h_off)::INT AS y, (gx - w_off)::INT AS x, (v + slot_id * top)::DOUBLE AS conc, p / 1000.0::DOUBLE AS p_plume, o / 1000.0::DOUBLE AS p_origin FROM s")
+def tiled_inference(spark, sf_dir):
+    return inferred(raster(spark, sf_dir), "with-the-tile")
+
+
 def scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """slots, pixels and granules of the whole raster, with a mock model's output."""
     px = raster(spark, sf_dir)
     granules = px.select("granule_id", "h", "w").distinct().withColumns({"x0": F.lit(300000.0), "y0": F.lit(4000000.0), "zone": F.lit("31N")})
     radiance = F.transform(F.sequence(F.lit(0), F.lit(bands.N_BANDS - 1)), lambda k: F.lit(1.0) + ((F.col("v") + k * 7) % 97) / 100)
     pixels = px.select("granule_id", "gy", "gx", "valid", radiance.alias("radiance"), F.lit(30.0).alias("sun_zenith"), F.lit(5.0).alias("sensor_zenith"))
-    tiled = tiling.tiled_pixels(px, TILE, STRIDE)
-    slots = tiled.select("granule_id", "h_off", "w_off", F.lit(0).alias("slot_id"), (F.col("gy") - F.col("h_off")).alias("y"), (F.col("gx") - F.col("w_off")).alias("x"), (F.col("v") % 1000 / 10).alias("conc"), (F.col("p") / 1000).alias("p_plume"), (F.col("o") / 1000).alias("p_origin"))
-    return slots, pixels, granules
+    return inferred(px, "of-each-pixel"), pixels, granules
 
 
 @query()
@@ -520,6 +587,17 @@ def extract_candidates(spark, sf_dir):
     return schema.candidates(pipeline.extract_candidates(pipeline.with_place(slots, pixels), granules, SMALL))
 
 
+_SLOTS = f"{_TP}, hit AS (SELECT *, gy - h_off AS y, gx - w_off AS x FROM tp WHERE p > 400 AND valid), alive AS (SELECT h_off, w_off, row_number() OVER (ORDER BY h_off, w_off) - 1 AS chunk_id FROM (SELECT DISTINCT h_off, w_off FROM tp WHERE valid)), n AS (SELECT h_off, w_off, count(*) AS n_pixels FROM hit GROUP BY ALL HAVING count(*) >= 3)"
+
+
+@query(f"{_SLOTS} SELECT chunk_id, 0::BIGINT AS slot_id, w_off AS x0, h_off AS y0, w_off + {TILE} AS x1, h_off + {TILE} AS y1, n_pixels FROM n JOIN alive USING (h_off, w_off)")
+def candidate_boxes(spark, sf_dir):
+    """Which slots become candidates, and their tiles."""
+    slots, pixels, granules = scene(spark, sf_dir)
+    found = pipeline.extract_candidates(pipeline.with_place(slots, pixels), granules, SMALL)
+    return found.select("chunk_id", F.col("slot_id").cast("long").alias("slot_id"), "x0", "y0", "x1", "y1", "n_pixels")
+
+
 @query()
 def dedupe_plumes(spark, sf_dir):
     slots, pixels, granules = scene(spark, sf_dir)
@@ -531,5 +609,5 @@ def dedupe_plumes(spark, sf_dir):
 @query()
 def pipeline_e2e(spark, sf_dir):
     slots, pixels, granules = scene(spark, sf_dir)
-    outside = [k for k, c in enumerate(bands.centres()) if not (1640 <= c <= 1690 or 2100 <= c <= 2440)]
+    outside = bands.chosen("methane")[1]
     return schema.predicted(pipeline.run(slots, pixels, granules, SMALL, _samples(), outside, 100.0)[1])

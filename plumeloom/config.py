@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 ALGORITHMS = ("DBSCAN", "DBSCANCorr", "MeanShift")
+WINDOWS = ("hanning", "tukey")
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -30,12 +31,16 @@ class Settings:
     keep_holes: bool = False
     vetting_patch: int = 200
     strict: bool = False
+    window: str = "hanning"
+    cluster_cap: int | None = None
 
     def __post_init__(self) -> None:
         if self.clustering not in ALGORITHMS:
             raise ValueError(f"no clustering algorithm is named {self.clustering}")
         if self.gas not in ("methane", "co2"):
             raise ValueError(f"gas {self.gas} is not supported")
+        if self.window not in WINDOWS:
+            raise ValueError(f"no window is named {self.window}")
         if self.vetting_patch % 2:
             raise ValueError("vetting_patch must be even")
         patch = self.clustering_kw.get("patch_size")
@@ -48,5 +53,5 @@ class Settings:
 
     @property
     def most_in_cluster(self) -> int:
-        """How many tiles can cover one place."""
-        return int((self.tile_size / self.stride) ** 2)
+        """How many candidates of a cluster are merged: as many as tiles can cover one place, unless given."""
+        return self.cluster_cap if self.cluster_cap is not None else int((self.tile_size / self.stride) ** 2)

@@ -29,6 +29,36 @@ def zone_of(epsg: Column) -> Column:
     return F.when(code.between(32601, 32660), north).when(code.between(32701, 32760), south).otherwise(F.raise_error(F.concat(F.lit("not a UTM system: "), epsg)))
 
 
+#: Latitude bands of 8 degrees from 80 south.
+BANDS = "CDEFGHJKLMNPQRSTUVWXX"
+
+
+def zone_at(lat: Column, lon: Column) -> Column:
+    """The UTM zone's number, with the wider zones about Norway and Svalbard."""
+    plain = F.pmod(F.floor((lon + 180) / 6), F.lit(60)).cast("int") + 1
+    north = (lat >= 72) & (lat < 84) & (lon >= 0) & (lon < 42)
+    svalbard = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)
+    return F.when((lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12), 32).when(north, svalbard).otherwise(plain)
+
+
+def grid_about(lat: Column, lon: Column, cell: float, width: int, height: int | None = None, down: bool = False) -> dict[str, Column]:
+    """A grid of cells about a place: zone (number and latitude band), x0 and y0 (its lower left corner,
+    snapped to cells), epsg, and its middle as x_mid and y_mid, in metres."""
+    height = width if height is None else height
+    number = zone_at(lat, lon)
+    x, y = to_utm(lat, lon, number)
+    letter = F.substr(F.lit(BANDS), F.least(F.lit(20), F.floor((lat + 80) / 8)).cast("int") + 1, F.lit(1))
+    x0, y0 = snapped(x - cell * width / 2, cell, down), snapped(y - cell * height / 2, cell, down)
+    epsg = F.concat(F.lit("EPSG:32"), F.when(lat >= 0, "6").otherwise("7"), F.lpad(number.cast("string"), 2, "0"))
+    return {"zone": F.concat(number.cast("string"), letter), "x0": x0, "y0": y0, "epsg": epsg, "x_mid": x0 + cell * width / 2, "y_mid": y0 + cell * height / 2}
+
+
+def grid_transform(x0: Column, y0: Column, height: Column, cell: float) -> Column:
+    """(cell, 0, left, 0, -cell, top): the affine map from a grid's columns and rows to metres."""
+    zero = F.lit(0.0)
+    return F.array(F.lit(cell), zero, x0.cast("double"), zero, F.lit(-cell), (y0 + height * cell).cast("double"))
+
+
 def is_north(zone: Column, strict: bool = False) -> Column:
     """strict: compare the letter with N as if it were a latitude band, so that S is north."""
     letter = F.right(zone, F.lit(1))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from plumeloom.config import ALGORITHMS
 from plumeloom.kernels.meanshift import mean_shift
 from plumeloom.plans.graph import components
+from plumeloom.plans.metrics import Counters
+from plumeloom.plans.storage import written
 
 
 def neighbours(points: DataFrame, eps: float) -> DataFrame:
@@ -27,8 +29,9 @@ def neighbours(points: DataFrame, eps: float) -> DataFrame:
     return met.filter(dx * dx + dy * dy <= eps * eps).select("granule_id", "a", "b")
 
 
-def correlated(pairs: DataFrame, patches: DataFrame) -> DataFrame:
-    """pairs with corr: Pearson's, over the pixels that both patches have valid.
+def correlated(pairs: DataFrame, patches: DataFrame, counters: Counters | None = None) -> DataFrame:
+    """pairs with corr: Pearson's, over the pixels that both patches have valid. counters: told of
+    the pairs that have none.
 
     patches: granule_id, id, gy, gx, value of valid pixels. 0 where there is no common pixel or
     no variance; sums are exact for whole numbers and each unordered pair is computed once.
@@ -42,7 +45,9 @@ def correlated(pairs: DataFrame, patches: DataFrame) -> DataFrame:
     vu, vv = F.expr("n * suu - su * su"), F.expr("n * svv - sv * sv")
     sums = sums.select("granule_id", "a", "b", F.when((vu > 0) & (vv > 0), F.expr("n * suv - su * sv") / (F.sqrt(vu) * F.sqrt(vv))).otherwise(0.0).alias("corr"))
     known = sums.unionByName(sums.filter("a <> b").select("granule_id", F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
-    return pairs.join(known, ["granule_id", "a", "b"], "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
+    out = pairs.join(known, ["granule_id", "a", "b"], "left")
+    out = counters.on(out, "no_valid_mask", F.col("corr").isNull() & (F.col("a") < F.col("b"))) if counters else out
+    return out.withColumn("corr", F.coalesce("corr", F.lit(0.0)))
 
 
 def density_clusters(points: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
@@ -69,10 +74,11 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return density_clusters(points, neighbours(points, eps), min_samples)
 
 
-def dbscan_corr(points: DataFrame, patches: DataFrame, eps_dist: float, eps_corr: float, min_samples: int) -> DataFrame:
+def dbscan_corr(points: DataFrame, patches: DataFrame, eps_dist: float, eps_corr: float, min_samples: int, counters: Counters | None = None) -> DataFrame:
     """Neighbours are near and correlate by more than eps_corr; points without overlap have 0."""
-    close = correlated(neighbours(points, eps_dist), patches)
-    return density_clusters(points, close.filter(F.col("corr") > eps_corr).drop("corr"), min_samples)
+    close = correlated(neighbours(points, eps_dist), patches, counters)
+    close = written(close.filter(F.col("corr") > eps_corr).drop("corr"), "close-pairs")  # read for cores, links and borders
+    return density_clusters(points, close, min_samples)
 
 
 def mean_shift_clusters(points: DataFrame, bandwidth: float | None = None) -> DataFrame:
@@ -87,7 +93,7 @@ def mean_shift_clusters(points: DataFrame, bandwidth: float | None = None) -> Da
     return points.select("granule_id", "id", F.col("x").cast("double"), F.col("y").cast("double")).groupBy("granule_id").applyInPandas(per_scene, f"granule_id {kind}, id long, cluster long")
 
 
-def clustered(points: DataFrame, algorithm: str, patches: DataFrame | None = None, **kw) -> DataFrame:
+def clustered(points: DataFrame, algorithm: str, patches: DataFrame | None = None, counters: Counters | None = None, **kw) -> DataFrame:
     """Clusters of points; those without a head (null x or y) have a null cluster."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"no clustering algorithm is named {algorithm}")
@@ -99,7 +105,7 @@ def clustered(points: DataFrame, algorithm: str, patches: DataFrame | None = Non
     elif algorithm == "DBSCANCorr":
         if patches is None:
             raise ValueError("DBSCANCorr needs patches about the heads")
-        out = dbscan_corr(heads, patches, kw["eps_dist"], kw["eps_corr"], kw["min_samples"])
+        out = dbscan_corr(heads, patches, kw["eps_dist"], kw["eps_corr"], kw["min_samples"], counters)
     else:
         out = mean_shift_clusters(heads, kw.get("bandwidth"))
     return points.select("granule_id", "id").join(out, ["granule_id", "id"], "left")

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeloom.kernels.assign import assigned
-from plumeloom.kernels.fit import fitted, gas_transmittance, scores
-from plumeloom.operators.masks import dilated
+from plumeloom.kernels.fit import fitted, gas_transmittance
+from plumeloom.operators.masks import dilated, usable
+from plumeloom.plans.storage import written
 from plumeloom.sources.bands import BACKGROUND
 
 TOP, QUANTILE, KEPT_SHARE = 30, 0.99, 0.5
@@ -111,7 +112,7 @@ def spectral_scores(signals: DataFrame, key: str = "plume_id") -> DataFrame:
     return sums.select(key, F.try_divide("_d", F.when(F.col("_s") != 0, F.col("_s"))).alias("d_norm"), (1 - r * r).alias("d_cor"))
 
 
-RESULT = "d_norm double, d_cor double, fitted_conc double, baseline_transmittance array<double>, observed_transmittance_sel array<double>, modeled_transmittance array<double>, wavelengths_sel array<double>"
+RESULT = "fitted_conc double, baseline_transmittance array<double>, observed_transmittance_sel array<double>, modeled_transmittance array<double>, wavelengths_sel array<double>"
 
 
 def fits(observed: DataFrame, samples: list[tuple], added_ppm_m: float, key: str = "plume_id") -> DataFrame:
@@ -132,8 +133,7 @@ def fits(observed: DataFrame, samples: list[tuple], added_ppm_m: float, key: str
             return (None,) * len(names)
         x = (centre - centre.mean()) / (centre.std() or 1.0)
         base = np.vander(x, len(best[1]), increasing=True) @ best[1]
-        d_norm, d_cor = scores(seen, base, gas(best[0]))
-        return d_norm, d_cor, float(best[0]) * added_ppm_m, base, seen, base * gas(best[0]), centre
+        return float(best[0]) * added_ppm_m, base, seen, base * gas(best[0]), centre
 
     def one(k: tuple, df: pd.DataFrame) -> pd.DataFrame:
         ratio = dict(zip(df["band"], df["ratio"], strict=True))
@@ -155,11 +155,16 @@ def vetted(patch: DataFrame, samples: list[tuple], added_ppm_m: float, gas: str,
 
     match_bands: the bands outside the gas, on which targets and background are matched.
     """
-    seen = patch.filter(F.forall("radiance", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("radiance", lambda v: v != 0))
+    seen = patch.filter(usable(F.col("radiance")))
     seen = seen.withColumn("spectrum", F.transform(F.array(*map(F.lit, match_bands)), lambda k: F.get("radiance", k).cast("double")))
     chosen = targets(under_quantile(seen.filter("plume"), key), key)
     pool = background_pool(seen, chosen.select(key, "y", "x"), gas, key)
     pairs = best_matches(assignment(chosen, pool, key), key)
     observed = mean_ratio(pairs, chosen, pool, key).join(path_factor(patch, key), key)
     mean = chosen.groupBy(key).agg(F.avg("enhancement").alias("observed_conc"))
-    return fits(observed, samples, added_ppm_m, key).join(mean, key)
+    fit = written(fits(observed, samples, added_ppm_m, key), "fits")
+    lines = fit.select(key, F.posexplode(F.arrays_zip("observed_transmittance_sel", "baseline_transmittance", "modeled_transmittance")).alias("band", "v"))
+    base = F.col("v.baseline_transmittance")
+    signals = lines.select(key, "band", F.col("v.observed_transmittance_sel").alias("observed"), base.alias("baseline"), (F.col("v.modeled_transmittance") / base).alias("gas"))
+    scored = fit.join(spectral_scores(signals, key), key, "left")
+    return scored.select(key, "d_norm", "d_cor", *[c for c in fit.columns if c != key]).join(mean, key)

@@ -16,15 +16,17 @@ from plumeloom.config import Settings
 from plumeloom.functions import geo, weights
 from plumeloom.functions.strings import plume_color
 from plumeloom.operators import clusters, components, geometry, masks, merging, mosaic, tiling, vetting
+from plumeloom.plans.inference import tiled_inference
 from plumeloom.plans.metrics import Counters
 from plumeloom.plans.storage import written
 
 
-def with_place(slots: DataFrame, pixels: DataFrame) -> DataFrame:
+def with_place(slots: DataFrame, pixels: DataFrame, counters: Counters | None = None) -> DataFrame:
     """Model output with global gy, gx, the scene's validity and chunk_id of surviving tiles."""
     placed = slots.withColumns({"gy": F.col("h_off") + F.col("y"), "gx": F.col("w_off") + F.col("x")})
     placed = placed.join(pixels.select("granule_id", "gy", "gx", "valid"), ["granule_id", "gy", "gx"])
     tiles = tiling.surviving_tiles(placed).drop("n_valid")
+    tiles = counters.on(tiles, "chunks") if counters else tiles
     return placed.join(tiles, ["granule_id", "h_off", "w_off"])
 
 
@@ -67,12 +69,12 @@ SLOT = ["granule_id", "chunk_id", "slot_id"]
 GROUP = ["granule_id", "group_id"]
 
 
-def extract_candidates(placed: DataFrame, granules: DataFrame, s: Settings) -> DataFrame:
+def extract_candidates(placed: DataFrame, granules: DataFrame, s: Settings, counters: Counters | None = None) -> DataFrame:
     """One row per slot with enough plume pixels: box (of its tile), geometries and head if any."""
     hits = masks.over_threshold(placed, "p_plume", s.plume_threshold)
     slots = masks.large_slots(hits, s.min_slot_pixels)
     tiles = placed.select("granule_id", "chunk_id", F.col("w_off").alias("x0"), F.col("h_off").alias("y0")).distinct()
-    boxes = slots.join(tiles, ["granule_id", "chunk_id"]).withColumns({"x1": F.col("x0") + s.tile_size, "y1": F.col("y0") + s.tile_size})
+    boxes = (counters.on(slots, "extracted") if counters else slots).join(tiles, ["granule_id", "chunk_id"]).withColumns({"x1": F.col("x0") + s.tile_size, "y1": F.col("y0") + s.tile_size})
     boxes = _georeferenced(boxes, granules, s)
     inside = hits.join(slots.select(*SLOT), SLOT, "left_semi")
     heads = components.head_points(inside.select(*SLOT, "y", "x", "p_origin"), SLOT, "p_origin", s.origin_threshold, bounded=True)
@@ -80,7 +82,16 @@ def extract_candidates(placed: DataFrame, granules: DataFrame, s: Settings) -> D
     return _with_heads(out, heads, SLOT)
 
 
-def cluster_plumes(candidates: DataFrame, placed: DataFrame, s: Settings) -> DataFrame:
+def with_rasters(candidates: DataFrame, placed: DataFrame, s: Settings) -> DataFrame:
+    """Candidates with the whole tile of their slot, in row order: concentration and the three masks."""
+    px = placed.join(candidates.select(*SLOT), SLOT, "left_semi")
+    one = F.struct("y", "x", F.col("conc").cast("float").alias("c"), (F.col("p_plume") > s.plume_threshold).alias("b"), (F.col("p_origin") > s.origin_threshold).alias("o"), "valid")
+    tiles = px.groupBy(*SLOT).agg(F.sort_array(F.collect_list(one)).alias("t"))  # one tile of one slot
+    names = {"concentration": "c", "binary_mask": "b", "origin_mask": "o", "mask": "valid"}
+    return candidates.join(tiles.select(*SLOT, *[F.col(f"t.{c}").alias(n) for n, c in names.items()]), SLOT)
+
+
+def cluster_plumes(candidates: DataFrame, placed: DataFrame, s: Settings, counters: Counters | None = None) -> DataFrame:
     """Candidates with cluster and id; ids differ over all scenes and rise with tile and slot."""
     ordered = candidates.repartition("granule_id").sortWithinPartitions("granule_id", "chunk_id", "slot_id")
     ids = written(ordered.withColumn("id", F.monotonically_increasing_id()), "candidates")
@@ -93,7 +104,7 @@ def cluster_plumes(candidates: DataFrame, placed: DataFrame, s: Settings) -> Dat
         px = placed.select(*SLOT, F.col("gy").alias("y"), F.col("gx").alias("x"), F.col("conc").alias("value"), "valid").filter("valid")
         patches = masks.head_squares(px, heads, patch, SLOT).join(heads.select(*SLOT, "id"), SLOT)
         patches = patches.select("granule_id", "id", F.col("y").alias("gy"), F.col("x").alias("gx"), "value")
-    return ids.join(clusters.clustered(points, s.clustering, patches, **kw), ["granule_id", "id"])
+    return ids.join(clusters.clustered(points, s.clustering, patches, counters, **kw), ["granule_id", "id"])
 
 
 @dataclass
@@ -108,7 +119,8 @@ class Plumes:
 def dedupe(clustered: DataFrame, placed: DataFrame, granules: DataFrame, scene: DataFrame, s: Settings, weight: Column | None = None) -> Plumes:
     """Merge each cluster's candidates into one plume, clean its mask and outline it."""
     size = s.tile_size
-    weight = weight if weight is not None else weights.outer(weights.hann, F.col("y"), F.col("x"), size)
+    window = {"hanning": weights.hann, "tukey": weights.tukey}[s.window]
+    weight = weight if weight is not None else weights.outer(window, F.col("y"), F.col("x"), size)
     kept = merging.capped(merging.grouped(clustered), s.most_in_cluster).withColumnRenamed("cluster", "group_id")
     members = placed.join(kept.select(*SLOT, "group_id"), SLOT)
     values = ["conc", "p_plume", "p_origin"]
@@ -133,6 +145,14 @@ def dedupe(clustered: DataFrame, placed: DataFrame, granules: DataFrame, scene:
     return Plumes(written(plumes, "plumes"), px)
 
 
+def stacked(found: Plumes) -> DataFrame:
+    """Each plume's raster: keys, x0, y0, width, height and raster, in row order, of (conc, p_plume, p_origin)."""
+    layers = F.struct(*[F.col(c).cast("float").alias(c) for c in ("conc", "p_plume", "p_origin")])
+    box = [F.min("gx").alias("x0"), F.min("gy").alias("y0"), (F.max("gx") - F.min("gx") + 1).alias("width"), (F.max("gy") - F.min("gy") + 1).alias("height")]
+    rows = found.pixels.groupBy(*GROUP).agg(*box, F.sort_array(F.collect_list(F.struct("gy", "gx", layers.alias("v")))).alias("t"))
+    return rows.select(*GROUP, "x0", "y0", "width", "height", F.col("t.v").alias("raster"))
+
+
 def vetting_patches(found: Plumes, candidates_px: DataFrame, enhancement: DataFrame, scene: DataFrame, s: Settings) -> DataFrame:
     """Each plume's vetting patch (plume_id, y, x, radiance, enhancement, plume, background, angles).
 
@@ -156,16 +176,17 @@ def enhancement(placed: DataFrame, s: Settings) -> DataFrame:
     return mosaic.mosaic(placed, "conc", weights.l2_border(F.col("gy") - F.col("h_off"), F.col("gx") - F.col("w_off"), s.tile_size))
 
 
-def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, samples: list[tuple] | None = None, match_bands: list[int] | None = None, added_ppm_m: float = 1.0, counters: Counters | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, samples: list[tuple] | None = None, match_bands: list[int] | None = None, added_ppm_m: float = 1.0, counters: Counters | None = None, rasters: bool = False, weight: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """candidates, plumes (with vetting scores where samples are given) and the enhancement image.
 
-    Scores never filter plumes. counters: told of candidates, and of plumes after merging.
+    Scores never filter plumes. counters: told what they want to know of plans.metrics.EVERYTHING.
+    rasters: candidates come with theirs. weight: of tiles that overlap, the settings' window if none.
     """
-    placed = written(with_place(slots, pixels), "placed")
-    found = extract_candidates(placed, granules, s)
+    placed = written(with_place(slots, pixels, counters), "placed")
+    found = extract_candidates(placed, granules, s, counters)
     found = counters.on(found, "candidates") if counters else found
-    grouped = written(cluster_plumes(found, placed, s), "clustered")
-    plumes = dedupe(grouped, placed, granules, pixels, s)
+    grouped = written(cluster_plumes(found, placed, s, counters), "clustered")
+    plumes = dedupe(grouped, placed, granules, pixels, s, weight)
     image = enhancement(placed, s)
     out = counters.on(plumes.plumes, "plumes") if counters else plumes.plumes
     if samples:
@@ -175,7 +196,13 @@ def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, s
         arrays = [f.name for f in scores.schema.fields if f.dataType.typeName() == "array"]
         scores = scores.withColumns({c: masks.whole_or_null(F.col(c)) for c in arrays})
         out = out.withColumn("plume_id", F.concat_ws(":", *GROUP)).join(scores, "plume_id", "left").drop("plume_id")
-    return grouped, out, image
+    return with_rasters(grouped, placed, s) if rasters else grouped, out, image
+
+
+def run_scene(pixels: DataFrame, granules: DataFrame, s: Settings, factory, model: str, samples: list[tuple] | None = None, match_bands: list[int] | None = None, added_ppm_m: float = 1.0, counters: Counters | None = None, rasters: bool = False, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """run() from orthorectified scenes: every tile goes through the model that factory(model) loads."""
+    slots = written(tiled_inference(pixels, granules, factory, model, s.tile_size, s.stride, **kw), "slots")
+    return run(slots, pixels, granules, s, samples, match_bands, added_ppm_m, counters, rasters)
 
 
 def swept(placed: DataFrame, granules: DataFrame, settings: list[Settings]) -> DataFrame:

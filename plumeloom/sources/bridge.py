@@ -35,12 +35,13 @@ RASTER_SQL = """px AS (SELECT 0::BIGINT AS granule_id, event_id // 100 AS gy, ev
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """granule_id, id, x, y."""
+    """granule_id, id, x, y: the board grows with the heads, so that they stand equally close at any scale."""
     c = table(spark, sf_dir, "customer")
-    return c.select(F.lit(0).cast("long").alias("granule_id"), F.col("c_custkey").alias("id"), F.expr("(c_custkey * 37 + c_nationkey * 11) % 100").alias("x"), F.expr("(c_custkey * 13) % 400 + c_nationkey % 5").alias("y"))
+    span = c.agg(F.expr("greatest(max(c_custkey) * 4 div 15, 4)")).first()[0]
+    return c.select(F.lit(0).cast("long").alias("granule_id"), F.col("c_custkey").alias("id"), F.expr("(c_custkey * 37 + c_nationkey * 11) % 100").alias("x"), F.expr(f"(c_custkey * 13) % {span} + c_nationkey % 5").alias("y"))
 
 
-HEADS_SQL = "heads AS (SELECT 0::BIGINT AS granule_id, c_custkey AS id, (c_custkey * 37 + c_nationkey * 11) % 100 AS x, (c_custkey * 13) % 400 + c_nationkey % 5 AS y FROM customer)"
+HEADS_SQL = "heads AS (SELECT 0::BIGINT AS granule_id, c_custkey AS id, (c_custkey * 37 + c_nationkey * 11) % 100 AS x, (c_custkey * 13) % (SELECT greatest(max(c_custkey) * 4 // 15, 4) FROM customer) + c_nationkey % 5 AS y FROM customer)"
 
 
 def tiles_of_pixels_sql(size: int = TILE, stride: int = STRIDE) -> str:
