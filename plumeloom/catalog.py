@@ -332,7 +332,7 @@ def crop_border(spark, sf_dir):
     return components.cropped(px, ["grp"], 1).select("grp", "y", "x")
 
 
-_BANDS = "bands AS (SELECT k::INT AS band, (38100 + 744 * k)::DOUBLE / 100::DOUBLE AS centre FROM range(285) AS t(k))"
+_BANDS = "bands AS (SELECT k::INT AS band, (38100 + 745 * k)::DOUBLE / 100::DOUBLE AS centre FROM range(285) AS t(k))"
 
 
 @query(f"WITH {_BANDS} SELECT band, centre, centre BETWEEN 2100 AND 2440 AS strong FROM bands WHERE centre BETWEEN 2100 AND 2440 OR NOT centre BETWEEN 1640 AND 1690")

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The nominal instrument, in hundredths of a nm.
-N_BANDS, FIRST, STEP, WIDTH = 285, 38100, 744, 900
+#: The nominal instrument, in hundredths of a nm: as many of its bands lie in the ranges below as of the
+#: real one, whose centres differ from it by some nm and come with its files.
+N_BANDS, FIRST, STEP, WIDTH = 285, 38100, 745, 900
 #: Fixed values, in nm.
 NOT_GAS = {"methane": ((1640.0, 1690.0), (2100.0, 2440.0)), "co2": ((1400.0, 1470.0), (1550.0, 1650.0), (1900.0, 2150.0))}
 STRONG = {"methane": (2100.0, 2440.0), "co2": (1930.0, 2130.0)}
