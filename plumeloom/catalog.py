@@ -137,12 +137,12 @@ def glt_ortho(spark, sf_dir):
     return ortho.orthorectified(glt, raw, ["v", "price"], {"v": -9999}).select("gy", "gx", "v", "price")
 
 
-_BOX = "b AS (SELECT o_orderkey AS box_id, 0::BIGINT AS granule_id, (o_orderkey * 31) % 110 - 6 AS x0, (o_orderkey * 17) % (SELECT max(event_id) // 100 + 11 FROM events) - 6 AS y0 FROM orders)"
+_BOX = "b AS (SELECT o_orderkey AS box_id, 0::BIGINT AS granule_id, (o_orderkey * 31) % 110 - 6 AS x0, (o_orderkey * 17) % (SELECT (max(event_id) // 100 + 1) * 16 + 11 FROM events) - 6 AS y0 FROM orders)"
 
 
 def _boxes(spark, sf_dir):
     """Boxes on and about the raster, which grows as they do."""
-    o, rows = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events").agg(F.expr("max(event_id) div 100 + 11")).first()[0]
+    o, rows = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events").agg(F.expr("(max(event_id) div 100 + 1) * 16 + 11")).first()[0]
     b = o.select(F.col("o_orderkey").alias("box_id"), F.lit(0).cast("long").alias("granule_id"), F.expr("(o_orderkey * 31) % 110 - 6").alias("x0"), F.expr(f"(o_orderkey * 17) % {rows} - 6").alias("y0"))
     return b.withColumns({"x1": F.col("x0") + 5, "y1": F.col("y0") + 4})
 
