@@ -10,7 +10,7 @@ equal lines, hot bands and components are those of neardup.
 Passages that stand inside lines, or go over several, are found by sliding paragraphs of SLIDING
 shingles over a whole text: each has a MinHash of one value, the place of its least shingle, and
 around each such place stands a window of WINDOW words. Windows of the same words (128 bits) are
-linked, their Jaccard similarity is 1. Two texts that share a run of REACH words also share a whole
+linked, their Jaccard similarity is 1; those that stand in two documents or more count. Two texts that share a run of REACH words also share a whole
 sliding paragraph with its windows inside the run, so every shared run of REACH words is found,
 wherever it stands. Windows that overlap are reported as one passage; of a run it covers all but less
 than SLIDING words at either end.
@@ -21,8 +21,9 @@ removed window that a window which stays holds too is not removed.
 Lines of fewer than `least` words (a parameter) are common phrases and no paragraphs of their own;
 with least=1 every line is one, by the same path.
 
-Defined cases. Null and empty texts have no paragraphs. A text that repeats a paragraph has it
-removed like any other. Repeated rows of one id have equal paragraphs, of which ties in doc_id
+Defined cases. Null and empty texts have no paragraphs. A text that repeats a line has it removed
+like any other; words that only one text repeats, and not as a line, are a matter of quality rules.
+Repeated rows of one id have equal paragraphs, of which ties in doc_id
 and place stay together. Null ids come last in the order of what stays. Empty tables give no
 rows. Other columns are ignored by repeated() and come through removed() whatever their names.
 """
@@ -158,10 +159,11 @@ def _lines(units: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
 
 
 def _windows(units: DataFrame) -> DataFrame:
-    """Windows that occur twice or more: the same columns."""
+    """Windows that stand in two documents or more: the same columns."""
     rows = units.filter("NOT line").select("doc_id", "of", "para", "start", "length", "da", "db")
-    classes = rows.groupBy("da", "db").agg(F.count("*").alias("n_copies"), _first(rows).alias("k")).filter("n_copies > 1")
-    classes = written(classes, "window-classes")
+    document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of")
+    classes = rows.groupBy("da", "db").agg(F.count("*").alias("n_copies"), _first(rows).alias("k"), F.min(document).alias("low"), F.max(document).alias("high"))
+    classes = written(classes.filter("low <> high").drop("low", "high"), "window-classes")
     released(units.sparkSession)
     met = looked_up(rows, classes, ["da", "db"], "n_copies").drop("da", "db")
     return met.withColumn("removed", ~_stays())

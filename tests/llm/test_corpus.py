@@ -368,14 +368,14 @@ def test_passages_inside_and_over_lines(spark):
             held = [text[i][r.start : r.start + r.length].lower().split() for r in found if r.doc_id == i]
             assert len(held) == 1 and len(held[0]) > max(23, len(run) - 2 * passages.SLIDING) and " ".join(held[0]) in " ".join(run), i
             assert all(r.removed == (i % 10 > 0) and r.kept_doc_id == 10 * k for r in found if r.doc_id == i)
-    assert {r.doc_id for r in found} - {None, 902} == {10 * k + j for k in range(5) for j in range(3)}
+    assert {r.doc_id for r in found} - {None} == {10 * k + j for k in range(5) for j in range(3)}
     assert sum(r.doc_id is None for r in found) == 2
     clean = {r.doc_id: r.text for r in passages.removed(df).collect() if r.doc_id is not None}
-    assert all((clean[i] == t) == (i % 10 == 0 or i >= 900 and i != 902) for i, t in text.items())
+    assert all((clean[i] == t) == (i % 10 == 0 or i >= 900) for i, t in text.items())
 
 
 def test_every_shared_run_is_found(spark):
-    """Brute force: all places of 50 words that another document or place shares word for word."""
+    """Brute force: all places of 50 words that another document shares word for word."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     places, spans = collections.defaultdict(list), {}
     for r in table.collect():
@@ -388,7 +388,7 @@ def test_every_shared_run_is_found(spark):
         held[r.doc_id].append((r.start, r.start + r.length))
     runs = missed = 0
     for same in places.values():
-        for i, k in same if len(same) > 1 else ():
+        for i, k in same if len({i for i, _ in same}) > 1 else ():
             a, b = spans[i][k][0], spans[i][k + 49][1]
             runs += 1
             missed += not any(min(b, y) > max(a, x) for x, y in held[i])
