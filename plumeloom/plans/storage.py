@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,12 @@ def released(spark: SparkSession) -> None:
     """Let the cluster delete the shuffle files of queries that are done.
 
     Executors keep them until the driver's JVM has collected the query that they belong to, which in
-    a job of many queries may be at its end. What is lost is nothing: finished queries were written.
+    a job of many queries may be at its end. The last query is held until another one has run, and what
+    listeners and this process still refer to takes a moment to go. Nothing is lost: finished
+    queries were written.
     """
+    spark.range(1).count()
+    time.sleep(0.2)
+    gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.2)
