@@ -133,9 +133,9 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()], strict=True)], names=["node", "da", "db", "text"])
 
 
-def _first(df: DataFrame):
+def _first():
     """The least of doc_id (null last) and place."""
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "para"))
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start"))
 
 
 def _stays():
@@ -154,15 +154,15 @@ def _lines(units: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
     rooted = grouped(lines, ["doc_id", "of", "para"], banding, texts_of)
     rows = written(lines.select("doc_id", "of", "para", "start", "length", "da", "db").join(rooted, ["da", "db"]).drop("da", "db"), "lines")
     dropped(rooted)
-    clusters = rows.groupBy("root").agg(F.count("*").alias("n_copies"), _first(rows).alias("k")).filter("n_copies > 1")
+    clusters = rows.groupBy("root").agg(F.count("*").alias("n_copies"), _first().alias("k")).filter("n_copies > 1")
     return looked_up(rows, clusters, ["root"], "n_copies").drop("root").withColumn("removed", ~_stays())
 
 
 def _windows(units: DataFrame) -> DataFrame:
     """Windows that stand in two documents or more: the same columns."""
-    rows = units.filter("NOT line").select("doc_id", "of", "para", "start", "length", "da", "db")
-    document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of")
-    classes = rows.groupBy("da", "db").agg(F.count("*").alias("n_copies"), _first(rows).alias("k"), F.min(document).alias("low"), F.max(document).alias("high"))
+    rows = units.filter("NOT line").select("doc_id", "of", F.lit(None).cast("int").alias("para"), "start", "length", "da", "db")
+    document = F.xxhash64("doc_id", "of")
+    classes = rows.groupBy("da", "db").agg(F.count("*").alias("n_copies"), _first().alias("k"), F.min(document).alias("low"), F.max(document).alias("high"))
     classes = written(classes.filter("low <> high").drop("low", "high"), "window-classes")
     released(units.sparkSession)
     met = looked_up(rows, classes, ["da", "db"], "n_copies").drop("da", "db")
