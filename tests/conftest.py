@@ -1,4 +1,3 @@
-import importlib.util
 import os
 import sys
 from pathlib import Path
@@ -10,7 +9,6 @@ ROOT = Path(__file__).parents[1]
 sys.path.insert(0, str(ROOT))
 sys.path.append(str(ROOT / "tests/stubs"))
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests/stubs"), os.environ.get("PYTHONPATH", "")])  # of workers
-HAS_NETCDF = "stubs" not in str(getattr(importlib.util.find_spec("netCDF4"), "origin", ""))
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import conftest
+import found
 import stand_in
 from plumeloom import schema
 from plumeloom.config import Settings
@@ -15,7 +15,7 @@ from plumeloom.plans import inference, metrics, pipeline
 from plumeloom.sources import bands, emit
 
 SMALL = {"tile_size": 8, "stride": 4, "clustering": "DBSCAN", "clustering_kw": {"eps": 1.5, "min_samples": 1}, "cc_min_size": 1, "simplify": 0.0, "vetting_patch": 4}
-needs_stub = pytest.mark.skipif(conftest.HAS_NETCDF, reason="files of the stand-in are no NetCDF")
+needs_stub = pytest.mark.skipif(found.HAS_NETCDF, reason="files of the stand-in are no NetCDF")
 
 
 def raster(spark, h, w, valid="true", granule="1"):
