@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeloom.llm import chat, html_main, license_scan, merkle, mixing, neardup, oracles, packing, passages, pii, rules
+from plumeloom.llm import chat, fim, html_main, license_scan, merkle, mixing, neardup, oracles, packing, passages, pii, rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = fim.transformed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return of.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scans, op2_pii, op3_best_fit_packing, op4_substring_dedup, op5_document_fingerprints, op6_chat_formatting, op7_quality_rules, op8_html_extraction, op9_mixing, op10_minhash_near_dedup)
+    named = (op1_license_scans, op2_pii, op3_best_fit_packing, op4_substring_dedup, op5_document_fingerprints, op6_chat_formatting, op7_quality_rules, op8_html_extraction, op9_mixing, op10_minhash_near_dedup, op11_toxicity, op12_fill_in_middle)
     return {f.__name__: f for f in named}
 
 

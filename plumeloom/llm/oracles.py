@@ -1,6 +1,6 @@
 """SQL for the queries that SQL can express, over whole tables."""
 
-from plumeloom.llm import merkle, mixing, rules
+from plumeloom.llm import fim, merkle, mixing, rules
 
 _BLANK = r"[\x20\x09-\x0D]"
 _WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda w: w <> '')"
@@ -62,4 +62,12 @@ reach(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON
 root AS (SELECT a AS doc_id, min(b) AS r FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(r, d.doc_id) AS component_id, coalesce(r, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)"""
 
-SQL = {"op5_document_fingerprints": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9, "op10_minhash_near_dedup": OP10}
+_H = ", ".join(f"('0x' || substr(sha256('{fim.SEED}:' || doc_id), {1 + 8 * k}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+_MARKED = " OR ".join(f"contains(t, '{m}')" for m in fim.MARKS)
+OP12 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{fim.UNIT}') AS u, {_H} FROM documents),
+f AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, CASE WHEN t = '' OR {_MARKED} OR h3 % 100 >= {100 - fim.PLAIN} THEN 'plain' WHEN h4 % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM d),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{fim.PREFIX}' || prefix || '{fim.SUFFIX}' || suffix || '{fim.MIDDLE}' || middle ELSE '{fim.SUFFIX}' || suffix || '{fim.PREFIX}' || prefix || '{fim.MIDDLE}' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+SQL = {"op5_document_fingerprints": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9, "op10_minhash_near_dedup": OP10, "op12_fill_in_middle": OP12}
