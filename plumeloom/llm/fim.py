@@ -1,13 +1,17 @@
 """Fill-in-the-middle: texts cut at units of words and characters, by relations of units.
 
-A text's units (letter runs and single other characters) are exploded with their ordinals, a window
-over each text sums their lengths, the two cuts asked of a text meet the units by ordinal in a join,
-and an aggregate brings their offsets back to one row per text, which substrings then use.
+A text's units (letter runs and single other characters) are matched and exploded with their ordinals, a
+window over each text sums their lengths, the two cuts asked of a text meet the units by ordinal in a
+join, and an aggregate brings their offsets back to one row per text, which substrings then use.
 
-Texts are shuffled once, by a number of their own, so that one long or often repeated id is
-not in one place. Units never are: explode, window, join and aggregate all keep that
-partitioning. A unit is two numbers wide while the window sorts it. The requests, one row per
-text, are the only other rows that move.
+This goes in two steps, so that what a window sorts is not larger than the texts. Matches are exploded
+as blocks of BLOCK units each, the window sums the blocks, and the requests meet the blocks that hold the
+units before their cuts. Only these blocks are exploded to units, whose lengths are summed up to
+the cut. A block begins and ends between units, so it has the same units by itself.
+
+Texts are shuffled once, by a number of their own, so that a long text or an often repeated id is not in
+one place with others. Blocks and units never are: explode, window, join and aggregate all
+keep that partitioning. The requests, one row per text, are the only other rows that move.
 
 Cuts. h1 to h4 are the first four groups of eight hexadecimal digits of the sha256 of `<seed>:<doc_id>`.
 Of n units the prefix ends after the smaller of h1 % (n + 1) and h2 % (n + 1), the middle after the
@@ -27,12 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeloom.llm.text import fenced, whole
+from plumeloom.llm.text import bound, fenced, whole
 
 UNIT = r"[A-Za-z]+|[^A-Za-z]"
 MARKS = PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN, SPM = 10, 20
 SEED = 1
+#: Units that are exploded together.
+BLOCK = 256
 
 
 def n_units(text: Column) -> Column:
@@ -60,13 +66,35 @@ def requests(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return rows.select("_doc", "row", "raw", "n", "form", F.least(a, b).alias("first"), F.greatest(a, b).alias("last"))
 
 
-def unit_ends(rows: DataFrame) -> DataFrame:
-    """row, ordinal (from 1) and end (code points up to and with the unit) of every unit that may be cut."""
+def blocks(rows: DataFrame) -> DataFrame:
+    """row, block, part (the text of BLOCK units) and before (code points before it) of every text that may be cut."""
     none = F.array().cast("array<string>")
     matches = F.when(F.col("form") == "plain", none).otherwise(F.regexp_extract_all("raw", F.lit(UNIT), F.lit(0)))
-    units = rows.select("row", F.posexplode(matches).alias("place", "unit")).select("row", (F.col("place") + 1).cast("long").alias("ordinal"), F.length("unit").alias("length"))
-    upto = Window.partitionBy("row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return units.select("row", "ordinal", F.sum("length").over(upto).alias("end"))
+    starts = lambda m: F.when(F.size(m) > 0, F.sequence(F.lit(1), F.size(m), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    parts = bound(matches, lambda m: F.transform(starts(m), lambda k: F.array_join(F.slice(m, k, BLOCK), "")))
+    cut = rows.select("row", F.posexplode(parts).alias("block", "part"))
+    earlier = Window.partitionBy("row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.select("row", "block", "part", F.coalesce(F.sum(F.length("part")).over(earlier), F.lit(0)).alias("before"))
+
+
+def block_of(cut: Column) -> Column:
+    """The block that holds the last unit before a cut."""
+    return F.floor(F.greatest(cut - 1, F.lit(0)) / BLOCK)
+
+
+def offsets(rows: DataFrame) -> DataFrame:
+    """_row and the code points p and m before the two cuts of every text that may be cut and has units."""
+    asked = rows.select(F.col("row").alias("_row"), "first", "last")
+    met = blocks(rows).join(asked, (F.col("row") == F.col("_row")) & F.col("block").isin(block_of(F.col("first")), block_of(F.col("last"))))
+    units = met.select("_row", "first", "last", "block", "before", F.posexplode(F.regexp_extract_all("part", F.lit(UNIT), F.lit(0))).alias("place", "unit"))
+    units = units.withColumn("ordinal", F.col("block") * BLOCK + F.col("place") + 1)
+
+    def at(cut: str) -> Column:
+        inside = F.col("block") == block_of(F.col(cut))
+        whole_blocks = F.max(F.when(inside & (F.col(cut) > 0), F.col("before")))
+        return F.coalesce(whole_blocks, F.lit(0)) + F.coalesce(F.sum(F.when(inside & (F.col("ordinal") <= F.col(cut)), F.length("unit"))), F.lit(0))
+
+    return units.groupBy("_row").agg(at("first").cast("int").alias("p"), at("last").cast("int").alias("m"))
 
 
 def assembled(form: Column, prefix: Column, middle: Column, suffix: Column, text: Column) -> Column:
@@ -88,14 +116,9 @@ def restored(output: Column, form: Column) -> Column:
 def transformed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs' columns with n, form, prefix_chars, middle_chars and output."""
     spread = fenced(requests(docs, seed).repartition("row"), "_doc", "raw", "n", "form", "first", "last")
-    asked = spread.select(F.col("row").alias("_row"), "first", "last")
-    units = unit_ends(spread)
-    met = units.join(asked, (F.col("row") == F.col("_row")) & ((F.col("ordinal") == F.col("first")) | (F.col("ordinal") == F.col("last"))))
-    at = lambda c: F.coalesce(F.max(F.when(F.col("ordinal") == F.col(c), F.col("end"))), F.lit(0))
-    offsets = met.groupBy("_row").agg(at("first").alias("p"), at("last").alias("m"))
-    rows = spread.join(offsets, F.col("row") == F.col("_row"), "left")
-    text, p = whole(F.col("raw")), F.coalesce("p", F.lit(0)).cast("int")
-    m = F.greatest(F.coalesce("m", F.lit(0)).cast("int"), p)
+    rows = spread.join(offsets(spread), F.col("row") == F.col("_row"), "left")
+    text, p = whole(F.col("raw")), F.coalesce("p", F.lit(0))
+    m = F.coalesce("m", F.lit(0))
     parts = F.substring(text, F.lit(1), p), F.substring(text, p + 1, m - p), F.substring(text, m + 1, F.length(text))
     cut = F.col("form") != "plain"
     made = {"n": F.col("n"), "form": F.col("form"), "prefix_chars": F.when(cut, p.cast("long")), "middle_chars": F.when(cut, (m - p).cast("long")), "output": assembled(F.col("form"), *parts, text)}
