@@ -215,10 +215,11 @@ class Logistic:
         return cls(float(share), w, mean, scale)
 
     def of(self, rows: np.ndarray) -> np.ndarray:
+        """Rounded, so that a row's score does not hang on what stands beside it in a batch."""
         if self.weights is None:
             return np.full(len(rows), self.constant)
         z = np.hstack([(features(rows) - self.mean) / self.scale, np.ones((len(rows), 1))])
-        return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip((z * self.weights).sum(axis=1), -30, 30))), 9)
 
 
 @dataclass
