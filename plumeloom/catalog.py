@@ -451,16 +451,35 @@ def mask_wkt(spark, sf_dir):
 @query(f"{_CC} SELECT label, count(*)::DOUBLE AS area, min(x)::DOUBLE AS x0, min(y)::DOUBLE AS y0, max(x)::DOUBLE + 1 AS x1, max(y)::DOUBLE + 1 AS y1 FROM cc GROUP BY label")
 def mask_wkt_area(spark, sf_dir):
     """Area (of outer rings less holes, by the shoelace formula) and bounds, read from the outlines' text."""
-    outlines = geometry.mask_wkt(_labels(spark, sf_dir), ["label"], keep_holes=True)
-    rings = outlines.select("label", F.posexplode(F.regexp_extract_all("geometry", F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("ring", "t"))
-    point = lambda p: F.transform(F.split(F.trim(p), " +"), lambda v: v.cast("double"))
-    rings = rings.select("label", "ring", F.transform(F.split("t", ","), point).alias("p"))
+    return _measured(geometry.mask_wkt(_labels(spark, sf_dir), ["label"], keep_holes=True))
+
+
+def _measured(outlines: DataFrame) -> DataFrame:
+    """Area and bounds of WKT polygons, per label."""
+    rings = geometry.points_of(outlines, ["label"])
     cross = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i - 1)[0] * F.get("p", i)[1] - F.get("p", i)[0] * F.get("p", i - 1)[1])
     side = lambda f, k: f(F.transform("p", lambda q: q[k]))
     parts = rings.select("label", (F.aggregate(cross, F.lit(0.0), lambda a, v: a + v) / 2).alias("signed"), side(F.array_min, 0).alias("x0"), side(F.array_min, 1).alias("y0"), side(F.array_max, 0).alias("x1"), side(F.array_max, 1).alias("y1"), "ring")
     return parts.groupBy("label").agg(F.abs(F.sum("signed")).alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+_SIDES = "e AS (SELECT cc.label, count(*) AS n_sides FROM cc, (SELECT unnest([-1, 0, 1, 0]) AS dy, unnest([0, 1, 0, -1]) AS dx) WHERE NOT EXISTS (SELECT 1 FROM hit n WHERE n.y = cc.y + dy AND n.x = cc.x + dx) GROUP BY cc.label)"
+
+
+@query(f"{_CC}, {_SIDES} SELECT label, count(*) AS n_pixels, any_value(n_sides) AS n_sides, true AS oriented, true AS near, true AS inside, 0::BIGINT AS n_crossings FROM cc JOIN e USING (label) GROUP BY label")
+def mask_wkt_simplified(spark, sf_dir):
+    """Simplified outlines: none crosses itself, a hole or another (n_crossings), their area differs by at most the tolerance
+    along the boundary, and they stay within the mask's bounds."""
+    labels = _labels(spark, sf_dir)
+    outlines = geometry.mask_wkt(labels, ["label"], SIMPLIFY, keep_holes=True)
+    sides = geometry.edges(labels.select("label", "y", "x"), ["label"]).groupBy("label").agg(F.count("*").alias("n_sides"))
+    boxes = geometry.area_and_bounds(labels, ["label"]).withColumnsRenamed({c: f"of_{c}" for c in ("x0", "y0", "x1", "y1")}).withColumnRenamed("area", "n_pixels")
+    met = boxes.join(_measured(outlines), "label").join(sides, "label").join(geometry.crossings(outlines, ["label"]), "label", "left")
+    near = F.abs(F.col("area") - F.col("n_pixels")) <= SIMPLIFY * F.col("n_sides")
+    inside = F.expr("x0 >= of_x0 AND y0 >= of_y0 AND x1 <= of_x1 AND y1 <= of_y1")
+    return met.select("label", "n_pixels", "n_sides", (F.col("area") > 0).alias("oriented"), near.alias("near"), inside.alias("inside"), F.coalesce("n_crossings", F.lit(0)).alias("n_crossings"))
+
+
 def _latlon_sql(x: str, y: str) -> tuple[str, str]:
     """Latitude and longitude of a place in zone 31N, in SQL."""
     f = 1 / 298.257223563
@@ -545,6 +564,8 @@ def granule_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", strings.granule_of(path).alias("granule"), strings.obs_path(path).alias("obs"))
 
 
+#: A tolerance, in pixels, at which most outlines lose corners.
+SIMPLIFY = 1.0
 #: Small tiles, and clusters by distance, for scenes of this width.
 SMALL = Settings(tile_size=TILE, stride=STRIDE, plume_threshold=0.4, origin_threshold=0.5, min_slot_pixels=3, clustering="DBSCAN", clustering_kw={"eps": 1.5, "min_samples": 1}, cc_min_size=2, simplify=0.0, vetting_patch=16)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
 Ring = list[tuple[float, float]]
+#: Corners times points that one test holds.
+_AT_ONCE = 1 << 20
 
 
 def outlines(mask: np.ndarray) -> list[Ring]:
@@ -62,27 +64,75 @@ def holds(ring: Ring, point: tuple[float, float]) -> bool:
     return hit
 
 
-def simplified(ring: Ring, tolerance: float) -> Ring:
-    """Douglas-Peucker on a ring, from its two farthest corners; at least three corners stay."""
-    if tolerance <= 0 or len(ring) <= 4:
-        return ring
-    far = max(range(len(ring)), key=lambda k: (ring[k][0] - ring[0][0]) ** 2 + (ring[k][1] - ring[0][1]) ** 2)
-    keep = {0, far}
-    todo = [(0, far), (far, len(ring))]
-    while todo:
-        i, k = todo.pop()
-        (ax, ay), (bx, by) = ring[i], ring[k % len(ring)]
-        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5 or 1e-300
-        worst, at = tolerance, -1
-        for j in range(i + 1, k):
-            d = abs((bx - ax) * (ay - ring[j][1]) - (ax - ring[j][0]) * (by - ay)) / length
-            if d > worst:
-                worst, at = d, j
-        if at >= 0:
-            keep.add(at)
-            todo += [(i, at), (at, k)]
-    out = [ring[k] for k in sorted(keep)]
-    return out if len(out) >= 3 else ring
+def _touched(chain: np.ndarray, points: np.ndarray) -> bool:
+    """Whether any of the points, but for the chain's ends, lies in or on the closed curve of a chain of corners."""
+    low, high = chain.min(axis=0), chain.max(axis=0)
+    points = points[((points >= low) & (points <= high)).all(axis=1)]
+    points = points[(points != chain[0]).any(axis=1) & (points != chain[-1]).any(axis=1)]
+    after = np.roll(chain, -1, axis=0)
+    (ax, ay), (bx, by) = chain.T, after.T
+    for some in np.array_split(points, 1 + len(points) * len(chain) // _AT_ONCE):
+        x, y = some[:, :1], some[:, 1:]
+        turn = (bx - ax) * (y - ay) - (x - ax) * (by - ay)
+        on = (turn == 0) & (x >= np.minimum(ax, bx)) & (x <= np.maximum(ax, bx)) & (y >= np.minimum(ay, by)) & (y <= np.maximum(ay, by))
+        crossed = ((ay > y) != (by > y)) & ((turn < 0) == (by < ay))
+        if (on.any(axis=1) | (crossed.sum(axis=1) % 2 == 1)).any():
+            return True
+    return False
+
+
+def _distances(chain: np.ndarray) -> np.ndarray:
+    """Of the corners inside a chain from the line between its ends (and not beyond them)."""
+    a, step = chain[0], chain[-1] - chain[0]
+    inside = chain[1:-1] - a
+    length = float(step @ step)
+    along = np.clip(inside @ step / length, 0, 1) if length else np.zeros(len(inside))
+    return np.hypot(*(inside - along[:, None] * step).T)
+
+
+def simplified(rings: list[Ring], tolerance: float, place=lambda x, y: (x, y)) -> list[Ring]:
+    """Rings with fewer corners, each left out within the tolerance, that touch and cross as before.
+
+    rings are all outlines of one mask, in pixels, where whole numbers make every test exact. place is
+    rings are all outlines of one mask, in pixels, where whole numbers make every test exact. place is
+    affine, and distances are those of the places. A run of corners gives way to the line between its ends if all are
+    within the tolerance of it, no corner of any other run, of this ring or another, lies in or on the area between the
+    two, and no other line has the same ends; else it is parted at its farthest corner. So no line can reach
+    another, a hole or an island stays on its side, at least three corners of a ring are left, and
+    nothing needs repair. Corners where outlines touch stay, and so do two corners that are far apart of every ring.
+    """
+    if tolerance <= 0:
+        return rings
+    corners = np.array([c for r in rings for c in r], float).reshape(-1, 2)
+    shared = {c for c, n in Counter(map(tuple, corners.tolist())).items() if n > 1}
+    lines = {frozenset((a, b)) for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True)}
+    begin, out = 0, []
+    for ring in rings:
+        n, px = len(ring), np.array(ring, float)
+        others = np.ones(len(corners), bool)
+        places = np.array([place(*c) for c in ring], float)
+        far = int(np.hypot(*(places - places[0]).T).argmax())
+        keep = {0, far} | {k for k, c in enumerate(ring) if c in shared}
+        fixed = sorted(keep)
+        todo = [(i, k, _distances(places[np.arange(i, k + 1) % n])) for i, k in zip(fixed, [*fixed[1:], fixed[0] + n], strict=True) if k - i > 1]
+        todo.sort(key=lambda run: -run[2].max())
+        while todo:
+            i, k, d = todo.pop()
+            at, ends = np.arange(i, k + 1) % n, frozenset((ring[i], ring[k % n]))
+            if d.max() <= tolerance and len(ends) == 2 and ends not in lines:
+                others[begin + at] = False
+                free = not _touched(px[at], corners[others])
+                others[begin + at] = True
+                if free:
+                    lines.add(ends)
+                    continue
+            worst = i + 1 + (int(d.argmax()) if d.max() > 0 else (k - i) // 2 - 1)
+            keep.add(worst % n)
+            todo += [(a, b, _distances(places[np.arange(a, b + 1) % n])) for a, b in ((i, worst), (worst, k)) if b - a > 1]
+        kept = [ring[j] for j in sorted(keep)]
+        out.append(kept if area(kept) * area(ring) > 0 else ring)
+        begin += n
+    return out
 
 
 def polygons(mask: np.ndarray, keep_holes: bool) -> list[list[Ring]]:
@@ -101,11 +151,17 @@ def polygons(mask: np.ndarray, keep_holes: bool) -> list[list[Ring]]:
 
 
 def wkt(mask: np.ndarray, place=lambda x, y: (x, y), simplify: float = 0.0, keep_holes: bool = False) -> str | None:
-    """POLYGON or MULTIPOLYGON of a mask with corners moved by place(x, y); None for no pixel."""
-    parts = []
-    for polygon in polygons(mask, keep_holes):
-        rings = [simplified([place(*p) for p in ring], simplify) for ring in polygon]
-        parts.append("(" + ", ".join("(" + ", ".join(f"{x:.16f} {y:.16f}" for x, y in [*r, r[0]]) + ")" for r in rings) + ")")
-    if not parts:
-        return None
-    return f"POLYGON {parts[0]}" if len(parts) == 1 else f"MULTIPOLYGON ({', '.join(parts)})"
+    """POLYGON or MULTIPOLYGON of a mask with corners moved by the affine place(x, y); None for no pixel."""
+    return wkts(mask, [place], simplify, keep_holes)[0]
+
+
+def wkts(mask: np.ndarray, places: list, simplify: float = 0.0, keep_holes: bool = False) -> list[str | None]:
+    """The same for several places, simplified in each: the mask is traced once."""
+    found, out = polygons(mask, keep_holes), []
+    for place in places:
+        thin, parts = iter(simplified([ring for polygon in found for ring in polygon], simplify, place)), []
+        for polygon in found:
+            rings = [[place(*p) for p in next(thin)] for _ in polygon]
+            parts.append("(" + ", ".join("(" + ", ".join(f"{x:.16f} {y:.16f}" for x, y in [*r, r[0]]) + ")" for r in rings) + ")")
+        out.append(None if not parts else f"POLYGON {parts[0]}" if len(parts) == 1 else f"MULTIPOLYGON ({', '.join(parts)})")
+    return out

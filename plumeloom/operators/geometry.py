@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeloom.kernels.rings import wkt
+from plumeloom.kernels.rings import wkts
 
 
 def edges(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,22 +23,62 @@ def area_and_bounds(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mask_wkt(pixels: DataFrame, keys: list[str], simplify: float = 0.0, keep_holes: bool = False, affine: tuple[str, ...] | None = None) -> DataFrame:
-    """keys and geometry (WKT) of pixels (keys, y, x), in pixel coordinates, or in those of the
-    columns affine = (a, b, c, d, e, f): lon = a + b x + c y, lat = d + e x + f y.
+    """keys and geometry (WKT) of pixels (keys, y, x), in pixel coordinates, or in those of an affine."""
+    return mask_wkts(pixels, keys, {"geometry": affine or (0, 1, 0, 0, 0, 1)}, simplify, keep_holes)
+
+
+def mask_wkts(pixels: DataFrame, keys: list[str], affines: dict[str, tuple], simplify: float = 0.0, keep_holes: bool = False) -> DataFrame:
+    """keys and one geometry (WKT) of pixels (keys, y, x) per affine (a, b, c, d, e, f), each a column or a number:
+    the corner (x, y) stands at (a + b x + c y, d + e x + f y). The mask is traced once.
 
     A key is one plume or slot, whose pixels are bounded by its tile or cluster.
     """
-    spec = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys) + ", geometry string"
+    columns = sorted({c for affine in affines.values() for c in affine if isinstance(c, str)})
+    spec = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys) + "".join(f", {n} string" for n in affines)
 
     def trace(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = int(df["x"].min()), int(df["y"].min())
         mask = np.zeros((int(df["y"].max()) - y0 + 1, int(df["x"].max()) - x0 + 1), bool)
         mask[df["y"].to_numpy() - y0, df["x"].to_numpy() - x0] = True
-        if affine:
-            a, b, c, d, e, f = (float(df[n].iloc[0]) for n in affine)
-            place = lambda x, y: (a + b * (x + x0) + c * (y + y0), d + e * (x + x0) + f * (y + y0))
-        else:
-            place = lambda x, y: (x + x0, y + y0)
-        return pd.DataFrame([(*key, wkt(mask, place, simplify, keep_holes))], columns=[*keys, "geometry"])
-
-    return pixels.select(*keys, "y", "x", *(affine or ())).groupBy(*keys).applyInPandas(trace, spec)
+
+        def place_of(affine: tuple):
+            a, b, c, d, e, f = (float(df[n].iloc[0]) if isinstance(n, str) else float(n) for n in affine)
+            return lambda x, y: (a + b * (x + x0) + c * (y + y0), d + e * (x + x0) + f * (y + y0))
+
+        return pd.DataFrame([(*key, *wkts(mask, [place_of(a) for a in affines.values()], simplify, keep_holes))], columns=[*keys, *affines])
+
+    return pixels.select(*keys, "y", "x", *columns).groupBy(*keys).applyInPandas(trace, spec)
+
+
+def points_of(outlines: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """keys, ring and p (an array of points, the last one the first) of every ring of WKT polygons."""
+    rings = outlines.select(*keys, F.posexplode(F.regexp_extract_all(geometry, F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("ring", "t"))
+    point = lambda p: F.transform(F.split(F.trim(p), " +"), lambda v: v.cast("double"))
+    return rings.select(*keys, "ring", F.transform(F.split("t", ","), point).alias("p"))
+
+
+def crossings(outlines: DataFrame, keys: list[str], geometry: str = "geometry", cell: float = 8.0) -> DataFrame:
+    """keys and n_crossings: pairs of sides of one key's polygons that share more than an end; no row for none.
+
+    Sides meet in the cells that their boxes touch, so no pair of distant sides is formed; a pair counts in the
+    first cell that both touch.
+    """
+    spread = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+    sides = points_of(outlines, keys, geometry)
+    sides = sides.select(*keys, "ring", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.get("p", i - 1).alias("a"), F.get("p", i).alias("b")))).alias("k", "s"))
+    flat = sides.select(*keys, F.struct("ring", "k").alias("n"), F.col("s.a")[0].alias("ax"), F.col("s.a")[1].alias("ay"), F.col("s.b")[0].alias("bx"), F.col("s.b")[1].alias("by"))
+    flat = flat.withColumns({f"{f.__name__[0]}{c}": f(f"a{c}", f"b{c}") for c in "xy" for f in (F.least, F.greatest)})
+    at = flat.withColumn("cx", spread("lx", "gx")).withColumn("cy", spread("ly", "gy"))
+    names = [c for c in at.columns if c not in (*keys, "cx", "cy")]
+    other = at.select(*keys, "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in names])
+    met = at.join(other, [*keys, "cx", "cy"]).filter("n < o_n AND lx <= o_gx AND o_lx <= gx AND ly <= o_gy AND o_ly <= gy")
+    met = met.filter((F.col("cx") == F.floor(F.greatest("lx", "o_lx") / cell)) & (F.col("cy") == F.floor(F.greatest("ly", "o_ly") / cell)))
+    turn = lambda a, b, c: F.expr(f"({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x)")
+    within = lambda a, b, c: F.expr(f"{c}x BETWEEN least({a}x, {b}x) AND greatest({a}x, {b}x) AND {c}y BETWEEN least({a}y, {b}y) AND greatest({a}y, {b}y) AND NOT ({c}x = {a}x AND {c}y = {a}y) AND NOT ({c}x = {b}x AND {c}y = {b}y)")
+    corners = [("a", "b", "o_a"), ("a", "b", "o_b"), ("o_a", "o_b", "a"), ("o_a", "o_b", "b")]
+    t = [turn(*c) for c in corners]
+    crossed = (F.signum(t[0]) * F.signum(t[1]) < 0) & (F.signum(t[2]) * F.signum(t[3]) < 0)
+    for u, c in zip(t, corners, strict=True):
+        crossed = crossed | ((u == 0) & within(*c))
+    same = F.expr("least(ax, bx) = least(o_ax, o_bx) AND greatest(ax, bx) = greatest(o_ax, o_bx) AND ((ax = o_ax AND ay = o_ay AND bx = o_bx AND by = o_by) OR (ax = o_bx AND ay = o_by AND bx = o_ax AND by = o_ay))")
+    return met.filter(crossed | same).groupBy(*keys).agg(F.count("*").alias("n_crossings"))

@@ -59,10 +59,9 @@ def _with_heads(boxes: DataFrame, heads: DataFrame, keys: list[str]) -> DataFram
 
 def _outlined(local: DataFrame, boxes: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     """Boxes with geometry and geometry_px of the local mask pixels; boxes without pixels go."""
-    px = local.join(boxes.select(*keys, "x0", "y0"), keys).select(*keys, (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"))
-    in_pixels = geometry.mask_wkt(px, keys, s.simplify, s.keep_holes).withColumnRenamed("geometry", "geometry_px")
-    placed = geometry.mask_wkt(local.join(boxes.select(*keys, *AFFINE), keys), keys, s.simplify, s.keep_holes, AFFINE)
-    return boxes.join(in_pixels, keys).join(placed, keys)
+    px = local.join(boxes.select(*keys, "x0", "y0", *AFFINE), keys)
+    forms = {"geometry_px": ("x0", 1, 0, "y0", 0, 1), "geometry": AFFINE}
+    return boxes.join(geometry.mask_wkts(px, keys, forms, s.simplify, s.keep_holes), keys)
 
 
 SLOT = ["granule_id", "chunk_id", "slot_id"]

@@ -67,7 +67,59 @@ def test_outlines_of_known_shapes():
     assert rings.wkt(square((0, 1, 0, 1, 1))).startswith("POLYGON ((")
     island = square((1, 9, 1, 9, 1), (2, 8, 2, 8, 0), (4, 5, 4, 5, 1))
     assert len(rings.polygons(island, True)) == 2 and len(rings.polygons(island, False)) == 1
-    assert len(rings.simplified([(0, 0), (1, 0.001), (2, 0), (2, 2), (0, 2)], 0.1)) == 4
+    assert len(rings.simplified([[(0, 0), (1, 0.001), (2, 0), (2, 2), (0, 2)]], 0.1)[0]) == 4
+
+
+def crossing(a, b, c, d):
+    """Whether two segments meet in more than a common end."""
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    within = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
+    t = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+    if t[0] * t[1] < 0 and t[2] * t[3] < 0:
+        return True
+    touching = [(p, q, r) for (p, q, r), u in zip(((a, b, c), (a, b, d), (c, d, a), (c, d, b)), t, strict=True) if u == 0 and within(p, q, r)]
+    return any(r not in (p, q) for p, q, r in touching)
+
+
+def segments(found):
+    return [(r[k], r[(k + 1) % len(r)]) for r in found for k in range(len(r))]
+
+
+@settings(max_examples=120, deadline=None)
+@given(arrays(bool, (9, 11), elements=st.sampled_from([True, True, False])), st.sampled_from([0.3, 0.75, 1.0, 1.5, 2.5, 6.0, 50.0]), st.booleans())
+def test_simplified_outlines_never_cross(mask, tolerance, keep_holes):
+    found = rings.polygons(mask, keep_holes)
+    flat = [r for p in found for r in p]
+    thin = rings.simplified(flat, tolerance)
+    assert [len(r) for r in flat] == [len(r) for r in rings.simplified(flat, 0.0)]
+    for ring, less in zip(flat, thin, strict=True):
+        assert len(less) >= 3 and set(less) <= set(ring) and [c for c in ring if c in set(less)] == less
+        assert rings.area(less) * rings.area(ring) > 0
+        for c in ring:  # every corner is near what is left
+            near = min(math.dist(c, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))) for a, b in segments([less]) for t in [min(1, max(0, ((c[0] - a[0]) * (b[0] - a[0]) + (c[1] - a[1]) * (b[1] - a[1])) / (math.dist(a, b) ** 2 or 1)))])
+            assert near <= tolerance + 1e-9
+    lines = segments(thin)
+    assert not [(x, y) for x, y in itertools.combinations(lines, 2) if crossing(*x, *y)]
+    assert not any(x == y or x == y[::-1] for x, y in itertools.combinations(lines, 2))
+    # holes stay in their polygon and outside the others', islands stay apart
+    at = iter(thin)
+    again = [[next(at) for _ in p] for p in found]
+    middle = lambda r: (sum(c[0] for c in r[:3]) / 3, sum(c[1] for c in r[:3]) / 3)
+    for polygon in again:
+        for hole in polygon[1:]:
+            if len(hole) == 3:
+                assert rings.holds(polygon[0], middle(hole))
+
+
+def test_simplification_keeps_what_lies_beside_it():
+    rough = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 6), (2, 5), (0, 4)]
+    island = [(0.4, 4.9), (0.4, 5.1), (0.6, 5.0)]
+    assert len(rings.simplified([rough], 2.5)[0]) == 4  # the notch goes
+    assert len(rings.simplified([rough, island], 2.5)[0]) == 5  # but not over an island that lies in it
+    stairs = square(*[(k, k + 1, 0, k + 1, 1) for k in range(10)])
+    assert len(rings.simplified([r for p in rings.polygons(stairs, False) for r in p], 1.0)[0]) == 3
+    text = rings.wkt(stairs, lambda x, y: (100 + x / 1000, 50 - y / 1000), 1e-3)
+    assert text.count(",") == 3 and len(rings.wkt(stairs, lambda x, y: (100 + x / 1000, 50 - y / 1000), 1e-5).split(",")) > 20
 
 
 @pytest.mark.parametrize("planted", [0.0, 0.4, 2.5])
