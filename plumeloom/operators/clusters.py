@@ -6,6 +6,11 @@ search radius, so no pair of distant points is ever formed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,11 @@ from plumeloom.plans.metrics import Counters
 from plumeloom.plans.storage import written
 
 
+#: Cells of a pair that stand in one row, a multiple of a square's width at most.
+CELLS = 1024
+SUMS = ("n", "su", "sv", "suu", "svv", "suv")
+
+
 def neighbours(points: DataFrame, eps: float) -> DataFrame:
     """granule_id, a, b for points at a distance of at most eps, both ways and with itself."""
     cell = {"cx": F.floor(F.col("x") / eps), "cy": F.floor(F.col("y") / eps)}
@@ -29,25 +39,71 @@ def neighbours(points: DataFrame, eps: float) -> DataFrame:
     return met.filter(dx * dx + dy * dy <= eps * eps).select("granule_id", "a", "b")
 
 
+def squares(patches: DataFrame) -> DataFrame:
+    """granule_id, id, y0, x0, h, w, cells (rows of values, null where a patch has no pixel) and whether values vary:
+    one row a head.
+
+    patches: granule_id, id, gy, gx, value, a place at most once a patch. One shuffle by head.
+    """
+    of = Window.partitionBy("granule_id", "id")
+    low = {"y0": F.min("gy").over(of), "x0": F.min("gx").over(of), "h": F.max("gy").over(of) - F.min("gy").over(of) + 1, "w": F.max("gx").over(of) - F.min("gx").over(of) + 1}
+    head = ["granule_id", "id", *low]
+    dense = lambda m, n: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda k: F.element_at(m, k))
+    rows = patches.withColumns(low).groupBy(*head, (F.col("gy") - F.col("y0")).alias("r")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("gx") - F.col("x0")).alias("c"), F.col("value").cast("double")))).alias("m"), F.min("value").alias("least"), F.max("value").alias("most"))
+    rows = rows.select(*head, "r", dense(F.col("m"), "w").alias("row"), "least", "most")
+    varied = F.coalesce(F.min("least") < F.max("most"), F.lit(False)).alias("varied")
+    return rows.groupBy(*head).agg(F.map_from_entries(F.collect_list(F.struct("r", "row"))).alias("m"), varied).select(*head, "varied", dense(F.col("m"), "h").alias("cells"))
+
+
 def correlated(pairs: DataFrame, patches: DataFrame, counters: Counters | None = None) -> DataFrame:
     """pairs with corr: Pearson's, over the pixels that both patches have valid. counters: told of
     the pairs that have none.
 
-    patches: granule_id, id, gy, gx, value of valid pixels. 0 where there is no common pixel or
-    no variance; sums are exact for whole numbers and each unordered pair is computed once.
+    patches: granule_id, id, gy, gx, value of valid pixels. 0 where there is no common pixel or no
+    variance; sums are exact for whole numbers. Each unordered pair is computed once, from the two heads' squares in
+    one row: no row stands for a pixel of a pair. Large squares go in bands of CELLS cells. pairs
+    are symmetric; one whose patches do not meet has 0.
     """
-    once = pairs.filter("a <= b")
-    one = once.join(patches.select("granule_id", F.col("id").alias("a"), "gy", "gx", F.col("value").alias("u")), ["granule_id", "a"])
-    both = one.join(patches.select("granule_id", F.col("id").alias("b"), "gy", "gx", F.col("value").alias("v")), ["granule_id", "b", "gy", "gx"])
-    s = lambda c, n: F.sum(c).cast("double").alias(n)
-    u, v = F.col("u"), F.col("v")
-    sums = both.groupBy("granule_id", "a", "b").agg(F.count("*").cast("double").alias("n"), s(u, "su"), s(v, "sv"), s(u * u, "suu"), s(v * v, "svv"), s(u * v, "suv"))
+    heads = squares(patches)
+    side = lambda k: heads.select("granule_id", F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("y0", "x0", "h", "w", "cells")])
+    both = pairs.filter("a < b").join(side("a"), ["granule_id", "a"], "left").join(side("b"), ["granule_id", "b"], "left")
+    top, left = F.greatest("a_y0", "b_y0"), F.greatest("a_x0", "b_x0")
+    tall, wide = F.expr("least(a_y0 + a_h, b_y0 + b_h)") - top, F.expr("least(a_x0 + a_w, b_x0 + b_w)") - left
+    met = F.expr("a_h + b_h > 0") & (tall > 0) & (wide > 0)
+    both = both.withColumns({"top": top, "left": left, "tall": F.when(met, tall).otherwise(0).cast("int"), "wide": F.when(met, wide).otherwise(0).cast("int")})
+    step = f"greatest(1, {CELLS} div greatest(wide, 1))"
+    both = both.withColumn("first", F.explode(F.expr(f"sequence(0, greatest(tall - 1, 0), {step})")))
+    rows = lambda k: F.slice(f"{k}_cells", (F.col("top") - F.col(f"{k}_y0") + 1 + F.col("first")).cast("int"), F.expr(f"least(tall - first, {step})"))
+    none = F.array_repeat(F.lit(None).cast("double"), F.col("wide"))
+    cells = lambda k: F.when(F.col("tall") > 0, F.flatten(F.transform(rows(k), lambda row: F.coalesce(F.slice(row, (F.col("left") - F.col(f"{k}_x0") + 1).cast("int"), F.col("wide")), none)))).otherwise(F.array().cast("array<double>"))
+    kind = pairs.schema["granule_id"].dataType.simpleString()
+    names = ", ".join(f"{n} double" for n in SUMS)
+    parts = both.select("granule_id", "a", "b", cells("a").alias("u"), cells("b").alias("v")).mapInArrow(_summed, f"granule_id {kind}, a long, b long, {names}")
+    sums = parts.groupBy("granule_id", "a", "b").agg(*[F.sum(n).alias(n) for n in SUMS])
     vu, vv = F.expr("n * suu - su * su"), F.expr("n * svv - sv * sv")
-    sums = sums.select("granule_id", "a", "b", F.when((vu > 0) & (vv > 0), F.expr("n * suv - su * sv") / (F.sqrt(vu) * F.sqrt(vv))).otherwise(0.0).alias("corr"))
-    known = sums.unionByName(sums.filter("a <> b").select("granule_id", F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
-    out = pairs.join(known, ["granule_id", "a", "b"], "left")
-    out = counters.on(out, "no_valid_mask", F.col("corr").isNull() & (F.col("a") < F.col("b"))) if counters else out
-    return out.withColumn("corr", F.coalesce("corr", F.lit(0.0)))
+    corr = F.when((vu > 0) & (vv > 0), F.expr("n * suv - su * sv") / (F.sqrt(vu) * F.sqrt(vv))).when(F.col("n") > 0, 0.0)
+    out = sums.select("granule_id", "a", "b", corr.alias("corr"))
+    out = counters.on(out, "no_valid_mask", F.col("corr").isNull()) if counters else out
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    out = out.select("granule_id", F.explode(ways).alias("e"), F.coalesce("corr", F.lit(0.0)).alias("corr")).select("granule_id", "e.a", "e.b", "corr")
+    varied = heads.select("granule_id", F.col("id").alias("a"), F.lit(1.0).alias("corr")).filter(heads["varied"])
+    alone = pairs.filter("a = b").join(varied, ["granule_id", "a"], "left").select("granule_id", "a", "b", F.coalesce("corr", F.lit(0.0)).alias("corr"))
+    return out.unionByName(alone)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of rows of two lists of cells, of which null ones do not count."""
+    for batch in batches:
+        u, v = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("u", "v"))
+        lengths = pc.list_value_length(batch.column("u")).to_numpy(zero_copy_only=False).astype(np.int64)
+        valid = ~(np.isnan(u) | np.isnan(v))
+        u, v = np.where(valid, u, 0.0), np.where(valid, v, 0.0)
+        some, starts, columns = lengths > 0, np.cumsum(lengths) - lengths, []
+        for x in (valid.astype(float), u, v, u * u, v * v, u * v):
+            columns.append(np.zeros(len(lengths)))
+            if some.any():
+                columns[-1][some] = np.add.reduceat(x, starts[some])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("granule_id", "a", "b")), *map(pa.array, columns)], names=["granule_id", "a", "b", *SUMS])
 
 
 def density_clusters(points: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:

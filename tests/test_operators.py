@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,29 @@ def test_correlation_clusters(spark):
     assert labels_of(clusters.clustered(p, "DBSCANCorr", flat, eps_dist=2, eps_corr=0.0, min_samples=1)) == [-1] * 4
 
 
+@pytest.mark.parametrize("cells", [1024, 5])
+def test_correlation_equals_numpy(spark, monkeypatch, cells):
+    """Patches of many shapes, with holes, that overlap wholly, in part or not at all; and in bands."""
+    monkeypatch.setattr(clusters, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    maps, rows = {}, []
+    for i in range(14):
+        y0, x0, h, w = rng.integers(0, 9), rng.integers(-4, 9), rng.integers(1, 8), rng.integers(1, 8)
+        of = {(y, x): int(rng.integers(0, 20)) for y in range(y0, y0 + h) for x in range(x0, x0 + w) if rng.random() < 0.8}
+        of = dict.fromkeys(of, 3) if i == 5 else of
+        maps[i] = of
+        rows += [(1, i, int(y), int(x), float(v)) for (y, x), v in of.items()]
+    px = spark.createDataFrame(rows, "granule_id long, id long, gy long, gx long, value double")
+    pairs = spark.range(15).select(F.lit(1).cast("long").alias("granule_id"), F.col("id").alias("a")).join(spark.range(15).select(F.col("id").alias("b")))
+    got = {(r.a, r.b): r.corr for r in clusters.correlated(pairs, px).collect()}
+    assert len(got) == 225
+    for (a, b), corr in got.items():
+        both = sorted(maps.get(a, {}).keys() & maps.get(b, {}).keys())
+        u, v = (np.array([maps[k][p] for p in both], float) for k in (a, b)) if both else (np.zeros(1), np.zeros(1))
+        want = np.corrcoef(u, v)[0, 1] if u.std() > 0 and v.std() > 0 else 0.0
+        assert abs(corr - want) < 1e-9, (a, b)
+
+
 def test_distance_clusters(spark):
     p = points(spark, [(0, 0), (1, 0), (50, 50), (51, 50), (99, 0)])
     assert labels_of(clusters.clustered(p, "DBSCAN", eps=2, min_samples=2)) == [0, 0, 1, 1, -1]
