@@ -127,7 +127,61 @@ def density_clusters(points: DataFrame, pairs: DataFrame, min_samples: int) -> D
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    return density_clusters(points, neighbours(points, eps), min_samples)
+    """density_clusters() of the points within eps of each other, without the pairs inside dense places.
+
+    Equal points are one place with a weight. Cells are so small that their points are neighbours, so every place of a cell
+    with min_samples points (a full cell) is core, and all are in one cluster, without a pair. Pairs are formed
+    for places of other cells only: each of these holds few, so pairs grow with the places. Full
+    cells are linked if their closest places are near, which the boxes of their quarters' quarters mostly tell; places are
+    compared only between boxes that leave it open, and only where no other boxes of the two cells have decided.
+    """
+    side, at = eps / 1.4142136, ["granule_id", "cx", "cy"]
+    places = points.groupBy("granule_id", "x", "y").agg(F.count("*").alias("n"), F.min("id").alias("node"))
+    places = places.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    full = places.groupBy(*at).agg(F.sum("n").alias("n"), F.min("node").alias("cell")).filter(F.col("n") >= min_samples).select(*at, "cell")
+    marked = written(places.join(full, at, "left"), "marked-places")
+    other = lambda df, *names: df.select(*at, *[F.col(c).alias(f"o_{c}") for c in names])
+
+    def beside(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+        step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))
+        return df.withColumn("_s", step).withColumns({"cx": F.col("cx") + F.col("_s.dx"), "cy": F.col("cy") + F.col("_s.dy")}).drop("_s")
+
+    steps = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+    distance = F.pow(F.col("x") - F.col("o_x"), 2) + F.pow(F.col("y") - F.col("o_y"), 2)
+    thin = beside(marked.filter("cell IS NULL").select(*at, "x", "y", F.col("node").alias("a")), steps)
+    met = thin.join(other(marked, "x", "y", "n", "node", "cell"), at).filter(distance <= eps * eps)
+    pairs = written(met.select("granule_id", "a", F.col("o_n").alias("n"), F.col("o_node").alias("b"), F.col("o_cell").alias("cell")), "thin-pairs")
+    core = written(pairs.groupBy("granule_id", "a").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("granule_id", "a"), "thin-cores")
+    # where a pair leads: a full cell, a core of its own, or (null) neither
+    led = pairs.join(core.select(F.col("a").alias("b"), F.lit(True).alias("b_core")), "b", "left")
+    led = led.select("granule_id", "a", F.when(F.col("cell").isNotNull(), F.col("cell")).when(F.col("b_core"), F.col("b")).alias("to")).filter("to IS NOT NULL")
+    links = led.join(core, ["granule_id", "a"], "left_semi").select("a", F.col("to").alias("b"))
+
+    forward = [s for s in steps if s > (0, 0)]
+    boxed = marked.filter("cell IS NOT NULL").withColumns({"bx": F.floor(F.col("x") * 4 / side), "by": F.floor(F.col("y") * 4 / side)})
+    bounds = {f"{f.__name__}_{c}": f(c) for c in "xy" for f in (F.min, F.max)}
+    boxes = boxed.groupBy(*at, "cell", "bx", "by").agg(*[c.alias(k) for k, c in bounds.items()])
+    names = ["cell", "bx", "by", *bounds]
+    near = beside(boxes, forward).join(other(boxes, *names), at)
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"min_{c}") - F.col(f"o_max_{c}"), F.col(f"o_min_{c}") - F.col(f"max_{c}"))
+    span = lambda c: F.greatest(F.col(f"max_{c}") - F.col(f"o_min_{c}"), F.col(f"o_max_{c}") - F.col(f"min_{c}"))
+    near = near.filter(gap("x") * gap("x") + gap("y") * gap("y") <= eps * eps)
+    near = written(near.select("granule_id", "cell", "bx", "by", "o_cell", "o_bx", "o_by", (span("x") * span("x") + span("y") * span("y") <= eps * eps).alias("sure")), "near-boxes")
+    sure = near.filter("sure").select("cell", "o_cell").distinct()
+    open_ = near.filter("NOT sure").join(sure, ["cell", "o_cell"], "left_anti")
+    ends = boxed.select("cell", "bx", "by", "x", "y")
+    open_ = open_.join(ends, ["cell", "bx", "by"]).join(ends.select(*[F.col(c).alias(f"o_{c}") for c in ends.columns]), ["o_cell", "o_bx", "o_by"])
+    links = links.unionByName(sure.unionByName(open_.filter(distance <= eps * eps).select("cell", "o_cell").distinct()).toDF("a", "b"))
+
+    cores = core.select("granule_id", F.col("a").alias("node")).unionByName(full.select("granule_id", F.col("cell").alias("node")))
+    roots = components(links).withColumnRenamed("node", "_n")
+    rooted = cores.join(roots, F.col("node") == F.col("_n"), "left").select("granule_id", "node", F.coalesce("root", "node").alias("root"))
+    number = rooted.groupBy("granule_id", "root").count().withColumn("cluster", F.row_number().over(Window.partitionBy("granule_id").orderBy("root")).cast("long") - 1)
+    of_core = rooted.join(number, ["granule_id", "root"]).select("granule_id", "node", "cluster")
+    border = led.join(of_core.withColumnRenamed("node", "to"), ["granule_id", "to"]).groupBy("granule_id", F.col("a").alias("node")).agg(F.min("cluster").alias("near"))
+    of_place = marked.withColumn("of", F.coalesce("cell", "node")).join(of_core.withColumnRenamed("node", "of"), ["granule_id", "of"], "left").join(border, ["granule_id", "node"], "left")
+    of_place = of_place.select("granule_id", "x", "y", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
+    return points.join(of_place, ["granule_id", "x", "y"]).select("granule_id", "id", "cluster")
 
 
 def dbscan_corr(points: DataFrame, patches: DataFrame, eps_dist: float, eps_corr: float, min_samples: int, counters: Counters | None = None) -> DataFrame:

@@ -205,6 +205,40 @@ def test_correlation_equals_numpy(spark, monkeypatch, cells):
         assert abs(corr - want) < 1e-9, (a, b)
 
 
+def brute_dbscan(at, eps, least):
+    n = len(at)
+    near = [[j for j in range(n) if (at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2 <= eps * eps] for i in range(n)]
+    core = [len(x) >= least for x in near]
+    label, count = [None] * n, 0
+    for i in range(n):
+        if core[i] and label[i] is None:
+            todo, label[i] = [i], count
+            while todo:
+                for j in near[todo.pop()]:
+                    if core[j] and label[j] is None:
+                        label[j] = count
+                        todo.append(j)
+            count += 1
+    return [label[i] if core[i] else min((label[j] for j in near[i] if core[j]), default=-1) for i in range(n)]
+
+
+@pytest.mark.parametrize("eps,least,spread,grid", [(1.0, 3, 6, False), (1.0, 5, 4, False), (2.0, 4, 12, True), (1.0, 1, 9, False), (0.7, 12, 3, False), (3.0, 2, 40, True)])
+def test_dense_clusters_equal_a_plain_version(spark, eps, least, spread, grid):
+    """Full cells, thin cells, equal points and points at a distance of exactly eps."""
+    rng = np.random.default_rng(int(10 * eps) + least)
+    at = rng.integers(0, spread, (160, 2)).astype(float) if grid else np.round(np.vstack([rng.uniform(0, spread, (110, 2)), rng.normal(spread / 2, 0.3, (30, 2)), np.full((20, 2), 1.25)]), 3)
+    p = points(spark, at.tolist())
+    assert labels_of(clusters.clustered(p, "DBSCAN", eps=eps, min_samples=least)) == brute_dbscan(at.tolist(), eps, least)
+
+
+def test_ten_thousand_equal_points_make_no_pairs(spark):
+    p = spark.range(10_000).select(F.lit(1).alias("granule_id"), "id", F.lit(3.0).alias("x"), F.lit(4.0).alias("y"))
+    far = p.limit(1).select("granule_id", F.lit(20_000).cast("long").alias("id"), F.lit(90.0).alias("x"), F.lit(4.0).alias("y"))
+    beside = far.withColumns({"id": F.lit(20_001).cast("long"), "x": F.lit(4.0)})
+    got = clusters.clustered(p.unionByName(far).unionByName(beside), "DBSCAN", eps=1.0, min_samples=5)
+    assert {(r.cluster, r.n) for r in got.groupBy("cluster").agg(F.count("*").alias("n")).collect()} == {(0, 10_001), (-1, 1)}
+
+
 def test_distance_clusters(spark):
     p = points(spark, [(0, 0), (1, 0), (50, 50), (51, 50), (99, 0)])
     assert labels_of(clusters.clustered(p, "DBSCAN", eps=2, min_samples=2)) == [0, 0, 1, 1, -1]
