@@ -332,21 +332,27 @@ def crop_border(spark, sf_dir):
     return components.cropped(px, ["grp"], 1).select("grp", "y", "x")
 
 
-_BANDS = "bands AS (SELECT k::INT AS band, (38100 + 745 * k)::DOUBLE / 100::DOUBLE AS centre FROM range(285) AS t(k))"
+_BANDS = "bands AS (SELECT p_partkey, (p_partkey % 285)::INT AS band, (38100 + 745 * (p_partkey % 285))::DOUBLE / 100::DOUBLE AS centre FROM part)"
 
 
-@query(f"WITH {_BANDS} SELECT band, centre, centre BETWEEN 2100 AND 2440 AS strong FROM bands WHERE centre BETWEEN 2100 AND 2440 OR NOT centre BETWEEN 1640 AND 1690")
+def _measured_bands(spark, sf_dir):
+    """One measurement a part, each in one of the instrument's bands."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr("CAST(p_partkey % 285 AS INT)").alias("band"))
+    return p.join(bands.catalogue(spark), "band")
+
+
+@query(f"WITH {_BANDS} SELECT p_partkey, band, centre, centre BETWEEN 2100 AND 2440 AS strong FROM bands WHERE centre BETWEEN 2100 AND 2440 OR NOT centre BETWEEN 1640 AND 1690")
 def band_select_ch4(spark, sf_dir):
-    b = bands.catalogue(spark)
+    b = _measured_bands(spark, sf_dir)
     strong = bands.strongly_absorbing(F.col("centre"), "methane")
-    return b.filter(bands.outside_gas(F.col("centre"), "methane") | strong).select("band", "centre", strong.alias("strong"))
+    return b.filter(bands.outside_gas(F.col("centre"), "methane") | strong).select("p_partkey", "band", "centre", strong.alias("strong"))
 
 
-@query(f"WITH {_BANDS} SELECT band, centre, centre BETWEEN 1930 AND 2130 AS strong FROM bands WHERE centre BETWEEN 1930 AND 2130 OR NOT (centre BETWEEN 1400 AND 1470 OR centre BETWEEN 1550 AND 1650 OR centre BETWEEN 1900 AND 2150)")
+@query(f"WITH {_BANDS} SELECT p_partkey, band, centre, centre BETWEEN 1930 AND 2130 AS strong FROM bands WHERE centre BETWEEN 1930 AND 2130 OR NOT (centre BETWEEN 1400 AND 1470 OR centre BETWEEN 1550 AND 1650 OR centre BETWEEN 1900 AND 2150)")
 def band_select_co2(spark, sf_dir):
-    b = bands.catalogue(spark)
+    b = _measured_bands(spark, sf_dir)
     strong = bands.strongly_absorbing(F.col("centre"), "co2")
-    return b.filter(bands.outside_gas(F.col("centre"), "co2") | strong).select("band", "centre", strong.alias("strong"))
+    return b.filter(bands.outside_gas(F.col("centre"), "co2") | strong).select("p_partkey", "band", "centre", strong.alias("strong"))
 
 
 _P99 = f"{SPECTRA_SQL}, lim AS (SELECT plume_id, quantile_cont(enhancement, 0.99) AS q FROM sp WHERE plume GROUP BY plume_id), un AS (SELECT sp.* FROM sp JOIN lim USING (plume_id) WHERE plume AND enhancement <= q)"
@@ -421,15 +427,15 @@ def _samples() -> list[tuple]:
     return [(k, c, [1.0, 0.5], [0.9, 0.95], [0.9 - 0.1 * (k % 3), 0.95 - 0.2 * (k % 2)]) for k, c in strong]
 
 
-@query("SELECT o_orderkey AS plume_id, (o_custkey % 5 * 50)::DOUBLE AS fitted_conc FROM orders")
+@query("SELECT o_orderkey AS plume_id, (o_orderkey % 251)::DOUBLE AS fitted_conc FROM orders")
 def fit_conc(spark, sf_dir):
-    """A planted concentration of o_custkey % 5 / 2, of 100 ppm m each, is found again, to the ppm m."""
+    """A planted concentration of up to 250 ppm m, seen along a path of its own, is found again, to the ppm m."""
     samples = _samples()
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plume_id"), (F.expr("o_custkey % 5") / 2).alias("conc"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plume_id"), (F.expr("o_orderkey % 251") / 100).alias("conc"), (2 + F.expr("o_orderkey % 97") / 100).alias("path"))
     rows = spark.createDataFrame([(s[0], r, t, g) for s in samples for r, t, g in zip(*s[2:], strict=True)], "band int, r double, t double, g double")
-    base = F.col("r") * F.pow("t", F.lit(2.0))
-    more = F.pow(F.col("g") / (F.col("t") + F.lit(1e-12)), 2.0 * F.col("conc"))
-    seen = o.join(F.broadcast(rows)).groupBy("plume_id", "band").agg((F.sum(base * more) / F.sum(base)).alias("ratio")).withColumn("path", F.lit(2.0))
+    base = F.col("r") * F.pow("t", "path")
+    more = F.pow(F.col("g") / (F.col("t") + F.lit(1e-12)), F.col("path") * F.col("conc"))
+    seen = o.join(F.broadcast(rows)).groupBy("plume_id", "band").agg((F.sum(base * more) / F.sum(base)).alias("ratio"), F.max("path").alias("path"))
     return vetting.fits(seen, samples, 100.0).select("plume_id", (F.round("fitted_conc", 0) + F.lit(0.0)).alias("fitted_conc"))
 
 

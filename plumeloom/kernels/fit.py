@@ -7,13 +7,22 @@ import numpy as np
 ORDER = 6
 
 
-def gas_transmittance(conc: float, path: float, response: list[np.ndarray], standard: list[np.ndarray], gas_by_standard: list[np.ndarray]) -> np.ndarray:
-    """Per band: transmittance with the extra gas over that without, averaged over its samples."""
-    out = []
-    for r, t, q in zip(response, standard, gas_by_standard, strict=True):
+def transmittance_of(response: list[np.ndarray], standard: list[np.ndarray], gas_by_standard: list[np.ndarray]):
+    """From a path to a function from a concentration to transmittance per band, with the extra gas over that
+    without, averaged over a band's samples. Bands of fewer samples are filled up with ones of no response."""
+    n, width = len(response), max(map(len, response), default=0)
+    table = [np.full((n, width), fill) for fill in (0.0, 1.0, 1.0)]
+    for into, bands in zip(table, (response, standard, gas_by_standard), strict=True):
+        for k, of in enumerate(bands):
+            into[k, : len(of)] = of
+    r, t, q = table
+
+    def at(path: float):
         base = r * t**path
-        out.append(np.sum(base * q ** (path * conc)) / (np.sum(base) + 1e-20))
-    return np.array(out)
+        whole, gas = base.sum(axis=1) + 1e-20, np.log(np.maximum(q, 1e-300))
+        return lambda conc: (base * np.exp(gas * (path * conc))).sum(axis=1) / whole
+
+    return at
 
 
 def fitted(wavelengths: np.ndarray, observed: np.ndarray, transmittance, order: int = ORDER, turns: int = 200):
@@ -58,13 +67,3 @@ def fitted(wavelengths: np.ndarray, observed: np.ndarray, transmittance, order:
         if gain <= 1e-15 * (1 + loss(r)) and np.abs(move).max() < 1e-9:
             break
     return p[0], p[1:]
-
-
-def scores(observed: np.ndarray, baseline: np.ndarray, gas: np.ndarray) -> tuple[float | None, float | None]:
-    """d_norm: mean distance of the observed gas signal from the modelled one, over its own mean
-    spread. d_cor: one less the squared correlation. None where not finite."""
-    e = observed / (baseline + 1e-20)
-    with np.errstate(all="ignore"):
-        d_norm = np.mean(np.abs(e - gas)) / np.mean(np.abs(e - e.mean()))
-        d_cor = 1 - np.corrcoef(e, gas)[0, 1] ** 2
-    return tuple(float(v) if np.isfinite(v) else None for v in (d_norm, d_cor))

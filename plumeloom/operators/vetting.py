@@ -5,20 +5,21 @@ Pixels are rows (plume_id, y, x, ...) of a plume's patch; enhancement is in ppm
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeloom.kernels.assign import assigned
-from plumeloom.kernels.fit import fitted, gas_transmittance
+from plumeloom.kernels.fit import fitted, transmittance_of
 from plumeloom.operators.masks import dilated, usable
 from plumeloom.plans.storage import written
 from plumeloom.sources.bands import BACKGROUND
 
 TOP, QUANTILE, KEPT_SHARE = 30, 0.99, 0.5
-#: Fits that a task remembers.
-FITS_KEPT = 1024
 
 
 def under_quantile(pixels: DataFrame, key: str = "plume_id", q: float = QUANTILE) -> DataFrame:
@@ -117,36 +118,40 @@ RESULT = "fitted_conc double, baseline_transmittance array<double>, observed_tra
 
 def fits(observed: DataFrame, samples: list[tuple], added_ppm_m: float, key: str = "plume_id") -> DataFrame:
     """One fit per plume. observed: key, band, ratio, path; samples: (band, centre, response,
-    standard, gas) with arrays, strong bands only (it is a fixed table and travels with the task)."""
+    standard, gas) with arrays, strong bands only (it is a fixed table and travels with the task).
+
+    A plume's spectrum is gathered to one row, of as many numbers as there are bands."""
     table = sorted(samples)
     kind = observed.schema[key].dataType.simpleString()
+    place = {s[0]: k for k, s in enumerate(table)}
     centre = np.array([s[1] for s in table], float)
-    response, standard = [np.asarray(s[2], float) for s in table], [np.asarray(s[3], float) for s in table]
-    extra = [np.asarray(s[4], float) / (np.asarray(s[3], float) + 1e-12) for s in table]
+    x = (centre - centre.mean()) / (centre.std() or 1.0)
+    gas_of = transmittance_of(*([np.asarray(s[k], float) for s in table] for k in (2, 3)), [np.asarray(s[4], float) / (np.asarray(s[3], float) + 1e-12) for s in table])
     names = [f.split(" ")[0] for f in RESULT.split(", ")]
-    done: dict[tuple, tuple] = {}  # of the task: plumes with equal spectra and paths are fitted once
+    lists = pa.list_(pa.float64())
 
     def fit(seen: np.ndarray, path: float) -> tuple:
-        gas = lambda c: gas_transmittance(c, path, response, standard, extra)
+        gas = gas_of(path)
         best = fitted(centre, seen, gas)
         if best is None:
             return (None,) * len(names)
-        x = (centre - centre.mean()) / (centre.std() or 1.0)
         base = np.vander(x, len(best[1]), increasing=True) @ best[1]
         return float(best[0]) * added_ppm_m, base, seen, base * gas(best[0]), centre
 
-    def one(k: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        ratio = dict(zip(df["band"], df["ratio"], strict=True))
-        seen = np.array([ratio.get(s[0], np.nan) for s in table], float)
-        path = float(df["path"].iloc[0])
-        at = (seen.tobytes(), path)
-        if at not in done:
-            if len(done) >= FITS_KEPT:
-                done.clear()
-            done[at] = fit(seen, path)
-        return pd.DataFrame([(k[0], *done[at])], columns=[key, *names])
-
-    return observed.select(key, "band", "ratio", "path").groupBy(key).applyInPandas(one, f"{key} {kind}, {RESULT}")
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spectrum, path in zip(batch.column("spectrum"), batch.column("path").to_pylist(), strict=True):
+                seen = np.full(len(table), np.nan)
+                for band in spectrum.as_py():
+                    if band["band"] in place and band["ratio"] is not None:
+                        seen[place[band["band"]]] = band["ratio"]
+                out.append(fit(seen, path))
+            columns = [pa.array([r[k] for r in out], lists if k else pa.float64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, *names])
+
+    spectra = observed.groupBy(key).agg(F.collect_list(F.struct(F.col("band").cast("long").alias("band"), F.col("ratio").cast("double").alias("ratio"))).alias("spectrum"), F.max("path").cast("double").alias("path"))
+    return spectra.mapInArrow(every, f"{key} {kind}, {RESULT}")
 
 
 def vetted(patch: DataFrame, samples: list[tuple], added_ppm_m: float, gas: str, match_bands: list[int], key: str = "plume_id") -> DataFrame:

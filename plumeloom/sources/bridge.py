@@ -51,10 +51,10 @@ def tiles_of_pixels_sql(size: int = TILE, stride: int = STRIDE) -> str:
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """plume_id, y, x, spectrum (whole numbers), enhancement, plume: pixels of two plumes."""
+    """plume_id, y, x, spectrum (whole numbers), enhancement, plume: patches of 250 pixels, one a plume."""
     e = table(spark, sf_dir, "embeddings")
     values = F.transform("embedding", lambda v: F.rint(v * 1000).cast("long"))
-    return e.select(F.expr("vec_id % 2").alias("plume_id"), F.expr("vec_id div 25").alias("y"), F.expr("vec_id % 25").alias("x"), values.alias("spectrum"), F.expr("(vec_id * 7919) % 1009").cast("double").alias("enhancement"), (F.col("label") < 2).alias("plume"))
+    return e.select(F.expr("vec_id div 250").alias("plume_id"), F.expr("vec_id % 250 div 25").alias("y"), F.expr("vec_id % 25").alias("x"), values.alias("spectrum"), F.expr("(vec_id * 7919) % 1009").cast("double").alias("enhancement"), (F.col("label") < 2).alias("plume"))
 
 
-SPECTRA_SQL = "sp AS (SELECT vec_id % 2 AS plume_id, vec_id // 25 AS y, vec_id % 25 AS x, list_transform(embedding, lambda v: CAST(round_even(v::DOUBLE * 1000, 0) AS BIGINT)) AS spectrum, CAST((vec_id * 7919) % 1009 AS DOUBLE) AS enhancement, label < 2 AS plume FROM embeddings)"
+SPECTRA_SQL = "sp AS (SELECT vec_id // 250 AS plume_id, vec_id % 250 // 25 AS y, vec_id % 25 AS x, list_transform(embedding, lambda v: CAST(round_even(v::DOUBLE * 1000, 0) AS BIGINT)) AS spectrum, CAST((vec_id * 7919) % 1009 AS DOUBLE) AS enhancement, label < 2 AS plume FROM embeddings)"

@@ -85,7 +85,7 @@ def test_scene_queries_take_every_row_of_the_raster(spark, tmp_path):
 
 
 def test_fit_query_finds_what_was_planted(spark):
-    want = {r.o_orderkey: r.o_custkey % 5 * 50.0 for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    want = {r.o_orderkey: r.o_orderkey % 251 for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
     for r in catalog.queries()["fit_conc"](spark, SF).collect():
         assert abs(r.fitted_conc - want[r.plume_id]) < 0.05
 
