@@ -13,6 +13,7 @@ from plumeloom.functions import weights
 from plumeloom.operators.tiling import center_crop
 from plumeloom.plans import outputs, pipeline
 from plumeloom.plans.inference import tiled_inference
+from plumeloom.plans.metrics import EVERYTHING, Counters
 from plumeloom.plans.storage import written
 from plumeloom.sources import bands, emit
 
@@ -68,7 +69,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--drop-origin-component", action="store_true", help="let small components go even where they hold the origin")
     p.add_argument("--crop", type=int, help="only the middle of each scene, so many pixels wide and high")
     p.add_argument("--spectra", help="npz of gas statistics; without it plumes are not vetted")
-    p.add_argument("--rasters", action="store_true", help="write the candidates' rasters too")
+    p.add_argument("--rasters", action="store_true", help="write the rasters of candidates and plumes too")
+    p.add_argument("--count", action="store_true", help="print how many tiles, slots, candidates and plumes there were")
     p.add_argument("--strict", action="store_true", help="keep vetting scores out of the table")
     return p
 
@@ -112,7 +114,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         strong, outside = bands.chosen(a.gas, given)
         samples, added = emit.gas_samples(a.spectra, strong, a.gas, a.sensor)
     weight = weights.outer(WINDOWS[s.window], F.col("y"), F.col("x"), s.tile_size)
-    outputs.save(*pipeline.run(slots, pixels, granules, s, samples, outside, added, rasters=a.rasters, weight=weight), a.out, a.strict, a.rasters)
+    counters = Counters(EVERYTHING) if a.count else None
+    outputs.save(*pipeline.run(slots, pixels, granules, s, samples, outside, added, counters, a.rasters, weight), a.out, a.strict, a.rasters)
+    for name, n in counters.values().items() if counters else ():
+        print(f"{name}: {n}")
 
 
 if __name__ == "__main__":

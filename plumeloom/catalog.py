@@ -406,6 +406,25 @@ def assign_hungarian(spark, sf_dir):
     return vetting.assignment(*_matched(spark, sf_dir))
 
 
+_SMALL_COSTS = """a AS (SELECT vec_id // 10 AS g, vec_id % 10 AS t, list_transform(embedding, lambda v: CAST(round_even(v::DOUBLE * 1000, 0) AS BIGINT)) AS s FROM embeddings WHERE vec_id % 10 < 4),
+  b AS (SELECT vec_id // 10 AS g, vec_id % 10 AS u, list_transform(embedding, lambda v: CAST(round_even(v::DOUBLE * 1000, 0) AS BIGINT)) AS s FROM embeddings WHERE vec_id % 10 >= 4),
+  c AS (SELECT a.g, t, u, sqrt(CAST(list_sum(list_transform(list_zip(a.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS DOUBLE)) AS cost FROM a JOIN b USING (g)),
+  n AS (SELECT g, count(DISTINCT t) AS n_pairs FROM c GROUP BY g)"""
+
+
+@query(
+    f"WITH RECURSIVE {_SMALL_COSTS}, way AS (SELECT g, 0::BIGINT AS t, [u] AS taken, cost AS total FROM c WHERE t = 0 UNION ALL SELECT w.g, c.t, list_append(taken, c.u), total + cost FROM way w JOIN c ON c.g = w.g AND c.t = w.t + 1 AND NOT list_contains(taken, c.u)),"
+    " best AS (SELECT g, t, min(total) AS total FROM way GROUP BY g, t) SELECT best.g AS plume_id, n_pairs, round(total, 6) AS total FROM best JOIN n USING (g) WHERE t = n_pairs - 1"
+)
+def assign_total(spark, sf_dir):
+    """Small plumes of four targets and six background pixels: the least total cost, against every way in SQL."""
+    e = table(spark, sf_dir, "embeddings")
+    values = F.transform("embedding", lambda v: F.rint(v.cast("double") * 1000).cast("long"))
+    px = e.select(F.expr("vec_id div 10").alias("plume_id"), F.lit(0).cast("long").alias("y"), F.expr("vec_id % 10").alias("x"), values.alias("spectrum"))
+    pairs = vetting.assignment(px.filter("x < 4"), px.filter("x >= 4"))
+    return pairs.groupBy("plume_id").agg(F.count("*").alias("n_pairs"), F.round(F.sum("cost"), 6).alias("total"))
+
+
 @query("WITH s AS (SELECT p_size AS band, (p_partkey % 7 + 1)::DOUBLE AS r, 0.5 + (p_partkey % 11)::DOUBLE / 30 AS t, 0.4 + (p_partkey % 5)::DOUBLE / 30 AS g FROM part) SELECT band, round(sum(r * pow(t, 2.1) * pow(g / (t + 1e-12), 2.1 * 1.5)) / (sum(r * pow(t, 2.1)) + 1e-20), 9) AS ratio FROM s GROUP BY band")
 def ref_transmittance(spark, sf_dir):
     s = table(spark, sf_dir, "part").select(F.col("p_size").alias("band"), F.expr("CAST(p_partkey % 7 + 1 AS DOUBLE)").alias("response"), (0.5 + F.expr("p_partkey % 11") / 30).alias("standard"), (0.4 + F.expr("p_partkey % 5") / 30).alias("gas"))

@@ -8,9 +8,9 @@ from plumeloom import schema
 
 
 def save(candidates: DataFrame, plumes: DataFrame, image: DataFrame, folder: str, strict: bool = False, rasters: bool = False) -> None:
-    """Three Parquet tables in a folder; each replaces an older one when its write has succeeded."""
+    """Three Parquet tables in a folder, each in place of an older one. rasters: of candidates and plumes, with them."""
     schema.candidates(candidates, rasters).write.mode("overwrite").parquet(f"{folder}/candidates")
-    schema.predicted(plumes, strict).write.mode("overwrite").parquet(f"{folder}/predicted")
+    schema.predicted(plumes, strict, rasters).write.mode("overwrite").parquet(f"{folder}/predicted")
     image.write.mode("overwrite").partitionBy("granule_id").parquet(f"{folder}/enhancement")
 
 

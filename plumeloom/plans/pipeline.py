@@ -179,7 +179,7 @@ def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, s
     """candidates, plumes (with vetting scores where samples are given) and the enhancement image.
 
     Scores never filter plumes. counters: told what they want to know of plans.metrics.EVERYTHING.
-    rasters: candidates come with theirs. weight: of tiles that overlap, the settings' window if none.
+    rasters: candidates and plumes come with theirs. weight: of tiles that overlap, the settings' window if none.
     """
     placed = written(with_place(slots, pixels, counters), "placed")
     found = extract_candidates(placed, granules, s, counters)
@@ -195,6 +195,10 @@ def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, s
         arrays = [f.name for f in scores.schema.fields if f.dataType.typeName() == "array"]
         scores = scores.withColumns({c: masks.whole_or_null(F.col(c)) for c in arrays})
         out = out.withColumn("plume_id", F.concat_ws(":", *GROUP)).join(scores, "plume_id", "left").drop("plume_id")
+    if rasters:
+        box = F.array("x0", "y0", F.col("x0") + F.col("width"), F.col("y0") + F.col("height")).alias("raster_bbox_px")
+        layers = {"concentration": "conc", "plume_probability": "p_plume", "origin_probability": "p_origin"}
+        out = out.join(stacked(plumes).select(*GROUP, box, *[F.col(f"raster.{c}").alias(n) for n, c in layers.items()]), GROUP)
     return with_rasters(grouped, placed, s) if rasters else grouped, out, image
 
 

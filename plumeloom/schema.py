@@ -7,25 +7,56 @@ from pyspark.sql import functions as F
 
 from plumeloom.functions.strings import point_wkt
 
-_KINDS = {"string": T.StringType(), "long": T.LongType(), "float": T.FloatType(), "array<long>": T.ArrayType(T.LongType()), "array<float>": T.ArrayType(T.FloatType()), "array<boolean>": T.ArrayType(T.BooleanType())}
+_FLOATS, _FLAGS, _LONGS = T.ArrayType(T.FloatType()), T.ArrayType(T.BooleanType()), T.ArrayType(T.LongType())
 
 
-def _fields(text: str) -> T.StructType:
-    """A schema from "name kind, ...", without a session."""
-    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in text.split(", "))])
+def _fields(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
 
-_GEOMETRY = ("ee_asset_id", "geometry_px", "geometry", "head_point_px", "head_point")
-CANDIDATE = _fields("chunk_id long, slot_id long, plume_bbox_px array<long>, " + ", ".join(f"{c} string" for c in _GEOMETRY))
-CANDIDATE_RASTERS = _fields("concentration array<float>, binary_mask array<boolean>, origin_mask array<boolean>, mask array<boolean>")
+# The names and kinds of columns that readers of these tables expect, in their order.
+CANDIDATE = _fields(
+    ("chunk_id", T.LongType()),
+    ("slot_id", T.LongType()),
+    ("plume_bbox_px", _LONGS),
+    ("ee_asset_id", T.StringType()),
+    ("geometry_px", T.StringType()),
+    ("geometry", T.StringType()),
+    ("head_point_px", T.StringType()),
+    ("head_point", T.StringType()),
+)
+CANDIDATE_RASTERS = _fields(("concentration", _FLOATS), ("binary_mask", _FLAGS), ("origin_mask", _FLAGS), ("mask", _FLAGS))
 PREDICTED = _fields(
-    ", ".join(f"{c} string" for c in _GEOMETRY)
-    + ", ime_emission_rate float, cluster_size long, d_norm float, d_cor float, fitted_conc float"
-    + ", baseline_transmittance array<float>, observed_transmittance_sel array<float>, modeled_transmittance array<float>, wavelengths_sel array<float>"
-    + ", observed_conc float, spectral_vetting_plume_pixels long, spectral_vetting_background_pixels long"
-    + ", ime_pixel_area float, ime_l_min float, ime_l_max float, ime_integrated_mass float, ime_xp array<float>, ime_yp array<float>"
-    + ", hrrr_u_10m float, hrrr_v_10m float, era5_u_10m float, era5_v_10m float"
+    ("ee_asset_id", T.StringType()),
+    ("geometry_px", T.StringType()),
+    ("geometry", T.StringType()),
+    ("head_point_px", T.StringType()),
+    ("head_point", T.StringType()),
+    ("ime_emission_rate", T.FloatType()),
+    ("cluster_size", T.LongType()),
+    ("d_norm", T.FloatType()),
+    ("d_cor", T.FloatType()),
+    ("fitted_conc", T.FloatType()),
+    ("baseline_transmittance", _FLOATS),
+    ("observed_transmittance_sel", _FLOATS),
+    ("modeled_transmittance", _FLOATS),
+    ("wavelengths_sel", _FLOATS),
+    ("observed_conc", T.FloatType()),
+    ("spectral_vetting_plume_pixels", T.LongType()),
+    ("spectral_vetting_background_pixels", T.LongType()),
+    ("ime_pixel_area", T.FloatType()),
+    ("ime_l_min", T.FloatType()),
+    ("ime_l_max", T.FloatType()),
+    ("ime_integrated_mass", T.FloatType()),
+    ("ime_xp", _FLOATS),
+    ("ime_yp", _FLOATS),
+    ("hrrr_u_10m", T.FloatType()),
+    ("hrrr_v_10m", T.FloatType()),
+    ("era5_u_10m", T.FloatType()),
+    ("era5_v_10m", T.FloatType()),
 )
+#: A plume's own raster, where it is wanted: its box, and its layers in row order.
+PREDICTED_RASTERS = _fields(("raster_bbox_px", _LONGS), ("concentration", _FLOATS), ("plume_probability", _FLOATS), ("origin_probability", _FLOATS))
 #: Columns that come under an older name.
 RENAMED = {"hrrr_u_10m": "hrrr_u", "hrrr_v_10m": "hrrr_v", "era5_u_10m": "era5_u", "era5_v_10m": "era5_v"}
 VETTING = ("d_norm", "d_cor", "fitted_conc", "baseline_transmittance", "observed_transmittance_sel", "modeled_transmittance", "wavelengths_sel", "observed_conc")
@@ -58,6 +89,6 @@ def candidates(df: DataFrame, rasters: bool = False) -> DataFrame:
     return _as(out, T.StructType(CANDIDATE.fields + (CANDIDATE_RASTERS.fields if rasters else [])))
 
 
-def predicted(df: DataFrame, strict: bool = False) -> DataFrame:
-    """Plume rows in the predicted schema; strict: without vetting scores."""
-    return _as(_pointed(df.drop(*VETTING) if strict else df), PREDICTED)
+def predicted(df: DataFrame, strict: bool = False, rasters: bool = False) -> DataFrame:
+    """Plume rows in the predicted schema; strict: without vetting scores; rasters: with their own."""
+    return _as(_pointed(df.drop(*VETTING) if strict else df), T.StructType(PREDICTED.fields + (PREDICTED_RASTERS.fields if rasters else [])))

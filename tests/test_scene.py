@@ -94,16 +94,20 @@ def test_reading_a_scene(spark, tmp_path):
 
 
 @needs_stub
-def test_command_line_on_a_file(spark, tmp_path):
+def test_command_line_on_a_file(spark, tmp_path, capsys):
     from plumeloom.__main__ import main, parser, settings
 
     path, _ = files(tmp_path)
     base = ["--input", path, "--model", "m", "--factory", "stand_in:model_of", "--tile-size", "8", "--stride", "4", "--cc-min-size", "1", "--clustering", "DBSCAN", "--clustering-kw", "eps=1.5:min_samples=1"]
-    main([*base, "--out", str(tmp_path / "out"), "--rasters", "--window", "tukey"], spark)
+    main([*base, "--out", str(tmp_path / "out"), "--rasters", "--count", "--window", "tukey"], spark)
+    said = dict(line.split(": ") for line in capsys.readouterr().out.splitlines() if ": " in line)
     plumes = spark.read.parquet(str(tmp_path / "out/predicted")).collect()
     assert len(plumes) == 1 and plumes[0].head_point_px.startswith("POINT (9.0000000000000000 12.0")
     found = spark.read.parquet(str(tmp_path / "out/candidates")).collect()
     assert len(found) > 1 and all(len(r.concentration) == len(r.binary_mask) == len(r.origin_mask) == len(r["mask"]) == 64 for r in found)
+    assert said["plumes"] == "1" and said["candidates"] == said["extracted"] == str(len(found)) and int(said["chunks"]) > 0
+    x0, y0, x1, y1 = plumes[0].raster_bbox_px
+    assert len(plumes[0].concentration) == len(plumes[0].plume_probability) == len(plumes[0].origin_probability) == (x1 - x0) * (y1 - y0) and max(plumes[0].concentration) > 0
     assert all(sum(r.binary_mask) == round(sum(c == 12.0 for c in r.concentration)) for r in found)
     main([*base, "--out", str(tmp_path / "crop"), "--crop", "8"], spark)
     assert spark.read.parquet(str(tmp_path / "crop/enhancement")).count() == 64
