@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page's block elements form a tree. Every node is content or not; a node's own potentials come
-from its tag, its class, id and role words, its text's length, links and sentence marks, and
-potentials between parent and child say how content is inherited. Sum-product messages, upward
+from its tag, its class, id and role words, its text's length, links and sentence marks, its subtree's links and
+share of the page, and potentials between parent and child say how content is inherited. Sum-product messages, upward
 and then downward, give each node's exact marginal, and the text of nodes that are content with
 probability over one half is the main text. Weights are trained by gradient on the exact
 conditional likelihood (observed less expected features) over TRAINING_PAGES labelled pages,
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES, EPOCHS, SEED = 160, 14, 11
+TRAINING_PAGES, EPOCHS, SEED = 320, 14, 11
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mlabeledtr maction semantics annotation annotation-xml".split())
 #: Elements of MATH that begin with white space.
@@ -62,6 +62,22 @@ UNQUOTED = re.compile(r"=\s*[^\s\"']+/\Z")
 SENTENCE = re.compile(r"[.!?。]")
 
 
+#: Words of class, id and role attributes in the labelled pages.
+MENUS = "nav menu navbar navigation breadcrumb breadcrumbs topbar toolbar links menue hauptmenue leiste navegacion navigazione principal".split()
+HEADS = "header masthead banner top logo branding kopf kopfzeile entete cabecera testata encabezado".split()
+FEET = "footer bottom copyright colophon legal fuss fusszeile pied pie piede impressum".split()
+SIDES = "sidebar side widget aside related recommended popular archive tags share social rail seitenleiste seite laterale lateral rand voisins relacionados author byline bio autor auteur autore".split()
+ADVERTS = "ad ads advert advertisement sponsor sponsored promo promotion adbox werbung anzeige publicite publicidad pubblicita pub".split()
+NOTICES = "cookie consent notice alert gdpr popup modal newsletter subscribe warning hinweis avis aviso avviso".split()
+REPLIES = "comments comment replies reply discussion responses respond disqus thread kommentare kommentar commentaires comentarios commenti".split()
+FORMS = "form search login signup contact suche recherche buscar anmeldung".split()
+BODIES = "article content post entry main story text body page inhalt haupt artikel beitrag contenu texte contenido articulo cuerpo contenuto".split()
+#: Words that say nothing.
+PLAIN = "x x1 row col inner wrapper wrap container box block item clearfix left center section c1 module component".split()
+#: What a word tells, so that a seldom one tells as much as its like.
+GROUPS = {w: name for name, words in (("menu", MENUS), ("head", HEADS), ("foot", FEET), ("side", SIDES), ("advert", ADVERTS), ("notice", NOTICES), ("reply", REPLIES), ("form", FORMS), ("body", BODIES)) for w in words}
+
+
 @dataclass
 class Page:
     """Nodes in page order (a parent before its children) and their runs of text."""
@@ -160,14 +176,30 @@ def parsed(source: str) -> Page:
     return page
 
 
-def features(page: Page, n: int) -> list[str]:
+def subtrees(page: Page) -> list[tuple[int, int]]:
+    """Of every node, the characters under it and those in links."""
+    chars, linked = list(page.chars), list(page.linked)
+    for n in range(len(page.tags) - 1, 0, -1):
+        chars[page.parents[n]] += chars[n]
+        linked[page.parents[n]] += linked[n]
+    return list(zip(chars, linked, strict=True))
+
+
+def features(page: Page, n: int, under: list[tuple[int, int]], whole: bool) -> list[str]:
+    """whole: the page has a body; without one its root stands for it."""
     tag, chars = page.tags[n], page.chars[n]
-    out = [f"t:{tag}", f"up:{page.tags[page.parents[n]] if n else ''}"]
+    up = page.tags[page.parents[n]] if n else ""
+    out = [f"t:{tag}", f"up:{up if whole or up != 'html' else 'body'}"]
     out += [f"c:{w}" for w in page.words[n]]
+    out += [f"g:{g}" for g in sorted({GROUPS[w] for w in page.words[n] if w in GROUPS})]
     out.append(f"len:{min(9, chars.bit_length())}")
     if chars:
         out.append(f"link:{round(4 * min(1.0, page.linked[n] / chars))}")
         out.append(f"marks:{min(3, page.marks[n])}")
+    every, linked = under[n]
+    if every:
+        out.append(f"links under:{round(4 * min(1.0, linked / every))}")
+        out.append(f"share:{round(4 * every / under[0][0])}")
     return out
 
 
@@ -185,7 +217,8 @@ class Model:
     def marginals(self, page: Page) -> tuple[list[float], list[tuple[float, float, float, float]], list[list[str]]]:
         """Per node: P(content), P(parent and child labels as 00, 01, 10, 11), features."""
         n = len(page.tags)
-        own = [features(page, i) for i in range(n)]
+        under = subtrees(page)
+        own = [features(page, i, under, "body" in page.tags) for i in range(n)]
         score = [sum(self.unary.get(f, 0.0) for f in fs) for fs in own]
         edges = {k: tuple(math.exp(self.pair.get((k, a, b), 0.0)) for a in (0, 1) for b in (0, 1)) for k in ("box", "text")}
         up0, up1 = [1.0] * n, [math.exp(max(-30.0, min(30.0, s))) for s in score]
@@ -228,26 +261,13 @@ class Model:
                     self.pair[at] += rate * ((k == seen) - expected)
 
 
-#: Words of class, id and role attributes in the labelled pages.
-MENUS = "nav menu navbar navigation breadcrumb breadcrumbs topbar toolbar links".split()
-HEADS = "header masthead banner top logo branding".split()
-FEET = "footer bottom copyright colophon legal".split()
-SIDES = "sidebar side widget aside related recommended popular archive tags share social rail".split()
-ADVERTS = "ad ads advert advertisement sponsor sponsored promo promotion adbox".split()
-NOTICES = "cookie consent notice alert gdpr popup modal newsletter subscribe warning".split()
-REPLIES = "comments comment replies reply discussion responses respond disqus thread".split()
-FORMS = "form search login signup contact".split()
-BODIES = "article content post entry main story text body page".split()
-#: Words that say nothing.
-PLAIN = "x x1 row col inner wrapper wrap container box block item clearfix left center section c1 module component".split()
-
-
 def labelled_page(seed: int) -> tuple[str, list[int]]:
     """A page in one of many layouts, and the label of each of its nodes in page order."""
     rnd = random.Random(seed)
     labels = [0]
     pick, chance = rnd.choice, lambda p: rnd.random() < p
     plain = chance(0.4)  # pages whose elements have classes that say nothing
+    bare = chance(0.25)  # pages without a telling name: what is no content is links, a short line or a form
 
     def word() -> str:
         return "".join(pick(("an", "er", "th", "on", "in", "le", "ou", "sch", "re", "ció", "to", "vi")) for _ in range(rnd.randint(1, 4)))
@@ -265,7 +285,7 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     def node(tag: str, label: int, inner: list, named: list[str] | None = None, p: float = 0.8, closed: bool = True) -> str:
         """inner: strings, and functions that write child nodes (called in page order)."""
         labels.append(label)
-        attribute = f' {pick(("class", "id"))}="{pick(named)}{pick(("", "", "-box", " x1"))}"' if named and chance(p) else ""
+        attribute = f' {pick(("class", "id"))}="{pick(named)}{pick(("", "", "-box", " x1"))}"' if named and not bare and chance(p) else ""
         if not attribute and plain and chance(0.6):
             attribute = f' class="{pick(PLAIN)}{pick(("", f"-{word()}", f" {pick(PLAIN)}"))}"'
         body = "".join(x() if callable(x) else x for x in inner)
@@ -332,15 +352,22 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
         inner = [lambda: node("h1", 1, [prose(2, 12)])] * chance(0.8) + many(1, 9, block)
         if chance(0.08):  # an article without an element of its own
             return "".join(f() for f in inner)
-        if chance(0.3):
+        if chance(0.3) and not bare:
             inner.insert(rnd.randint(0, len(inner)), aside)
-        if chance(0.15):
+        if chance(0.15) and not bare:
             inner.append(replies)
         tag = pick(("article", "article", "main", "div", "section"))
         if chance(0.25):
             return node(pick(("main", "div", "section")), 1, [lambda: node("div", 1, inner, BODIES)], BODIES, 0.8)
         return node(tag, 1, inner, BODIES, 1.0 if tag in ("div", "section") else 0.3)
 
+    if bare:
+        row = lambda: node(pick(("div", "div", "p")), 0, [" ".join(link() for _ in range(rnd.randint(2, 7)))])
+        listed = lambda: row() if chance(0.5) else node(pick(("div", "ul")), 0, many(2, 6, lambda: node(pick(("li", "p", "div")), 0, [link()])))
+        line = lambda: node(pick(("div", "p", "div")), 0, [f"&copy; {rnd.randint(1990, 2030)} {word()}" if chance(0.7) else f"Copyright {rnd.randint(1990, 2030)} {word()} {word()}"])
+        text = pick((article, article, lambda: "".join(f() for f in many(1, 6, block)), para))
+        body = node("body", 0, [*[listed] * chance(0.7), text, *[listed] * chance(0.3), *[form] * chance(0.1), *[line] * chance(0.6)])
+        return f"<!DOCTYPE html><html><head><title>{prose(2, 6)}</title></head>{body}</html>", labels
     before = [menu] * chance(0.7) + [head] * chance(0.4) + [aside] * chance(0.6) + [form] * chance(0.1)
     rnd.shuffle(before)
     after = [replies] * chance(0.3) + [aside] * chance(0.4) + [form] * chance(0.15) + [foot] * chance(0.85)
@@ -364,10 +391,25 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
     return model
 
 
+#: Elements and names of what is no main text even where a page has no other.
+NEVER = frozenset("nav header footer aside form button fieldset".split())
+TOLD = frozenset([*MENUS, *HEADS, *FEET, *SIDES, *ADVERTS, *NOTICES, *REPLIES, *FORMS])
+
+
 def main_text(source: str | None, model: Model) -> str:
+    """The blocks that are content with a probability over one half. Where none is, but the page has prose outside of
+    what its elements and names tell to be something else, the likeliest prose is."""
     page = parsed(source or "")
     prob = model.marginals(page)[0]
-    return "\n\n".join(text for node, text in page.runs if prob[node] > 0.5)
+    kept = [text for node, text in page.runs if prob[node] > 0.5]
+    if not kept and page.runs:
+        told = [False] * len(page.tags)
+        for n, tag in enumerate(page.tags):
+            told[n] = (n > 0 and told[page.parents[n]]) or tag in NEVER or not TOLD.isdisjoint(page.words[n])
+        prose = [(n, text) for n, text in page.runs if not told[n] and 2 * page.linked[n] <= page.chars[n]]
+        best = max((prob[n] for n, _ in prose if page.marks[n]), default=2.0)
+        kept = [text for n, text in prose if 2 * prob[n] >= best]
+    return "\n\n".join(kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
