@@ -185,8 +185,9 @@ def subtrees(page: Page) -> list[tuple[int, int]]:
     return list(zip(chars, linked, strict=True))
 
 
-def features(page: Page, n: int, under: list[tuple[int, int]], whole: bool) -> list[str]:
-    """whole: the page has a body; without one its root stands for it."""
+def features(page: Page, n: int, under: list[tuple[int, int]] | None = None, whole: bool | None = None) -> list[str]:
+    """under: subtrees(page). whole: the page has a body; without one its root stands for it."""
+    under, whole = under or subtrees(page), "body" in page.tags if whole is None else whole
     tag, chars = page.tags[n], page.chars[n]
     up = page.tags[page.parents[n]] if n else ""
     out = [f"t:{tag}", f"up:{up if whole or up != 'html' else 'body'}"]
