@@ -85,6 +85,27 @@ def valid_mask(spark, sf_dir):
     return e.select("vec_id", masks.is_valid(holes).alias("ok"))
 
 
+_HOLED = "h AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN vec_id % 5 = 0 THEN 0.0::FLOAT WHEN abs(v) > 0.4 THEN NULL ELSE v END) AS e FROM embeddings)"
+
+
+def _holed(spark, sf_dir):
+    """Vectors with holes of three kinds (null, NaN, infinite), and some of zeros only."""
+    hole = F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 3 == 1, F.lit(float("inf")))
+    values = F.transform("embedding", lambda v: F.when(F.col("vec_id") % 5 == 0, F.lit(0.0).cast("float")).when(F.abs(v) > 0.4, hole.cast("float")).otherwise(v))
+    return table(spark, sf_dir, "embeddings").select("vec_id", values.alias("e"))
+
+
+@query(f"WITH {_HOLED} SELECT vec_id, len(list_filter(e, lambda v: v IS NULL)) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0 AS ok FROM h")
+def usable_radiance(spark, sf_dir):
+    return _holed(spark, sf_dir).select("vec_id", masks.usable(F.col("e")).alias("ok"))
+
+
+@query(f"WITH {_HOLED} SELECT vec_id, CASE WHEN len(list_filter(e, lambda v: v IS NULL)) = 0 THEN array_to_string(list_transform(e, lambda v: CAST(round_even(v::DOUBLE * 1000, 0) AS BIGINT)), ',') END AS whole FROM h")
+def whole_or_null(spark, sf_dir):
+    whole = F.transform(masks.whole_or_null(F.col("e")), lambda v: F.rint(v.cast("double") * 1000).cast("long").cast("string"))
+    return _holed(spark, sf_dir).select("vec_id", F.when(whole.isNotNull(), F.array_join(whole, ",")).alias("whole"))
+
+
 @query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda v: CASE WHEN abs(v) > 0.35 THEN 0 ELSE CAST(round_even(v::DOUBLE * 1000, 0) AS BIGINT) END)) AS BIGINT) AS total FROM embeddings")
 def nan_fill(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -267,6 +288,14 @@ def dbscan(spark, sf_dir):
     return clusters.clustered(bridge.heads(spark, sf_dir), "DBSCAN", eps=5, min_samples=4).select("id", "cluster")
 
 
+@query(f"WITH RECURSIVE {_NEAR.replace('nb AS (', 'sc AS (SELECT * FROM heads WHERE id % 7 <> 0), nb AS (').replace('FROM heads a JOIN heads b', 'FROM sc a JOIN sc b')}, {_dbscan_sql('nb', 4).replace('coalesce(cl.cluster, bd.cluster, -1)', 'CASE WHEN heads.id % 7 <> 0 THEN coalesce(cl.cluster, bd.cluster, -1) END')}")
+def dbscan_headless(spark, sf_dir):
+    """Candidates without a head stay, without a cluster."""
+    seen = lambda c: F.when(F.col("id") % 7 != 0, F.col(c))
+    at = bridge.heads(spark, sf_dir).withColumns({"x": seen("x"), "y": seen("y")})
+    return clusters.clustered(at, "DBSCAN", eps=5, min_samples=4).select("id", "cluster")
+
+
 @query(f"WITH RECURSIVE {_CORR}, close AS (SELECT a, b FROM fc WHERE corr > 0.5), {_dbscan_sql('close', 2)}")
 def dbscan_corr(spark, sf_dir):
     return clusters.clustered(bridge.heads(spark, sf_dir), "DBSCANCorr", _patches(spark, sf_dir), eps_dist=5, eps_corr=0.5, min_samples=2).select("id", "cluster")
@@ -373,6 +402,12 @@ def top30_dilate(spark, sf_dir):
     return vetting.targets(vetting.under_quantile(_plume(spark, sf_dir))).select("plume_id", "y", "x")
 
 
+@query(f"WITH {_TARGETS} SELECT plume_id, count(*) AS n_targets, sum(enhancement)::BIGINT::DOUBLE / count(*)::DOUBLE AS observed_conc FROM tg GROUP BY plume_id")
+def mean_enhancement(spark, sf_dir):
+    chosen = vetting.targets(vetting.under_quantile(_plume(spark, sf_dir)))
+    return chosen.groupBy("plume_id").agg(F.count("*").alias("n_targets"), F.avg("enhancement").alias("observed_conc"))
+
+
 @query(f"WITH {SPECTRA_SQL} SELECT plume_id, round(avg(1 / cos(radians(y * 2)) + 1 / cos(radians(x))), 9) AS path FROM sp GROUP BY plume_id")
 def path_factor(spark, sf_dir):
     patch = spectra(spark, sf_dir).withColumns({"sun_zenith": F.col("y") * 2, "sensor_zenith": F.col("x")})
@@ -535,6 +570,20 @@ def utm_corners(spark, sf_dir):
     return o.select("o_orderkey", *out)
 
 
+@query(
+    "WITH o AS (SELECT o_orderkey, unnest(range(4)) AS k, 20 + o_custkey % 40 AS w, 10 + o_custkey % 30 AS h, o_orderkey % 20 AS col, o_orderkey % 10 AS row FROM orders),"
+    " c AS (SELECT *, CASE WHEN k IN (1, 2) THEN w ELSE 0 END AS x, CASE WHEN k IN (0, 1) THEN h ELSE 0 END AS y, ((o_orderkey * (k + 3) * 37) % 1000)::DOUBLE / 1000 + 10 AS lat, ((o_orderkey * (k + 5) * 13) % 1000)::DOUBLE / 1000 + 50 AS lon FROM o)"
+    " SELECT o_orderkey, round(avg(lon) + regr_slope(lon, x) * (any_value(col) - any_value(w) / 2) + regr_slope(lon, y) * (any_value(row) - any_value(h) / 2), 9) AS lon, round(avg(lat) + regr_slope(lat, x) * (any_value(col) - any_value(w) / 2) + regr_slope(lat, y) * (any_value(row) - any_value(h) / 2), 9) AS lat FROM c GROUP BY o_orderkey"
+)
+def corner_affine(spark, sf_dir):
+    """The affine map of least squares through four corners, against a regression."""
+    at = lambda k, n, m: F.expr(f"(o_orderkey * {(k + n) * m}) % 1000") / 1000.0
+    corners = [(at(k, 3, 37) + 10, at(k, 5, 13) + 50) for k in range(4)]
+    w, h = (F.expr(f"CAST({c} AS DOUBLE)") for c in ("20 + o_custkey % 40", "10 + o_custkey % 30"))
+    lon, lat = geo.corner_affine(corners, F.expr("o_orderkey % 20"), F.expr("o_orderkey % 10"), w, h)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
 @query("WITH p AS (SELECT o_orderkey, ((o_orderkey * 37) % 3600)::DOUBLE / 10 - 180 AS lon, ((o_orderkey * 13) % 1100)::DOUBLE / 10 - 55 AS lat FROM orders) SELECT o_orderkey, (floor((lon + 180) / 6)::INT + 1) || substr('CDEFGHJKLMNPQRSTUVWXX', floor((lat + 80) / 8)::INT + 1, 1) AS zone, 'EPSG:32' || CASE WHEN lat >= 0 THEN '6' ELSE '7' END || lpad((floor((lon + 180) / 6)::INT + 1)::VARCHAR, 2, '0') AS epsg, true AS about, true AS on_cells FROM p")
 def grid_about(spark, sf_dir):
     """Grids about places: their middle is the place to half a cell, and their corners lie on cells."""
