@@ -693,6 +693,34 @@ def candidate_boxes(spark, sf_dir):
     return found.select("chunk_id", F.col("slot_id").cast("long").alias("slot_id"), "x0", "y0", "x1", "y1", "n_pixels")
 
 
+_ORIGINS = f"""{_SLOTS.replace("WITH ", "WITH RECURSIVE ", 1)}, og AS (SELECT chunk_id, h_off, w_off, y, x, y * {TILE} + x AS pos, o FROM hit JOIN n USING (h_off, w_off) JOIN alive USING (h_off, w_off) WHERE o > 500),
+  reach(c, a, b) AS (SELECT chunk_id, pos, pos FROM og UNION SELECT r.c, r.a, m.pos FROM reach r JOIN og k ON k.chunk_id = r.c AND k.pos = r.b JOIN og m ON m.chunk_id = k.chunk_id AND ((m.y = k.y AND abs(m.x - k.x) = 1) OR (m.x = k.x AND abs(m.y - k.y) = 1))),
+  rt AS (SELECT c AS chunk_id, a AS pos, min(b) AS root FROM reach GROUP BY c, a), sz AS (SELECT chunk_id, root, count(*) AS size FROM rt GROUP BY chunk_id, root),
+  top AS (SELECT chunk_id, root FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY size DESC, root) AS k FROM sz) WHERE k = 1),
+  hd AS (SELECT chunk_id, sum(o * x)::BIGINT::DOUBLE / sum(o)::BIGINT::DOUBLE + any_value(w_off) AS x, sum(o * y)::BIGINT::DOUBLE / sum(o)::BIGINT::DOUBLE + any_value(h_off) AS y FROM og JOIN rt USING (chunk_id, pos) JOIN top USING (chunk_id, root) GROUP BY chunk_id),
+  cd AS (SELECT chunk_id, hd.x, hd.y FROM n JOIN alive USING (h_off, w_off) LEFT JOIN hd USING (chunk_id))"""
+
+
+@query(f"{_ORIGINS} SELECT chunk_id, round(x, 6) AS head_x, round(y, 6) AS head_y FROM cd")
+def candidate_heads(spark, sf_dir):
+    """Candidates from the model's tiles to their heads; null where a slot has no origin."""
+    slots, pixels, granules = scene(spark, sf_dir)
+    found = pipeline.extract_candidates(pipeline.with_place(slots, pixels), granules, SMALL)
+    return found.select("chunk_id", F.round("head_x", 6).alias("head_x"), F.round("head_y", 6).alias("head_y"))
+
+
+@query(
+    f"{_ORIGINS}, nb AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM hd a JOIN hd b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2.25), grow(a, b) AS (SELECT a, b FROM nb UNION SELECT r.a, nb.b FROM grow r JOIN nb ON nb.a = r.b),"
+    " gr AS (SELECT a AS chunk_id, min(b) AS root FROM grow GROUP BY a) SELECT chunk_id, CASE WHEN root IS NOT NULL THEN dense_rank() OVER (ORDER BY root NULLS LAST) - 1 END AS cluster FROM cd LEFT JOIN gr USING (chunk_id)"
+)
+def candidate_clusters(spark, sf_dir):
+    """From the model's tiles to clusters of candidates, all of which stay."""
+    slots, pixels, granules = scene(spark, sf_dir)
+    placed = written(pipeline.with_place(slots, pixels), "placed")
+    grouped = pipeline.cluster_plumes(pipeline.extract_candidates(placed, granules, SMALL), placed, SMALL)
+    return grouped.select("chunk_id", "cluster")
+
+
 @query()
 def dedupe_plumes(spark, sf_dir):
     slots, pixels, granules = scene(spark, sf_dir)
