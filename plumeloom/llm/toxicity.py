@@ -54,7 +54,8 @@ WINDOW, STEP = 32, 16
 SIZE, MATCH, LEVEL = 512, 6, 5
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 PREDICTED = 0.3
-#: A run of RUN bytes is toxic from LEAST contexts on, SIGMAS deviations and LIFT times the ordinary rate.
+#: A run of RUN bytes is toxic from LEAST contexts on, SIGMAS deviations (more with many pieces, in which smaller
+#: differences show) and LIFT times the ordinary rate.
 RUN, CONTEXT, LEAST, SIGMAS, LIFT = 5, 6, 4, 5.0, 8.0
 SEED = 11
 _PREAMBLE = bytes(random.Random(SEED).sample(range(2, 32), 16))
@@ -101,9 +102,10 @@ def segments(toxic: list[bytes], ordinary: list[bytes]) -> Counter:
     at = np.minimum(np.searchsorted(known, runs), max(0, len(known) - 1))
     other = np.where(known[at] == runs, of[at], 0) if len(known) else np.zeros(len(runs), np.int64)
     share = contexts[1] / max(1, sum(contexts))
+    least_sigmas = max(SIGMAS, math.sqrt(len(toxic)) / 5)
     expected = (n + other) * share
     sigmas = (n - expected) / np.sqrt(expected * (1 - share) + 1e-12)
-    toxic_runs = (n >= LEAST) & (sigmas >= SIGMAS) & (n * contexts[0] >= LIFT * (other + 0.5) * contexts[1])
+    toxic_runs = (n >= LEAST) & (sigmas >= least_sigmas) & (n * contexts[0] >= LIFT * (other + 0.5) * contexts[1])
     runs, n, found = runs[toxic_runs], n[toxic_runs], Counter()
     if not len(runs):
         return found
