@@ -10,11 +10,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeloom.kernels.assign import assigned
-from plumeloom.kernels.fit import fitted, transmittance_of
+from plumeloom.kernels.fit import AT_ONCE, Transmittances, fitted_many
 from plumeloom.operators.masks import dilated, usable
 from plumeloom.plans.storage import written
 from plumeloom.sources.bands import BACKGROUND
@@ -121,37 +122,53 @@ def fits(observed: DataFrame, samples: list[tuple], added_ppm_m: float, key: str
     standard, gas) with arrays, strong bands only (it is a fixed table and travels with the task).
 
     A plume's spectrum is gathered to one row, of as many numbers as there are bands."""
+    one = F.struct(F.col("band").cast("long").alias("band"), F.col("ratio").cast("double").alias("ratio"))
+    return fitted_spectra(observed.groupBy(key).agg(F.collect_list(one).alias("spectrum"), F.max("path").cast("double").alias("path")), samples, added_ppm_m, key)
+
+
+def fitted_spectra(spectra: DataFrame, samples: list[tuple], added_ppm_m: float, key: str = "plume_id") -> DataFrame:
+    """fits() of plumes that are rows: key, spectrum (an array of structs of band and ratio) and path. No shuffle; the
+    spectra of a batch are fitted together."""
     table = sorted(samples)
-    kind = observed.schema[key].dataType.simpleString()
-    place = {s[0]: k for k, s in enumerate(table)}
+    kind = spectra.schema[key].dataType.simpleString()
+    numbers = np.array([s[0] for s in table], np.int64)
     centre = np.array([s[1] for s in table], float)
     x = (centre - centre.mean()) / (centre.std() or 1.0)
-    gas_of = transmittance_of(*([np.asarray(s[k], float) for s in table] for k in (2, 3)), [np.asarray(s[4], float) / (np.asarray(s[3], float) + 1e-12) for s in table])
+    gases = Transmittances(*([np.asarray(s[k], float) for s in table] for k in (2, 3)), [np.asarray(s[4], float) / (np.asarray(s[3], float) + 1e-12) for s in table])
     names = [f.split(" ")[0] for f in RESULT.split(", ")]
-    lists = pa.list_(pa.float64())
-
-    def fit(seen: np.ndarray, path: float) -> tuple:
-        gas = gas_of(path)
-        best = fitted(centre, seen, gas)
-        if best is None:
-            return (None,) * len(names)
-        base = np.vander(x, len(best[1]), increasing=True) @ best[1]
-        return float(best[0]) * added_ppm_m, base, seen, base * gas(best[0]), centre
+    step = max(1, AT_ONCE // max(1, len(table) * gases.width))
+
+    def seen_of(spectrum: pa.Array) -> np.ndarray:
+        """Ratios at the places of the table's bands; NaN where one has none."""
+        band, ratio = (pc.struct_field(spectrum.flatten(), k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        row = pc.list_parent_indices(spectrum).to_numpy()
+        at = np.minimum(np.searchsorted(numbers, band), len(numbers) - 1)
+        known = numbers[at] == band
+        seen = np.full((len(spectrum), len(numbers)), np.nan)
+        seen[row[known], at[known]] = ratio[known]
+        return seen
+
+    def fit(seen: np.ndarray, path: np.ndarray) -> list[np.ndarray]:
+        gas = gases.along(path)
+        conc, coefficients = fitted_many(centre, seen, gas)
+        base = coefficients @ np.vander(x, coefficients.shape[1], increasing=True).T
+        return [conc * added_ppm_m, base, seen, base * gas(conc)[0], np.broadcast_to(centre, seen.shape)]
+
+    def lists(values: np.ndarray, none: np.ndarray) -> pa.Array:
+        offsets = np.append(0, np.cumsum(np.where(none, 0, values.shape[1]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[~none].ravel()), mask=pa.array(none))
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for spectrum, path in zip(batch.column("spectrum"), batch.column("path").to_pylist(), strict=True):
-                seen = np.full(len(table), np.nan)
-                for band in spectrum.as_py():
-                    if band["band"] in place and band["ratio"] is not None:
-                        seen[place[band["band"]]] = band["ratio"]
-                out.append(fit(seen, path))
-            columns = [pa.array([r[k] for r in out], lists if k else pa.float64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, *names])
-
-    spectra = observed.groupBy(key).agg(F.collect_list(F.struct(F.col("band").cast("long").alias("band"), F.col("ratio").cast("double").alias("ratio"))).alias("spectrum"), F.max("path").cast("double").alias("path"))
-    return spectra.mapInArrow(every, f"{key} {kind}, {RESULT}")
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                path = batch.column("path").to_numpy(zero_copy_only=False).astype(float)
+                found = fit(seen_of(batch.column("spectrum")), path)
+                none = np.isnan(found[0])
+                columns = [pa.array(found[0], mask=none), *(lists(v, none) for v in found[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, *names])
+
+    return spectra.select(key, "spectrum", "path").mapInArrow(every, f"{key} {kind}, {RESULT}")
 
 
 def vetted(patch: DataFrame, samples: list[tuple], added_ppm_m: float, gas: str, match_bands: list[int], key: str = "plume_id") -> DataFrame:

@@ -147,3 +147,25 @@ def test_mean_shift_separates_groups():
     assert [len(set(labels[k : k + 20])) for k in (0, 20, 40)] == [1, 1, 1] and len(set(labels)) == 3
     assert len(mean_shift(np.empty((0, 2)))) == 0
     assert len(set(mean_shift(points))) >= 1
+
+
+def test_many_spectra_are_fitted_together():
+    """Rows of one call do not touch each other, paths differ, one row is not finite."""
+    rng = np.random.default_rng(5)
+    centre = np.linspace(2100, 2440, 46)
+    gases = fit.Transmittances([np.ones(3)] * 46, [np.full(3, 0.9)] * 46, [np.full(3, 1 - 0.2 * abs(math.sin(k))) for k in range(46)])
+    planted, path = rng.uniform(0, 2.5, 3000), rng.uniform(2, 3, 3000)
+    planted[:100] = 0.0
+    x = (centre - centre.mean()) / centre.std()
+    baseline = 1 + rng.uniform(-0.1, 0.1, (3000, 1)) * x - 0.05 * x**2
+    seen = baseline * gases.along(path)(planted)[0]
+    seen[7, 3] = np.nan
+    conc, coefficients = fit.fitted_many(centre, seen, gases.along(path))
+    assert np.isnan(conc[7]) and np.isnan(coefficients[7]).all()
+    others = np.arange(3000) != 7
+    assert np.abs(conc - planted)[others].max() < 1e-4
+    assert np.allclose(coefficients[others] @ np.vander(x, 7, increasing=True).T, baseline[others], atol=1e-5)
+    noisy = seen[100:104] + rng.normal(0, 0.01, (4, 46))
+    together = fit.fitted_many(centre, noisy, gases.along(path[100:104]))[0]
+    alone = [fit.fitted_many(centre, noisy[k : k + 1], gases.along(path[100 + k : 101 + k]))[0][0] for k in range(4)]
+    assert np.allclose(together, alone, rtol=1e-6)
