@@ -18,7 +18,7 @@ from plumeloom.config import ALGORITHMS
 from plumeloom.kernels.meanshift import mean_shift
 from plumeloom.plans.graph import components
 from plumeloom.plans.metrics import Counters
-from plumeloom.plans.storage import written
+from plumeloom.plans.storage import shuffled, written
 
 
 #: Cells of a pair that stand in one row, a multiple of a square's width at most.
@@ -34,7 +34,7 @@ def neighbours(points: DataFrame, eps: float) -> DataFrame:
     a = a.withColumns({"cx": F.floor(F.col("ax") / eps), "cy": F.floor(F.col("ay") / eps)})
     a = a.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns({"cx": F.col("cx") + F.col("_dx"), "cy": F.col("cy") + F.col("_dy")})
     b = points.withColumns(cell).select("granule_id", "cx", "cy", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    met = a.join(b, ["granule_id", "cx", "cy"])
+    met = a.join(shuffled(b), ["granule_id", "cx", "cy"])
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     return met.filter(dx * dx + dy * dy <= eps * eps).select("granule_id", "a", "b")
 
@@ -66,7 +66,7 @@ def correlated(pairs: DataFrame, patches: DataFrame, counters: Counters | None =
     """
     heads = squares(patches)
     side = lambda k: heads.select("granule_id", F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("y0", "x0", "h", "w", "cells")])
-    both = pairs.filter("a < b").join(side("a"), ["granule_id", "a"], "left").join(side("b"), ["granule_id", "b"], "left")
+    both = pairs.filter("a < b").join(shuffled(side("a")), ["granule_id", "a"], "left").join(shuffled(side("b")), ["granule_id", "b"], "left")
     top, left = F.greatest("a_y0", "b_y0"), F.greatest("a_x0", "b_x0")
     tall, wide = F.expr("least(a_y0 + a_h, b_y0 + b_h)") - top, F.expr("least(a_x0 + a_w, b_x0 + b_w)") - left
     met = F.expr("a_h + b_h > 0") & (tall > 0) & (wide > 0)
@@ -87,7 +87,7 @@ def correlated(pairs: DataFrame, patches: DataFrame, counters: Counters | None =
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     out = out.select("granule_id", F.explode(ways).alias("e"), F.coalesce("corr", F.lit(0.0)).alias("corr")).select("granule_id", "e.a", "e.b", "corr")
     varied = heads.select("granule_id", F.col("id").alias("a"), F.lit(1.0).alias("corr")).filter(heads["varied"])
-    alone = pairs.filter("a = b").join(varied, ["granule_id", "a"], "left").select("granule_id", "a", "b", F.coalesce("corr", F.lit(0.0)).alias("corr"))
+    alone = pairs.filter("a = b").join(shuffled(varied), ["granule_id", "a"], "left").select("granule_id", "a", "b", F.coalesce("corr", F.lit(0.0)).alias("corr"))
     return out.unionByName(alone)
 
 
@@ -114,15 +114,15 @@ def density_clusters(points: DataFrame, pairs: DataFrame, min_samples: int) -> D
     neighbours. Point ids are unique over all scenes.
     """
     core = pairs.groupBy("granule_id", "a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("granule_id", F.col("a").alias("id"))
-    from_core = pairs.join(core.select("granule_id", F.col("id").alias("a")), ["granule_id", "a"])
-    links = from_core.join(core.select("granule_id", F.col("id").alias("b")), ["granule_id", "b"])
+    from_core = pairs.join(shuffled(core.select("granule_id", F.col("id").alias("a"))), ["granule_id", "a"])
+    links = from_core.join(shuffled(core.select("granule_id", F.col("id").alias("b"))), ["granule_id", "b"])
     roots = components(links.select("a", "b"))
-    rooted = core.join(roots, core["id"] == roots["node"], "left").select("granule_id", "id", F.coalesce("root", "id").alias("root"))
+    rooted = core.join(shuffled(roots), core["id"] == roots["node"], "left").select("granule_id", "id", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("granule_id", "root").agg(F.min("id").alias("first"))
     number = first.withColumn("cluster", F.row_number().over(Window.partitionBy("granule_id").orderBy("first")).cast("long") - 1)
-    of_core = rooted.join(number, ["granule_id", "root"]).select("granule_id", "id", "cluster")
-    border = from_core.select("granule_id", F.col("a").alias("id"), "b").join(of_core, ["granule_id", "id"]).groupBy("granule_id", F.col("b").alias("id")).agg(F.min("cluster").alias("near"))
-    out = points.select("granule_id", "id").join(of_core, ["granule_id", "id"], "left").join(border, ["granule_id", "id"], "left")
+    of_core = rooted.join(shuffled(number), ["granule_id", "root"]).select("granule_id", "id", "cluster")
+    border = from_core.select("granule_id", F.col("a").alias("id"), "b").join(shuffled(of_core), ["granule_id", "id"]).groupBy("granule_id", F.col("b").alias("id")).agg(F.min("cluster").alias("near"))
+    out = points.select("granule_id", "id").join(shuffled(of_core), ["granule_id", "id"], "left").join(shuffled(border), ["granule_id", "id"], "left")
     return out.select("granule_id", "id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
@@ -139,7 +139,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     places = points.groupBy("granule_id", "x", "y").agg(F.count("*").alias("n"), F.min("id").alias("node"))
     places = places.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
     full = places.groupBy(*at).agg(F.sum("n").alias("n"), F.min("node").alias("cell")).filter(F.col("n") >= min_samples).select(*at, "cell")
-    marked = written(places.join(full, at, "left"), "marked-places")
+    marked = written(places.join(shuffled(full), at, "left"), "marked-places")
     other = lambda df, *names: df.select(*at, *[F.col(c).alias(f"o_{c}") for c in names])
 
     def beside(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
@@ -149,39 +149,39 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     steps = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
     distance = F.pow(F.col("x") - F.col("o_x"), 2) + F.pow(F.col("y") - F.col("o_y"), 2)
     thin = beside(marked.filter("cell IS NULL").select(*at, "x", "y", F.col("node").alias("a")), steps)
-    met = thin.join(other(marked, "x", "y", "n", "node", "cell"), at).filter(distance <= eps * eps)
+    met = thin.join(shuffled(other(marked, "x", "y", "n", "node", "cell")), at).filter(distance <= eps * eps)
     pairs = written(met.select("granule_id", "a", F.col("o_n").alias("n"), F.col("o_node").alias("b"), F.col("o_cell").alias("cell")), "thin-pairs")
     core = written(pairs.groupBy("granule_id", "a").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("granule_id", "a"), "thin-cores")
     # where a pair leads: a full cell, a core of its own, or (null) neither
-    led = pairs.join(core.select(F.col("a").alias("b"), F.lit(True).alias("b_core")), "b", "left")
+    led = pairs.join(shuffled(core.select(F.col("a").alias("b"), F.lit(True).alias("b_core"))), "b", "left")
     led = led.select("granule_id", "a", F.when(F.col("cell").isNotNull(), F.col("cell")).when(F.col("b_core"), F.col("b")).alias("to")).filter("to IS NOT NULL")
-    links = led.join(core, ["granule_id", "a"], "left_semi").select("a", F.col("to").alias("b"))
+    links = led.join(shuffled(core), ["granule_id", "a"], "left_semi").select("a", F.col("to").alias("b"))
 
     forward = [s for s in steps if s > (0, 0)]
     boxed = marked.filter("cell IS NOT NULL").withColumns({"bx": F.floor(F.col("x") * 4 / side), "by": F.floor(F.col("y") * 4 / side)})
     bounds = {f"{f.__name__}_{c}": f(c) for c in "xy" for f in (F.min, F.max)}
     boxes = boxed.groupBy(*at, "cell", "bx", "by").agg(*[c.alias(k) for k, c in bounds.items()])
     names = ["cell", "bx", "by", *bounds]
-    near = beside(boxes, forward).join(other(boxes, *names), at)
+    near = beside(boxes, forward).join(shuffled(other(boxes, *names)), at)
     gap = lambda c: F.greatest(F.lit(0.0), F.col(f"min_{c}") - F.col(f"o_max_{c}"), F.col(f"o_min_{c}") - F.col(f"max_{c}"))
     span = lambda c: F.greatest(F.col(f"max_{c}") - F.col(f"o_min_{c}"), F.col(f"o_max_{c}") - F.col(f"min_{c}"))
     near = near.filter(gap("x") * gap("x") + gap("y") * gap("y") <= eps * eps)
     near = written(near.select("granule_id", "cell", "bx", "by", "o_cell", "o_bx", "o_by", (span("x") * span("x") + span("y") * span("y") <= eps * eps).alias("sure")), "near-boxes")
     sure = near.filter("sure").select("cell", "o_cell").distinct()
-    open_ = near.filter("NOT sure").join(sure, ["cell", "o_cell"], "left_anti")
+    open_ = near.filter("NOT sure").join(shuffled(sure), ["cell", "o_cell"], "left_anti")
     ends = boxed.select("cell", "bx", "by", "x", "y")
-    open_ = open_.join(ends, ["cell", "bx", "by"]).join(ends.select(*[F.col(c).alias(f"o_{c}") for c in ends.columns]), ["o_cell", "o_bx", "o_by"])
+    open_ = open_.join(shuffled(ends), ["cell", "bx", "by"]).join(shuffled(ends.select(*[F.col(c).alias(f"o_{c}") for c in ends.columns])), ["o_cell", "o_bx", "o_by"])
     links = links.unionByName(sure.unionByName(open_.filter(distance <= eps * eps).select("cell", "o_cell").distinct()).toDF("a", "b"))
 
     cores = core.select("granule_id", F.col("a").alias("node")).unionByName(full.select("granule_id", F.col("cell").alias("node")))
     roots = components(links).withColumnRenamed("node", "_n")
-    rooted = cores.join(roots, F.col("node") == F.col("_n"), "left").select("granule_id", "node", F.coalesce("root", "node").alias("root"))
+    rooted = cores.join(shuffled(roots), F.col("node") == F.col("_n"), "left").select("granule_id", "node", F.coalesce("root", "node").alias("root"))
     number = rooted.groupBy("granule_id", "root").count().withColumn("cluster", F.row_number().over(Window.partitionBy("granule_id").orderBy("root")).cast("long") - 1)
-    of_core = rooted.join(number, ["granule_id", "root"]).select("granule_id", "node", "cluster")
-    border = led.join(of_core.withColumnRenamed("node", "to"), ["granule_id", "to"]).groupBy("granule_id", F.col("a").alias("node")).agg(F.min("cluster").alias("near"))
-    of_place = marked.withColumn("of", F.coalesce("cell", "node")).join(of_core.withColumnRenamed("node", "of"), ["granule_id", "of"], "left").join(border, ["granule_id", "node"], "left")
+    of_core = rooted.join(shuffled(number), ["granule_id", "root"]).select("granule_id", "node", "cluster")
+    border = led.join(shuffled(of_core.withColumnRenamed("node", "to")), ["granule_id", "to"]).groupBy("granule_id", F.col("a").alias("node")).agg(F.min("cluster").alias("near"))
+    of_place = marked.withColumn("of", F.coalesce("cell", "node")).join(shuffled(of_core.withColumnRenamed("node", "of")), ["granule_id", "of"], "left").join(shuffled(border), ["granule_id", "node"], "left")
     of_place = of_place.select("granule_id", "x", "y", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
-    return points.join(of_place, ["granule_id", "x", "y"]).select("granule_id", "id", "cluster")
+    return points.join(shuffled(of_place), ["granule_id", "x", "y"]).select("granule_id", "id", "cluster")
 
 
 def dbscan_corr(points: DataFrame, patches: DataFrame, eps_dist: float, eps_corr: float, min_samples: int, counters: Counters | None = None) -> DataFrame:
@@ -218,4 +218,4 @@ def clustered(points: DataFrame, algorithm: str, patches: DataFrame | None = Non
         out = dbscan_corr(heads, patches, kw["eps_dist"], kw["eps_corr"], kw["min_samples"], counters)
     else:
         out = mean_shift_clusters(heads, kw.get("bandwidth"))
-    return points.select("granule_id", "id").join(out, ["granule_id", "id"], "left")
+    return points.select("granule_id", "id").join(shuffled(out), ["granule_id", "id"], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeloom.plans.storage import shuffled
+
 
 def is_valid(spectrum: Column) -> Column:
     """No band is NaN or null."""
@@ -55,13 +57,13 @@ def excluded(pixels: DataFrame, windows: DataFrame, reach: int, key: str = "plum
     spread = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size), F.floor((F.col(c) + size - 1) / size)))
     windows = windows.withColumns(edges).withColumn("cy", spread("y0")).withColumn("cx", spread("x0"))
     cells = pixels.select("granule_id", "gy", "gx").withColumns({"cy": F.floor(F.col("gy") / size), "cx": F.floor(F.col("gx") / size)})
-    met = windows.join(cells, ["granule_id", "cy", "cx"]).withColumns({"y": F.col("gy") - F.col("y0"), "x": F.col("gx") - F.col("x0")})
+    met = windows.join(shuffled(cells), ["granule_id", "cy", "cx"]).withColumns({"y": F.col("gy") - F.col("y0"), "x": F.col("gx") - F.col("x0")})
     return met.filter(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1)).select(key, "y", "x").distinct()
 
 
 def background(patch: DataFrame, exclusion: DataFrame, key: str = "plume_id", valid: str = "valid") -> DataFrame:
     """Valid pixels of each plume's patch (key, y, x) that no candidate holds."""
-    return patch.filter(valid).join(exclusion, [key, "y", "x"], "left_anti")
+    return patch.filter(valid).join(shuffled(exclusion), [key, "y", "x"], "left_anti")
 
 
 def dilated(pixels: DataFrame, within: DataFrame, keys: list[str], reach: int = 1) -> DataFrame:
@@ -69,7 +71,7 @@ def dilated(pixels: DataFrame, within: DataFrame, keys: list[str], reach: int =
     steps = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
     around = pixels.select(*keys, "y", "x", F.explode(steps).alias("_dy")).select(*keys, "x", (F.col("y") + F.col("_dy")).alias("y"), F.explode(steps).alias("_dx"))
     around = around.select(*keys, "y", (F.col("x") + F.col("_dx")).alias("x")).distinct()
-    return within.join(around, [*keys, "y", "x"], "left_semi")
+    return within.join(shuffled(around), [*keys, "y", "x"], "left_semi")
 
 
 def head_squares(pixels: DataFrame, heads: DataFrame, patch: int, keys: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeloom.plans.storage import shuffled
+
 
 def _offsets(dim: Column, size: int, stride: int) -> Column:
     none = F.array().cast("array<bigint>")
@@ -52,7 +54,7 @@ def crop_padded(pixels: DataFrame, boxes: DataFrame, values: list[str]) -> DataF
     """Every place of each box (box_id, granule_id, x0, y0, x1, y1), with 0 where no pixel is."""
     down = boxes.withColumn("gy", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
     grid = down.withColumn("gx", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
-    found = grid.join(pixels.select("granule_id", "gy", "gx", *values), ["granule_id", "gy", "gx"], "left")
+    found = grid.join(shuffled(pixels.select("granule_id", "gy", "gx", *values)), ["granule_id", "gy", "gx"], "left")
     return found.select("box_id", "granule_id", (F.col("gy") - F.col("y0")).alias("y"), (F.col("gx") - F.col("x0")).alias("x"), *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 
@@ -88,6 +90,6 @@ def overlapping(a: DataFrame, b: DataFrame, cell: int) -> DataFrame:
         return df.withColumn("cx", spread(f"{name}_x0", f"{name}_x1")).withColumn("cy", spread(f"{name}_y0", f"{name}_y1"))
 
     corners = lambda n: tuple(f"{n}_{c}" for c in ("x0", "y0", "x1", "y1"))
-    met = dealt(a, "a").join(dealt(b, "b"), ["granule_id", "cx", "cy"]).withColumn("overlap", intersection(corners("a"), corners("b")))
+    met = dealt(a, "a").join(shuffled(dealt(b, "b")), ["granule_id", "cx", "cy"]).withColumn("overlap", intersection(corners("a"), corners("b")))
     own_cell = (F.floor(F.col("overlap.x0") / cell) == F.col("cx")) & (F.floor(F.col("overlap.y0") / cell) == F.col("cy"))
     return met.filter(own_cell).select("granule_id", "a_id", "b_id", "overlap.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeloom.plans.storage import dropped, written
+from plumeloom.plans.storage import dropped, shuffled, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,9 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(shuffled(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        other = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        other = large.join(shuffled(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, edges = edges, written(least.withColumnRenamed("m", "v").unionByName(other).distinct(), "small-star")
         dropped(before, large)

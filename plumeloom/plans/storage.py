@@ -40,6 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, for a join by shuffle and sort.
+
+    A plan takes a table for as large as its files, and exploded rows for one. Files of whole numbers in order are a small
+    part of their rows, so tables of any length seem small enough for a broadcast, which passes them whole through
+    the driver.
+    """
+    return df.hint("merge")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for df in tables:

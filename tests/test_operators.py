@@ -231,6 +231,18 @@ def test_dense_clusters_equal_a_plain_version(spark, eps, least, spread, grid):
     assert labels_of(clusters.clustered(p, "DBSCAN", eps=eps, min_samples=least)) == brute_dbscan(at.tolist(), eps, least)
 
 
+def test_tables_of_any_length_are_not_broadcast(spark):
+    """A plan guesses exploded rows and files of few values far too small; no join of points may pass the driver."""
+    at = points(spark, [(k % 40, k // 40) for k in range(400)])
+    near = clusters.neighbours(at, 1)
+    pixels = at.select("granule_id", "id", F.col("y").cast("long").alias("gy"), F.col("x").cast("long").alias("gx"), F.lit(1.0).alias("value"))
+    found = [near, clusters.correlated(near, pixels), clusters.dbscan(at, 1, 4), clusters.density_clusters(at, near, 4), clusters.clustered(at, "DBSCAN", eps=1, min_samples=4)]
+    found.append(components.labelled(at.select("granule_id", "y", "x"), ["granule_id"]))
+    for df in found:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert found[2].filter("cluster = 0").count() == 400
+
+
 def test_ten_thousand_equal_points_make_no_pairs(spark):
     p = spark.range(10_000).select(F.lit(1).alias("granule_id"), "id", F.lit(3.0).alias("x"), F.lit(4.0).alias("y"))
     far = p.limit(1).select("granule_id", F.lit(20_000).cast("long").alias("id"), F.lit(90.0).alias("x"), F.lit(4.0).alias("y"))
