@@ -1,13 +1,14 @@
-"""Outlines of masks: edges, area and bounds in SQL, rings and WKT by one kernel call per key."""
+"""Outlines of masks: edges, area and bounds in SQL, rings and WKT by a kernel per key."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeloom.kernels.rings import wkts
+from plumeloom.plans.keyed import by_whole_keys
 
 
 def edges(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,18 +37,24 @@ def mask_wkts(pixels: DataFrame, keys: list[str], affines: dict[str, tuple], sim
     columns = sorted({c for affine in affines.values() for c in affine if isinstance(c, str)})
     spec = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys) + "".join(f", {n} string" for n in affines)
 
-    def trace(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = int(df["x"].min()), int(df["y"].min())
-        mask = np.zeros((int(df["y"].max()) - y0 + 1, int(df["x"].max()) - x0 + 1), bool)
-        mask[df["y"].to_numpy() - y0, df["x"].to_numpy() - x0] = True
+    def trace(px: pa.Table, starts: np.ndarray) -> pa.Table:
+        y, x = (px.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        numbers = {c: px.column(c).to_numpy(zero_copy_only=False)[starts].astype(float) for c in columns}
+        ends, found = np.append(starts[1:], len(y)), []
+        for k, (i, j) in enumerate(zip(starts, ends, strict=True)):
+            x0, y0 = int(x[i:j].min()), int(y[i:j].min())
+            mask = np.zeros((int(y[i:j].max()) - y0 + 1, int(x[i:j].max()) - x0 + 1), bool)
+            mask[y[i:j] - y0, x[i:j] - x0] = True
 
-        def place_of(affine: tuple):
-            a, b, c, d, e, f = (float(df[n].iloc[0]) if isinstance(n, str) else float(n) for n in affine)
-            return lambda x, y: (a + b * (x + x0) + c * (y + y0), d + e * (x + x0) + f * (y + y0))
+            def place_of(affine: tuple, k=k, x0=x0, y0=y0):
+                a, b, c, d, e, f = (float(numbers[n][k]) if isinstance(n, str) else float(n) for n in affine)
+                return lambda x, y: (a + b * (x + x0) + c * (y + y0), d + e * (x + x0) + f * (y + y0))
 
-        return pd.DataFrame([(*key, *wkts(mask, [place_of(a) for a in affines.values()], simplify, keep_holes))], columns=[*keys, *affines])
+            found.append(wkts(mask, [place_of(a) for a in affines.values()], simplify, keep_holes))
+        texts = [pa.array([w[k] for w in found], pa.string()) for k in range(len(affines))]
+        return pa.table([*(px.column(k).take(pa.array(starts)) for k in keys), *texts], names=[*keys, *affines])
 
-    return pixels.select(*keys, "y", "x", *columns).groupBy(*keys).applyInPandas(trace, spec)
+    return by_whole_keys(pixels.select(*keys, "y", "x", *columns), keys, trace, spec)
 
 
 def points_of(outlines: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:

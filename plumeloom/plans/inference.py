@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeloom.plans.keyed import by_whole_keys
 from plumeloom.sources.emit import loaded_model
 
 TILES_A_SIDE = 4
@@ -96,4 +97,8 @@ def tiled_inference(pixels: DataFrame, granules: DataFrame, factory, path: str,
         ids = granule.combine_chunks().take(pa.array(np.zeros(len(columns[0]), np.int32)))
         return pa.table([ids, *columns], names=["granule_id", "h_off", "w_off", "slot_id", "y", "x", *outputs.values()])
 
-    return px.groupBy("granule_id", "_by", "_bx").applyInArrow(run, schema)
+    def blocks(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ends = np.append(starts[1:], table.num_rows)
+        return pa.concat_tables([run(table.slice(i, j - i)) for i, j in zip(starts, ends, strict=True)])
+
+    return by_whole_keys(px, ["granule_id", "_by", "_bx"], blocks, schema)

@@ -136,6 +136,31 @@ def test_heads_and_components(spark, bounded):
     assert components.head_points(px, ["granule_id"], "p", 0.99, bounded).count() == 0
 
 
+def test_kernels_take_many_whole_keys_at_once(spark):
+    """Keys that span batches stay whole, a null is a key, and one call has several keys."""
+    from plumeloom.operators import geometry
+    from plumeloom.plans.keyed import by_whole_keys
+
+    rows = [(None if k == 3 else f"s{k % 5}", k, y, x) for k in range(60) for y in range(1 + k % 4) for x in range(k % 7, 9) if (x + y + k) % 4]
+    px = spark.createDataFrame(rows, "granule_id string, k int, y long, x long").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        keys = ["granule_id", "k"]
+        sizes = by_whole_keys(px, keys, lambda t, at: t.take(at).select(keys).append_column("n", [np.diff(at, append=t.num_rows)]).append_column("together", [np.full(len(at), len(at))]), "granule_id string, k int, n long, together long").collect()
+        want = {}
+        for g, k, *_ in rows:
+            want[g, k] = want.get((g, k), 0) + 1
+        assert {(r.granule_id, r.k): r.n for r in sizes} == want and len(sizes) == len(want) and max(r.together for r in sizes) > 1
+        plain = px.filter("granule_id IS NOT NULL")
+        got, rounds = (sorted(map(tuple, components.labelled(plain, keys, bounded).select(*keys, "y", "x", "label").collect())) for bounded in (True, False))
+        assert got == rounds
+        areas = geometry.area_and_bounds(plain, keys).count()
+        assert geometry.mask_wkt(plain, keys).filter("geometry LIKE '%POLYGON%'").count() == areas == len(want) - 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_center_of_mass(spark):
     assert components.center_of_mass(block(spark, 4, 7, 4, 7, v=2), ["granule_id"], "v").first()[1:] == (5.0, 5.0)
     assert components.center_of_mass(block(spark, 4, 6, 4, 6, v=0), ["granule_id"], "v").count() == 0
