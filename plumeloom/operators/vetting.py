@@ -179,8 +179,8 @@ def vetted(patch: DataFrame, samples: list[tuple], added_ppm_m: float, gas: str,
     """
     seen = patch.filter(usable(F.col("radiance")))
     seen = seen.withColumn("spectrum", F.transform(F.array(*map(F.lit, match_bands)), lambda k: F.get("radiance", k).cast("double")))
-    chosen = targets(under_quantile(seen.filter("plume"), key), key)
-    pool = background_pool(seen, chosen.select(key, "y", "x"), gas, key)
+    chosen = written(targets(under_quantile(seen.filter("plume"), key), key), "targets")
+    pool = written(background_pool(seen, chosen.select(key, "y", "x"), gas, key), "background")
     pairs = best_matches(assignment(chosen, pool, key), key)
     observed = mean_ratio(pairs, chosen, pool, key).join(path_factor(patch, key), key)
     mean = chosen.groupBy(key).agg(F.avg("enhancement").alias("observed_conc"))

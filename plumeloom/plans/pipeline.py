@@ -190,7 +190,7 @@ def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, s
     out = counters.on(plumes.plumes, "plumes") if counters else plumes.plumes
     if samples:
         hits = masks.over_threshold(placed, "p_plume", s.plume_threshold).join(grouped.select(*SLOT), SLOT, "left_semi")
-        patch = vetting_patches(plumes, hits.select("granule_id", "gy", "gx").distinct(), image, pixels, s)
+        patch = written(vetting_patches(plumes, hits.select("granule_id", "gy", "gx").distinct(), image, pixels, s), "patches")  # read for targets, background and path
         scores = vetting.vetted(patch, samples, added_ppm_m, s.gas, match_bands or [])
         arrays = [f.name for f in scores.schema.fields if f.dataType.typeName() == "array"]
         scores = scores.withColumns({c: masks.whole_or_null(F.col(c)) for c in arrays})
