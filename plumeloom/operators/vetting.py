@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumeloom.kernels.assign import assigned
 from plumeloom.kernels.fit import AT_ONCE, Transmittances, fitted_many
 from plumeloom.operators.masks import dilated, usable
-from plumeloom.plans.storage import written
+from plumeloom.plans.storage import shuffled, written
 from plumeloom.sources.bands import BACKGROUND
 
 TOP, QUANTILE, KEPT_SHARE = 30, 0.99, 0.5
@@ -26,7 +26,7 @@ TOP, QUANTILE, KEPT_SHARE = 30, 0.99, 0.5
 def under_quantile(pixels: DataFrame, key: str = "plume_id", q: float = QUANTILE) -> DataFrame:
     """Plume pixels up to the quantile (linear interpolation) of their plume's enhancement."""
     limit = pixels.groupBy(key).agg(F.percentile("enhancement", q).alias("_limit"))
-    return pixels.join(limit, key).filter("enhancement <= _limit").drop("_limit")
+    return pixels.join(shuffled(limit), key).filter("enhancement <= _limit").drop("_limit")
 
 
 def targets(pixels: DataFrame, key: str = "plume_id", top: int = TOP) -> DataFrame:
@@ -40,7 +40,7 @@ def targets(pixels: DataFrame, key: str = "plume_id", top: int = TOP) -> DataFra
 def background_pool(patch: DataFrame, chosen: DataFrame, gas: str, key: str = "plume_id") -> DataFrame:
     """Background pixels (background is true) with little enhancement that are not targets."""
     low = patch.filter(F.col("background") & (F.col("enhancement") <= BACKGROUND[gas]))
-    return low.join(chosen, [key, "y", "x"], "left_anti")
+    return low.join(shuffled(chosen), [key, "y", "x"], "left_anti")
 
 
 def path_factor(patch: DataFrame, key: str = "plume_id") -> DataFrame:
@@ -54,7 +54,7 @@ def pair_costs(chosen: DataFrame, pool: DataFrame, key: str = "plume_id") -> Dat
     a = chosen.select(key, F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("spectrum").alias("_a"))
     b = pool.select(key, F.col("y").alias("by"), F.col("x").alias("bx"), F.col("spectrum").alias("_b"))
     square = F.aggregate(F.zip_with("_a", "_b", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, key).select(key, "ty", "tx", "by", "bx", F.sqrt(square).alias("cost"))
+    return a.join(shuffled(b), key).select(key, "ty", "tx", "by", "bx", F.sqrt(square).alias("cost"))
 
 
 def assignment(chosen: DataFrame, pool: DataFrame, key: str = "plume_id") -> DataFrame:
@@ -86,7 +86,7 @@ def mean_ratio(pairs: DataFrame, chosen: DataFrame, pool: DataFrame, key: str =
     """Per plume and band: mean target over mean background radiance (columns radiance)."""
     a = chosen.select(key, F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("radiance").alias("_a"))
     b = pool.select(key, F.col("y").alias("by"), F.col("x").alias("bx"), F.col("radiance").alias("_b"))
-    both = pairs.join(a, [key, "ty", "tx"]).join(b, [key, "by", "bx"])
+    both = pairs.join(shuffled(a), [key, "ty", "tx"]).join(shuffled(b), [key, "by", "bx"])
     bands = both.select(key, F.posexplode(F.arrays_zip("_a", "_b")).alias("band", "v"))
     return bands.groupBy(key, "band").agg((F.avg("v._a") / (F.avg("v._b") + F.lit(1e-20))).alias("ratio"))
 
@@ -103,7 +103,7 @@ def spectral_scores(signals: DataFrame, key: str = "plume_id") -> DataFrame:
     """d_norm and d_cor from rows (key, band, observed, baseline, gas); null without spread."""
     e = signals.withColumn("e", F.col("observed") / (F.col("baseline") + F.lit(1e-20)))
     mean = e.groupBy(key).agg(F.avg("e").alias("_m"))
-    sums = e.join(mean, key).groupBy(key).agg(
+    sums = e.join(shuffled(mean), key).groupBy(key).agg(
         F.avg(F.abs(F.col("e") - F.col("gas"))).alias("_d"),
         F.avg(F.abs(F.col("e") - F.col("_m"))).alias("_s"),
         *[F.sum(F.expr(x)).alias(n) for n, x in (("se", "e"), ("sg", "gas"), ("see", "e * e"), ("sgg", "gas * gas"), ("seg", "e * gas"))],
@@ -182,11 +182,11 @@ def vetted(patch: DataFrame, samples: list[tuple], added_ppm_m: float, gas: str,
     chosen = written(targets(under_quantile(seen.filter("plume"), key), key), "targets")
     pool = written(background_pool(seen, chosen.select(key, "y", "x"), gas, key), "background")
     pairs = best_matches(assignment(chosen, pool, key), key)
-    observed = mean_ratio(pairs, chosen, pool, key).join(path_factor(patch, key), key)
+    observed = mean_ratio(pairs, chosen, pool, key).join(shuffled(path_factor(patch, key)), key)
     mean = chosen.groupBy(key).agg(F.avg("enhancement").alias("observed_conc"))
     fit = written(fits(observed, samples, added_ppm_m, key), "fits")
     lines = fit.select(key, F.posexplode(F.arrays_zip("observed_transmittance_sel", "baseline_transmittance", "modeled_transmittance")).alias("band", "v"))
     base = F.col("v.baseline_transmittance")
     signals = lines.select(key, "band", F.col("v.observed_transmittance_sel").alias("observed"), base.alias("baseline"), (F.col("v.modeled_transmittance") / base).alias("gas"))
-    scored = fit.join(spectral_scores(signals, key), key, "left")
-    return scored.select(key, "d_norm", "d_cor", *[c for c in fit.columns if c != key]).join(mean, key)
+    scored = fit.join(shuffled(spectral_scores(signals, key)), key, "left")
+    return scored.select(key, "d_norm", "d_cor", *[c for c in fit.columns if c != key]).join(shuffled(mean), key)

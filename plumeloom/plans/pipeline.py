@@ -18,16 +18,16 @@ from plumeloom.functions.strings import plume_color
 from plumeloom.operators import clusters, components, geometry, masks, merging, mosaic, tiling, vetting
 from plumeloom.plans.inference import tiled_inference
 from plumeloom.plans.metrics import Counters
-from plumeloom.plans.storage import written
+from plumeloom.plans.storage import shuffled, written
 
 
 def with_place(slots: DataFrame, pixels: DataFrame, counters: Counters | None = None) -> DataFrame:
     """Model output with global gy, gx, the scene's validity and chunk_id of surviving tiles."""
     placed = slots.withColumns({"gy": F.col("h_off") + F.col("y"), "gx": F.col("w_off") + F.col("x")})
-    placed = placed.join(pixels.select("granule_id", "gy", "gx", "valid"), ["granule_id", "gy", "gx"])
+    placed = placed.join(shuffled(pixels.select("granule_id", "gy", "gx", "valid")), ["granule_id", "gy", "gx"])
     tiles = tiling.surviving_tiles(placed).drop("n_valid")
     tiles = counters.on(tiles, "chunks") if counters else tiles
-    return placed.join(tiles, ["granule_id", "h_off", "w_off"])
+    return placed.join(shuffled(tiles), ["granule_id", "h_off", "w_off"])
 
 
 def _georeferenced(df: DataFrame, granules: DataFrame, s: Settings) -> DataFrame:
@@ -51,7 +51,7 @@ AFFINE = ("a", "b", "c", "d", "e", "f")
 
 def _with_heads(boxes: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes with their local heads as global pixel positions and longitude, latitude."""
-    met = boxes.join(heads, keys, "left")
+    met = boxes.join(shuffled(heads), keys, "left")
     x, y = F.col("head_x") + 0.5, F.col("head_y") + 0.5
     met = met.withColumns({"head_lon": F.col("a") + F.col("b") * x + F.col("c") * y, "head_lat": F.col("d") + F.col("e") * x + F.col("f") * y})
     return met.withColumns({"head_x": F.col("head_x") + F.col("x0"), "head_y": F.col("head_y") + F.col("y0")})
@@ -59,9 +59,9 @@ def _with_heads(boxes: DataFrame, heads: DataFrame, keys: list[str]) -> DataFram
 
 def _outlined(local: DataFrame, boxes: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     """Boxes with geometry and geometry_px of the local mask pixels; boxes without pixels go."""
-    px = local.join(boxes.select(*keys, "x0", "y0", *AFFINE), keys)
+    px = local.join(shuffled(boxes.select(*keys, "x0", "y0", *AFFINE)), keys)
     forms = {"geometry_px": ("x0", 1, 0, "y0", 0, 1), "geometry": AFFINE}
-    return boxes.join(geometry.mask_wkts(px, keys, forms, s.simplify, s.keep_holes), keys)
+    return boxes.join(shuffled(geometry.mask_wkts(px, keys, forms, s.simplify, s.keep_holes)), keys)
 
 
 SLOT = ["granule_id", "chunk_id", "slot_id"]
@@ -73,9 +73,9 @@ def extract_candidates(placed: DataFrame, granules: DataFrame, s: Settings, coun
     hits = masks.over_threshold(placed, "p_plume", s.plume_threshold)
     slots = masks.large_slots(hits, s.min_slot_pixels)
     tiles = placed.select("granule_id", "chunk_id", F.col("w_off").alias("x0"), F.col("h_off").alias("y0")).distinct()
-    boxes = (counters.on(slots, "extracted") if counters else slots).join(tiles, ["granule_id", "chunk_id"]).withColumns({"x1": F.col("x0") + s.tile_size, "y1": F.col("y0") + s.tile_size})
+    boxes = (counters.on(slots, "extracted") if counters else slots).join(shuffled(tiles), ["granule_id", "chunk_id"]).withColumns({"x1": F.col("x0") + s.tile_size, "y1": F.col("y0") + s.tile_size})
     boxes = _georeferenced(boxes, granules, s)
-    inside = hits.join(slots.select(*SLOT), SLOT, "left_semi")
+    inside = hits.join(shuffled(slots.select(*SLOT)), SLOT, "left_semi")
     heads = components.head_points(inside.select(*SLOT, "y", "x", "p_origin"), SLOT, "p_origin", s.origin_threshold, bounded=True)
     out = _outlined(inside.select(*SLOT, "y", "x"), boxes, SLOT, s)
     return _with_heads(out, heads, SLOT)
@@ -83,11 +83,11 @@ def extract_candidates(placed: DataFrame, granules: DataFrame, s: Settings, coun
 
 def with_rasters(candidates: DataFrame, placed: DataFrame, s: Settings) -> DataFrame:
     """Candidates with the whole tile of their slot, in row order: concentration and the three masks."""
-    px = placed.join(candidates.select(*SLOT), SLOT, "left_semi")
+    px = placed.join(shuffled(candidates.select(*SLOT)), SLOT, "left_semi")
     one = F.struct("y", "x", F.col("conc").cast("float").alias("c"), (F.col("p_plume") > s.plume_threshold).alias("b"), (F.col("p_origin") > s.origin_threshold).alias("o"), "valid")
     tiles = px.groupBy(*SLOT).agg(F.sort_array(F.collect_list(one)).alias("t"))  # one tile of one slot
     names = {"concentration": "c", "binary_mask": "b", "origin_mask": "o", "mask": "valid"}
-    return candidates.join(tiles.select(*SLOT, *[F.col(f"t.{c}").alias(n) for n, c in names.items()]), SLOT)
+    return candidates.join(shuffled(tiles.select(*SLOT, *[F.col(f"t.{c}").alias(n) for n, c in names.items()])), SLOT)
 
 
 def cluster_plumes(candidates: DataFrame, placed: DataFrame, s: Settings, counters: Counters | None = None) -> DataFrame:
@@ -101,9 +101,9 @@ def cluster_plumes(candidates: DataFrame, placed: DataFrame, s: Settings, counte
     if patch:
         heads = ids.filter("head_x IS NOT NULL").select(*SLOT, "id", "head_x", "head_y")
         px = placed.select(*SLOT, F.col("gy").alias("y"), F.col("gx").alias("x"), F.col("conc").alias("value"), "valid").filter("valid")
-        patches = masks.head_squares(px, heads, patch, SLOT).join(heads.select(*SLOT, "id"), SLOT)
+        patches = masks.head_squares(px, heads, patch, SLOT).join(shuffled(heads.select(*SLOT, "id")), SLOT)
         patches = patches.select("granule_id", "id", F.col("y").alias("gy"), F.col("x").alias("gx"), "value")
-    return ids.join(clusters.clustered(points, s.clustering, patches, counters, **kw), ["granule_id", "id"])
+    return ids.join(shuffled(clusters.clustered(points, s.clustering, patches, counters, **kw)), ["granule_id", "id"])
 
 
 @dataclass
@@ -121,22 +121,22 @@ def dedupe(clustered: DataFrame, placed: DataFrame, granules: DataFrame, scene:
     window = {"hanning": weights.hann, "tukey": weights.tukey}[s.window]
     weight = weight if weight is not None else weights.outer(window, F.col("y"), F.col("x"), size)
     kept = merging.capped(merging.grouped(clustered), s.most_in_cluster).withColumnRenamed("cluster", "group_id")
-    members = placed.join(kept.select(*SLOT, "group_id"), SLOT)
+    members = placed.join(shuffled(kept.select(*SLOT, "group_id")), SLOT)
     values = ["conc", "p_plume", "p_origin"]
     merged = written(merging.merged(members, GROUP, values, weight, s.regularizer), "merged")
-    box = merging.bounds(kept, GROUP).join(kept.groupBy(*GROUP).agg(F.max("cluster_size").alias("cluster_size")), GROUP)
-    local = merged.join(box.select(*GROUP, F.col("x0").alias("bx"), F.col("y0").alias("by")), GROUP)
-    local = local.join(scene.select("granule_id", "gy", "gx", "valid"), ["granule_id", "gy", "gx"])
+    box = merging.bounds(kept, GROUP).join(shuffled(kept.groupBy(*GROUP).agg(F.max("cluster_size").alias("cluster_size"))), GROUP)
+    local = merged.join(shuffled(box.select(*GROUP, F.col("x0").alias("bx"), F.col("y0").alias("by"))), GROUP)
+    local = local.join(shuffled(scene.select("granule_id", "gy", "gx", "valid")), ["granule_id", "gy", "gx"])
     local = local.select(*GROUP, (F.col("gy") - F.col("by")).alias("y"), (F.col("gx") - F.col("bx")).alias("x"), *values, "valid", "bx", "by")
     hit = local.filter((F.col("p_plume") > s.plume_threshold) & F.col("valid"))
     labels = components.labelled(hit.select(*GROUP, "y", "x"), GROUP, bounded=True)
     before = components.head_points(hit.select(*GROUP, "y", "x", "p_origin"), GROUP, "p_origin", s.origin_threshold, bounded=True) if s.keep_origin_component else None
     clean = written(components.without_small(labels, GROUP, s.cc_min_size, before).select(*GROUP, "y", "x", F.lit(True).alias("hit")), "clean")
-    raster = local.join(clean, [*GROUP, "y", "x"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    raster = local.join(shuffled(clean), [*GROUP, "y", "x"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     raster = written(components.cropped(raster, GROUP, s.border), "cropped")
     raster = raster.withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")})
     boxes = raster.groupBy(*GROUP).agg(*[(F.max(c) + F.max(b)).alias(c) for c, b in (("x0", "bx"), ("y0", "by"), ("x1", "bx"), ("y1", "by"))])
-    boxes = _georeferenced(boxes.join(box.select(*GROUP, "cluster_size"), GROUP), granules, s)
+    boxes = _georeferenced(boxes.join(shuffled(box.select(*GROUP, "cluster_size")), GROUP), granules, s)
     heads = components.head_points(raster.filter("hit").select(*GROUP, "y", "x", "p_origin"), GROUP, "p_origin", s.origin_threshold, bounded=True)
     plumes = _with_heads(_outlined(raster.filter("hit").select(*GROUP, "y", "x"), boxes, GROUP, s), heads, GROUP).filter("head_x IS NOT NULL")
     plumes = plumes.withColumn("color", plume_color(*[F.col(k).cast("string") for k in GROUP]))
@@ -162,12 +162,12 @@ def vetting_patches(found: Plumes, candidates_px: DataFrame, enhancement: DataFr
     at = heads.withColumns({"y0": F.col("head_y").cast("long") - reach, "x0": F.col("head_x").cast("long") - reach})
     boxes = at.select(F.col("plume_id").alias("box_id"), "granule_id", "group_id", "x0", "y0", (F.col("x0") + 2 * reach).alias("x1"), (F.col("y0") + 2 * reach).alias("y1"))
     grid = boxes.withColumn("gy", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("gx", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    rows = grid.join(scene, ["granule_id", "gy", "gx"], "left").join(enhancement.select("granule_id", "gy", "gx", "enhancement"), ["granule_id", "gy", "gx"], "left")
-    rows = rows.join(found.pixels.filter("hit").select(*GROUP, "gy", "gx", F.lit(True).alias("plume")), [*GROUP, "gy", "gx"], "left")
+    rows = grid.join(shuffled(scene), ["granule_id", "gy", "gx"], "left").join(shuffled(enhancement.select("granule_id", "gy", "gx", "enhancement")), ["granule_id", "gy", "gx"], "left")
+    rows = rows.join(shuffled(found.pixels.filter("hit").select(*GROUP, "gy", "gx", F.lit(True).alias("plume"))), [*GROUP, "gy", "gx"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     patch = rows.select(F.col("box_id").alias("plume_id"), (F.col("gy") - F.col("y0")).alias("y"), (F.col("gx") - F.col("x0")).alias("x"), F.coalesce("radiance", F.array().cast("array<double>")).alias("radiance"), zero("enhancement"), F.coalesce("plume", F.lit(False)).alias("plume"), F.coalesce("valid", F.lit(False)).alias("valid"), zero("sun_zenith"), zero("sensor_zenith"))
     free = masks.background(patch, exclusion).select("plume_id", "y", "x", F.lit(True).alias("background"))
-    return patch.join(free, ["plume_id", "y", "x"], "left").withColumn("background", F.coalesce("background", F.lit(False)))
+    return patch.join(shuffled(free), ["plume_id", "y", "x"], "left").withColumn("background", F.coalesce("background", F.lit(False)))
 
 
 def enhancement(placed: DataFrame, s: Settings) -> DataFrame:
@@ -189,16 +189,16 @@ def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, s
     image = enhancement(placed, s)
     out = counters.on(plumes.plumes, "plumes") if counters else plumes.plumes
     if samples:
-        hits = masks.over_threshold(placed, "p_plume", s.plume_threshold).join(grouped.select(*SLOT), SLOT, "left_semi")
+        hits = masks.over_threshold(placed, "p_plume", s.plume_threshold).join(shuffled(grouped.select(*SLOT)), SLOT, "left_semi")
         patch = written(vetting_patches(plumes, hits.select("granule_id", "gy", "gx").distinct(), image, pixels, s), "patches")  # read for targets, background and path
         scores = vetting.vetted(patch, samples, added_ppm_m, s.gas, match_bands or [])
         arrays = [f.name for f in scores.schema.fields if f.dataType.typeName() == "array"]
         scores = scores.withColumns({c: masks.whole_or_null(F.col(c)) for c in arrays})
-        out = out.withColumn("plume_id", F.concat_ws(":", *GROUP)).join(scores, "plume_id", "left").drop("plume_id")
+        out = out.withColumn("plume_id", F.concat_ws(":", *GROUP)).join(shuffled(scores), "plume_id", "left").drop("plume_id")
     if rasters:
         box = F.array("x0", "y0", F.col("x0") + F.col("width"), F.col("y0") + F.col("height")).alias("raster_bbox_px")
         layers = {"concentration": "conc", "plume_probability": "p_plume", "origin_probability": "p_origin"}
-        out = out.join(stacked(plumes).select(*GROUP, box, *[F.col(f"raster.{c}").alias(n) for n, c in layers.items()]), GROUP)
+        out = out.join(shuffled(stacked(plumes).select(*GROUP, box, *[F.col(f"raster.{c}").alias(n) for n, c in layers.items()])), GROUP)
     return with_rasters(grouped, placed, s) if rasters else grouped, out, image
 
 

@@ -84,6 +84,18 @@ def test_scene_queries_take_every_row_of_the_raster(spark, tmp_path):
     assert catalog.queries()["pipeline_e2e"](spark, str(tmp_path)).count() == len(plumes)
 
 
+def test_no_table_of_a_run_passes_the_driver(spark, tmp_path):
+    """Patches of spectra, and whatever else grows with the scenes, are joined by shuffle: a table that were broadcast by place or plume would be over the limit."""
+    rows = spark.range(24 * 100).select(F.col("id").alias("event_id"), (F.col("id") % 97).alias("user_id"), ((F.col("id") * 37) % 1000 / 100.0).alias("value"), F.when(F.col("id") % 11 == 0, "error").otherwise("click").alias("event_type"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")  # a table of one scene is 1 MB, one of several keys takes a page of more
+    try:
+        found = catalog.queries()["pipeline_e2e"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(found) > 0 and any(r.observed_transmittance_sel for r in found)
+
+
 def test_fit_query_finds_what_was_planted(spark):
     want = {r.o_orderkey: r.o_orderkey % 251 for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
     for r in catalog.queries()["fit_conc"](spark, SF).collect():
