@@ -171,18 +171,25 @@ def fitted_spectra(spectra: DataFrame, samples: list[tuple], added_ppm_m: float,
     return spectra.select(key, "spectrum", "path").mapInArrow(every, f"{key} {kind}, {RESULT}")
 
 
-def vetted(patch: DataFrame, samples: list[tuple], added_ppm_m: float, gas: str, match_bands: list[int], key: str = "plume_id") -> DataFrame:
+def vetted(patch: DataFrame, samples: list[tuple], added_ppm_m: float, gas: str, match_bands: list[int], key: str = "plume_id", scene: DataFrame | None = None) -> DataFrame:
     """Scores per plume from its patch: key, y, x, radiance (array), enhancement, plume, background,
     sun_zenith, sensor_zenith. Plumes without targets, background or a kept pair have no row.
 
     match_bands: the bands outside the gas, on which targets and background are matched.
+    scene: has the spectra (granule_id, gy, gx, radiance), if the patch has granule_id, gy, gx and usable in place of radiance.
+    Targets and background are found without spectra, which are joined to these pixels alone.
     """
-    seen = patch.filter(usable(F.col("radiance")))
-    seen = seen.withColumn("spectrum", F.transform(F.array(*map(F.lit, match_bands)), lambda k: F.get("radiance", k).cast("double")))
-    chosen = written(targets(under_quantile(seen.filter("plume"), key), key), "targets")
-    pool = written(background_pool(seen, chosen.select(key, "y", "x"), gas, key), "background")
-    pairs = best_matches(assignment(chosen, pool, key), key)
-    observed = mean_ratio(pairs, chosen, pool, key).join(shuffled(path_factor(patch, key)), key)
+    place = [key, "y", "x"] if scene is None else ["granule_id", "gy", "gx"]
+    spectra = (patch if scene is None else scene).select(*place, "radiance")
+    seen = patch.filter(usable(F.col("radiance")) if scene is None else "usable").select(*dict.fromkeys([key, "y", "x", *place]), "enhancement", "plume", "background")
+    chosen = written(targets(under_quantile(seen.filter("plume"), key), key).drop("plume", "background"), "targets")
+    pool = background_pool(seen, chosen.select(key, "y", "x"), gas, key).drop("plume", "background")
+    of_target = chosen.withColumn("target", F.lit(True)).unionByName(pool.withColumn("target", F.lit(False)))
+    both = written(of_target.join(shuffled(spectra), place).select(key, "y", "x", "target", "radiance"), "vetting-spectra")
+    both = both.withColumn("spectrum", F.transform(F.array(*map(F.lit, match_bands)), lambda k: F.get("radiance", k).cast("double")))
+    on_target, pool = both.filter("target"), both.filter("NOT target")
+    pairs = written(best_matches(assignment(on_target, pool, key), key), "matches")
+    observed = mean_ratio(pairs, on_target, pool, key).join(shuffled(path_factor(patch, key)), key)
     mean = chosen.groupBy(key).agg(F.avg("enhancement").alias("observed_conc"))
     fit = written(fits(observed, samples, added_ppm_m, key), "fits")
     lines = fit.select(key, F.posexplode(F.arrays_zip("observed_transmittance_sel", "baseline_transmittance", "modeled_transmittance")).alias("band", "v"))

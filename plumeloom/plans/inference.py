@@ -66,7 +66,7 @@ def tiled_inference(pixels: DataFrame, granules: DataFrame, factory, path: str,
     granule_id, h, w. Tiles that do not fit whole into their scene are left out.
     """
     known = [c for c in inputs.values() if c in pixels.columns]
-    px = pixels.select("granule_id", "gy", "gx", "valid", *known).join(granules.select("granule_id", "h", "w"), "granule_id")
+    px = pixels.select("granule_id", "gy", "gx", "valid", *known).join(F.broadcast(granules.select("granule_id", "h", "w")), "granule_id")  # one row a scene; else the pixels may be broadcast to it
     px = px.withColumn("_by", F.explode(_blocks("gy", "h", size, stride, side))).withColumn("_bx", F.explode(_blocks("gx", "w", size, stride, side)))
     kind = pixels.schema["granule_id"].dataType.simpleString()
     schema = f"granule_id {kind}, h_off long, w_off long, slot_id int, y int, x int, " + ", ".join(f"{c} double" for c in outputs.values())

@@ -32,7 +32,7 @@ def with_place(slots: DataFrame, pixels: DataFrame, counters: Counters | None =
 
 def _georeferenced(df: DataFrame, granules: DataFrame, s: Settings) -> DataFrame:
     """Add a to f, the affine map from local pixel positions of each box to longitude, latitude."""
-    df = df.join(granules.select("granule_id", F.col("x0").alias("_gx0"), F.col("y0").alias("_gy0"), "zone"), "granule_id")
+    df = df.join(F.broadcast(granules.select("granule_id", F.col("x0").alias("_gx0"), F.col("y0").alias("_gy0"), "zone")), "granule_id")  # one row a scene; else the boxes may be broadcast to it
     left, width, height = F.col("_gx0") + F.col("x0") * s.scale, F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     bottom = F.col("_gy0") - F.col("y1") * s.scale
     number, north = F.regexp_extract("zone", r"^(\d+)", 1).cast("int"), geo.is_north(F.col("zone"), s.strict)
@@ -153,21 +153,22 @@ def stacked(found: Plumes) -> DataFrame:
 
 
 def vetting_patches(found: Plumes, candidates_px: DataFrame, enhancement: DataFrame, scene: DataFrame, s: Settings) -> DataFrame:
-    """Each plume's vetting patch (plume_id, y, x, radiance, enhancement, plume, background, angles).
+    """Each plume's vetting patch: plume_id, y, x, granule_id, gy, gx, usable, enhancement, plume, valid, background, angles.
 
-    Places outside the scene are rows too: padding has angle 0 and no radiance."""
-    reach = s.vetting_patch // 2
+    Places outside the scene are rows too: padding has angle 0 and is not usable. Patches overlap, so spectra stay with the scene."""
+    reach, at, own = s.vetting_patch // 2, ["granule_id", "gy", "gx"], ["plume_id", "y", "x"]
     heads = found.plumes.select("granule_id", F.concat_ws(":", *GROUP).alias("plume_id"), "group_id", "head_x", "head_y")
     exclusion = masks.excluded(candidates_px, heads, reach)
-    at = heads.withColumns({"y0": F.col("head_y").cast("long") - reach, "x0": F.col("head_x").cast("long") - reach})
-    boxes = at.select(F.col("plume_id").alias("box_id"), "granule_id", "group_id", "x0", "y0", (F.col("x0") + 2 * reach).alias("x1"), (F.col("y0") + 2 * reach).alias("y1"))
-    grid = boxes.withColumn("gy", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("gx", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    rows = grid.join(shuffled(scene), ["granule_id", "gy", "gx"], "left").join(shuffled(enhancement.select("granule_id", "gy", "gx", "enhancement")), ["granule_id", "gy", "gx"], "left")
+    boxes = heads.withColumns({"x0": F.col("head_x").cast("long") - reach, "y0": F.col("head_y").cast("long") - reach})
+    grid = boxes.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * reach - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * reach - 1))))
+    grid = grid.select(*GROUP, *own, (F.col("y0") + F.col("y")).alias("gy"), (F.col("x0") + F.col("x")).alias("gx"))
+    seen = scene.select(*at, "valid", masks.usable(F.col("radiance")).alias("usable"), "sun_zenith", "sensor_zenith")
+    rows = grid.join(shuffled(seen), at, "left").join(shuffled(enhancement.select(*at, "enhancement")), at, "left")
     rows = rows.join(shuffled(found.pixels.filter("hit").select(*GROUP, "gy", "gx", F.lit(True).alias("plume"))), [*GROUP, "gy", "gx"], "left")
+    rows = rows.join(shuffled(exclusion.withColumn("_taken", F.lit(True))), own, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    patch = rows.select(F.col("box_id").alias("plume_id"), (F.col("gy") - F.col("y0")).alias("y"), (F.col("gx") - F.col("x0")).alias("x"), F.coalesce("radiance", F.array().cast("array<double>")).alias("radiance"), zero("enhancement"), F.coalesce("plume", F.lit(False)).alias("plume"), F.coalesce("valid", F.lit(False)).alias("valid"), zero("sun_zenith"), zero("sensor_zenith"))
-    free = masks.background(patch, exclusion).select("plume_id", "y", "x", F.lit(True).alias("background"))
-    return patch.join(shuffled(free), ["plume_id", "y", "x"], "left").withColumn("background", F.coalesce("background", F.lit(False)))
+    true = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select(*own, *at, *[true(c).alias(c) for c in ("usable", "plume", "valid")], (true("valid") & F.col("_taken").isNull()).alias("background"), zero("enhancement"), zero("sun_zenith"), zero("sensor_zenith"))
 
 
 def enhancement(placed: DataFrame, s: Settings) -> DataFrame:
@@ -191,7 +192,7 @@ def run(slots: DataFrame, pixels: DataFrame, granules: DataFrame, s: Settings, s
     if samples:
         hits = masks.over_threshold(placed, "p_plume", s.plume_threshold).join(shuffled(grouped.select(*SLOT)), SLOT, "left_semi")
         patch = written(vetting_patches(plumes, hits.select("granule_id", "gy", "gx").distinct(), image, pixels, s), "patches")  # read for targets, background and path
-        scores = vetting.vetted(patch, samples, added_ppm_m, s.gas, match_bands or [])
+        scores = vetting.vetted(patch, samples, added_ppm_m, s.gas, match_bands or [], scene=pixels)
         arrays = [f.name for f in scores.schema.fields if f.dataType.typeName() == "array"]
         scores = scores.withColumns({c: masks.whole_or_null(F.col(c)) for c in arrays})
         out = out.withColumn("plume_id", F.concat_ws(":", *GROUP)).join(shuffled(scores), "plume_id", "left").drop("plume_id")

@@ -26,7 +26,7 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("(event_id * 31 + user_id * 17) % 1000").alias("o"),
     )
     size = px.groupBy("granule_id").agg((F.max("gy") + 1).alias("h"), (F.max("gx") + 1).alias("w"))
-    return px.join(size, "granule_id")
+    return px.join(F.broadcast(size), "granule_id")  # one row a scene
 
 
 RASTER_SQL = """px AS (SELECT 0::BIGINT AS granule_id, event_id // 100 AS gy, event_id % 100 AS gx, CAST(round(value * 100) AS BIGINT) AS v, event_type <> 'error' AS valid,

@@ -331,6 +331,22 @@ def test_vetting_of_a_known_plume(spark):
     assert vetting.vetted(patch.withColumn("plume", F.lit(False)), samples, 100.0, "methane", [0]).count() == 0
 
 
+def test_vetting_takes_spectra_from_the_scene(spark):
+    """Two plumes on one scene: a patch without spectra is scored as one that holds them."""
+    inside = F.col("y").between(3, 6) & F.col("x").between(3, 6)
+    patch = block(spark, 0, 10, 0, 10).crossJoin(spark.createDataFrame([(1, 0), (2, 4)], "plume_id int, left int"))
+    patch = patch.withColumns({"granule_id": F.lit(1), "gy": F.col("y"), "gx": F.col("x") + F.col("left"), "sun_zenith": F.lit(30.0), "sensor_zenith": F.lit(5.0), "plume": inside, "background": ~inside, "enhancement": F.when(inside, F.col("y") * 10.0 + F.col("x")).otherwise(0.0)}).drop("left")
+    spectrum = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: 1.0 + (F.col("gy") * 7 + F.col("gx") * 3 + k * 5) % 11)
+    patch = patch.withColumn("radiance", F.when((F.col("gy") == 5) & (F.col("gx") == 8), F.array().cast("array<double>")).otherwise(spectrum))
+    samples = [(k, 2100.0 + 30 * k, [1.0, 0.5], [0.9, 0.95], [0.8, 0.7]) for k in range(12)]
+    scene = patch.select("granule_id", "gy", "gx", "radiance").distinct()
+    light = patch.withColumn("usable", masks.usable(F.col("radiance"))).drop("radiance")
+    want, got = (df.orderBy("plume_id").collect() for df in (vetting.vetted(patch, samples, 100.0, "methane", [0, 1, 2]), vetting.vetted(light, samples, 100.0, "methane", [0, 1, 2], scene=scene)))
+    assert len(want) == 2 and [r.plume_id for r in got] == [r.plume_id for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert all(math.isclose(u, v, rel_tol=1e-9) for u, v in zip(g.observed_transmittance_sel, w.observed_transmittance_sel, strict=True)) and g.observed_conc == w.observed_conc
+
+
 def test_schemas(spark):
     assert len(schema.PREDICTED.fields) == 27 and len(schema.CANDIDATE.fields) == 8
     row = spark.createDataFrame([("g", 1, 0, 0, 0, 4, 4, "p", "p", None, None, None, None, 0.5, 7.0)], "granule_id string, chunk_id int, slot_id int, x0 int, y0 int, x1 int, y1 int, geometry string, geometry_px string, head_x double, head_y double, head_lon double, head_lat double, d_norm double, hrrr_u double")

@@ -96,6 +96,17 @@ def test_no_table_of_a_run_passes_the_driver(spark, tmp_path):
     assert len(found) > 0 and any(r.observed_transmittance_sel for r in found)
 
 
+def test_scenes_are_broadcast_and_not_what_lies_on_them(spark):
+    """Where all rows are of one constant scene, a join by scene has no key left, and the side that a plan takes for the smaller is broadcast."""
+    one = F.lit(0).cast("long").alias("granule_id")
+    granules = spark.range(100_000).filter("id < 1").select(one, *[F.lit(v).alias(n) for n, v in (("h", 8), ("w", 8), ("x0", 300000.0), ("y0", 4000000.0), ("zone", "31N"))])
+    px = spark.range(64).select(one, F.expr("id div 8").alias("gy"), F.expr("id % 8").alias("gx"), F.lit(True).alias("valid"), F.col("id").alias("v"))
+    boxes = spark.range(64).select(one, *[F.col("id").alias(c) for c in ("x0", "y0")], *[(F.col("id") + 4).alias(c) for c in ("x1", "y1")])
+    for df in (pipeline.tiled_inference(px, granules, catalog.mock_model, "", 4, 2, {"v": "v"}), pipeline._georeferenced(boxes, granules, SMALL)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_fit_query_finds_what_was_planted(spark):
     want = {r.o_orderkey: r.o_orderkey % 251 for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
     for r in catalog.queries()["fit_conc"](spark, SF).collect():
