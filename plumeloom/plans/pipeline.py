@@ -74,8 +74,8 @@ def extract_candidates(placed: DataFrame, granules: DataFrame, s: Settings, coun
     slots = masks.large_slots(hits, s.min_slot_pixels)
     tiles = placed.select("granule_id", "chunk_id", F.col("w_off").alias("x0"), F.col("h_off").alias("y0")).distinct()
     boxes = (counters.on(slots, "extracted") if counters else slots).join(shuffled(tiles), ["granule_id", "chunk_id"]).withColumns({"x1": F.col("x0") + s.tile_size, "y1": F.col("y0") + s.tile_size})
-    boxes = _georeferenced(boxes, granules, s)
-    inside = hits.join(shuffled(slots.select(*SLOT)), SLOT, "left_semi")
+    boxes = written(_georeferenced(boxes, granules, s), "boxes")  # written as they are long expressions, which plans would hold twice
+    inside = written(hits.join(shuffled(slots.select(*SLOT)), SLOT, "left_semi").select(*SLOT, "y", "x", "p_origin"), "inside")
     heads = components.head_points(inside.select(*SLOT, "y", "x", "p_origin"), SLOT, "p_origin", s.origin_threshold, bounded=True)
     out = _outlined(inside.select(*SLOT, "y", "x"), boxes, SLOT, s)
     return _with_heads(out, heads, SLOT)
@@ -128,6 +128,7 @@ def dedupe(clustered: DataFrame, placed: DataFrame, granules: DataFrame, scene:
     local = merged.join(shuffled(box.select(*GROUP, F.col("x0").alias("bx"), F.col("y0").alias("by"))), GROUP)
     local = local.join(shuffled(scene.select("granule_id", "gy", "gx", "valid")), ["granule_id", "gy", "gx"])
     local = local.select(*GROUP, (F.col("gy") - F.col("by")).alias("y"), (F.col("gx") - F.col("bx")).alias("x"), *values, "valid", "bx", "by")
+    local = written(local, "local")  # read for labels, heads, sizes and bounds
     hit = local.filter((F.col("p_plume") > s.plume_threshold) & F.col("valid"))
     labels = components.labelled(hit.select(*GROUP, "y", "x"), GROUP, bounded=True)
     before = components.head_points(hit.select(*GROUP, "y", "x", "p_origin"), GROUP, "p_origin", s.origin_threshold, bounded=True) if s.keep_origin_component else None
@@ -136,7 +137,7 @@ def dedupe(clustered: DataFrame, placed: DataFrame, granules: DataFrame, scene:
     raster = written(components.cropped(raster, GROUP, s.border), "cropped")
     raster = raster.withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")})
     boxes = raster.groupBy(*GROUP).agg(*[(F.max(c) + F.max(b)).alias(c) for c, b in (("x0", "bx"), ("y0", "by"), ("x1", "bx"), ("y1", "by"))])
-    boxes = _georeferenced(boxes.join(shuffled(box.select(*GROUP, "cluster_size")), GROUP), granules, s)
+    boxes = written(_georeferenced(boxes.join(shuffled(box.select(*GROUP, "cluster_size")), GROUP), granules, s), "boxes")
     heads = components.head_points(raster.filter("hit").select(*GROUP, "y", "x", "p_origin"), GROUP, "p_origin", s.origin_threshold, bounded=True)
     plumes = _with_heads(_outlined(raster.filter("hit").select(*GROUP, "y", "x"), boxes, GROUP, s), heads, GROUP).filter("head_x IS NOT NULL")
     plumes = plumes.withColumn("color", plume_color(*[F.col(k).cast("string") for k in GROUP]))
